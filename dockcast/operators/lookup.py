@@ -17,7 +17,8 @@ and no request x reading pairs:
 3. one sort per partition and ``lead``/``lag`` ``IGNORE NULLS`` give the
    first reading after and the last reading before each probe (O(n));
 4. probes are regrouped per request on keys that contain the shuffle keys,
-   so the regroup needs no second exchange.
+   so the regroup needs no second exchange (and, with the request columns as
+   keys, only fixed-width buffers: a hash aggregate, no extra sort).
 
 Ordering is ``(ts, probe after reading, reading_id)``: a reading exactly at
 ``now - k`` is not "newer than" the cutoff (strict ``>``, P11), a reading
@@ -93,30 +94,25 @@ def lag_lookup(
             ]
         )
 
-    payload_cols = [c for c in requests.columns]
-    probes = (
-        needs.select(
-            "city",
-            "station_id",
-            F.struct(*payload_cols).alias("req"),
-            F.explode(_case_city(lrules, probes_of)).alias("p"),
-        )
-        .select(
-            "city",
-            "station_id",
-            _bucket(epoch_micros("p.anchor"), bucket_us).alias("bucket"),
-            F.when(F.col("p.forward"), F.col("p.start")).otherwise(F.col("req.requested_at")).alias("sort_ts"),
-            F.lit(1).alias("tie"),
-            F.lit(None).cast("long").alias("reading_id"),
-            F.lit(None).cast("struct<ts:timestamp_ntz,available:int>").alias("r"),
-            F.col("req.request_id").alias("request_id"),
-            F.col("p.slot").alias("slot"),
-            F.col("p.forward").alias("forward"),
-            F.col("p.start").alias("start"),
-            F.col("req.requested_at").alias("end"),
-            # the request payload rides on one probe only
-            F.when(F.col("p.slot") == 1, F.col("req")).alias("req"),
-        )
+    payload_cols = [c for c in requests.columns if c not in ("city", "station_id", "status")]
+    probes = needs.select(
+        "city",
+        "station_id",
+        *payload_cols,
+        F.explode(_case_city(lrules, probes_of)).alias("p"),
+    ).select(
+        "city",
+        "station_id",
+        _bucket(epoch_micros("p.anchor"), bucket_us).alias("bucket"),
+        F.when(F.col("p.forward"), F.col("p.start")).otherwise(F.col("requested_at")).alias("sort_ts"),
+        F.lit(1).alias("tie"),
+        F.lit(None).cast("long").alias("reading_id"),
+        F.lit(None).cast("struct<ts:timestamp_ntz,available:int>").alias("r"),
+        F.col("p.slot").alias("slot"),
+        F.col("p.forward").alias("forward"),
+        F.col("p.start").alias("start"),
+        F.col("requested_at").alias("end"),
+        *payload_cols,
     )
 
     # --- reading rows: home bucket, plus the previous one near its start ----
@@ -150,13 +146,15 @@ def lag_lookup(
         F.col("forward"), F.when(F.col("nxt.ts") <= F.col("end"), F.col("nxt.available"))
     ).otherwise(F.when(F.col("prv.ts") > F.col("start"), F.col("prv.available")))
 
-    per_request = scanned.groupBy("city", "station_id", "bucket", "request_id").agg(
-        F.max("req").alias("req"),
+    # Request columns are grouping keys (functionally dependent on request_id):
+    # the buffers stay fixed-width, so this is a hash aggregate, and as the keys
+    # contain the shuffle keys it needs no exchange.
+    per_request = scanned.groupBy("city", "station_id", "bucket", *payload_cols).agg(
         *[F.max(F.when(F.col("slot") == i, value)).alias(f"slot{i}") for i in SLOTS],
         (F.count(value) == F.count(F.lit(1))).alias("complete"),
     )
     looked_up = per_request.select(
-        *[F.col(f"req.{c}").alias(c) for c in payload_cols if c != "status"],
+        *[c for c in requests.columns if c != "status"],
         *SLOT_COLS,
         F.when(F.col("complete"), F.lit(OK)).otherwise(F.lit(NO_HISTORY)).alias("status"),
     )

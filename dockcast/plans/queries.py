@@ -98,3 +98,207 @@ ORACLE_SQL: dict[str, str] = {
     "lag_lookup_days": _lookup_sql(DAY),
     "notification_roundtrip": _notification_sql(),
 }
+
+
+# --- features, profiles, training tables, metrics ---------------------------
+from dockcast.config import BARCELONA, CITY_RULES, MALAGA, SANTANDER  # noqa: E402
+from dockcast.functions import ISO_UTC, iso_utc  # noqa: E402
+from dockcast.operators import features as feat  # noqa: E402
+from dockcast.operators.metrics import accuracy, regression_metrics  # noqa: E402
+from dockcast.sources.tables import read_table  # noqa: E402
+
+TRAIN_UNIT = DAY  # same reason as FLAGSHIP_PARAMS: the synthetic history is sparse
+
+
+def station_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly mean availability and trend sign per station."""
+    return feat.station_profile(events_history(spark, sf_dir))
+
+
+def training_table_barcelona(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 (+ D4 in ``comp``): label and 3/6/9-unit lags per station and slot."""
+    hist = events_history(spark, sf_dir)
+    t = feat.with_trend(feat.lag_training_table(hist, BARCELONA, TRAIN_UNIT), feat.station_profile(hist))
+    return t.withColumn("slot", iso_utc("slot_ts")).drop("slot_ts")
+
+
+def training_table_santander(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label and 5/10/15/20-unit lags per station and slot."""
+    return feat.lag_training_table(events_history(spark, sf_dir), SANTANDER, TRAIN_UNIT).drop("slot_ts")
+
+
+def training_table_malaga(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 + C9: calendar columns and occupancy decile from lineitem."""
+    return feat.malaga_training_table(read_table(spark, sf_dir, "lineitem"))
+
+
+def _lag_table(spark, sf_dir, rule):
+    return feat.lag_training_table(events_history(spark, sf_dir), rule, TRAIN_UNIT)
+
+
+def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2-A5 on the training tables for SQL baselines.
+
+    Bikes: mean of the lag features (rows with every lag set).  Parking: the
+    rounded mean class of the row's (name, weekday, hour) slot - a grouped
+    aggregate joined back, never a window over a whole slot.
+    """
+    parts = []
+    for rule in (BARCELONA, SANTANDER):
+        t = _lag_table(spark, sf_dir, rule)
+        lags = list(rule.train_lags)
+        cond = F.lit(True)
+        for c in lags:
+            cond = cond & F.col(c).isNotNull()
+        pred = sum((F.col(c).cast("double") for c in lags), F.lit(0.0)) / F.lit(float(len(lags)))
+        m = regression_metrics(t.where(cond), "available_bikes", pred)
+        parts.append(
+            m.select(
+                F.lit(rule.city).alias("city"),
+                F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("rmse", "mae", "r2")])).alias("m"),
+                "rows",
+            ).select("city", "m.metric", "m.value", "rows")
+        )
+    mt = training_table_malaga(spark, sf_dir)
+    keys = ["name", "weekday", "hour"]
+    slot_mean = mt.groupBy(*keys).agg(F.round(F.avg("occupation")).alias("prediction"))
+    acc = accuracy(mt.join(slot_mean, keys), "occupation", "prediction")
+    parts.append(acc.select(F.lit(MALAGA.city).alias("city"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"), "rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def training_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 10 Barcelona rows with the baseline prediction, fully ordered."""
+    t = _lag_table(spark, sf_dir, BARCELONA)
+    pred = (F.col("three_before") + F.col("six_before") + F.col("nine_before")).cast("double") / F.lit(3.0)
+    cols = ["available_bikes", "id_station", "three_before", "six_before", "nine_before"]
+    return (
+        t.select(pred.alias("prediction"), *cols, iso_utc("slot_ts").alias("slot"))
+        .orderBy(*[F.col(c).asc_nulls_first() for c in cols], "slot")
+        .limit(10)
+    )
+
+
+QUERIES.update(
+    {
+        "station_profile": station_profile,
+        "training_table_barcelona": training_table_barcelona,
+        "training_table_santander": training_table_santander,
+        "training_table_malaga": training_table_malaga,
+        "baseline_metrics": baseline_metrics,
+        "training_preview": training_preview,
+    }
+)
+
+
+def _grid_sql(city: str, trunc: str) -> str:
+    return f"""SELECT city, station_id, date_trunc('{trunc}', ts) AS slot_ts,
+       arg_max({{'a': available}}, (ts, reading_id)).a AS available
+  FROM hist WHERE city = '{city}' GROUP BY city, station_id, date_trunc('{trunc}', ts)"""
+
+
+def _profile_sql() -> str:
+    return """SELECT city, station_id, hour, avg_available, readings,
+       CAST(CASE WHEN lead(hour) OVER w = hour + 1 THEN sign(lead(avg_available) OVER w - avg_available) ELSE 0 END AS INTEGER) AS trend
+  FROM (SELECT city, station_id, CAST(hour(ts) AS INTEGER) AS hour, avg(available) AS avg_available,
+               count(*) AS readings FROM hist GROUP BY city, station_id, CAST(hour(ts) AS INTEGER)) p
+  WINDOW w AS (PARTITION BY city, station_id ORDER BY hour)"""
+
+
+_ISO = "'%Y-%m-%dT%H:%M:%SZ'"
+
+
+def _lag_table_sql(rule, trunc: str = "day") -> str:
+    joins = " ".join(
+        f"LEFT JOIN grid {n} ON {n}.station_id = g.station_id AND {n}.slot_ts = g.slot_ts - INTERVAL {k} {trunc.upper()}"
+        for n, k in rule.train_lags.items()
+    )
+    lag_cols = ", ".join(f"{n}.available AS {n}" for n in rule.train_lags)
+    return f"""SELECT g.available AS available_bikes, g.station_id AS id_station, g.slot_ts, {lag_cols}
+  FROM grid g {joins} WHERE g.available IS NOT NULL"""
+
+
+def _barcelona_table_sql() -> str:
+    return f"""
+WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Barcelona', 'day')}),
+prof AS ({_profile_sql()}), t AS ({_lag_table_sql(BARCELONA)})
+SELECT t.available_bikes, t.id_station, CAST(hour(t.slot_ts) AS INTEGER) AS hour,
+       t.three_before, t.six_before, t.nine_before, CAST(dayofweek(t.slot_ts) + 1 AS INTEGER) AS day,
+       CAST(NULL AS INTEGER) AS blank, p.trend AS comp, strftime(t.slot_ts, {_ISO}) AS slot
+FROM t LEFT JOIN prof p ON p.city = 'Barcelona' AND p.station_id = t.id_station AND p.hour = CAST(hour(t.slot_ts) AS INTEGER)"""
+
+
+def _santander_table_sql() -> str:
+    return f"""
+WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Santander', 'day')}), t AS ({_lag_table_sql(SANTANDER)})
+SELECT available_bikes, strftime(slot_ts, {_ISO}) AS modified, id_station,
+       five_before, ten_before, fifteen_before, twenty_before FROM t"""
+
+
+def _malaga_table_sql() -> str:
+    return f"""
+SELECT CAST(((l_suppkey % 10) + 10) % 10 AS INTEGER) AS name,
+       CAST(floor(50 - l_quantity) AS INTEGER) AS availableSpotNumber,
+       strftime(l_shipdate, {_ISO}) AS timestamp,
+       CAST(dayofweek(l_shipdate) + 1 AS INTEGER) AS weekday,
+       50 AS total,
+       CAST(day(l_shipdate) AS INTEGER) AS day,
+       CAST(month(l_shipdate) AS INTEGER) AS month,
+       CAST(hour(l_shipdate) AS INTEGER) AS hour,
+       CAST(minute(l_shipdate) AS INTEGER) AS minute,
+       CAST(hour(l_shipdate) * 2 + floor(minute(l_shipdate) / 30) AS INTEGER) AS hour_interval,
+       strftime(l_shipdate, '%H:%M') AS time,
+       CAST(floor(50 - l_quantity) AS INTEGER) / 50.0 AS available,
+       CAST(round((1.0 - CAST(floor(50 - l_quantity) AS INTEGER) / 50.0) * 10) AS INTEGER) AS occupation
+FROM lineitem"""
+
+
+def _metrics_sql() -> str:
+    def reg(rule, table_sql):
+        lags = list(rule.train_lags)
+        pred = "(" + " + ".join(f"CAST({c} AS DOUBLE)" for c in lags) + f") / {float(len(lags))}"
+        cond = " AND ".join(f"{c} IS NOT NULL" for c in lags)
+        return f"""SELECT '{rule.city}' AS city, count(*) AS rows,
+              sqrt(sum(({pred} - available_bikes) * ({pred} - available_bikes)) / count(*)) AS rmse,
+              avg(abs({pred} - available_bikes)) AS mae,
+              1.0 - sum(({pred} - available_bikes) * ({pred} - available_bikes))
+                    / (sum(CAST(available_bikes AS DOUBLE) * available_bikes)
+                       - sum(CAST(available_bikes AS DOUBLE)) * sum(CAST(available_bikes AS DOUBLE)) / count(*)) AS r2
+            FROM ({table_sql}) x WHERE {cond}"""
+
+    bcn = f"WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Barcelona', 'day')}) {_lag_table_sql(BARCELONA)}"
+    snt = f"WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Santander', 'day')}) {_lag_table_sql(SANTANDER)}"
+    return f"""
+WITH r AS ({reg(BARCELONA, bcn)} UNION ALL {reg(SANTANDER, snt)}),
+mt AS ({_malaga_table_sql()}),
+sm AS (SELECT name, weekday, hour, round(avg(occupation)) AS prediction FROM mt GROUP BY name, weekday, hour),
+acc AS (SELECT count(*) AS rows, avg(CASE WHEN CAST(sm.prediction AS DOUBLE) = CAST(mt.occupation AS DOUBLE) THEN 1.0 ELSE 0.0 END) AS accuracy
+        FROM mt JOIN sm USING (name, weekday, hour))
+SELECT city, 'rmse' AS metric, rmse AS value, rows FROM r
+UNION ALL SELECT city, 'mae', mae, rows FROM r
+UNION ALL SELECT city, 'r2', r2, rows FROM r
+UNION ALL SELECT 'Malaga', 'accuracy', accuracy, rows FROM acc"""
+
+
+def _preview_sql() -> str:
+    return f"""
+WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Barcelona', 'day')}), t AS ({_lag_table_sql(BARCELONA)})
+SELECT CAST(three_before + six_before + nine_before AS DOUBLE) / 3.0 AS prediction,
+       available_bikes, id_station, three_before, six_before, nine_before, strftime(slot_ts, {_ISO}) AS slot
+FROM t ORDER BY available_bikes NULLS FIRST, id_station NULLS FIRST, three_before NULLS FIRST,
+         six_before NULLS FIRST, nine_before NULLS FIRST, slot LIMIT 10"""
+
+
+ORACLE_SQL.update(
+    {
+        "station_profile": f"WITH hist AS ({oracle.history_sql()}) {_profile_sql()}",
+        "training_table_barcelona": _barcelona_table_sql(),
+        "training_table_santander": _santander_table_sql(),
+        "training_table_malaga": _malaga_table_sql(),
+        "baseline_metrics": _metrics_sql(),
+        "training_preview": _preview_sql(),
+    }
+)
