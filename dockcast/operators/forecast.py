@@ -116,9 +116,9 @@ def forecast(df: DataFrame, predictor, rules: dict[str, CityRule] = CITY_RULES)
         *[F.col(c).alias(n) for c, n in zip(original, carried)],
         F.when(F.col("status") == OK, steps_column(rules)).alias("steps"),
         *[F.col(f"slot{i + 1}").alias(s) for i, s in enumerate(STATE)],
-        F.lit(None).cast("double").alias("prediction"),
+        F.lit(None).cast("double").alias("fc_prediction"),
     )
-    base = [*carried, "steps", "prediction", *STATE]
+    base = [*carried, "steps", "fc_prediction", *STATE]
     for i in range(1, max_steps + 1):
         live = {c: r for c, r in rules.items() if r.unrolled_steps >= i}
         if hasattr(predictor, "sql"):
@@ -132,7 +132,7 @@ def forecast(df: DataFrame, predictor, rules: dict[str, CityRule] = CITY_RULES)
     return cur.select(
         *[F.col(n).alias(c) for c, n in zip(original, carried)],
         "steps",
-        F.when(F.col("status") == OK, F.col("prediction")).alias("prediction"),
+        F.when(F.col("status") == OK, F.col("fc_prediction")).alias("prediction"),
     )
 
 
@@ -146,7 +146,7 @@ def _step_update(p_step: str, i: int, max_steps: int) -> list[Column]:
 
     Written as SQL text: one JVM call per column instead of one per node.
     """
-    out = [F.expr(f"CASE WHEN steps >= {i} THEN {p_step} ELSE prediction END").alias("prediction")]
+    out = [F.expr(f"CASE WHEN steps >= {i} THEN {p_step} ELSE fc_prediction END").alias("fc_prediction")]
     if i == max_steps:
         return out + [F.col(s) for s in STATE]
     rounded = f"CAST(floor(CAST(CAST({p_step} AS FLOAT) AS DOUBLE) + 0.5) AS INT)"  # C3

@@ -25,9 +25,9 @@ def regression_metrics(df: DataFrame, label: Column | str, prediction: Column |
     g = df.groupBy(*by) if by else df.groupBy()
     out = g.agg(
         n.alias("rows"),
-        F.sqrt(sse / n).alias("rmse"),
+        F.sqrt(F.try_divide(sse, n)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
-        (F.lit(1.0) - sse / (syy - sy * sy / n)).alias("r2"),
+        (F.lit(1.0) - F.try_divide(sse, syy - F.try_divide(sy * sy, n))).alias("r2"),
     )
     return out
 

@@ -60,15 +60,15 @@ def _payload_fields():
     ]
 
 
-def latest_per_key(df: DataFrame, key: list[str] | str, order_col: str = "produced_at") -> DataFrame:
-    """Last write wins - the newest row per key (ties: larger payload text).
+def latest_per_key(df: DataFrame, key: list[str] | str, order: list[str] | str) -> DataFrame:
+    """Last write wins - the newest row per key, ``order`` breaking ties.
 
     A plain ``max_by`` aggregate: partial aggregation before the shuffle, so a
     key written millions of times (the single response entity of the
     reference) costs one row per task, not one group in one task.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    order = [order] if isinstance(order, str) else list(order)
     others = [c for c in df.columns if c not in keys]
-    ordering = F.struct(F.col(order_col), *[F.col(c) for c in others if c != order_col])
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*others), ordering).alias("_row"))
+    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row"))
     return agg.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])

@@ -302,3 +302,145 @@ ORACLE_SQL.update(
         "training_preview": _preview_sql(),
     }
 )
+
+
+# --- sources, dimension lookup, snapshots -----------------------------------
+from dockcast.operators.forecast import MeanOfLags, ModelPredictor, forecast  # noqa: E402
+from dockcast.operators.lookup import station_names  # noqa: E402
+from dockcast.operators.responses import latest_per_key, shape_responses  # noqa: E402
+from dockcast.plans.predict import retain  # noqa: E402
+from dockcast.sources.history import docs_from_history, normalise_history  # noqa: E402
+
+
+def history_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History landed in the two raw document layouts, normalised back."""
+    hist = events_history(spark, sf_dir)
+    norm = normalise_history(docs_from_history(hist, "Barcelona"), docs_from_history(hist, "Santander"))
+    return norm.select("city", "station_id", iso_utc("ts").alias("ts"), "available", "reading_id")
+
+
+def history_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 24 h before the newest reading, per station and 30-minute slot.
+
+    The cut-off is read once (one aggregate) and applied as a literal, so it
+    reaches the Parquet scan as a pushed filter.
+    """
+    hist = events_history(spark, sf_dir)
+    as_of = read_table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    kept = retain(hist, as_of)
+    return kept.groupBy("city", "station_id", F.window("ts", "30 minutes").start.alias("slot_ts")).agg(
+        F.count(F.lit(1)).alias("readings"),
+        F.max_by("available", F.struct("ts", "reading_id")).alias("last_available"),
+    ).select("city", "station_id", iso_utc("slot_ts").alias("slot"), "readings", "last_available")
+
+
+def stations_from_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station dimension stand-in: supplier key/name, city by nation."""
+    s = read_table(spark, sf_dir, "supplier")
+    city = F.when(F.pmod("s_nationkey", F.lit(3)) == 0, "Barcelona").when(
+        F.pmod("s_nationkey", F.lit(3)) == 1, "Santander"
+    ).otherwise("Malaga")
+    return s.select(city.alias("city"), F.col("s_suppkey").cast("int").alias("station_id"), F.col("s_name").alias("name"))
+
+
+def station_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station name per request (left join on city + station, size-checked broadcast)."""
+    v = validate_requests(events_requests(spark, sf_dir))
+    j = station_names(v, stations_from_supplier(spark, sf_dir))
+    return j.select("request_id", "city", "station_id", "status", "station_name")
+
+
+def response_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response entity of each station as last written (latest request wins)."""
+    v = validate_requests(events_requests(spark, sf_dir))
+    scored = forecast(lag_lookup(v, events_history(spark, sf_dir), FLAGSHIP_PARAMS), MeanOfLags())
+    shaped = shape_responses(scored, extra=("requested_at",))
+    snap = latest_per_key(
+        shaped.select("city", "idStation", "predictionValue", "predictionId", "status", "requested_at", "request_id"),
+        ["city", "idStation"],
+        ["requested_at", "request_id"],
+    )
+    return snap.select(
+        "city", "idStation", "predictionValue", "predictionId", "status",
+        iso_utc("requested_at").alias("produced_at"), "request_id",
+    )
+
+
+QUERIES.update(
+    {
+        "history_normalise": history_normalise,
+        "history_retention": history_retention,
+        "station_lookup": station_lookup,
+        "response_snapshot": response_snapshot,
+    }
+)
+
+
+def _stations_sql() -> str:
+    return """SELECT CASE WHEN ((s_nationkey % 3) + 3) % 3 = 0 THEN 'Barcelona'
+                   WHEN ((s_nationkey % 3) + 3) % 3 = 1 THEN 'Santander' ELSE 'Malaga' END AS city,
+              CAST(s_suppkey AS INTEGER) AS station_id, s_name AS name FROM supplier"""
+
+
+def _snapshot_sql() -> str:
+    full = oracle.prediction_pipeline_sql(DAY, with_lags=False)
+    # reuse the pipeline, keeping requested_at for the ordering
+    full = full.replace(
+        "weekday, hour, month, city, status, CAST(CASE WHEN status = 'ok' THEN steps END AS INTEGER) AS steps",
+        "weekday, hour, month, city, status, CAST(CASE WHEN status = 'ok' THEN steps END AS INTEGER) AS steps, requested_at",
+    )
+    return f"""
+WITH resp AS ({full})
+SELECT city, idStation, predictionValue, predictionId, status, strftime(requested_at, {_ISO}) AS produced_at, request_id
+FROM resp
+QUALIFY row_number() OVER (PARTITION BY city, idStation ORDER BY requested_at DESC, request_id DESC) = 1"""
+
+
+ORACLE_SQL.update(
+    {
+        "history_normalise": f"""WITH hist AS ({oracle.history_sql()})
+SELECT city, station_id, strftime(ts, {_ISO}) AS ts, available, reading_id FROM hist
+WHERE city IN ('Barcelona', 'Santander')""",
+        "history_retention": f"""WITH hist AS ({oracle.history_sql()}),
+kept AS (SELECT * FROM hist WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AND ts <= (SELECT max(ts) FROM events))
+SELECT city, station_id, strftime(time_bucket(INTERVAL 30 MINUTE, ts), {_ISO}) AS slot, count(*) AS readings,
+       arg_max({{'a': available}}, (ts, reading_id)).a AS last_available
+FROM kept GROUP BY city, station_id, time_bucket(INTERVAL 30 MINUTE, ts)""",
+        "station_lookup": f"""WITH req AS ({oracle.requests_sql()}), val AS ({oracle.validated_sql()}), st AS ({_stations_sql()})
+SELECT v.request_id, v.city, v.station_id, v.status0 AS status, st.name AS station_name
+FROM val v LEFT JOIN st ON st.city = v.city AND st.station_id = v.station_id""",
+        "response_snapshot": _snapshot_sql(),
+    }
+)
+
+
+# --- trained trees (rows-only: trees are not SQL) ---------------------------
+from dockcast.plans.training import train_city  # noqa: E402
+
+
+def _tables_for_training(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {
+        "Barcelona": training_table_barcelona(spark, sf_dir),
+        "Santander": training_table_santander(spark, sf_dir),
+        "Malaga": training_table_malaga(spark, sf_dir),
+    }
+
+
+def train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M8: fit each city's pipeline on its 80 % hash split, metrics on the rest."""
+    out = None
+    for city, table in _tables_for_training(spark, sf_dir).items():
+        m = train_city(table, CITY_RULES[city]).metrics
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def forecast_with_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 + M7 with the fitted trees: every request scored in one plan."""
+    models = {c: train_city(t, CITY_RULES[c]).model for c, t in _tables_for_training(spark, sf_dir).items()}
+    return predict(
+        events_requests(spark, sf_dir), events_history(spark, sf_dir), ModelPredictor(models), FLAGSHIP_PARAMS
+    )
+
+
+QUERIES.update({"train_evaluate": train_evaluate, "forecast_with_models": forecast_with_models})
