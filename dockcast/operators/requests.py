@@ -28,10 +28,14 @@ def extract_requests(entities: DataFrame, requested_at: Column | None = None) ->
 
     ``requested_at`` is the "now" of the request (the batch time in a
     stream); it defaults to the current timestamp as wall-clock UTC.
+    The entity id repeats (clients PATCH one entity), so every flattened
+    entity gets its own ``request_id``; identical notifications stay two
+    requests.
     """
     now = requested_at if requested_at is not None else F.localtimestamp()
     e = F.col("entity")
     return entities.select(
+        F.monotonically_increasing_id().alias("request_id"),
         F.coalesce(e["id"], F.col("notification_id")).alias("entity_id"),
         e["socketId"]["value"].alias("socket_id"),
         e["predictionId"]["value"].alias("prediction_id"),
