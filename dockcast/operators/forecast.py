@@ -100,6 +100,10 @@ def _feature_columns(rules: dict[str, CityRule]) -> list[Column]:
     return [v.alias(k) for k, v in cols.items()]
 
 
+def _q(name: str) -> str:
+    return f"`{name}`"
+
+
 def forecast(df: DataFrame, predictor, rules: dict[str, CityRule] = CITY_RULES) -> DataFrame:
     """add ``steps`` and ``prediction`` (double, null unless status ok).
 
@@ -108,31 +112,34 @@ def forecast(df: DataFrame, predictor, rules: dict[str, CityRule] = CITY_RULES)
     every step) and Q8 (intermediate predictions are rounded) are kept.
     Every step is one projection for an expression predictor, and one
     feature projection + one ``transform`` per city model otherwise.
+    Projections are written as SQL text: one JVM call each, so building the
+    plan stays cheap however many steps there are.
     """
     original = df.columns
     max_steps = max(r.unrolled_steps for r in rules.values())
     carried = [c if c not in _CLASHING else f"_req_{c}" for c in original]
+    renames = [f"{_q(c)} AS {_q(n)}" for c, n in zip(original, carried)]
     cur = df.select(
-        *[F.col(c).alias(n) for c, n in zip(original, carried)],
+        *[F.expr(r) for r in renames],
         F.when(F.col("status") == OK, steps_column(rules)).alias("steps"),
         *[F.col(f"slot{i + 1}").alias(s) for i, s in enumerate(STATE)],
         F.lit(None).cast("double").alias("fc_prediction"),
     )
-    base = [*carried, "steps", "fc_prediction", *STATE]
+    base = [*map(_q, carried), "steps", "fc_prediction", *STATE]
     for i in range(1, max_steps + 1):
         live = {c: r for c, r in rules.items() if r.unrolled_steps >= i}
         if hasattr(predictor, "sql"):
             p_step = _case_city_sql(live, predictor.sql)
         else:
-            cur = cur.select(*base, *_feature_columns(rules))
+            cur = cur.select(*[F.expr(c) for c in base], *_feature_columns(rules))
             for city, rule in live.items():
                 cur = predictor.score(cur, rule, f"pred_{city}")
             p_step = _case_city_sql(live, lambda r: f"pred_{r.city}")
-        cur = cur.select(*carried, "steps", *_step_update(p_step, i, max_steps))
-    return cur.select(
-        *[F.col(n).alias(c) for c, n in zip(original, carried)],
+        cur = cur.selectExpr(*map(_q, carried), "steps", *_step_update(p_step, i, max_steps))
+    return cur.selectExpr(
+        *[f"{_q(n)} AS {_q(c)}" for c, n in zip(original, carried)],
         "steps",
-        F.when(F.col("status") == OK, F.col("fc_prediction")).alias("prediction"),
+        f"CASE WHEN status = '{OK}' THEN fc_prediction END AS prediction",
     )
 
 
@@ -141,14 +148,11 @@ def _case_city_sql(rules: dict[str, CityRule], sql_of) -> str:
     return f"(CASE city {arms} END)"
 
 
-def _step_update(p_step: str, i: int, max_steps: int) -> list[Column]:
-    """keep the prediction of the row's last step; shift the rounded one into lag 1.
-
-    Written as SQL text: one JVM call per column instead of one per node.
-    """
-    out = [F.expr(f"CASE WHEN steps >= {i} THEN {p_step} ELSE fc_prediction END").alias("fc_prediction")]
+def _step_update(p_step: str, i: int, max_steps: int) -> list[str]:
+    """keep the prediction of the row's last step; shift the rounded one into lag 1."""
+    out = [f"CASE WHEN steps >= {i} THEN {p_step} ELSE fc_prediction END AS fc_prediction"]
     if i == max_steps:
-        return out + [F.col(s) for s in STATE]
+        return out + list(STATE)
     rounded = f"CAST(floor(CAST(CAST({p_step} AS FLOAT) AS DOUBLE) + 0.5) AS INT)"  # C3
     prev = {"s1": rounded, "s2": "s1", "s3": "s2", "s4": "s3"}
-    return out + [F.expr(f"CASE WHEN steps > {i} THEN {prev[s]} ELSE {s} END").alias(s) for s in STATE]
+    return out + [f"CASE WHEN steps > {i} THEN {prev[s]} ELSE {s} END AS {s}" for s in STATE]

@@ -28,11 +28,10 @@ exactly at ``now`` is in the window, and equal timestamps are broken by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockcast.config import CITY_RULES, NO_HISTORY, OK, CityRule, RunParams
-from dockcast.functions import epoch_micros, minus_seconds
 
 SLOTS = (1, 2, 3, 4)
 SLOT_COLS = tuple(f"slot{i}" for i in SLOTS)
@@ -42,18 +41,6 @@ def _lookup_rules(rules: dict[str, CityRule]) -> dict[str, CityRule]:
     return {c: r for c, r in rules.items() if r.lookups}
 
 
-def _case_city(rules: dict[str, CityRule], value_of) -> Column:
-    expr = None
-    for city, rule in rules.items():
-        cond = F.col("city") == city
-        expr = F.when(cond, value_of(rule)) if expr is None else expr.when(cond, value_of(rule))
-    return expr
-
-
-def _bucket(micros: Column, bucket_micros: int) -> Column:
-    return F.floor(micros / F.lit(bucket_micros)).cast("long")
-
-
 def lag_lookup(
     requests: DataFrame,
     history: DataFrame,
@@ -76,92 +63,83 @@ def lag_lookup(
 
     probed = F.col("city").isin(list(lrules)) & (F.col("status") == OK)
     needs = requests.where(probed)
-    rest = requests.where(~probed | F.col("status").isNull())
+    rest = requests.where(~probed | F.col("status").isNull() | F.col("city").isNull())
 
     # --- probe rows: one per (request, slot) --------------------------------
-    def probes_of(rule: CityRule) -> Column:
-        now = F.col("requested_at")
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(lk.slot).alias("slot"),
-                    F.lit(lk.kind == "earliest").alias("forward"),
-                    minus_seconds(now, lk.k * unit).alias("start"),
-                    # all probes of a request share the bucket of now - D
-                    minus_seconds(now, rule.lookback * unit).alias("anchor"),
-                )
-                for lk in rule.lookups
-            ]
-        )
-
+    def ts_minus(seconds: int) -> str:
+        return f"timestampadd(SECOND, {-int(seconds)}, requested_at)"
+
+    def probes_of(rule: CityRule) -> str:
+        # all probes of a request share the bucket of now - D (the anchor)
+        anchor = ts_minus(rule.lookback * unit)
+        return "array(" + ", ".join(
+            f"named_struct('slot', {lk.slot}, 'forward', {str(lk.kind == 'earliest').lower()}, "
+            f"'start', {ts_minus(lk.k * unit)}, 'anchor', {anchor})"
+            for lk in rule.lookups
+        ) + ")"
+
+    probe_case = "CASE city " + " ".join(f"WHEN '{c}' THEN {probes_of(r)}" for c, r in lrules.items()) + " END"
+    epoch = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
     payload_cols = [c for c in requests.columns if c not in ("city", "station_id", "status")]
-    probes = needs.select(
+    payload = [f"`{c}`" for c in payload_cols]
+    probes = needs.selectExpr("city", "station_id", *payload, f"explode({probe_case}) AS p").selectExpr(
         "city",
         "station_id",
-        *payload_cols,
-        F.explode(_case_city(lrules, probes_of)).alias("p"),
-    ).select(
-        "city",
-        "station_id",
-        _bucket(epoch_micros("p.anchor"), bucket_us).alias("bucket"),
-        F.when(F.col("p.forward"), F.col("p.start")).otherwise(F.col("requested_at")).alias("sort_ts"),
-        F.lit(1).alias("tie"),
-        F.lit(None).cast("long").alias("reading_id"),
-        F.lit(None).cast("struct<ts:timestamp_ntz,available:int>").alias("r"),
-        F.col("p.slot").alias("slot"),
-        F.col("p.forward").alias("forward"),
-        F.col("p.start").alias("start"),
-        F.col("requested_at").alias("end"),
-        *payload_cols,
+        f"CAST(floor({epoch.format('p.anchor')} / {bucket_us}) AS BIGINT) AS bucket",
+        "CASE WHEN p.forward THEN p.start ELSE requested_at END AS sort_ts",
+        "1 AS tie",
+        "CAST(NULL AS BIGINT) AS reading_id",
+        "CAST(NULL AS STRUCT<ts: TIMESTAMP_NTZ, available: INT>) AS r",
+        "p.slot AS slot",
+        "p.forward AS forward",
+        "p.start AS start",
+        "requested_at AS end",
+        *payload,
     )
 
     # --- reading rows: home bucket, plus the previous one near its start ----
-    micros = epoch_micros("ts")
-    home = _bucket(micros, bucket_us)
-    d_city = _case_city(lrules, lambda r: F.lit(r.lookback * unit * 1_000_000))
-    near_start = (micros - home * F.lit(bucket_us)) < d_city
-    readings = (
-        history.where(F.col("city").isin(list(lrules)))
-        .select(
-            "city",
-            "station_id",
-            F.explode(F.when(near_start, F.array(home, home - 1)).otherwise(F.array(home))).alias("bucket"),
-            F.col("ts").alias("sort_ts"),
-            F.lit(0).alias("tie"),
-            "reading_id",
-            F.struct(F.col("ts"), F.col("available")).alias("r"),
-        )
+    home = f"CAST(floor({epoch.format('ts')} / {bucket_us}) AS BIGINT)"
+    d_city = "CASE city " + " ".join(f"WHEN '{c}' THEN {r.lookback * unit * 1_000_000}" for c, r in lrules.items()) + " END"
+    near_start = f"({epoch.format('ts')} - {home} * {bucket_us}) < {d_city}"
+    cities = ", ".join(f"'{c}'" for c in lrules)
+    readings = history.where(f"city IN ({cities})").selectExpr(
+        "city",
+        "station_id",
+        f"explode(CASE WHEN {near_start} THEN array({home}, {home} - 1) ELSE array({home}) END) AS bucket",
+        "ts AS sort_ts",
+        "0 AS tie",
+        "reading_id",
+        "named_struct('ts', ts, 'available', available) AS r",
     )
 
     both = probes.unionByName(readings, allowMissingColumns=True)
-    w = Window.partitionBy("city", "station_id", "bucket").orderBy("sort_ts", "tie", "reading_id")
-    scanned = both.select(
-        "*",
-        F.expr("lead(r, 1) IGNORE NULLS").over(w).alias("nxt"),
-        F.expr("lag(r, 1) IGNORE NULLS").over(w).alias("prv"),
-    ).where(F.col("tie") == 1)
+    window = "(PARTITION BY city, station_id, bucket ORDER BY sort_ts, tie, reading_id)"
+    scanned = both.selectExpr(
+        "*", f"lead(r, 1) IGNORE NULLS OVER {window} AS nxt", f"lag(r, 1) IGNORE NULLS OVER {window} AS prv"
+    ).where("tie = 1")
 
     # J1 (O2/A1 min-by-time) and J2 (O1/A1 max-by-time) in one expression
-    value = F.when(
-        F.col("forward"), F.when(F.col("nxt.ts") <= F.col("end"), F.col("nxt.available"))
-    ).otherwise(F.when(F.col("prv.ts") > F.col("start"), F.col("prv.available")))
+    value = (
+        "CASE WHEN forward THEN (CASE WHEN nxt.ts <= end THEN nxt.available END) "
+        "ELSE (CASE WHEN prv.ts > start THEN prv.available END) END"
+    )
 
     # Request columns are grouping keys (functionally dependent on request_id):
     # the buffers stay fixed-width, so this is a hash aggregate, and as the keys
     # contain the shuffle keys it needs no exchange.
     per_request = scanned.groupBy("city", "station_id", "bucket", *payload_cols).agg(
-        *[F.max(F.when(F.col("slot") == i, value)).alias(f"slot{i}") for i in SLOTS],
-        (F.count(value) == F.count(F.lit(1))).alias("complete"),
+        *[F.expr(f"max(CASE WHEN slot = {i} THEN {value} END)").alias(f"slot{i}") for i in SLOTS],
+        F.expr(f"count({value}) = count(1)").alias("complete"),
     )
-    looked_up = per_request.select(
-        *[c for c in requests.columns if c != "status"],
+    looked_up = per_request.selectExpr(
+        *[f"`{c}`" for c in requests.columns if c != "status"],
         *SLOT_COLS,
-        F.when(F.col("complete"), F.lit(OK)).otherwise(F.lit(NO_HISTORY)).alias("status"),
+        f"CASE WHEN complete THEN '{OK}' ELSE '{NO_HISTORY}' END AS status",
     )
 
-    no_lookup_city = F.col("city").isin([c for c, r in rules.items() if not r.lookups])
-    zero_or_null = F.when(no_lookup_city & (F.col("status") == OK), F.lit(0)).cast("int")
-    rest = rest.withColumns({c: zero_or_null for c in SLOT_COLS})
+    no_lookup = ", ".join(f"'{c}'" for c, r in rules.items() if not r.lookups) or "''"
+    zero_or_null = f"CAST(CASE WHEN city IN ({no_lookup}) AND status = '{OK}' THEN 0 END AS INT)"
+    rest = rest.selectExpr(*[f"`{c}`" for c in requests.columns], *[f"{zero_or_null} AS {c}" for c in SLOT_COLS])
     return looked_up.unionByName(rest.select(*looked_up.columns))
 
 

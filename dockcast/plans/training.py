@@ -75,9 +75,20 @@ def usable_rows(table: DataFrame, rule: CityRule) -> DataFrame:
     return table.where(cond)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give MLlib at least one partition per core.
+
+    Tree training iterates over its (cached) input many times; an input read
+    from a few large files would keep those passes on a few cores.  Tables
+    that already have enough partitions are left as they are (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def train_city(table: DataFrame, rule: CityRule, seed: int = 42, with_indexers: bool = False) -> Trained:
     """M5-M8: fit on the 80 % side, score the 20 % side, report metrics."""
-    train, test = hash_split(usable_rows(table, rule))
+    train, test = hash_split(spread(usable_rows(table, rule)))
     model = build_pipeline(rule, seed, with_indexers).fit(train)
     scored = model.transform(test)
     if rule.task == "regression":
