@@ -6,6 +6,7 @@ from dockcast.functions.scalar import (  # noqa: F401
     horizon_guard,
     iso_utc,
     minus_seconds,
+    ntz_literal,
     occupancy_decile,
     parse_int,
     property_attr,

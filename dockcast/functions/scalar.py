@@ -21,6 +21,13 @@ def epoch_micros(ts: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(ts))
 
 
+def ntz_literal(value) -> Column:
+    """A wall-clock timestamp literal that no session or system time zone can shift."""
+    if hasattr(value, "isoformat"):
+        value = value.isoformat(sep=" ")
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def minus_seconds(ts: Column | str, seconds: int) -> Column:
     """``ts - seconds`` on a TIMESTAMP_NTZ column."""
     return F.timestamp_add("SECOND", F.lit(-int(seconds)), _c(ts))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockcast.config import CITY_RULES, RETENTION_HOURS, CityRule, RunParams
-from dockcast.functions import minus_seconds
+from dockcast.functions import minus_seconds, ntz_literal
 from dockcast.operators.forecast import MeanOfLags, forecast
 from dockcast.operators.lookup import SLOT_COLS, lag_lookup
 from dockcast.operators.requests import validate_requests
@@ -24,7 +24,7 @@ def retain(history: DataFrame, as_of, hours: int = RETENTION_HOURS) -> DataFrame
     ``as_of`` is a literal timestamp (a stream batch time), so the bounds are
     constants and reach the Parquet scan as pushed filters.
     """
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = ntz_literal(as_of)
     return history.where((F.col("ts") > minus_seconds(now, hours * 3600)) & (F.col("ts") <= now))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dockcast.config import CITY_RULES, RunParams
+from dockcast.functions import ntz_literal
 from dockcast.operators.requests import extract_requests
 from dockcast.operators.responses import latest_per_key
 from dockcast.plans.predict import predict, retain
@@ -66,7 +67,7 @@ def make_batch_scorer(
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = as_of(batch_id)
-        requests = extract_requests(flatten_entities(batch), requested_at=F.lit(now)).persist()
+        requests = extract_requests(flatten_entities(batch), requested_at=ntz_literal(now)).persist()
         try:
             if requests.isEmpty():  # W3
                 return
@@ -74,7 +75,7 @@ def make_batch_scorer(
             if retention_hours:
                 hist = retain(hist, now, retention_hours)
             responses = predict(requests, hist, predictor, params, rules, with_lags=False).select(
-                "*", F.lit(now).cast("timestamp_ntz").alias("produced_at"), F.lit(batch_id).cast("long").alias("batch_id")
+                "*", ntz_literal(now).alias("produced_at"), F.lit(batch_id).cast("long").alias("batch_id")
             )
             responses.write.mode("overwrite").parquet(f"{outbox_dir}/batch_id={batch_id}")
             if snapshot_dir:
