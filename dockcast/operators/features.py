@@ -25,7 +25,7 @@ def _trunc_unit(unit: int) -> str:
 
 def resample(history: DataFrame, unit: int = HOUR) -> DataFrame:
     """Last reading per ``(city, station_id, slot)`` on a grid of ``unit`` seconds."""
-    slot = F.date_trunc(_trunc_unit(unit), "ts")
+    slot = F.date_trunc(_trunc_unit(unit), "ts").cast("timestamp_ntz")
     return (
         history.withColumn("slot_ts", slot)
         .groupBy("city", "station_id", "slot_ts")

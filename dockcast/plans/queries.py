@@ -328,7 +328,7 @@ def history_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = events_history(spark, sf_dir)
     as_of = read_table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
     kept = retain(hist, as_of)
-    return kept.groupBy("city", "station_id", F.window("ts", "30 minutes").start.alias("slot_ts")).agg(
+    return kept.groupBy("city", "station_id", F.window("ts", "30 minutes").start.cast("timestamp_ntz").alias("slot_ts")).agg(
         F.count(F.lit(1)).alias("readings"),
         F.max_by("available", F.struct("ts", "reading_id")).alias("last_available"),
     ).select("city", "station_id", iso_utc("slot_ts").alias("slot"), "readings", "last_available")

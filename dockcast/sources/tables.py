@@ -62,7 +62,7 @@ def requests_from_events(events: DataFrame) -> DataFrame:
         F.dayofweek("ts").cast("string").alias("weekday_raw"),
         F.pmod(k, F.lit(30)).cast("string").alias("hour_raw"),
         F.month("ts").cast("string").alias("month_raw"),
-        F.date_trunc("hour", "ts").alias("requested_at"),
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("requested_at"),
     )
 
 

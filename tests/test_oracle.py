@@ -31,3 +31,14 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert "payload" in df.columns
+
+
+@pytest.mark.parametrize("name", ["forecast_responses", "history_retention", "training_table_barcelona"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ok, msg = compare(entry.queries()[name](spark, SF_SMALL), con, SQL[name])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ok, msg
