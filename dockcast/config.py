@@ -14,10 +14,14 @@ HOUR_RANGE = (0, 23)
 WEEKDAY_RANGE = (1, 7)  # 1 = Sunday ... 7 = Saturday
 MONTH_RANGE = (1, 12)
 
-# Barcelona: stations 1..519; "latest" looked back 9 h; earliest readings after
-# now-3h, now-6h, now-9h; recursion step 3 h, at most 9 steps.
+# Barcelona: stations 1..519 (Q12: the code's 519, not the documented 505);
+# "latest" looked back 9 h; earliest readings after now-3h, now-6h, now-9h
+# (Q3: the 3 h lag is read, not left at 0); recursion step 3 h, at most 9 steps.
 # Santander: stations 1..17; "latest" looked back 15 h; earliest readings after
-# now-5h, now-10h, now-15h; recursion step 5 h, at most 5 steps.
+# now-5h, now-10h, now-15h; recursion step 5 h, at most 5 steps.  Q16: its
+# model does not use the hour, so only the step count moves its forecast.
+# Q13: month is never a feature and weekday only for Malaga; both still pass
+# through to the response.
 # Malaga: stations 0..9; no history lookups (lags are zero); one step;
 # output is the predicted occupancy class times 10.
 # Malaga station numbers are positions in this list of car-park names:

@@ -16,6 +16,10 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Q9: every timestamp is a wall-clock UTC TIMESTAMP_NTZ and "now" is an explicit
+# ``as_of``/``requested_at`` value, so hour-now and the cutoffs share one clock.
+
+
 def epoch_micros(ts: Column | str) -> Column:
     """Microseconds since 1970 of a wall-clock UTC timestamp (no session zone involved)."""
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(ts))

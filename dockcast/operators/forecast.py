@@ -7,6 +7,8 @@ whole batch: every row carries its own step count ``n`` (C10 + F3 guard) and
 its lag state; step ``i`` scores all rows, and rows with ``i < n`` shift the
 rounded prediction into lag 1 (F2).  No collect, no driver round trip, one
 lazy plan whose size is bounded by the largest valid ``n`` (8 steps).
+O3/Q1/Q2: nothing is taken with ``head()``/``first()`` - every row of a
+batch is routed by its own city and scored with its own ``n``.
 
 Predictors plug in through ``score(df, rule, out_col)``:
 

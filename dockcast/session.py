@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # local test data is megabytes: let AQE keep more, smaller partitions
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256KB")
     )
     for k, v in PLAN_CONF.items():
         builder = builder.config(k, v)
