@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.config import DAY, HOUR, RunParams
+from dockcast.config import CADENCE_MINUTES, DAY, HOUR, RunParams
 from dockcast.operators.lookup import SLOT_COLS, lag_lookup
 from dockcast.operators.requests import extract_requests, validate_requests
 from dockcast.plans import oracle
@@ -328,19 +328,21 @@ def history_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = events_history(spark, sf_dir)
     as_of = read_table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
     kept = retain(hist, as_of)
-    return kept.groupBy("city", "station_id", F.window("ts", "30 minutes").start.cast("timestamp_ntz").alias("slot_ts")).agg(
+    return kept.groupBy("city", "station_id", F.window("ts", f"{CADENCE_MINUTES} minutes").start.cast("timestamp_ntz").alias("slot_ts")).agg(
         F.count(F.lit(1)).alias("readings"),
         F.max_by("available", F.struct("ts", "reading_id")).alias("last_available"),
     ).select("city", "station_id", iso_utc("slot_ts").alias("slot"), "readings", "last_available")
 
 
 def stations_from_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station dimension stand-in: supplier key/name, city by nation."""
+    """Station dimension: bike stations from supplier (key, name, city by nation
+    parity); Malaga car parks from their fixed name list."""
+    from dockcast.sources.files import malaga_stations
+
     s = read_table(spark, sf_dir, "supplier")
-    city = F.when(F.pmod("s_nationkey", F.lit(3)) == 0, "Barcelona").when(
-        F.pmod("s_nationkey", F.lit(3)) == 1, "Santander"
-    ).otherwise("Malaga")
-    return s.select(city.alias("city"), F.col("s_suppkey").cast("int").alias("station_id"), F.col("s_name").alias("name"))
+    city = F.when(F.pmod("s_nationkey", F.lit(2)) == 0, "Barcelona").otherwise("Santander")
+    bikes = s.select(city.alias("city"), F.col("s_suppkey").cast("int").alias("station_id"), F.col("s_name").alias("name"))
+    return bikes.unionByName(malaga_stations(spark))
 
 
 def station_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,9 +379,12 @@ QUERIES.update(
 
 
 def _stations_sql() -> str:
-    return """SELECT CASE WHEN ((s_nationkey % 3) + 3) % 3 = 0 THEN 'Barcelona'
-                   WHEN ((s_nationkey % 3) + 3) % 3 = 1 THEN 'Santander' ELSE 'Malaga' END AS city,
-              CAST(s_suppkey AS INTEGER) AS station_id, s_name AS name FROM supplier"""
+    from dockcast.config import MALAGA_STATION_NAMES
+
+    malaga = " UNION ALL ".join(f"SELECT 'Malaga', {i}, '{n}'" for i, n in enumerate(MALAGA_STATION_NAMES))
+    return f"""SELECT CASE WHEN ((s_nationkey % 2) + 2) % 2 = 0 THEN 'Barcelona' ELSE 'Santander' END AS city,
+              CAST(s_suppkey AS INTEGER) AS station_id, s_name AS name FROM supplier
+              UNION ALL {malaga}"""
 
 
 def _snapshot_sql() -> str:
@@ -403,9 +408,9 @@ SELECT city, station_id, strftime(ts, {_ISO}) AS ts, available, reading_id FROM
 WHERE city IN ('Barcelona', 'Santander')""",
         "history_retention": f"""WITH hist AS ({oracle.history_sql()}),
 kept AS (SELECT * FROM hist WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AND ts <= (SELECT max(ts) FROM events))
-SELECT city, station_id, strftime(time_bucket(INTERVAL 30 MINUTE, ts), {_ISO}) AS slot, count(*) AS readings,
+SELECT city, station_id, strftime(time_bucket(INTERVAL {CADENCE_MINUTES} MINUTE, ts), {_ISO}) AS slot, count(*) AS readings,
        arg_max({{'a': available}}, (ts, reading_id)).a AS last_available
-FROM kept GROUP BY city, station_id, time_bucket(INTERVAL 30 MINUTE, ts)""",
+FROM kept GROUP BY city, station_id, time_bucket(INTERVAL {CADENCE_MINUTES} MINUTE, ts)""",
         "station_lookup": f"""WITH req AS ({oracle.requests_sql()}), val AS ({oracle.validated_sql()}), st AS ({_stations_sql()})
 SELECT v.request_id, v.city, v.station_id, v.status0 AS status, st.name AS station_name
 FROM val v LEFT JOIN st ON st.city = v.city AND st.station_id = v.station_id""",

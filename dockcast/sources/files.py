@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from dockcast.config import MALAGA_STATION_NAMES
 from dockcast.schemas import STATIONS, STATIONS_PER_CITY, TRAIN_SCHEMAS
 
 CORRUPT = "_corrupt_record"
@@ -52,3 +53,10 @@ def read_stations(spark: SparkSession, path: str, per_city: bool = False) -> Dat
         F.col("station_id"),
         F.trim(F.col("name")).alias("name"),
     )
+
+
+def malaga_stations(spark: SparkSession) -> DataFrame:
+    """J4 for Malaga: a car park's number is its position in the fixed name list."""
+    return spark.createDataFrame(
+        [("Malaga", i, n) for i, n in enumerate(MALAGA_STATION_NAMES)], "city string, station_id int, name string"
+    )
