@@ -48,3 +48,38 @@ def docs_from_history(history: DataFrame, city: str) -> DataFrame:
         F.col("station_id").cast("string").alias(f["station"]),
         F.col("available").cast("string").alias(f["available"]),
     )
+
+
+def write_history(history: DataFrame, path: str, mode: str = "append", fanout: int = 16) -> None:
+    """S3 store: Parquet partitioned by ``city`` and ``day`` (wall-clock UTC date).
+
+    Readers that bound ``ts`` (retention, a stream batch) prune whole day
+    folders, and the remaining ``ts`` bound is pushed into the file scan.
+    A (city, day) folder is written by up to ``fanout`` tasks (salted by a
+    hash of the reading id), so a hot city-day never lands on one task; rows
+    are clustered by station and time inside each file so row-group
+    statistics stay selective.
+    """
+    salt = F.pmod(F.xxhash64("reading_id"), F.lit(fanout))
+    (
+        history.withColumn("day", F.to_date("ts"))
+        .repartition("city", "day", salt)
+        .sortWithinPartitions("station_id", "ts")
+        .write.mode(mode)
+        .partitionBy("city", "day")
+        .parquet(path)
+    )
+
+
+def read_history(spark, path: str, since=None, until=None) -> DataFrame:
+    """Read the store; ``since``/``until`` (wall-clock UTC) prune day folders and push down ``ts``."""
+    from dockcast.functions import ntz_literal
+
+    df = spark.read.parquet(path)
+    if since is not None:
+        lo = ntz_literal(since)
+        df = df.where((F.col("day") >= F.to_date(lo)) & (F.col("ts") > lo))
+    if until is not None:
+        hi = ntz_literal(until)
+        df = df.where((F.col("day") <= F.to_date(hi)) & (F.col("ts") <= hi))
+    return df.select("city", "station_id", "ts", "available", "reading_id")

@@ -46,3 +46,23 @@ def test_history_layouts_normalise(spark):
         ("Barcelona", 7, 12), ("Barcelona", 7, None), ("Barcelona", 7, 3), ("Santander", 3, 9)
     ]
     assert rows[2].ts is None and str(rows[0].ts) == "2024-01-01 10:00:00"
+
+
+def test_history_store_prunes_partitions_and_pushes_filters(spark):
+    import datetime as dt
+
+    from dockcast.sources.history import read_history, write_history
+    from dockcast.sources.tables import events_history
+
+    from conftest import SF_SMALL
+
+    path = tempfile.mkdtemp(prefix="hist-") + "/h"
+    hist = events_history(spark, SF_SMALL)
+    write_history(hist, path)
+    since, until = dt.datetime(2024, 1, 10, 6), dt.datetime(2024, 1, 11, 6)
+    df = read_history(spark, path, since, until)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts," in plan
+    want = hist.where((hist.ts > since) & (hist.ts <= until))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.select(*df.columns).collect()))
