@@ -83,11 +83,19 @@ def lag_training_table(history: DataFrame, rule: CityRule, unit: int = HOUR) ->
 
 
 def with_trend(table: DataFrame, profile: DataFrame) -> DataFrame:
-    """Fill the Barcelona ``comp`` column with the D4 trend of (station, hour)."""
+    """Fill the Barcelona ``comp`` column with the D4 trend of (station, hour).
+
+    The profile has at most 24 rows per station; it is broadcast after a size
+    check, so a hot station in the training rows never meets a skewed
+    sort-merge join.
+    """
+    from dockcast.operators.lookup import broadcast_if_small
+
     p = profile.where(F.col("city") == "Barcelona").select(
         F.col("station_id").alias("id_station"), "hour", F.col("trend").alias("_trend")
     )
-    return table.join(p, ["id_station", "hour"], "left").withColumn("comp", F.col("_trend")).drop("_trend")
+    joined = table.join(broadcast_if_small(p), ["id_station", "hour"], "left")
+    return joined.withColumn("comp", F.col("_trend")).drop("_trend")
 
 
 def station_profile(history: DataFrame) -> DataFrame:
