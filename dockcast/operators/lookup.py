@@ -57,9 +57,7 @@ def lag_lookup(
     """
     lrules = _lookup_rules(rules)
     unit = params.lag_unit
-    d_max = max(r.lookback for r in lrules.values()) * unit
-    bucket_s = max(params.bucket_units * unit, d_max)
-    bucket_us = bucket_s * 1_000_000
+    bucket_us = bucket_micros(params, rules)
 
     probed = F.col("city").isin(list(lrules)) & (F.col("status") == OK)
     needs = requests.where(probed)
@@ -97,20 +95,7 @@ def lag_lookup(
         *payload,
     )
 
-    # --- reading rows: home bucket, plus the previous one near its start ----
-    home = f"CAST(floor({epoch.format('ts')} / {bucket_us}) AS BIGINT)"
-    d_city = "CASE city " + " ".join(f"WHEN '{c}' THEN {r.lookback * unit * 1_000_000}" for c, r in lrules.items()) + " END"
-    near_start = f"({epoch.format('ts')} - {home} * {bucket_us}) < {d_city}"
-    cities = ", ".join(f"'{c}'" for c in lrules)
-    readings = history.where(f"city IN ({cities})").selectExpr(
-        "city",
-        "station_id",
-        f"explode(CASE WHEN {near_start} THEN array({home}, {home} - 1) ELSE array({home}) END) AS bucket",
-        "ts AS sort_ts",
-        "0 AS tie",
-        "reading_id",
-        "named_struct('ts', ts, 'available', available) AS r",
-    )
+    readings = reading_rows(history, params, rules)
 
     both = probes.unionByName(readings, allowMissingColumns=True)
     window = "(PARTITION BY city, station_id, bucket ORDER BY sort_ts, tie, reading_id)"
@@ -143,6 +128,36 @@ def lag_lookup(
     return looked_up.unionByName(rest.select(*looked_up.columns))
 
 
+def _epoch(col: str) -> str:
+    return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})"
+
+
+def bucket_micros(params: RunParams, rules: dict[str, CityRule] = CITY_RULES) -> int:
+    lrules = _lookup_rules(rules)
+    d_max = max(r.lookback for r in lrules.values()) * params.lag_unit
+    return max(params.bucket_units * params.lag_unit, d_max) * 1_000_000
+
+
+def reading_rows(history: DataFrame, params: RunParams = RunParams(), rules: dict[str, CityRule] = CITY_RULES) -> DataFrame:
+    """Reading side of the lookup shuffle: home bucket, plus the previous
+    bucket when the reading lies within the city's lookback of its bucket start."""
+    lrules = _lookup_rules(rules)
+    unit, bucket_us = params.lag_unit, bucket_micros(params, rules)
+    home = f"CAST(floor({_epoch('ts')} / {bucket_us}) AS BIGINT)"
+    d_city = "CASE city " + " ".join(f"WHEN '{c}' THEN {r.lookback * unit * 1_000_000}" for c, r in lrules.items()) + " END"
+    near_start = f"({_epoch('ts')} - {home} * {bucket_us}) < {d_city}"
+    cities = ", ".join(f"'{c}'" for c in lrules)
+    return history.where(f"city IN ({cities})").selectExpr(
+        "city",
+        "station_id",
+        f"explode(CASE WHEN {near_start} THEN array({home}, {home} - 1) ELSE array({home}) END) AS bucket",
+        "ts AS sort_ts",
+        "0 AS tie",
+        "reading_id",
+        "named_struct('ts', ts, 'available', available) AS r",
+    )
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
 

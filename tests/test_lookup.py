@@ -95,3 +95,24 @@ def test_one_shuffle_and_no_pair_join(spark):
     plan = lag_lookup(r, h)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_hot_station_is_split_over_many_shuffle_keys(spark):
+    """One station with a third of all readings: its rows spread over time buckets."""
+    from pyspark.sql import functions as F
+
+    from dockcast.operators.lookup import reading_rows
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(30000):
+        st = 1 if i % 3 == 0 else rnd.randint(2, 200)
+        ts = T0 + dt.timedelta(seconds=rnd.randint(0, 86400 * 90))
+        rows.append(("Barcelona", st, ts, rnd.randint(0, 30), i))
+    h = spark.createDataFrame(rows, HIST_SCHEMA)
+    keyed = reading_rows(h, RunParams(lag_unit=HOUR, bucket_units=60))
+    per_key = keyed.where("station_id = 1").groupBy("bucket").count()
+    stats = per_key.agg(F.count("*").alias("keys"), F.max("count").alias("biggest"), F.sum("count").alias("copies")).first()
+    assert stats.keys >= 30  # 90 days / 60 h buckets
+    assert stats.biggest < 10000 / 20  # no task sees more than a small slice of the hot station
+    assert stats.copies < 10000 * 1.2  # copies: readings within 9 h of a 60 h bucket start
