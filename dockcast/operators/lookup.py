@@ -80,6 +80,12 @@ def lag_lookup(
     epoch = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
     payload_cols = [c for c in requests.columns if c not in ("city", "station_id", "status")]
     payload = [f"`{c}`" for c in payload_cols]
+    if params.lookup_plan == "two_level":
+        looked_up = _two_level(needs, history, params, rules, payload_cols, probe_case, requests.columns)
+        return _with_rest(looked_up, rest, rules, requests.columns)
+    if params.lookup_plan != "window":
+        raise ValueError(f"unknown lookup plan {params.lookup_plan!r}")
+
     probes = needs.selectExpr("city", "station_id", *payload, f"explode({probe_case}) AS p").selectExpr(
         "city",
         "station_id",
@@ -122,12 +128,128 @@ def lag_lookup(
         f"CASE WHEN complete THEN '{OK}' ELSE '{NO_HISTORY}' END AS status",
     )
 
+    return _with_rest(looked_up, rest, rules, requests.columns)
+
+
+def _with_rest(looked_up: DataFrame, rest: DataFrame, rules: dict[str, CityRule], columns: list[str]) -> DataFrame:
+    """Union back the rows that were not probed: zero lags for cities without
+    lookups (as the reference feeds its model), null lags for rows not ok."""
     no_lookup = ", ".join(f"'{c}'" for c, r in rules.items() if not r.lookups) or "''"
     zero_or_null = f"CAST(CASE WHEN city IN ({no_lookup}) AND status = '{OK}' THEN 0 END AS INT)"
-    rest = rest.selectExpr(*[f"`{c}`" for c in requests.columns], *[f"{zero_or_null} AS {c}" for c in SLOT_COLS])
+    rest = rest.selectExpr(*[f"`{c}`" for c in columns], *[f"{zero_or_null} AS {c}" for c in SLOT_COLS])
     return looked_up.unionByName(rest.select(*looked_up.columns))
 
 
+def _two_level(
+    needs: DataFrame,
+    history: DataFrame,
+    params: RunParams,
+    rules: dict[str, CityRule],
+    payload_cols: list[str],
+    probe_case: str,
+    columns: list[str],
+) -> DataFrame:
+    """Lookup over slot summaries: exact, and per-task work bounded by slots.
+
+    Level A shuffles raw readings and probes on ``(city, station, slot)`` (a
+    slot is ``slot_seconds`` wide): within its slot each probe finds its
+    neighbour reading, and each slot is reduced to its first and last reading.
+    Level B shuffles those summaries (copied into the previous bucket near a
+    bucket start, as the window plan does with readings) and the probes on
+    ``(city, station, bucket)``: a probe with no neighbour inside its own slot
+    takes the first reading of the next non-empty slot (earliest) or the last
+    reading of the previous one (latest).  The regroup again needs no exchange.
+    """
+    lrules = _lookup_rules(rules)
+    g_us = params.slot_seconds * 1_000_000
+    # context needed past a bucket's end is D + one slot: the bucket must be at
+    # least that wide (so one copy suffices) and a whole number of slots
+    d_max_us = max(r.lookback for r in lrules.values()) * params.lag_unit * 1_000_000
+    bucket_us = -(-max(bucket_micros(params, rules), d_max_us + g_us) // g_us) * g_us
+    payload = [f"`{c}`" for c in payload_cols]
+    reading = "STRUCT<ts: TIMESTAMP_NTZ, id: BIGINT, available: INT>"
+
+    probes = needs.selectExpr("city", "station_id", *payload, f"explode({probe_case}) AS p").selectExpr(
+        "city",
+        "station_id",
+        f"CAST(floor({_epoch('CASE WHEN p.forward THEN p.start ELSE requested_at END')} / {g_us}) AS BIGINT) AS fine",
+        "CASE WHEN p.forward THEN p.start ELSE requested_at END AS sort_ts",
+        "1 AS tie",
+        "CAST(NULL AS BIGINT) AS reading_id",
+        f"CAST(NULL AS {reading}) AS r",
+        "p.slot AS slot",
+        "p.forward AS forward",
+        "p.start AS start",
+        "requested_at AS end",
+        # probes of a request share the bucket of (now - D - one slot)
+        f"CAST(floor(({_epoch('p.anchor')} - {g_us}) / {bucket_us}) AS BIGINT) AS bucket",
+        *payload,
+    )
+    cities = ", ".join(f"'{c}'" for c in lrules)
+    raw = history.where(f"city IN ({cities})").selectExpr(
+        "city",
+        "station_id",
+        f"CAST(floor({_epoch('ts')} / {g_us}) AS BIGINT) AS fine",
+        "ts AS sort_ts",
+        "0 AS tie",
+        "reading_id",
+        "named_struct('ts', ts, 'id', reading_id, 'available', available) AS r",
+    )
+    wa = "PARTITION BY city, station_id, fine ORDER BY sort_ts, tie, reading_id"
+    whole = f"({wa} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    level_a = probes.unionByName(raw, allowMissingColumns=True).selectExpr(
+        "*",
+        f"lead(r, 1) IGNORE NULLS OVER ({wa}) AS nxt_in",
+        f"lag(r, 1) IGNORE NULLS OVER ({wa}) AS prv_in",
+        f"first(r, true) OVER {whole} AS s_first",
+        f"last(r, true) OVER {whole} AS s_last",
+    )
+
+    # One pass over level A feeds level B (two branches would recompute it):
+    # a probe keeps its in-slot neighbour ("latest" probes sort before their own
+    # slot); the row of each slot's first reading becomes the slot summary.
+    d_city = "CASE city " + " ".join(
+        f"WHEN '{c}' THEN {r.lookback * params.lag_unit * 1_000_000 + g_us}" for c, r in lrules.items()
+    ) + " END"
+    start_us = f"(fine * {g_us})"
+    home = f"CAST(floor({start_us} / {bucket_us}) AS BIGINT)"
+    buckets = (
+        f"CASE WHEN tie = 1 THEN array(bucket) "
+        f"WHEN {start_us} - {home} * {bucket_us} < {d_city} THEN array({home}, {home} - 1) ELSE array({home}) END"
+    )
+    level_b_rows = level_a.where("tie = 1 OR reading_id = s_first.id").selectExpr(
+        "city",
+        "station_id",
+        f"explode({buckets}) AS bucket",
+        "fine",
+        "CASE WHEN tie = 0 THEN 0 WHEN forward THEN 1 ELSE -1 END AS tie",
+        "CASE WHEN tie = 0 THEN named_struct('first', s_first, 'last', s_last) END AS s",
+        "slot",
+        "forward",
+        "start",
+        "end",
+        "CASE WHEN tie = 1 THEN (CASE WHEN forward THEN nxt_in ELSE prv_in END) END AS near",
+        *payload,
+    )
+    wb = "(PARTITION BY city, station_id, bucket ORDER BY fine, tie)"
+    level_b = level_b_rows.selectExpr(
+        "*", f"lead(s, 1) IGNORE NULLS OVER {wb} AS nxt_s", f"lag(s, 1) IGNORE NULLS OVER {wb} AS prv_s"
+    ).where("tie <> 0")
+    value = (
+        "CASE WHEN forward THEN (CASE WHEN coalesce(near, nxt_s.first).ts <= end THEN coalesce(near, nxt_s.first).available END) "
+        "ELSE (CASE WHEN coalesce(near, prv_s.last).ts > start THEN coalesce(near, prv_s.last).available END) END"
+    )
+    per_request = level_b.groupBy("city", "station_id", "bucket", *payload_cols).agg(
+        *[F.expr(f"max(CASE WHEN slot = {i} THEN {value} END)").alias(f"slot{i}") for i in SLOTS],
+        F.expr(f"count({value}) = count(1)").alias("complete"),
+    )
+    return per_request.selectExpr(
+        *[f"`{c}`" for c in columns if c != "status"],
+        *SLOT_COLS,
+        f"CASE WHEN complete THEN '{OK}' ELSE '{NO_HISTORY}' END AS status",
+    )
+
+
 def _epoch(col: str) -> str:
     return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})"
 

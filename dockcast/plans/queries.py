@@ -48,6 +48,14 @@ def lag_lookup_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lk.select("request_id", "city", "station_id", "status", *SLOT_COLS)
 
 
+def lag_lookup_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1-J3 through the slot-summary plan (for very dense / skewed histories)."""
+    params = RunParams(lag_unit=DAY, bucket_units=60, lookup_plan="two_level", slot_seconds=3600)
+    v = validate_requests(events_requests(spark, sf_dir))
+    lk = lag_lookup(v, events_history(spark, sf_dir), params)
+    return lk.select("request_id", "city", "station_id", "status", *SLOT_COLS)
+
+
 def notification_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests landed as NGSI-LD notification JSON, parsed back."""
     req = events_requests(spark, sf_dir)
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forecast_responses_hourly": forecast_responses_hourly,
     "request_validation": request_validation,
     "lag_lookup_days": lag_lookup_days,
+    "lag_lookup_two_level": lag_lookup_two_level,
     "notification_roundtrip": notification_roundtrip,
 }
 
@@ -96,6 +105,7 @@ ORACLE_SQL: dict[str, str] = {
     "forecast_responses_hourly": oracle.prediction_pipeline_sql(HOUR),
     "request_validation": _validation_sql(),
     "lag_lookup_days": _lookup_sql(DAY),
+    "lag_lookup_two_level": _lookup_sql(DAY),
     "notification_roundtrip": _notification_sql(),
 }
 

@@ -116,3 +116,33 @@ def test_hot_station_is_split_over_many_shuffle_keys(spark):
     assert stats.keys >= 30  # 90 days / 60 h buckets
     assert stats.biggest < 10000 / 20  # no task sees more than a small slice of the hot station
     assert stats.copies < 10000 * 1.2  # copies: readings within 9 h of a 60 h bucket start
+
+
+def test_two_level_plan_against_brute_force(spark):
+    """Dense hot station, repeated timestamps, unaligned request times."""
+    rnd = random.Random(21)
+    history, requests = [], []
+    for i in range(4000):
+        city = rnd.choice(["Barcelona", "Santander"])
+        st = 1 if rnd.random() < 0.5 else rnd.randint(2, 5)
+        base = T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 4))
+        ts = base if rnd.random() < 0.8 else T0 + dt.timedelta(hours=rnd.randint(0, 96))  # some equal ts
+        history.append((city, st, ts, rnd.randint(0, 40) if rnd.random() > 0.01 else None, i))
+    for i in range(600):
+        city = rnd.choice(["Barcelona", "Santander"])
+        st = 1 if rnd.random() < 0.5 else rnd.randint(1, 6)
+        now = T0 + dt.timedelta(hours=rnd.randint(0, 96), minutes=rnd.choice([0, 7, 30]), seconds=rnd.choice([0, 13]))
+        requests.append((i, city, st, now, OK))
+    want = brute(requests, history, HOUR)
+    for slot_seconds, bucket_units in ((60, 60), (600, 20), (3600, 1), (7, 16)):
+        params = RunParams(lag_unit=HOUR, bucket_units=bucket_units, lookup_plan="two_level", slot_seconds=slot_seconds)
+        got, _ = run(spark, requests, history, params)
+        assert got == want, (slot_seconds, bucket_units)
+
+
+def test_two_level_plan_shuffles_twice_no_join(spark):
+    r = spark.createDataFrame([(1, "Barcelona", 1, T0, OK)], REQ_SCHEMA)
+    h = spark.createDataFrame([("Barcelona", 1, T0, 1, 1)], HIST_SCHEMA)
+    plan = lag_lookup(r, h, RunParams(lookup_plan="two_level"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "Join" not in plan and "Cartesian" not in plan
