@@ -78,6 +78,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         | F.col("month").isNull()
         | F.col("socket_id").isNull()
         | F.col("prediction_id").isNull()
+        | F.col("requested_at").isNull()
     )
     in_range = (
         F.col("station_id").between(_city_case(lambda r: F.lit(r.station_min)), _city_case(lambda r: F.lit(r.station_max)))

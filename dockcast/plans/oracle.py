@@ -59,7 +59,7 @@ def validated_sql() -> str:
 SELECT *,
   CASE WHEN city IS NULL OR city NOT IN ({cities}) THEN 'unknown_city'
        WHEN station_id IS NULL OR hour IS NULL OR weekday IS NULL OR month IS NULL
-            OR socket_id IS NULL OR prediction_id IS NULL THEN 'malformed'
+            OR socket_id IS NULL OR prediction_id IS NULL OR requested_at IS NULL THEN 'malformed'
        WHEN NOT (station_id BETWEEN {smin} AND {smax}
                  AND hour BETWEEN {HOUR_RANGE[0]} AND {HOUR_RANGE[1]}
                  AND weekday BETWEEN {WEEKDAY_RANGE[0]} AND {WEEKDAY_RANGE[1]}
