@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockcast.config import CITY_RULES, DAY, HOUR, CityRule
+from dockcast.config import DAY, HOUR, CityRule
 from dockcast.functions import iso_utc, occupancy_decile
 
 _TRUNC = {HOUR: "hour", DAY: "day"}
@@ -148,7 +148,6 @@ def training_table(spark_tables: dict[str, DataFrame], rule: CityRule, unit: int
 
 
 __all__ = [
-    "CITY_RULES",
     "lag_training_table",
     "malaga_training_table",
     "resample",

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockcast.config import CITY_RULES, OK, CityRule
-from dockcast.functions import horizon_guard, round_half_up_float, steps_to_target
+from dockcast.functions import horizon_guard, steps_to_target
 
 STATE = ("s1", "s2", "s3", "s4")
 

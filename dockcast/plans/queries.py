@@ -11,13 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.config import CADENCE_MINUTES, DAY, HOUR, RunParams
-from dockcast.operators.lookup import SLOT_COLS, broadcast_if_small, lag_lookup
+from dockcast.config import BARCELONA, CADENCE_MINUTES, CITY_RULES, DAY, HOUR, MALAGA, SANTANDER, RunParams
+from dockcast.functions import iso_utc
+from dockcast.operators import features as feat
+from dockcast.operators.forecast import MeanOfLags, ModelPredictor, forecast
+from dockcast.operators.lookup import SLOT_COLS, broadcast_if_small, lag_lookup, station_names
+from dockcast.operators.metrics import accuracy, regression_metrics
 from dockcast.operators.requests import extract_requests, validate_requests
+from dockcast.operators.responses import latest_per_key, shape_responses
 from dockcast.plans import oracle
-from dockcast.plans.predict import predict
+from dockcast.plans.predict import predict, retain
+from dockcast.plans.training import train_city
+from dockcast.sources.history import docs_from_history, normalise_history
 from dockcast.sources.notifications import entities_to_notifications, flatten_entities
-from dockcast.sources.tables import events_history, events_requests
+from dockcast.sources.tables import events_history, events_requests, read_table
 
 # The synthetic history holds ~0.4 readings per station and day, so the
 # reference's hour windows are nearly always empty; the flagship stretches
@@ -111,11 +118,6 @@ ORACLE_SQL: dict[str, str] = {
 
 
 # --- features, profiles, training tables, metrics ---------------------------
-from dockcast.config import BARCELONA, CITY_RULES, MALAGA, SANTANDER  # noqa: E402
-from dockcast.functions import ISO_UTC, iso_utc  # noqa: E402
-from dockcast.operators import features as feat  # noqa: E402
-from dockcast.operators.metrics import accuracy, regression_metrics  # noqa: E402
-from dockcast.sources.tables import read_table  # noqa: E402
 
 TRAIN_UNIT = DAY  # same reason as FLAGSHIP_PARAMS: the synthetic history is sparse
 
@@ -317,11 +319,6 @@ ORACLE_SQL.update(
 
 
 # --- sources, dimension lookup, snapshots -----------------------------------
-from dockcast.operators.forecast import MeanOfLags, ModelPredictor, forecast  # noqa: E402
-from dockcast.operators.lookup import station_names  # noqa: E402
-from dockcast.operators.responses import latest_per_key, shape_responses  # noqa: E402
-from dockcast.plans.predict import retain  # noqa: E402
-from dockcast.sources.history import docs_from_history, normalise_history  # noqa: E402
 
 
 def history_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,7 +429,6 @@ FROM val v LEFT JOIN st ON st.city = v.city AND st.station_id = v.station_id""",
 
 
 # --- trained trees (rows-only: trees are not SQL) ---------------------------
-from dockcast.plans.training import train_city  # noqa: E402
 
 
 def _tables_for_training(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

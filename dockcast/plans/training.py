@@ -86,9 +86,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def train_city(table: DataFrame, rule: CityRule, seed: int = 42, with_indexers: bool = False) -> Trained:
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Tree training passes over its input several times (metadata, split
+    candidates, binned points); a checkpoint of the training table cuts the
+    lineage (the shuffles that built it are not redone after an executor
+    loss) and is read from the folder the cluster names in
+    ``spark.checkpoint.dir`` - never from a machine-local folder there.
+    """
+    from dockcast.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def train_city(
+    table: DataFrame, rule: CityRule, seed: int = 42, with_indexers: bool = False, checkpoint: bool = True
+) -> Trained:
     """M5-M8: fit on the 80 % side, score the 20 % side, report metrics."""
-    train, test = hash_split(spread(usable_rows(table, rule)))
+    rows = spread(usable_rows(table, rule))
+    if checkpoint:
+        rows = materialise(rows)
+    train, test = hash_split(rows)
     model = build_pipeline(rule, seed, with_indexers).fit(train)
     scored = model.transform(test)
     if rule.task == "regression":
