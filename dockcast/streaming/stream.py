@@ -29,6 +29,7 @@ from dockcast.functions import ntz_literal
 from dockcast.operators.requests import extract_requests
 from dockcast.operators.responses import latest_per_key
 from dockcast.plans.predict import predict, retain
+from dockcast.session import path_exists
 from dockcast.sources.notifications import flatten_entities, read_notification_stream
 
 
@@ -38,12 +39,11 @@ def utc_now(_batch_id: int) -> dt.datetime:
 
 def _latest_snapshot_dir(spark: SparkSession, snapshot_dir: str) -> str | None:
     """Newest committed snapshot version (folders ``v=<batch_id>``)."""
+    if not path_exists(spark, snapshot_dir):
+        return None
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(snapshot_dir)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return None
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     versions = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
