@@ -26,6 +26,9 @@ from dockcast.sources.history import docs_from_history, normalise_history
 from dockcast.sources.notifications import entities_to_notifications, flatten_entities
 from dockcast.sources.tables import events_history, events_requests, read_table
 
+# cities whose requests read the history (the others never look it up)
+LOOKUP_CITIES = [c for c, r in CITY_RULES.items() if r.lookups]
+
 # The synthetic history holds ~0.4 readings per station and day, so the
 # reference's hour windows are nearly always empty; the flagship stretches
 # every window to days (same rules, larger unit) and a twin keeps hours.
@@ -35,11 +38,13 @@ HOURLY_PARAMS = RunParams(lag_unit=HOUR, bucket_units=60)
 
 def forecast_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every event as a request -> validated, looked up, forecast, shaped."""
-    return predict(events_requests(spark, sf_dir), events_history(spark, sf_dir), params=FLAGSHIP_PARAMS)
+    hist = events_history(spark, sf_dir, LOOKUP_CITIES)
+    return predict(events_requests(spark, sf_dir), hist, params=FLAGSHIP_PARAMS)
 
 
 def forecast_responses_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict(events_requests(spark, sf_dir), events_history(spark, sf_dir), params=HOURLY_PARAMS)
+    hist = events_history(spark, sf_dir, LOOKUP_CITIES)
+    return predict(events_requests(spark, sf_dir), hist, params=HOURLY_PARAMS)
 
 
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lag_lookup_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four lag slots per request (windows in days)."""
     v = validate_requests(events_requests(spark, sf_dir))
-    lk = lag_lookup(v, events_history(spark, sf_dir), FLAGSHIP_PARAMS)
+    lk = lag_lookup(v, events_history(spark, sf_dir, LOOKUP_CITIES), FLAGSHIP_PARAMS)
     return lk.select("request_id", "city", "station_id", "status", *SLOT_COLS)
 
 
@@ -59,7 +64,7 @@ def lag_lookup_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1-J3 through the slot-summary plan (for very dense / skewed histories)."""
     params = RunParams(lag_unit=DAY, bucket_units=60, lookup_plan="two_level", slot_seconds=3600)
     v = validate_requests(events_requests(spark, sf_dir))
-    lk = lag_lookup(v, events_history(spark, sf_dir), params)
+    lk = lag_lookup(v, events_history(spark, sf_dir, LOOKUP_CITIES), params)
     return lk.select("request_id", "city", "station_id", "status", *SLOT_COLS)
 
 

@@ -26,13 +26,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def event_city(event_type: Column | str = "event_type") -> Column:
-    """Map an event type onto a city; anything else is ``Other``."""
-    c = F.col(event_type) if isinstance(event_type, str) else event_type
-    expr = F.lit(OTHER_CITY)
-    for et, city in reversed(list(EVENT_TYPE_CITY.items())):
-        expr = F.when(c == et, F.lit(city)).otherwise(expr)
-    return expr
+def event_city(event_type: str = "event_type") -> Column:
+    """Map an event type onto a city; anything else is ``Other``.
+
+    One flat ``CASE`` so that a filter on the city folds into a predicate on
+    ``event_type`` that the Parquet scan can evaluate.
+    """
+    arms = " ".join(f"WHEN '{et}' THEN '{city}'" for et, city in EVENT_TYPE_CITY.items())
+    return F.expr(f"CASE `{event_type}` {arms} ELSE '{OTHER_CITY}' END")
 
 
 def history_from_events(events: DataFrame) -> DataFrame:
@@ -82,8 +83,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit
 
 
-def events_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history_from_events(events(spark, sf_dir))
+def events_history(spark: SparkSession, sf_dir: str, cities: list[str] | None = None) -> DataFrame:
+    """History over ``events``; ``cities`` restricts it with a predicate on the
+    raw ``event_type`` column, which reaches the Parquet scan (the derived
+    ``city`` cannot be pushed through the mapping)."""
+    ev = events(spark, sf_dir)
+    if cities is not None:
+        types = [et for et, c in EVENT_TYPE_CITY.items() if c in cities]
+        ev = ev.where(F.col("event_type").isin(types))
+    return history_from_events(ev)
 
 
 def events_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
