@@ -462,3 +462,85 @@ def forecast_with_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update({"train_evaluate": train_evaluate, "forecast_with_models": forecast_with_models})
+
+
+# --- category indexing (M4) and the CSV connectors (S6, S7) -----------------
+
+
+def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: the StringIndexer of the parking pipeline, fitted on the whole
+    Malaga table; its value -> index mapping as rows (frequency descending,
+    ties alphabetical)."""
+    from pyspark.ml.feature import StringIndexer
+
+    table = training_table_malaga(spark, sf_dir)
+    model = StringIndexer(
+        inputCols=["name", "weekday"], outputCols=["name_index", "weekday_index"], handleInvalid="keep"
+    ).fit(table)
+    indexed = model.transform(table)
+    parts = [
+        indexed.groupBy(F.col(c).cast("string").alias("value"), F.col(f"{c}_index").cast("int").alias("idx"))
+        .count()
+        .select(F.lit(c).alias("col"), "value", "idx", "count")
+        for c in ("name", "weekday")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from dockcast.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def training_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Santander training table written as CSV (header, comma) and read
+    back through the declared-schema reader with quarantine."""
+    from dockcast.sources.files import read_training_csv, split_quarantine
+
+    path = _scratch(spark, "train-santander-csv")
+    training_table_santander(spark, sf_dir).write.option("header", "true").csv(path)
+    clean, _bad = split_quarantine(read_training_csv(spark, path, "Santander"))
+    return clean
+
+
+def stations_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The station dimension written as the combined CSV layout
+    (id, station_id, quoted name, City) and read back."""
+    from dockcast.sources.files import read_stations
+
+    path = _scratch(spark, "stations-csv")
+    dim = stations_from_supplier(spark, sf_dir)
+    dim.select(
+        F.pmod(F.xxhash64("city", "station_id"), F.lit(2**31 - 1)).cast("int").alias("id"),
+        "station_id",
+        F.concat(F.col("name"), F.lit(", "), F.col("city")).alias("name"),
+        F.col("city").alias("City"),
+    ).write.option("header", "true").option("quoteAll", "true").csv(path)
+    return read_stations(spark, path)
+
+
+QUERIES.update(
+    {
+        "category_index": category_index,
+        "training_csv_roundtrip": training_csv_roundtrip,
+        "stations_csv_roundtrip": stations_csv_roundtrip,
+    }
+)
+
+ORACLE_SQL.update(
+    {
+        "category_index": f"""
+WITH t AS ({_malaga_table_sql()}),
+c AS (SELECT 'name' AS col, CAST(name AS VARCHAR) AS value, count(*) AS count FROM t GROUP BY CAST(name AS VARCHAR)
+      UNION ALL
+      SELECT 'weekday', CAST(weekday AS VARCHAR), count(*) FROM t GROUP BY CAST(weekday AS VARCHAR))
+SELECT col, value, CAST(row_number() OVER (PARTITION BY col ORDER BY count DESC, value ASC) - 1 AS INTEGER) AS idx, count
+FROM c""",
+        "training_csv_roundtrip": _santander_table_sql(),
+        "stations_csv_roundtrip": f"""
+SELECT city, station_id, name || ', ' || city AS name FROM ({_stations_sql()}) s""",
+    }
+)
