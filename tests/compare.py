@@ -1,7 +1,7 @@
 """Spark-vs-DuckDB comparison in the spirit of the driver's check.
 
-Columns are sorted by name, rows compared as an order-insensitive multiset;
-doubles rounded to 6 places.
+Columns are sorted by name, rows compared as an order-insensitive multiset
+with exact values; column types must map one to one.
 """
 
 from __future__ import annotations
@@ -20,11 +20,19 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TO_DUCK = {
+    "IntegerType()": "INTEGER",
+    "LongType()": "BIGINT",
+    "DoubleType()": "DOUBLE",
+    "StringType()": "VARCHAR",
+    "BooleanType()": "BOOLEAN",
+    "TimestampNTZType()": "TIMESTAMP",
+}
+
+
 def _norm(v):
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 6)
+    if isinstance(v, float) and math.isnan(v):
+        return "nan"
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return v
@@ -44,6 +52,11 @@ def rows_of_duck(con, sql):
 
 
 def compare(df, con, sql) -> tuple[bool, str]:
+    st = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields}
+    rel = con.sql(sql)
+    dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    if st != dt:
+        return False, f"types differ: {st} vs {dt}"
     sc, sr = rows_of_spark(df)
     dc, dr = rows_of_duck(con, sql)
     if sc != dc:
