@@ -146,3 +146,13 @@ def test_two_level_plan_shuffles_twice_no_join(spark):
     plan = lag_lookup(r, h, RunParams(lookup_plan="two_level"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
     assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_broadcast_only_below_the_checked_bound(spark):
+    from dockcast.operators.lookup import broadcast_if_small
+
+    big = spark.range(50).withColumnRenamed("id", "k")
+    small = spark.range(5).withColumnRenamed("id", "k")
+    plan = lambda df: big.join(broadcast_if_small(df, max_rows=10), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(small).lower()
+    assert "broadcast" not in plan(big.select("k")).lower()
