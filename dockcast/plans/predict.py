@@ -18,6 +18,12 @@ from dockcast.operators.requests import validate_requests
 from dockcast.operators.responses import shape_responses
 
 
+RESPONSE_INPUTS = (
+    "request_id", "socket_id", "prediction_id", "city", "id_station", "station_id",
+    "weekday", "hour", "month", "requested_at", "status",
+)
+
+
 def retain(history: DataFrame, as_of, hours: int = RETENTION_HOURS) -> DataFrame:
     """Readings newer than ``as_of - hours`` and not after ``as_of``.
 
@@ -37,7 +43,8 @@ def predict(
     with_lags: bool = True,
 ) -> DataFrame:
     """One response row per request; ``slot1..slot4`` kept when ``with_lags``."""
-    validated = validate_requests(requests)
+    # only what the response needs rides through the lookup shuffle
+    validated = validate_requests(requests).select(*RESPONSE_INPUTS)
     looked_up = lag_lookup(validated, history, params, rules)
     scored = forecast(looked_up, predictor or MeanOfLags(), rules)
     return shape_responses(scored, rules, extra=SLOT_COLS if with_lags else ())
