@@ -52,6 +52,20 @@ def _latest_snapshot_dir(spark: SparkSession, snapshot_dir: str) -> str | None:
     return f"{snapshot_dir}/v={max(versions)}" if versions else None
 
 
+def _prune_snapshots(spark: SparkSession, snapshot_dir: str, keep: int) -> None:
+    """Drop committed snapshot versions older than the newest ``keep``."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(snapshot_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = sorted(
+        (int(st.getPath().getName()[2:]), st.getPath())
+        for st in fs.listStatus(path)
+        if st.getPath().getName().startswith("v=")
+    )
+    for _, old in versions[:-keep] if keep > 0 else []:
+        fs.delete(old, True)
+
+
 def make_batch_scorer(
     history: Callable[[], DataFrame],
     outbox_dir: str,
@@ -61,6 +75,7 @@ def make_batch_scorer(
     as_of: Callable[[int], dt.datetime] = utc_now,
     retention_hours: int | None = 24,
     rules=CITY_RULES,
+    keep_snapshots: int = 3,
 ):
     """The ``foreachBatch`` function (also callable on a static DataFrame)."""
 
@@ -85,6 +100,7 @@ def make_batch_scorer(
                 both = entity if prev_dir is None else entity.unionByName(spark.read.parquet(prev_dir))
                 snap = latest_per_key(both, ["city", "idStation"], ["produced_at", "request_id"])
                 snap.write.mode("overwrite").parquet(f"{snapshot_dir}/v={batch_id}")
+                _prune_snapshots(spark, snapshot_dir, keep=keep_snapshots)
         finally:
             requests.unpersist()
 
