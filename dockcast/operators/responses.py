@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dockcast.config import CITY_RULES, OK, UNAVAILABLE, CityRule
 from dockcast.functions import property_attr, round_half_up_float
+from dockcast.schemas import RESPONSE_FIELDS
 
 
 def prediction_value(rules: dict[str, CityRule] = CITY_RULES):
@@ -48,16 +49,8 @@ def shape_responses(
 
 
 def _payload_fields():
-    return [
-        property_attr(F.col("socketId")).alias("socketId"),
-        property_attr(F.col("predictionId")).alias("predictionId"),
-        property_attr(F.col("predictionValue")).alias("predictionValue"),
-        property_attr(F.col("idStation")).alias("idStation"),
-        property_attr(F.col("weekday")).alias("weekday"),
-        property_attr(F.col("hour")).alias("hour"),
-        property_attr(F.col("month")).alias("month"),
-        property_attr(F.col("city")).alias("city"),
-    ]
+    """Every response field as an NGSI-LD property, in the reference's key order."""
+    return [property_attr(F.col(f)).alias(f) for f in RESPONSE_FIELDS]
 
 
 def latest_per_key(df: DataFrame, key: list[str] | str, order: list[str] | str) -> DataFrame:

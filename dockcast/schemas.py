@@ -41,9 +41,10 @@ HISTORY = StructType(
     ]
 )
 
-# Raw history documents of the two bike feeds.
+# Raw history documents of the two bike feeds (``_id`` as exported).
 BARCELONA_DOC = StructType(
     [
+        StructField("_id", LongType()),
         StructField("update_date", StringType()),
         StructField("station_id", StringType()),
         StructField("num_bikes_available", StringType()),
@@ -51,6 +52,7 @@ BARCELONA_DOC = StructType(
 )
 SANTANDER_DOC = StructType(
     [
+        StructField("_id", LongType()),
         StructField("update_date", StringType()),
         StructField("dc:identifier", StringType()),
         StructField("ayto:bicicletas_libres", StringType()),

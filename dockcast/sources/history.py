@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockcast.functions import ISO_UTC, parse_int
+from dockcast.schemas import BARCELONA_DOC, HISTORY, SANTANDER_DOC
 
 # The field names of the two document layouts.
 LAYOUTS = {
@@ -20,6 +21,14 @@ LAYOUTS = {
 }
 
 
+DOC_SCHEMAS = {"Barcelona": BARCELONA_DOC, "Santander": SANTANDER_DOC}
+
+
+def read_history_docs(spark, path: str, city: str) -> DataFrame:
+    """S3: a JSON-lines export of one feed's history documents, declared schema."""
+    return spark.read.schema(DOC_SCHEMAS[city]).json(path)
+
+
 def normalise_docs(docs: DataFrame, city: str, id_col: str = "_id") -> DataFrame:
     """One layout -> ``(city, station_id, ts, available, reading_id)``."""
     f = LAYOUTS[city]
@@ -34,9 +43,10 @@ def normalise_docs(docs: DataFrame, city: str, id_col: str = "_id") -> DataFrame
 
 def normalise_history(barcelona_docs: DataFrame, santander_docs: DataFrame, id_col: str = "_id") -> DataFrame:
     """Both layouts into the normalised history (a narrow union, no shuffle)."""
-    return normalise_docs(barcelona_docs, "Barcelona", id_col).unionByName(
+    out = normalise_docs(barcelona_docs, "Barcelona", id_col).unionByName(
         normalise_docs(santander_docs, "Santander", id_col)
     )
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in HISTORY.fields])
 
 
 def docs_from_history(history: DataFrame, city: str) -> DataFrame:
@@ -82,4 +92,4 @@ def read_history(spark, path: str, since=None, until=None) -> DataFrame:
     if until is not None:
         hi = ntz_literal(until)
         df = df.where((F.col("day") <= F.to_date(hi)) & (F.col("ts") <= hi))
-    return df.select("city", "station_id", "ts", "available", "reading_id")
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in HISTORY.fields])
