@@ -76,6 +76,7 @@ def make_batch_scorer(
     retention_hours: int | None = 24,
     rules=CITY_RULES,
     keep_snapshots: int = 3,
+    outbox_format: str = "parquet",
 ):
     """The ``foreachBatch`` function (also callable on a static DataFrame)."""
 
@@ -83,6 +84,7 @@ def make_batch_scorer(
         spark = batch.sparkSession
         now = as_of(batch_id)
         requests = extract_requests(flatten_entities(batch), requested_at=ntz_literal(now)).persist()
+        cached = [requests]
         try:
             if requests.isEmpty():  # W3
                 return
@@ -92,9 +94,19 @@ def make_batch_scorer(
             responses = predict(requests, hist, predictor, params, rules, with_lags=False).select(
                 "*", ntz_literal(now).alias("produced_at"), F.lit(batch_id).cast("long").alias("batch_id")
             )
-            responses.write.mode("overwrite").parquet(f"{outbox_dir}/batch_id={batch_id}")
+            out = f"{outbox_dir}/batch_id={batch_id}"
+            if outbox_format == "text":
+                # the broker-facing form: one NGSI-LD payload per line; the
+                # snapshot reuses the batch's responses instead of rescoring
+                if snapshot_dir:
+                    responses = responses.persist()
+                    cached.append(responses)
+                responses.select("payload").write.mode("overwrite").text(out)
+                fresh = responses
+            else:
+                responses.write.mode("overwrite").parquet(out)
+                fresh = spark.read.parquet(out)
             if snapshot_dir:
-                fresh = spark.read.parquet(f"{outbox_dir}/batch_id={batch_id}")
                 prev_dir = _latest_snapshot_dir(spark, snapshot_dir)
                 entity = fresh.select("city", "idStation", "predictionValue", "predictionId", "status", "payload", "produced_at", "request_id")
                 both = entity if prev_dir is None else entity.unionByName(spark.read.parquet(prev_dir))
@@ -102,7 +114,8 @@ def make_batch_scorer(
                 snap.write.mode("overwrite").parquet(f"{snapshot_dir}/v={batch_id}")
                 _prune_snapshots(spark, snapshot_dir, keep=keep_snapshots)
         finally:
-            requests.unpersist()
+            for df in cached:
+                df.unpersist()
 
     return score_batch
 

@@ -156,3 +156,15 @@ def test_broadcast_only_below_the_checked_bound(spark):
     plan = lambda df: big.join(broadcast_if_small(df, max_rows=10), "k")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(small).lower()
     assert "broadcast" not in plan(big.select("k")).lower()
+
+
+def test_unknown_stations_anti_join(spark):
+    from dockcast.operators.lookup import station_names, unknown_stations
+
+    req = spark.createDataFrame([(1, "Malaga", 3), (2, "Malaga", 12), (3, "Barcelona", 3)],
+                                "request_id long, city string, station_id int")
+    dim = spark.createDataFrame([("Malaga", 3, "Av._de_Andalucia"), ("Barcelona", 4, "X")],
+                                "city string, station_id int, name string")
+    assert sorted(r.request_id for r in unknown_stations(req, dim).collect()) == [2, 3]
+    named = {r.request_id: r.station_name for r in station_names(req, dim).collect()}
+    assert named == {1: "Av._de_Andalucia", 2: None, 3: None}

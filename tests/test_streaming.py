@@ -67,3 +67,17 @@ def test_empty_batch_writes_nothing(spark):
     score = make_batch_scorer(lambda: events_history(spark, SF_SMALL), f"{root}/outbox", as_of=lambda b: AS_OF)
     score(spark.createDataFrame([], "value string"), 0)
     assert not glob.glob(f"{root}/outbox/*")
+
+
+def test_text_outbox_holds_one_payload_per_request(spark):
+    import json
+
+    root = tempfile.mkdtemp(prefix="textbox-")
+    notes = entities_to_notifications(events_requests(spark, SF_SMALL)).select("value")
+    score = make_batch_scorer(lambda: events_history(spark, SF_SMALL), f"{root}/outbox", params=PARAMS,
+                              as_of=lambda b: AS_OF, retention_hours=None, outbox_format="text")
+    score(notes, 7)
+    lines = spark.read.text(f"{root}/outbox/batch_id=7").collect()
+    assert len(lines) == notes.count()
+    first = json.loads(lines[0].value)
+    assert set(first) == {"socketId", "predictionId", "predictionValue", "idStation", "weekday", "hour", "month", "city"}
