@@ -175,3 +175,6 @@ class RunParams:
     bucket_units: int = 60
     lookup_plan: str = "window"
     slot_seconds: int = 60
+    # restrict the history to [min(now) - lookback, max(now)] of the probed
+    # requests (one small aggregate), as literal bounds the scan can use
+    bound_history: bool = True

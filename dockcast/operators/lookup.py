@@ -62,6 +62,8 @@ def lag_lookup(
     probed = F.col("city").isin(list(lrules)) & (F.col("status") == OK)
     needs = requests.where(probed)
     rest = requests.where(~probed | F.col("status").isNull() | F.col("city").isNull())
+    if params.bound_history:
+        history = bound_history(history, needs, max(r.lookback for r in lrules.values()) * unit)
 
     # --- probe rows: one per (request, slot) --------------------------------
     def ts_minus(seconds: int) -> str:
@@ -250,6 +252,25 @@ def _two_level(
     )
 
 
+def bound_history(history: DataFrame, needs: DataFrame, lookback_seconds: int) -> DataFrame:
+    """Keep only readings some probe can reach: ``(min(now) - D, max(now)]``.
+
+    The bounds come from one aggregate over the probed requests and are
+    applied as literals, so they become pushed filters on the history scan
+    (and prune day folders of the partitioned store).  A batch of recent
+    requests then reads hours of history, not all of it.
+    """
+    import datetime as dt
+
+    from dockcast.functions import ntz_literal
+
+    lo, hi = needs.agg(F.min("requested_at"), F.max("requested_at")).first()
+    if lo is None:
+        return history.where(F.lit(False))
+    start = lo - dt.timedelta(seconds=lookback_seconds)
+    return history.where((F.col("ts") > ntz_literal(start)) & (F.col("ts") <= ntz_literal(hi)))
+
+
 def _epoch(col: str) -> str:
     return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})"
 

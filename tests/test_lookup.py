@@ -168,3 +168,17 @@ def test_unknown_stations_anti_join(spark):
     assert sorted(r.request_id for r in unknown_stations(req, dim).collect()) == [2, 3]
     named = {r.request_id: r.station_name for r in station_names(req, dim).collect()}
     assert named == {1: "Av._de_Andalucia", 2: None, 3: None}
+
+
+def test_history_is_bounded_to_the_requests_time_range(spark):
+    r = spark.createDataFrame([(1, "Barcelona", 1, T0, OK)], REQ_SCHEMA)
+    h = spark.createDataFrame(
+        [("Barcelona", 1, T0 - dt.timedelta(days=30), 5, 1), ("Barcelona", 1, T0 - dt.timedelta(hours=1), 7, 2)],
+        HIST_SCHEMA,
+    )
+    from dockcast.operators.lookup import bound_history
+
+    kept = bound_history(h, r, 9 * 3600).collect()
+    assert [x.reading_id for x in kept] == [2]
+    got, _ = run(spark, [(1, "Barcelona", 1, T0, OK)], [tuple(x) for x in h.collect()], RunParams(lag_unit=HOUR))
+    assert got[1] == ([7, 7, 7, 7], OK)  # the 30-day-old reading is outside every window
