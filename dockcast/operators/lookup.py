@@ -63,7 +63,9 @@ def lag_lookup(
     needs = requests.where(probed)
     rest = requests.where(~probed | F.col("status").isNull() | F.col("city").isNull())
     if params.bound_history:
-        history = bound_history(history, needs, max(r.lookback for r in lrules.values()) * unit)
+        # bounds over all requests (a superset of the probed ones): only
+        # requested_at is read, so validation work is pruned from this pass
+        history = bound_history(history, requests, max(r.lookback for r in lrules.values()) * unit)
 
     # --- probe rows: one per (request, slot) --------------------------------
     def ts_minus(seconds: int) -> str:
@@ -252,7 +254,7 @@ def _two_level(
     )
 
 
-def bound_history(history: DataFrame, needs: DataFrame, lookback_seconds: int) -> DataFrame:
+def bound_history(history: DataFrame, requests: DataFrame, lookback_seconds: int) -> DataFrame:
     """Keep only readings some probe can reach: ``(min(now) - D, max(now)]``.
 
     The bounds come from one aggregate over the probed requests and are
@@ -264,7 +266,7 @@ def bound_history(history: DataFrame, needs: DataFrame, lookback_seconds: int) -
 
     from dockcast.functions import ntz_literal
 
-    lo, hi = needs.agg(F.min("requested_at"), F.max("requested_at")).first()
+    lo, hi = requests.agg(F.min("requested_at"), F.max("requested_at")).first()
     if lo is None:
         return history.where(F.lit(False))
     start = lo - dt.timedelta(seconds=lookback_seconds)
