@@ -53,7 +53,10 @@ def lag_lookup(
     ``history`` needs ``city, station_id, ts, available, reading_id``.
     Only rows with status ok of a city with lookups are probed; cities
     without lookups get zero lags (as the reference feeds its model), and
-    rows that are not ok get null lags.
+    rows that are not ok get null lags.  ``params.lookup_plan`` picks the
+    one-shuffle window plan or the two-level slot-summary plan (same answers);
+    ``params.bound_history`` first restricts the history to the requests'
+    time range.
     """
     lrules = _lookup_rules(rules)
     unit = params.lag_unit
@@ -81,7 +84,6 @@ def lag_lookup(
         ) + ")"
 
     probe_case = "CASE city " + " ".join(f"WHEN '{c}' THEN {probes_of(r)}" for c, r in lrules.items()) + " END"
-    epoch = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
     payload_cols = [c for c in requests.columns if c not in ("city", "station_id", "status")]
     payload = [f"`{c}`" for c in payload_cols]
     if params.lookup_plan == "two_level":
@@ -93,7 +95,7 @@ def lag_lookup(
     probes = needs.selectExpr("city", "station_id", *payload, f"explode({probe_case}) AS p").selectExpr(
         "city",
         "station_id",
-        f"CAST(floor({epoch.format('p.anchor')} / {bucket_us}) AS BIGINT) AS bucket",
+        f"CAST(floor({_epoch('p.anchor')} / {bucket_us}) AS BIGINT) AS bucket",
         "CASE WHEN p.forward THEN p.start ELSE requested_at END AS sort_ts",
         "1 AS tie",
         "CAST(NULL AS BIGINT) AS reading_id",
