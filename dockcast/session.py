@@ -18,7 +18,9 @@ PLAN_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dockcast") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dockcast", extra: dict | None = None
+) -> SparkSession:
     """A local session for tests and the bench (clusters bring their own)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -31,7 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # local test data is megabytes: let AQE keep more, smaller partitions
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256KB")
     )
-    for k, v in PLAN_CONF.items():
+    for k, v in {**PLAN_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
