@@ -104,3 +104,17 @@ def test_tree_recursion_matches_step_by_step_transform(spark):
     for row in rows[:12]:  # each step is a job, as in the reference - keep it short
         _, p = loop(row, tree_one)
         assert math.isclose(got[row[0]], p, rel_tol=1e-12), row
+
+
+def test_step_count_for_every_hour_pair(spark):
+    """C10 + F3 for all target hours 0..29 (24+ are invalid) and every current hour."""
+    from pyspark.sql import functions as F
+
+    from dockcast.operators.forecast import steps_column
+
+    rows = [(i, city, 1, "1", h, 1, 1, dt.datetime(2024, 1, 1, now), OK, 0, 0, 0, 0)
+            for i, (city, h, now) in enumerate((c, h, n) for c in CITY_RULES for h in range(30) for n in range(24))]
+    df = spark.createDataFrame(rows, SCHEMA).select("request_id", "city", "hour", "requested_at", steps_column().alias("n"))
+    got = {r.request_id: r.n for r in df.collect()}
+    for row in rows:
+        assert got[row[0]] == steps(CITY_RULES[row[1]], row[4], row[7].hour), row[:8]
