@@ -164,7 +164,7 @@ class RunParams:
     ``bucket_units`` is the time-bucket width of the as-of lookup shuffle, in
     lag units; it bounds how much of one station's history a single task
     sees, so a hot station is spread over many tasks.
-    ``lookup_plan``: "window" (one shuffle of raw readings; per-task work is
+    ``lookup_plan``: "auto" (measure, then pick), "window" (one shuffle of raw readings; per-task work is
     the readings of one station within ``bucket + lookback``) or "two_level"
     (readings are first reduced to the first/last reading per ``slot_seconds``
     slot, so per-task work is bounded by the slot count however dense a
@@ -178,3 +178,6 @@ class RunParams:
     # restrict the history to [min(now) - lookback, max(now)] of the probed
     # requests (one small aggregate), as literal bounds the scan can use
     bound_history: bool = True
+    # lookup_plan="auto": the window plan unless one (city, station, bucket)
+    # task would hold more readings than this; then the two-level plan
+    auto_max_rows_per_task: int = 5_000_000

@@ -28,6 +28,8 @@ exactly at ``now`` is in the window, and equal timestamps are broken by
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,8 @@ def lag_lookup(
         # bounds over all requests (a superset of the probed ones): only
         # requested_at is read, so validation work is pruned from this pass
         history = bound_history(history, requests, max(r.lookback for r in lrules.values()) * unit)
+    if params.lookup_plan == "auto":
+        params = dataclasses.replace(params, lookup_plan=choose_plan(history, params, rules))
 
     # --- probe rows: one per (request, slot) --------------------------------
     def ts_minus(seconds: int) -> str:
@@ -256,6 +260,16 @@ def _two_level(
     )
 
 
+def choose_plan(history: DataFrame, params: RunParams, rules: dict[str, CityRule] = CITY_RULES) -> str:
+    """Pick the lookup plan from the data: the window plan unless its largest
+    task - readings of one (city, station, bucket), copies included - would
+    exceed ``params.auto_max_rows_per_task``.  One count aggregate, partially
+    aggregated before its shuffle, so a hot key costs one row per map task."""
+    keyed = reading_rows(history, params, rules)
+    biggest = keyed.groupBy("city", "station_id", "bucket").count().agg(F.max("count")).first()[0] or 0
+    return "two_level" if biggest > params.auto_max_rows_per_task else "window"
+
+
 def bound_history(history: DataFrame, requests: DataFrame, lookback_seconds: int) -> DataFrame:
     """Keep only readings some probe can reach: ``(min(now) - D, max(now)]``.
 

@@ -182,3 +182,16 @@ def test_history_is_bounded_to_the_requests_time_range(spark):
     assert [x.reading_id for x in kept] == [2]
     got, _ = run(spark, [(1, "Barcelona", 1, T0, OK)], [tuple(x) for x in h.collect()], RunParams(lag_unit=HOUR))
     assert got[1] == ([7, 7, 7, 7], OK)  # the 30-day-old reading is outside every window
+
+
+def test_auto_plan_switches_on_dense_tasks(spark):
+    from dockcast.operators.lookup import choose_plan
+
+    rnd = random.Random(5)
+    history = [("Barcelona", 1, T0 + dt.timedelta(minutes=rnd.randint(0, 600)), rnd.randint(0, 9), i) for i in range(400)]
+    requests = [(i, "Barcelona", 1, T0 + dt.timedelta(hours=rnd.randint(1, 10)), OK) for i in range(50)]
+    h = spark.createDataFrame(history, HIST_SCHEMA)
+    assert choose_plan(h, RunParams(auto_max_rows_per_task=100)) == "two_level"
+    assert choose_plan(h, RunParams(auto_max_rows_per_task=10_000)) == "window"
+    got, _ = run(spark, requests, history, RunParams(lookup_plan="auto", auto_max_rows_per_task=100, slot_seconds=300))
+    assert got == brute(requests, history, HOUR)
