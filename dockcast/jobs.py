@@ -69,6 +69,8 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--snapshot")
     s.add_argument("--unit", type=int, default=HOUR)
     s.add_argument("--interval", default="1 second")
+    s.add_argument("--outbox-format", choices=("parquet", "text"), default="parquet")
+    s.add_argument("--max-files-per-trigger", type=int)
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName(f"dockcast-{args.cmd}").getOrCreate()
@@ -86,6 +88,8 @@ def main(argv: list[str] | None = None) -> int:
         predictor=ModelPredictor(load_all(spark, args.models)),
         params=RunParams(lag_unit=args.unit),
         interval=args.interval,
+        outbox_format=args.outbox_format,
+        max_files_per_trigger=args.max_files_per_trigger,
     )
     query.awaitTermination()
     return 0

@@ -134,10 +134,15 @@ def start_prediction_stream(
     interval: str = "1 second",
     max_files_per_trigger: int | None = None,
     retention_hours: int | None = 24,
+    outbox_format: str = "parquet",
+    keep_snapshots: int = 3,
 ) -> StreamingQuery:
     """Start the service; ``available_now`` drains the landing folder and stops."""
     raw = read_notification_stream(spark, landing_dir, max_files_per_trigger)
-    scorer = make_batch_scorer(history, outbox_dir, snapshot_dir, predictor, params, as_of, retention_hours)
+    scorer = make_batch_scorer(
+        history, outbox_dir, snapshot_dir, predictor, params, as_of, retention_hours,
+        keep_snapshots=keep_snapshots, outbox_format=outbox_format,
+    )
     writer = raw.writeStream.foreachBatch(scorer).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()
