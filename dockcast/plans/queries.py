@@ -546,3 +546,37 @@ FROM c""",
 SELECT city, station_id, name || ', ' || city AS name FROM ({_stations_sql()}) s""",
     }
 )
+
+
+# --- S5 cadence check -------------------------------------------------------
+
+
+def history_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per station, over the retained 24 h, readings, filled 30-minute
+    slots and missing slots (48 expected).  Slots are counted with a grouped
+    aggregate on (city, station, slot) - partial aggregation keeps a hot
+    station cheap - then summed per station."""
+    from dockcast.config import RETENTION_HOURS
+
+    hist = events_history(spark, sf_dir)
+    as_of = read_table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    slots = RETENTION_HOURS * 60 // CADENCE_MINUTES
+    per_slot = retain(hist, as_of).groupBy(
+        "city", "station_id", F.window("ts", f"{CADENCE_MINUTES} minutes").start.alias("slot")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return per_slot.groupBy("city", "station_id").agg(
+        F.sum("n").alias("readings"),
+        F.count(F.lit(1)).alias("filled_slots"),
+        (F.lit(slots) - F.count(F.lit(1))).alias("missing_slots"),
+    )
+
+
+QUERIES["history_cadence"] = history_cadence
+from dockcast.config import RETENTION_HOURS as _RET  # noqa: E402
+ORACLE_SQL["history_cadence"] = f"""WITH hist AS ({oracle.history_sql()}),
+kept AS (SELECT * FROM hist WHERE ts > (SELECT max(ts) FROM events) - INTERVAL {_RET} HOUR AND ts <= (SELECT max(ts) FROM events)),
+per_slot AS (SELECT city, station_id, time_bucket(INTERVAL {CADENCE_MINUTES} MINUTE, ts) AS slot, count(*) AS n
+             FROM kept GROUP BY city, station_id, time_bucket(INTERVAL {CADENCE_MINUTES} MINUTE, ts))
+SELECT city, station_id, CAST(sum(n) AS BIGINT) AS readings, count(*) AS filled_slots,
+       {_RET * 60 // CADENCE_MINUTES} - count(*) AS missing_slots
+FROM per_slot GROUP BY city, station_id"""
