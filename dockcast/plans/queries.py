@@ -11,7 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.config import BARCELONA, CADENCE_MINUTES, CITY_RULES, DAY, HOUR, MALAGA, SANTANDER, RunParams
+from dockcast.config import (
+    BARCELONA,
+    CADENCE_MINUTES,
+    CITY_RULES,
+    DAY,
+    HOUR,
+    MALAGA,
+    RETENTION_HOURS,
+    SANTANDER,
+    RunParams,
+)
 from dockcast.functions import iso_utc
 from dockcast.operators import features as feat
 from dockcast.operators.forecast import MeanOfLags, ModelPredictor, forecast
@@ -556,8 +566,6 @@ def history_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots and missing slots (48 expected).  Slots are counted with a grouped
     aggregate on (city, station, slot) - partial aggregation keeps a hot
     station cheap - then summed per station."""
-    from dockcast.config import RETENTION_HOURS
-
     hist = events_history(spark, sf_dir)
     as_of = read_table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
     slots = RETENTION_HOURS * 60 // CADENCE_MINUTES
@@ -572,11 +580,10 @@ def history_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["history_cadence"] = history_cadence
-from dockcast.config import RETENTION_HOURS as _RET  # noqa: E402
 ORACLE_SQL["history_cadence"] = f"""WITH hist AS ({oracle.history_sql()}),
-kept AS (SELECT * FROM hist WHERE ts > (SELECT max(ts) FROM events) - INTERVAL {_RET} HOUR AND ts <= (SELECT max(ts) FROM events)),
+kept AS (SELECT * FROM hist WHERE ts > (SELECT max(ts) FROM events) - INTERVAL {RETENTION_HOURS} HOUR AND ts <= (SELECT max(ts) FROM events)),
 per_slot AS (SELECT city, station_id, time_bucket(INTERVAL {CADENCE_MINUTES} MINUTE, ts) AS slot, count(*) AS n
              FROM kept GROUP BY city, station_id, time_bucket(INTERVAL {CADENCE_MINUTES} MINUTE, ts))
 SELECT city, station_id, CAST(sum(n) AS BIGINT) AS readings, count(*) AS filled_slots,
-       {_RET * 60 // CADENCE_MINUTES} - count(*) AS missing_slots
+       {RETENTION_HOURS * 60 // CADENCE_MINUTES} - count(*) AS missing_slots
 FROM per_slot GROUP BY city, station_id"""
