@@ -587,3 +587,48 @@ per_slot AS (SELECT city, station_id, time_bucket(INTERVAL {CADENCE_MINUTES} MIN
 SELECT city, station_id, CAST(sum(n) AS BIGINT) AS readings, count(*) AS filled_slots,
        {RETENTION_HOURS * 60 // CADENCE_MINUTES} - count(*) AS missing_slots
 FROM per_slot GROUP BY city, station_id"""
+
+
+# --- A2-A4 per station ------------------------------------------------------
+
+
+def baseline_metrics_by_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2-A4 grouped by (city, station) in one pass: the per-station scores
+    of the mean-of-lags baseline on the bike training tables.  r2 is null for
+    a station whose labels are constant."""
+    parts = []
+    for rule in (BARCELONA, SANTANDER):
+        t = _lag_table(spark, sf_dir, rule)
+        lags = list(rule.train_lags)
+        cond = F.lit(True)
+        for c in lags:
+            cond = cond & F.col(c).isNotNull()
+        pred = sum((F.col(c).cast("double") for c in lags), F.lit(0.0)) / F.lit(float(len(lags)))
+        m = regression_metrics(t.where(cond).withColumn("city", F.lit(rule.city)), "available_bikes", pred, by=["city", "id_station"])
+        parts.append(m)
+    out = parts[0].unionByName(parts[1])
+    return out.select("city", "id_station", "rows", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "r2")])
+
+
+QUERIES["baseline_metrics_by_station"] = baseline_metrics_by_station
+
+
+def _station_metrics_sql() -> str:
+    def reg(rule, table_sql):
+        lags = list(rule.train_lags)
+        pred = "(" + " + ".join(f"CAST({c} AS DOUBLE)" for c in lags) + f") / {float(len(lags))}"
+        cond = " AND ".join(f"{c} IS NOT NULL" for c in lags)
+        y = "CAST(available_bikes AS DOUBLE)"
+        return f"""SELECT '{rule.city}' AS city, id_station, count(*) AS rows,
+              ROUND(sqrt(sum(({pred} - {y}) * ({pred} - {y})) / count(*)), 6) AS rmse,
+              ROUND(avg(abs({pred} - {y})), 6) AS mae,
+              ROUND(1.0 - sum(({pred} - {y}) * ({pred} - {y}))
+                    / NULLIF(sum({y} * {y}) - sum({y}) * sum({y}) / count(*), 0.0), 6) AS r2
+            FROM ({table_sql}) x WHERE {cond} GROUP BY id_station"""
+
+    bcn = f"WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Barcelona', 'day')}) {_lag_table_sql(BARCELONA)}"
+    snt = f"WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Santander', 'day')}) {_lag_table_sql(SANTANDER)}"
+    return f"{reg(BARCELONA, bcn)} UNION ALL {reg(SANTANDER, snt)}"
+
+
+ORACLE_SQL["baseline_metrics_by_station"] = _station_metrics_sql()
