@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockcast.config import (
@@ -163,6 +163,17 @@ def _lag_table(spark, sf_dir, rule):
     return feat.lag_training_table(events_history(spark, sf_dir), rule, TRAIN_UNIT)
 
 
+def _bike_baseline(spark: SparkSession, sf_dir: str, rule) -> tuple[DataFrame, Column]:
+    """Rows of a bike training table with every lag set, and the mean-of-lags prediction."""
+    t = _lag_table(spark, sf_dir, rule)
+    lags = list(rule.train_lags)
+    cond = F.lit(True)
+    for c in lags:
+        cond = cond & F.col(c).isNotNull()
+    pred = sum((F.col(c).cast("double") for c in lags), F.lit(0.0)) / F.lit(float(len(lags)))
+    return t.where(cond).withColumn("city", F.lit(rule.city)), pred
+
+
 def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2-A5 on the training tables for SQL baselines.
 
@@ -172,13 +183,8 @@ def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     parts = []
     for rule in (BARCELONA, SANTANDER):
-        t = _lag_table(spark, sf_dir, rule)
-        lags = list(rule.train_lags)
-        cond = F.lit(True)
-        for c in lags:
-            cond = cond & F.col(c).isNotNull()
-        pred = sum((F.col(c).cast("double") for c in lags), F.lit(0.0)) / F.lit(float(len(lags)))
-        m = regression_metrics(t.where(cond), "available_bikes", pred)
+        rows, pred = _bike_baseline(spark, sf_dir, rule)
+        m = regression_metrics(rows, "available_bikes", pred)
         parts.append(
             m.select(
                 F.lit(rule.city).alias("city"),
@@ -598,14 +604,8 @@ def baseline_metrics_by_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     a station whose labels are constant."""
     parts = []
     for rule in (BARCELONA, SANTANDER):
-        t = _lag_table(spark, sf_dir, rule)
-        lags = list(rule.train_lags)
-        cond = F.lit(True)
-        for c in lags:
-            cond = cond & F.col(c).isNotNull()
-        pred = sum((F.col(c).cast("double") for c in lags), F.lit(0.0)) / F.lit(float(len(lags)))
-        m = regression_metrics(t.where(cond).withColumn("city", F.lit(rule.city)), "available_bikes", pred, by=["city", "id_station"])
-        parts.append(m)
+        rows, pred = _bike_baseline(spark, sf_dir, rule)
+        parts.append(regression_metrics(rows, "available_bikes", pred, by=["city", "id_station"]))
     out = parts[0].unionByName(parts[1])
     return out.select("city", "id_station", "rows", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "r2")])
 
