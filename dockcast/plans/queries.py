@@ -78,6 +78,14 @@ def lag_lookup_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lk.select("request_id", "city", "station_id", "status", *SLOT_COLS)
 
 
+def lag_lookup_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1-J3 with the plan chosen from the data (largest task vs. a row bound)."""
+    params = RunParams(lag_unit=DAY, bucket_units=60, lookup_plan="auto", slot_seconds=3600)
+    v = validate_requests(events_requests(spark, sf_dir))
+    lk = lag_lookup(v, events_history(spark, sf_dir, LOOKUP_CITIES), params)
+    return lk.select("request_id", "city", "station_id", "status", *SLOT_COLS)
+
+
 def notification_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests landed as NGSI-LD notification JSON, parsed back."""
     req = events_requests(spark, sf_dir)
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "request_validation": request_validation,
     "lag_lookup_days": lag_lookup_days,
     "lag_lookup_two_level": lag_lookup_two_level,
+    "lag_lookup_auto": lag_lookup_auto,
     "notification_roundtrip": notification_roundtrip,
 }
 
@@ -128,6 +137,7 @@ ORACLE_SQL: dict[str, str] = {
     "request_validation": _validation_sql(),
     "lag_lookup_days": _lookup_sql(DAY),
     "lag_lookup_two_level": _lookup_sql(DAY),
+    "lag_lookup_auto": _lookup_sql(DAY),
     "notification_roundtrip": _notification_sql(),
 }
 
