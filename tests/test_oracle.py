@@ -23,7 +23,7 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_every_query_has_rows_or_is_ml(spark):
     qs = entry.queries()
-    missing = set(qs) - set(SQL)
+    missing = set(qs) - set(SQL) - set(entry.LLM_QUERIES)
     assert missing <= {"train_evaluate", "forecast_with_models"}
 
 
