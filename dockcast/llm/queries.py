@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.llm import decontam, langid, licenses, mixing, quality, token_files, token_rollup, vector_dedup
+from dockcast.llm import decontam, katz, langid, licenses, mixing, quality, token_files, token_rollup, vector_dedup
 from dockcast.llm.text import id_hash_mod, scratch
 
 
@@ -104,6 +104,12 @@ FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; learns from rows outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    return katz.score_texts(docs, held_out=id_hash_mod(F.col("doc_id"), 5) == 1)
+
+
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate links and components of every embedding."""
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
@@ -127,6 +133,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_katz": op7_katz,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from dockcast.llm import decontam, graph, langid, licenses, mixing, quality, token_files, token_rollup, vector_dedup
+from dockcast.llm import decontam, graph, katz, langid, licenses, mixing, quality, token_files, token_rollup, vector_dedup
 from dockcast.llm import queries as Q
 from dockcast.llm.text import scratch, shingle_set, word_hashes
 
@@ -253,6 +253,85 @@ def test_decontamination_against_brute_force(spark, odd, none):
     assert decontam.find_contamination(df, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+# --- op7 -------------------------------------------------------------------
+
+
+def katz_brute(rows):
+    """Per-token Katz scores from plain dictionaries; and the probability table."""
+    from collections import Counter
+
+    toks = [([w for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))] + ["</s>"], h) for _, t, h in rows]
+    uni, bi, ctx = Counter(), Counter(), Counter()
+    for ws, held in toks:
+        if not held:
+            uni.update(ws)
+            for a, b in zip(["<s>", *ws], ws):
+                bi[a, b] += 1
+                ctx[a] += 1
+
+    def discounts(c):
+        n = Counter(c.values())
+        d, a = {}, 2
+        if all(n[r] for r in range(1, 7)):
+            a = 6 * n[6] / n[1]
+            d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, 6)} if a < 1 else {}
+        if not d or not all(0 < x < 1 for x in d.values()):
+            d = {r: 1 - 0.5 / r for r in range(1, 6)}
+        return lambda r: d[r] * r if r <= 5 else r - 5 * (1 - d[5])
+
+    N, V = sum(uni.values()), len(uni)
+    du, db = discounts(uni), discounts(bi)
+    p1 = {w: du(c) / N for w, c in uni.items()}
+    unk = 1 - sum(p1.values()) if N else 1.0
+    after = {}
+    for (a, b), c in bi.items():
+        after.setdefault(a, {})[b] = db(c) / ctx[a]
+    alpha = {a: (1 - sum(m.values())) / (1 - sum(p1[b] for b in m)) for a, m in after.items()}
+
+    def p(a, b):
+        if b in after.get(a, ()):
+            return after[a][b]
+        return alpha.get(a, 1.0) * p1.get(b, unk)
+
+    out = []
+    for (i, _, held), (ws, _) in zip(rows, toks):
+        base = sum(np.log10((uni[w] + 0.5) / (N + 0.5 * (V + 1))) for w in ws)
+        score = sum(np.log10(p(a, b)) for a, b in zip(["<s>", *ws], ws))
+        out.append((i, held, len(ws), sum(w in uni for w in ws), N, base, score))
+    return out, p, [*uni, None], list(ctx)
+
+
+def check_katz(df, rows, held):
+    want, p, vocab, contexts = katz_brute(rows)
+    got = katz.score_texts(df, held_out=held).collect()
+    key = lambda r: (repr(r[0]), r[2], r[6])
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9, atol=1e-9)
+    return p, vocab, contexts
+
+
+def test_katz_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 3_000)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 5_000)
+    docs = table(spark, "documents")
+    rows = [(r.doc_id, r.text, crc_mod(r.doc_id, 5) == 1) for r in docs.collect()]
+    p, vocab, contexts = check_katz(docs, rows, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+    for a in ["<s>", "the", *contexts[:20]]:  # exactly normalised, the unseen word included
+        assert abs(sum(p(a, b) for b in vocab) - 1) < 1e-9
+    got = Q.op7_katz(spark, SF).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_katz_odd_rows(spark, odd, none):
+    rows = [(r[0], r[1], r[0] in (2, 7)) for r in ODD]
+    check_katz(odd, rows, F.col("doc_id").isin(2, 7))
+    assert katz.score_texts(none, held_out=F.lit(False)).count() == 0
+    lone = katz.score_texts(odd, held_out=F.lit(True)).collect()
+    assert len(lone) == len(ODD) and all(r.train_tokens == r.n_known == 0 and r.score == 0 for r in lone)
+
+
 # --- op8 -------------------------------------------------------------------
 
 
