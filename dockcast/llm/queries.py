@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.llm import decontam, katz, langid, licenses, mixing, quality, token_files, token_rollup, vector_dedup
+from dockcast.llm import decontam, katz, langid, licenses, mixing, ngram_join, quality, token_files, token_rollup, vector_dedup
 from dockcast.llm.text import id_hash_mod, scratch
 
 
@@ -24,6 +24,31 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score", "rejected")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 5, 0) + 2)) AS i FROM words WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = r
+)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollup totals after three batches: all documents as first seen (every fifth
     id under another source), their revisions, and the deletion of every seventh
@@ -129,6 +154,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_ngram_join": op2_ngram_join,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
@@ -138,4 +164,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
 }
-ORACLE_SQL = {"op3_token_counts": OP3_SQL, "op6_decontamination": OP6_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op3_token_counts": OP3_SQL, "op6_decontamination": OP6_SQL}

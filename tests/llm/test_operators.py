@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from dockcast.llm import decontam, graph, katz, langid, licenses, mixing, quality, token_files, token_rollup, vector_dedup
+from dockcast.llm import decontam, graph, katz, langid, licenses, mixing, ngram_join, quality, token_files, token_rollup, vector_dedup
 from dockcast.llm import queries as Q
 from dockcast.llm.text import scratch, shingle_set, word_hashes
 
@@ -100,6 +100,103 @@ def test_langid_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, {"langs": []}).collect()} == {"und"}
 
 
+# --- op2 -------------------------------------------------------------------
+
+
+def jaccard_brute(rows):
+    """(id, n, component) from all pairs of sets."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    comp = {i: i for i, _ in rows}
+    by_first = {}
+    for k, (i, _) in enumerate(rows):  # inverted lists: no pair without a common shingle
+        for s in sets[k]:
+            by_first.setdefault(s, []).append(k)
+    links = set()
+    for k in range(len(rows)):
+        for j in {j for s in sets[k] for j in by_first[s] if j > k}:
+            inter = len(sets[k] & sets[j])
+            if rows[k][0] is not None and rows[j][0] is not None and 100 * inter >= 75 * (len(sets[k]) + len(sets[j]) - inter):
+                links.add((rows[k][0], rows[j][0]))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(comp[a], comp[b])
+            changed |= comp[a] != low or comp[b] != low
+            comp[a] = comp[b] = low
+    return sorted(((i, len(s), comp[i]) for (i, _), s in zip(rows, sets)), key=repr)
+
+
+def check_join(df, rows):
+    got = sorted(map(tuple, ngram_join.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+    assert got == jaccard_brute(rows)
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_ENTRIES", 500)
+    monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 2_000)
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+
+
+def test_ngram_join_on_documents(spark, small_blocks):
+    docs = table(spark, "documents")
+    check_join(docs, [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def made_groups():
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    rows = []
+
+    def add(ws):
+        rows.append((len(rows) * 3, " ".join(ws)))
+
+    # copies of one text with few changes each: not all are similar to each other
+    base = [word() for _ in range(120)]
+    for _ in range(40):
+        ws = list(base)
+        for at in rng.choice(120, rng.integers(1, 4), replace=False):
+            ws[at] = word()
+        add(ws)
+    # a chain in which only neighbours are similar
+    chain = [word() for _ in range(100)]
+    for _ in range(12):
+        add(chain)
+        chain = [*chain[8:], *[word() for _ in range(8)]]
+    # one passage in many otherwise different texts, around the threshold
+    passage = [word() for _ in range(60)]
+    for k in range(30):
+        add([*passage, *[word() for _ in range(k)]])
+    for _ in range(3):
+        add(base)
+        add(["One", "two", "THREE"])
+        add(["one", "two", "three", "four", "five"])
+        add([word() for _ in range(30)])
+    return rows
+
+
+def test_ngram_join_on_made_groups(spark, small_blocks):
+    rows = made_groups()
+    check_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+
+
+def test_ngram_join_odd_rows(spark, odd, none):
+    check_join(odd, [(r[0], r[1]) for r in ODD])
+    assert ngram_join.jaccard_components(none).count() == 0
+    kept = ngram_join.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.count() == len(ODD)
+
+
+def test_tile_product_joins_components():
+    sets = [np.unique(np.array(x, np.uint64)) for x in ([1, 2, 3, 4], [1, 2, 3, 4], [2, 3, 4, 5], [9, 10], [1, 2, 3])]
+    got = ngram_join.tile_links(sets, [0, 0, 2, 3, 4])
+    assert got == [(0, 4)]  # 0 and 1 are one component; 3/5 and 2/5 are too little
+
+
 # --- op3 -------------------------------------------------------------------
 
 
