@@ -15,8 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DELIMS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+from dockcast.llm.text import NOT_ALNUM, count_words, single_blanks
 
 # fixed values: base phrases and their labels
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -29,13 +28,13 @@ NAMES = (
     ("apache-2.0", "apache", "apache (?:software )?licen[cs]e (?:version |v)?2(?: 0)?"),
     ("apache-1.1", "apache", "apache (?:software )?licen[cs]e (?:version |v)?1 1"),
     ("apache", "apache", "apache (?:software )?licen[cs]e"),
-    ("mit", "mit", "mit(?: x11)? licen[cs]e"),
-    ("mit-0", "mit", "mit no attribution(?: licen[cs]e)?"),
+    ("mit", "licen", "mit(?: x11)? licen[cs]e"),
+    ("mit-0", "no attribution", "mit no attribution(?: licen[cs]e)?"),
     ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[cs]e)?"),
     ("bsd", "bsd", "bsd(?: style)? licen[cs]e"),
-    ("isc", "isc", "isc licen[cs]e"),
+    ("isc", "licen", "isc licen[cs]e"),
     ("gpl-1.0", "general", "(?:gnu )?general public licen[cs]e(?: as published by the free software foundation)? (?:version |v)1"),
     ("gpl-2.0", "general", "(?:gnu )?general public licen[cs]e(?: as published by the free software foundation)? (?:version |v)2"),
     ("gpl-3.0", "general", "(?:gnu )?general public licen[cs]e(?: as published by the free software foundation)? (?:version |v)3"),
@@ -56,16 +55,16 @@ NAMES = (
     ("epl-1.0", "eclipse", "eclipse public licen[cs]e(?: (?:version |v))? ?1(?: 0)?"),
     ("epl-2.0", "eclipse", "eclipse public licen[cs]e(?: (?:version |v))? ?2(?: 0)?"),
     ("epl", "eclipse", "eclipse public licen[cs]e"),
-    ("cddl-1.0", "common", "common development and distribution licen[cs]e"),
-    ("cpl-1.0", "common", "common public licen[cs]e"),
+    ("cddl-1.0", "development and distribution", "common development and distribution licen[cs]e"),
+    ("cpl-1.0", "common public", "common public licen[cs]e"),
     ("eupl", "european", "european union public licen[cs]e(?: (?:version |v)?1 [0-2])?"),
     ("artistic-2.0", "artistic", "(?:perl )?artistic licen[cs]e (?:version |v)?2(?: 0)?"),
     ("artistic-1.0", "artistic", "(?:perl )?artistic licen[cs]e"),
     ("boost-1.0", "boost", "boost software licen[cs]e(?: (?:version |v)?1(?: 0)?)?"),
     ("zlib", "zlib", "zlib(?: libpng)? licen[cs]e"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("wtfpl", "want to", "do what the fuck you want to public licen[cs]e"),
-    ("odbl-1.0", "open", "open (?:data commons open )?database licen[cs]e"),
+    ("wtfpl", "fuck you want", "do what the fuck you want to public licen[cs]e"),
+    ("odbl-1.0", "database", "open (?:data commons open )?database licen[cs]e"),
     ("odc-by-1.0", "commons", "open data commons attribution licen[cs]e"),
     ("pddl-1.0", "public domain", "public domain dedication and licen[cs]e"),
     ("ofl-1.1", "open font", "(?:sil )?open font licen[cs]e(?: (?:version |v)?1 [01])?"),
@@ -75,11 +74,11 @@ NAMES = (
     ("ogl-uk", "government", "open government licen[cs]e(?: v?[123](?: 0)?)?"),
     ("postgresql", "postgresql", "postgresql licen[cs]e"),
     ("openssl", "openssl", "openssl licen[cs]e"),
-    ("php-3.01", "php", "php licen[cs]e"),
+    ("php-3.01", "licen", "php licen[cs]e"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[cs]e"),
-    ("afl-3.0", "academic", "academic free licen[cs]e"),
+    ("afl-3.0", "academic free", "academic free licen[cs]e"),
     ("osl-3.0", "open software", "open software licen[cs]e"),
-    ("upl-1.0", "universal", "universal permissive licen[cs]e"),
+    ("upl-1.0", "universal permissive", "universal permissive licen[cs]e"),
     ("openrail", "rail", "(?:creativeml )?open ?rail(?: ?\\+?m)?(?: licen[cs]e)?"),
 )
 
@@ -94,7 +93,7 @@ FORMS = (
 # label, keyword, pattern, weight: signatures that are no plain names
 SIGNATURES = (
     ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
-    ("mit", "as is", "the software is provided as is without warranty of any kind express or implied", 0.9),
+    ("mit", "warranty", "the software is provided as is without warranty of any kind express or implied", 0.9),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1.0),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 1.0),
     ("bsd-3-clause", "endorse", "neither the names? of .{1,80}? nor the names of its contributors may be used to endorse or promote products", 1.0),
@@ -125,7 +124,7 @@ SIGNATURES = (
     ("research-only", "research", "(?:for )?research (?:use|purposes) only", 0.85),
     ("evaluation-only", "evaluation", "(?:for )?evaluation (?:use|purposes) only", 0.85),
     ("personal-only", "personal", "(?:for )?personal (?:use|purposes) only", 0.85),
-    ("eula", "end user", "end user licen[cs]e agreement", 0.9),
+    ("eula", "agreement", "end user licen[cs]e agreement", 0.9),
     ("spdx", "spdx", "spdx licen[cs]e identifier [0-9a-z]+(?: [0-9a-z]+){0,3}", 1.0),
     ("permission", "permission", "(?:used|reprinted|reproduced) (?:with|by) permission", 0.7),
     ("warranty-disclaimer", "warrant", "without (?:any )?warrant(?:y|ies) (?:or conditions )?of any kind", 0.6),
@@ -150,10 +149,11 @@ def _creative_commons() -> list[tuple]:
         for v in ("1 0", "2 0", "2 5", "3 0", "4 0", ""):
             label = f"cc-{key}-{v.replace(' ', '.')}".rstrip("-")
             tail = f" (?:v|version )?{v}(?: international| unported| generic)?" if v else ""
-            out.append((label, "cc", f"cc {short}{tail}", 0.9))
-            out.append((label, "cc", f"{_UNDER}(?:an? )?cc {short}{tail}(?: {_LIC})?", 0.98))
-            out.append((label, "creative", f"creative commons {name}(?: {_LIC})?{tail}(?: {_LIC})?", 0.95))
-            out.append((label, "creativecommons", f"creativecommons org {_LIC}s {short}{tail}", 1.0))
+            # a keyword is any text that each match must hold; the rarer, the better
+            out.append((label, f"cc {short}", f"cc {short}{tail}", 0.9))
+            out.append((label, f"cc {short}", f"{_UNDER}(?:an? )?cc {short}{tail}(?: {_LIC})?", 0.98))
+            out.append((label, "creative commons", f"creative commons {name}(?: {_LIC})?{tail}(?: {_LIC})?", 0.95))
+            out.append((label, "creativecommons org", f"creativecommons org {_LIC}s {short}{tail}", 1.0))
     return out
 
 
@@ -220,18 +220,14 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     rows = table if table is not None else rules()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # keyword prefilter: lower() may only add false alarms for ASCII keywords
-    low = F.lower(F.col("text"))
-    gate = F.lit(False)
-    gates = {r["kw"] for r in rows if " " not in r["kw"]} | {w for r in rows if " " in r["kw"] for w in (max(r["kw"].split(), key=len),)}
-    gates |= {"general", "reserved"}
-    for kw in sorted(gates - {"cc"}):
-        gate = gate | F.contains(low, F.lit(kw))
-    gate = gate | low.rlike(r"(?<![0-9a-z])cc(?![0-9a-z])")
     upper, lower = string.ascii_uppercase, string.ascii_lowercase
-    norm = F.trim(F.regexp_replace(F.translate(F.col("text"), upper, lower), DELIMS, " "))
     df = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    df = df.select("doc_id", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("n_words"), F.when(gate, norm).alias("norm"))
+    df = df.select("doc_id", single_blanks(F.translate(F.col("text"), upper, lower), NOT_ALNUM).alias("norm"))
+    # keyword prefilter: one word of each keyword and base phrase, the longest
+    gate = F.concat(F.lit(" "), "norm", F.lit(" ")).contains(" cc ")
+    for kw in sorted({max(kw.split(), key=len) for kw in [*(r["kw"] for r in rows), *(p for p, _ in BASE)]} - {"cc"}):
+        gate = gate | F.contains("norm", F.lit(kw))
+    df = df.select("doc_id", count_words(F.col("norm")).alias("n_words"), F.when(gate, F.col("norm")).alias("norm"))
 
     # each word between blanks of its own, so that neighbours share none
     pad = F.concat(F.lit(" "), F.replace("norm", F.lit(" "), F.lit("  ")), F.lit(" "))

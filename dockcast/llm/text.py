@@ -136,6 +136,23 @@ def id_hash_mod(col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+# inside of a character class: what parts words
+SPACES = r"\x20\x09-\x0D"
+NOT_ALNUM = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+
+
+def single_blanks(text: Column, parting: str) -> Column:
+    """The words of a text between single blanks, JVM-side."""
+    return F.trim(F.regexp_replace(text, f"[{parting}]+", " "))
+
+
+def count_words(blanked: Column) -> Column:
+    """Number of words in the result of ``single_blanks``.  (Extracting the words
+    by a pattern would copy the text for each.)"""
+    blanks = F.length(blanked) - F.length(F.replace(blanked, F.lit(" "), F.lit("")))
+    return F.when(blanked == "", 0).otherwise(blanks + 1).cast("long")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
