@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dockcast.llm.text import sized_broadcast
+from dockcast.llm.text import SPACES, count_words, single_blanks, sized_broadcast
 
-WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK_TOKENS = 1 << 16
 ARMS, ROUNDS = 32, 6  # the exponent is found to 32 ** -6
 
@@ -120,7 +119,7 @@ def mix_sources(
     of its own.  Repeated rows are documents of their own.  Empty table: no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    n = F.regexp_count(text, F.lit(WORDS)).cast("long").alias("__tokens")
+    n = count_words(single_blanks(text, SPACES)).alias("__tokens")
     key = _key(F.col(source_col)).alias("__source")
     mixed = plan_mix(
         docs.select(key, n), budget_share=budget_share, repetition_limit=repetition_limit, target_entropy=target_entropy

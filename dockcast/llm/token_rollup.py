@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dockcast.llm.text import NOT_ALNUM, SPACES, count_words, single_blanks
 from dockcast.session import path_exists
 
 KEYS = ("source", "lang", "tokenizer")
-# tokenizer versions: word patterns counted JVM-side
-TOKENIZERS = {"space_words_v1": r"[^\x20\x09-\x0D]+", "alnum_words_v1": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}
+# tokenizer versions: what parts their words
+TOKENIZERS = {"space_words_v1": SPACES, "alnum_words_v1": NOT_ALNUM}
 
 LEDGER = "doc_id long, source string, lang string, tokenizer string, sign int, n_tokens long"
 ROLLUP = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -30,8 +31,8 @@ def token_counts(docs: DataFrame, *, id_col="doc_id", text_col="text", source_co
     """One row per document and tokenizer version; null texts have 0 tokens."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     counts = [
-        F.struct(F.lit(name).alias("tokenizer"), F.regexp_count(F.col("text"), F.lit(pat)).cast("long").alias("n_tokens"))
-        for name, pat in TOKENIZERS.items()
+        F.struct(F.lit(name).alias("tokenizer"), count_words(single_blanks(F.col("text"), parting)).alias("n_tokens"))
+        for name, parting in TOKENIZERS.items()
     ]
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), text.alias("text")
