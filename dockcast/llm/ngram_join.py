@@ -10,9 +10,10 @@ hashed column counts over all documents gives the order, and any order is right.
    column links its rows to the smallest one, never all rows with each other.
 2. Linked rows are compared: sizes and counts in 128 hash bins bound the overlap
    from above and discard most pairs; the rest is counted on the texts.
-3. Columns whose rows are not yet one component are multiplied out in tiles:
-   within a tile only rows of different components are compared, by the same
-   bounds, and then by accumulated overlap counts.
+3. Columns whose rows are not yet one component are gone through in tiles: only
+   rows of different components are compared, by the same bounds.  Few pairs left
+   are counted as in 2; columns with many are joined to groups, and a group's
+   incidence matrix is multiplied out tile by tile.
 4. Components of all links found give the result.
 """
 
@@ -182,7 +183,7 @@ def _bounded(batches):
         n, m = b.column("na").to_numpy(), b.column("nb").to_numpy()
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("xa", "xb"))
         ok = may_link(n, x, m, y)
-        yield b.filter(pa.array(ok)).select(["a", "b", "ra", "rb"])
+        yield b.filter(pa.array(ok)).select(["a", "b"])
 
 
 def _count_overlap(batches):
@@ -200,13 +201,20 @@ def _count_overlap(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def _texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the named sets.  An id with several texts has a row for each
+    and the readers drop those whose set has another name."""
+    ids = nodes.join(reps.select("node", "rep"), "node")
+    return _saved(docs.join(ids, docs["doc_id"] == ids["rep"]).select("node", "text"), "join-texts")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of nodes that link."""
-    side = lambda x: reps.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"x{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb", "xa", "xb")
-    left = _saved(both.mapInArrow(_bounded, "a long, b long, ra long, rb long"), f"{name}-bounded")
-    text = lambda x: docs.select(F.col("doc_id").alias(f"r{x}"), F.col("text").alias(f"t{x}"))
-    with_texts = left.join(text("b"), "rb").join(text("a"), "ra").select("a", "b", "ta", "tb")
+    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"x{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    left = _saved(both.mapInArrow(_bounded, "a long, b long"), f"{name}-bounded")
+    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    with_texts = left.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb")
     return _saved(with_texts.mapInArrow(_count_overlap, "a long, b long"), f"{name}-links")
 
 
@@ -282,7 +290,7 @@ def _labelled(nodes: DataFrame, col: str, comp: DataFrame, out: str) -> DataFram
 
 
 def _open_tiles(edges: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows (tile, node, rep, n, bins, comp) of columns that hold three or more
+    """Rows (tile, node, n, bins, comp) of columns that hold three or more
     rows of more than one component."""
     pairs = edges.select("a", "b").distinct()
     apart = _labelled(_labelled(pairs, "a", comp, "ca"), "b", comp, "cb").where("ca <> cb").select("a", "b")
@@ -297,10 +305,25 @@ def _open_tiles(edges: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame
     cols = cols.select("col", F.ceil(F.col("m") / TILE).cast("int").alias("chunks"))
     member = member.join(cols, "col").join(reps, "node")
     member = _labelled(member, "node", comp, "comp")
+    return _in_tiles(member, "col").select("tile", "node", "n", "bins", "comp")
+
+
+def _in_tiles(member: DataFrame, group: str) -> DataFrame:
+    """Rows of each group dealt to ``chunks`` parts, and a copy for each tile, that
+    is each pair of parts."""
     mine = F.pmod(F.xxhash64(F.lit(3), "node"), "chunks").cast("int")
     member = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tile = F.xxhash64("col", F.least("mine", "other"), F.greatest("mine", "other"))
-    return member.select(tile.alias("tile"), "node", "rep", "n", "bins", "comp")
+    return member.withColumn("tile", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other")))
+
+
+def _merged_tiles(tiles: DataFrame) -> DataFrame:
+    """Columns that share rows as one group, so that its rows meet once instead of
+    once for each column: rows (tile, node, comp)."""
+    low = tiles.groupBy("tile").agg(F.min("node").alias("low"))
+    star = tiles.join(low, "tile").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    member = _labelled(tiles.select("node", "comp").distinct(), "node", components(star), "group")
+    sizes = member.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    return _in_tiles(member.join(sizes, "group"), "group").select("tile", "node", "comp")
 
 
 def _column_ranks(spark: SparkSession, texts: DataFrame):
@@ -334,14 +357,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     asked = texts.mapInArrow(_first_columns(ranks, buckets), _ASK_DDL)
     edges = _saved(asked.groupBy("kind", "bucket").applyInPandas(_column_links, _EDGE_DDL), "join-columns", _EDGE_DDL)
 
+    linked_nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = _texts_of(linked_nodes, reps, texts)
     links = _verified(edges.select("a", "b").distinct(), reps, texts, "join")
     comp = components(links)
     tiles = _saved(_open_tiles(edges, comp, reps), "join-tiles")
-    bounded = tiles.select("tile", "node", "n", "bins", "comp").repartition("tile").sortWithinPartitions("tile")
+    bounded = tiles.repartition("tile").sortWithinPartitions("tile")
     bounded = _saved(bounded.mapInArrow(_tile_pairs, "tile long, a long, b long"), "join-tile-pairs")
     more = _verified(bounded.where("a is not null").select("a", "b").distinct(), reps, texts, "join-more")
-    full = tiles.join(bounded.where("a is null").select("tile"), "tile", "left_semi").select("tile", "node", "rep", "comp")
-    full = full.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("tile", "node", "comp", "text")
+    full = tiles.join(bounded.where("a is null").select("tile"), "tile", "left_semi").select("tile", "node", "comp")
+    full = _merged_tiles(full).join(texts, "node").select("tile", "node", "comp", "text")
     multiplied = full.repartition("tile").sortWithinPartitions("tile").mapInArrow(_multiply, "a long, b long")
     multiplied = _saved(multiplied, "join-products")
 
