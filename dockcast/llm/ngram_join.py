@@ -366,6 +366,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bounded = _saved(bounded.mapInArrow(_tile_pairs, "tile long, a long, b long"), "join-tile-pairs")
     more = _verified(bounded.where("a is not null").select("a", "b").distinct(), reps, texts, "join-more")
     full = tiles.join(bounded.where("a is null").select("tile"), "tile", "left_semi").select("tile", "node", "comp")
+    full = _saved(full, "join-full-tiles")
     full = _merged_tiles(full).join(texts, "node").select("tile", "node", "comp", "text")
     multiplied = full.repartition("tile").sortWithinPartitions("tile").mapInArrow(_multiply, "a long, b long")
     multiplied = _saved(multiplied, "join-products")
