@@ -119,24 +119,28 @@ def mix_sources(
     of its own.  Repeated rows are documents of their own.  Empty table: no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    n = count_words(single_blanks(text, SPACES)).alias("__tokens")
-    key = _key(F.col(source_col)).alias("__source")
+    cols = [
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _key(F.col(source_col)).alias("__source"),
+        count_words(single_blanks(text, SPACES)).alias("__tokens"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("__order"),
+    ]
+    # the texts are counted once; what follows works on a few numbers for each
+    counted = docs.select(*cols).checkpoint()
     mixed = plan_mix(
-        docs.select(key, n), budget_share=budget_share, repetition_limit=repetition_limit, target_entropy=target_entropy
+        counted, budget_share=budget_share, repetition_limit=repetition_limit, target_entropy=target_entropy
     ).select(
         F.col("__source").alias("__s"), "weight", "epochs", "whole", "part",
         F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).cast("long").alias("__blocks"),
     )
     mixed = sized_broadcast(mixed.checkpoint())
-    # the carried row is one struct, so its column names clash with nothing
-    kept = F.struct(*docs.columns) if carry else F.struct(F.col(source_col).alias("source"))
-    order = F.xxhash64(F.lit(seed), F.col(id_col)).alias("__order")
-    rows = docs.select(kept.alias("__row"), F.col(id_col).alias("doc_id"), key, n, order)
-    # one row per source: the join side is as small as the list of sources
-    rows = rows.join(mixed, rows["__source"] == mixed["__s"], "left").drop("__s")
-    rows = rows.withColumn("__block", F.coalesce(F.pmod(F.xxhash64(F.lit(seed + 1), "__order"), "__blocks"), F.lit(0)))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.join(mixed, rows["__source"] == mixed["__s"], "left").drop("__s")
+        return rows.withColumn("__block", F.coalesce(F.pmod(F.xxhash64(F.lit(seed + 1), "__order"), "__blocks"), F.lit(0)))
+
+    # a carried row is one struct, so its column names clash with nothing
+    rows = dealt(docs.select(F.struct(*docs.columns).alias("__row"), *cols) if carry else counted)
     # blocks in permuted order: their numbers are hashed anew
-    per_block = rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("t"))
+    per_block = dealt(counted).groupBy("__source", "__block").agg(F.sum("__tokens").alias("t"))
     turn = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 2), "__block"), "__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_block.select(
         F.col("__source").alias("__s"), F.col("__block").alias("__b"), F.coalesce(F.sum("t").over(turn), F.lit(0)).alias("__start")
@@ -149,7 +153,7 @@ def mix_sources(
     if carry:
         return rows.select("__row", "__copies")
     return rows.select(
-        "doc_id", "__row.source", F.col("__tokens").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"),
+        "doc_id", "source", F.col("__tokens").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"),
         F.coalesce("epochs", F.lit(0.0)).alias("epochs"), F.col("__copies").cast("int").alias("copies"),
         F.col("__block").alias("block"), F.col("__place").alias("place"),
     )
