@@ -51,9 +51,12 @@ def train_all(spark: SparkSession, tables_dir: str, model_dir: str, unit: int =
 
 
 def load_all(spark: SparkSession, model_dir: str) -> dict:
-    """The saved model of every city that has one."""
+    """The saved model of every city; a missing one stops the service here."""
     paths = {city: f"{model_dir.rstrip('/')}/{city.lower()}" for city in CITY_RULES}
-    return {city: load_model(p) for city, p in paths.items() if path_exists(spark, p)}
+    missing = [p for p in paths.values() if not path_exists(spark, p)]
+    if missing:
+        raise FileNotFoundError(f"no model in {', '.join(missing)}")
+    return {city: load_model(p) for city, p in paths.items()}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -81,7 +84,7 @@ def main(argv: list[str] | None = None) -> int:
     query = start_prediction_stream(
         spark,
         args.landing,
-        lambda: read_history(spark, args.history),
+        lambda since, until: read_history(spark, args.history, since, until),
         args.outbox,
         args.checkpoint,
         snapshot_dir=args.snapshot,

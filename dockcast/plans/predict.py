@@ -24,14 +24,14 @@ RESPONSE_INPUTS = (
 )
 
 
-def retain(history: DataFrame, as_of, hours: int = RETENTION_HOURS) -> DataFrame:
+def retain(history: DataFrame, as_of, hours: float = RETENTION_HOURS) -> DataFrame:
     """Readings newer than ``as_of - hours`` and not after ``as_of``.
 
     ``as_of`` is a literal timestamp (a stream batch time), so the bounds are
     constants and reach the Parquet scan as pushed filters.
     """
     now = ntz_literal(as_of)
-    return history.where((F.col("ts") > minus_seconds(now, hours * 3600)) & (F.col("ts") <= now))
+    return history.where((F.col("ts") > minus_seconds(now, round(hours * 3600))) & (F.col("ts") <= now))
 
 
 def predict(

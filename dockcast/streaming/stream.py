@@ -4,8 +4,9 @@ Notifications land as JSON lines in a folder (S1).  Each micro-batch goes
 through ``foreachBatch`` into exactly the batch plan (W2), so stream and
 batch answers are the same by construction:
 
-* "now" of a batch is one literal (``as_of``), so history retention (S5)
-  bounds are constants pushed into the Parquet scan;
+* "now" of a batch is one literal (``as_of``), kept for replays, so history
+  retention (S5) bounds are constants that prune day folders and are pushed
+  into the Parquet scan; the retention covers the largest lookback;
 * responses go to an outbox folder per batch id, written with overwrite, so
   a batch replayed after a failure replaces its own output (W4: idempotent,
   no duplicates across restarts; progress lives in the checkpoint);
@@ -17,6 +18,7 @@ batch answers are the same by construction:
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dockcast.config import CITY_RULES, RunParams
+from dockcast.config import CITY_RULES, NO_HISTORY, OK, RETENTION_HOURS, RunParams
 from dockcast.functions import ntz_literal
 from dockcast.operators.requests import extract_requests
 from dockcast.operators.responses import latest_per_key
@@ -37,10 +39,10 @@ def utc_now(_batch_id: int) -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
-def _latest_snapshot_dir(spark: SparkSession, snapshot_dir: str) -> str | None:
-    """Newest committed snapshot version (folders ``v=<batch_id>``)."""
+def _snapshots(spark: SparkSession, snapshot_dir: str) -> list[int]:
+    """Committed snapshot versions (folders ``v=<batch_id>``), ascending."""
     if not path_exists(spark, snapshot_dir):
-        return None
+        return []
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(snapshot_dir)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -49,48 +51,74 @@ def _latest_snapshot_dir(spark: SparkSession, snapshot_dir: str) -> str | None:
         name = st.getPath().getName()
         if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
             versions.append(int(name[2:]))
-    return f"{snapshot_dir}/v={max(versions)}" if versions else None
+    return sorted(versions)
 
 
 def _prune_snapshots(spark: SparkSession, snapshot_dir: str, keep: int) -> None:
-    """Drop committed snapshot versions older than the newest ``keep``."""
+    """Drop committed snapshot versions older than the newest ``keep`` (at least
+    two: a replay of the newest batch reads the one before it)."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(snapshot_dir)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(
-        (int(st.getPath().getName()[2:]), st.getPath())
-        for st in fs.listStatus(path)
-        if st.getPath().getName().startswith("v=")
-    )
-    for _, old in versions[:-keep] if keep > 0 else []:
-        fs.delete(old, True)
+    for old in _snapshots(spark, snapshot_dir)[: -max(keep, 2)]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{snapshot_dir}/v={old}"), True)
+
+
+def batch_time(spark: SparkSession, outbox_dir: str, batch_id: int, as_of: Callable[[int], dt.datetime]) -> dt.datetime:
+    """"Now" of a batch, kept beside the outbox: a replay answers with the same."""
+    path = f"{outbox_dir}/_as_of/{batch_id}"
+    if not path_exists(spark, path):
+        now = as_of(batch_id)
+        kept = spark.createDataFrame([(now.isoformat(),)], "as_of string").coalesce(1)
+        kept.write.mode("overwrite").text(path)
+        return now
+    return dt.datetime.fromisoformat(spark.read.text(path).first()[0])
+
+
+def history_seconds(params: RunParams, rules=CITY_RULES, retention_hours: int | None = None) -> int:
+    """How much history a batch reads: the retention, and never less than the
+    largest lookback in the run's unit."""
+    lookback = max((r.lookback for r in rules.values() if r.lookups), default=0) * params.lag_unit
+    if retention_hours is None:
+        return max(RETENTION_HOURS * 3600, lookback)
+    if retention_hours * 3600 < lookback:
+        raise ValueError(f"retention of {retention_hours} h is shorter than the lookback of {lookback} s")
+    return retention_hours * 3600
 
 
 def make_batch_scorer(
-    history: Callable[[], DataFrame],
+    history: Callable[[dt.datetime, dt.datetime], DataFrame],
     outbox_dir: str,
     snapshot_dir: str | None = None,
     predictor=None,
     params: RunParams = RunParams(),
     as_of: Callable[[int], dt.datetime] = utc_now,
-    retention_hours: int | None = 24,
+    retention_hours: int | None = None,
     rules=CITY_RULES,
     keep_snapshots: int = 3,
     outbox_format: str = "parquet",
 ):
-    """The ``foreachBatch`` function (also callable on a static DataFrame)."""
+    """The ``foreachBatch`` function (also callable on a static DataFrame).
+
+    ``history(since, until)`` reads the readings after ``since`` up to ``until``,
+    so a partitioned store is pruned to the days a batch can need; without
+    ``retention_hours`` the span follows from the lookback and the unit.
+    """
+    span = history_seconds(params, rules, retention_hours)
+    # one "now" for the whole batch: its bounds need no pass over the requests
+    params = dataclasses.replace(params, bound_history=False)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = as_of(batch_id)
-        requests = extract_requests(flatten_entities(batch), requested_at=ntz_literal(now)).persist()
+        requests = extract_requests(flatten_entities(batch)).persist()
         cached = [requests]
         try:
             if requests.isEmpty():  # W3
                 return
-            hist = history()
-            if retention_hours:
-                hist = retain(hist, now, retention_hours)
+            now = batch_time(spark, outbox_dir, batch_id, as_of)
+            requests = requests.withColumn("requested_at", ntz_literal(now))
+            since = now - dt.timedelta(seconds=span)
+            hist = retain(history(since, now), now, span / 3600)
             responses = predict(requests, hist, predictor, params, rules, with_lags=False).select(
                 "*", ntz_literal(now).alias("produced_at"), F.lit(batch_id).cast("long").alias("batch_id")
             )
@@ -107,9 +135,11 @@ def make_batch_scorer(
                 responses.write.mode("overwrite").parquet(out)
                 fresh = spark.read.parquet(out)
             if snapshot_dir:
-                prev_dir = _latest_snapshot_dir(spark, snapshot_dir)
-                entity = fresh.select("city", "idStation", "predictionValue", "predictionId", "status", "payload", "produced_at", "request_id")
-                both = entity if prev_dir is None else entity.unionByName(spark.read.parquet(prev_dir))
+                # a replay must not read the version that it writes
+                before = [v for v in _snapshots(spark, snapshot_dir) if v < batch_id]
+                # keys are known stations only, so clients can't grow it
+                entity = fresh.where(F.col("status").isin(OK, NO_HISTORY)).select("city", "idStation", "predictionValue", "predictionId", "status", "payload", "produced_at", "request_id")
+                both = entity.unionByName(spark.read.parquet(f"{snapshot_dir}/v={before[-1]}")) if before else entity
                 snap = latest_per_key(both, ["city", "idStation"], ["produced_at", "request_id"])
                 snap.write.mode("overwrite").parquet(f"{snapshot_dir}/v={batch_id}")
                 _prune_snapshots(spark, snapshot_dir, keep=keep_snapshots)
@@ -123,7 +153,7 @@ def make_batch_scorer(
 def start_prediction_stream(
     spark: SparkSession,
     landing_dir: str,
-    history: Callable[[], DataFrame],
+    history: Callable[[dt.datetime, dt.datetime], DataFrame],
     outbox_dir: str,
     checkpoint_location: str,
     snapshot_dir: str | None = None,
@@ -133,7 +163,7 @@ def start_prediction_stream(
     available_now: bool = False,
     interval: str = "1 second",
     max_files_per_trigger: int | None = None,
-    retention_hours: int | None = 24,
+    retention_hours: int | None = None,
     outbox_format: str = "parquet",
     keep_snapshots: int = 3,
 ) -> StreamingQuery:
