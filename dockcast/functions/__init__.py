@@ -10,7 +10,6 @@ from dockcast.functions.scalar import (  # noqa: F401
     occupancy_decile,
     parse_int,
     property_attr,
-    response_json,
     round_half_up_float,
     steps_to_target,
 )

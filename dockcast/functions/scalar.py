@@ -53,16 +53,10 @@ def round_half_up_float(p: Column | str) -> Column:
 
 
 def steps_to_target(target_hour: Column | str, now_hour: Column | str, step: int) -> Column:
-    """Model applications needed to reach ``target_hour`` from ``now_hour``."""
-    t, n = _c(target_hour), _c(now_hour)
-    ahead = F.when(n <= t, t - n).otherwise(t + 24 - n)
-    return _int_div(ahead, step) + 1
-
-
-def _int_div(x: Column, d: int) -> Column:
-    """Integer division truncating toward zero (the JVM rule)."""
-    q = F.abs(x).cast("long") / F.lit(d)
-    return (F.signum(x) * F.floor(q)).cast("int")
+    """Model applications needed to reach ``target_hour`` from ``now_hour``:
+    one, and one more for each full ``step`` of the hours ahead (modulo a day)."""
+    hours_ahead = F.pmod(_c(target_hour) - _c(now_hour), F.lit(24))
+    return (F.lit(1) + F.floor(hours_ahead / F.lit(step))).cast("int")
 
 
 def horizon_guard(n: Column | str, max_steps: int) -> Column:
@@ -85,27 +79,3 @@ def property_attr(value: Column) -> Column:
     """One NGSI-LD property: ``{"value": v, "type": "Property"}``."""
     return F.struct(value.alias("value"), F.lit(PROPERTY_TYPE).alias("type"))
 
-
-def response_json(
-    socket_id: Column,
-    prediction_id: Column,
-    prediction_value: Column,
-    id_station: Column,
-    weekday: Column,
-    hour: Column,
-    month: Column,
-    city: Column,
-) -> Column:
-    """The response entity as NGSI-LD attribute JSON, keys in reference order."""
-    return F.to_json(
-        F.struct(
-            property_attr(socket_id).alias("socketId"),
-            property_attr(prediction_id).alias("predictionId"),
-            property_attr(prediction_value).alias("predictionValue"),
-            property_attr(id_station).alias("idStation"),
-            property_attr(weekday).alias("weekday"),
-            property_attr(hour).alias("hour"),
-            property_attr(month).alias("month"),
-            property_attr(city).alias("city"),
-        )
-    )

@@ -15,19 +15,18 @@ def _c(c: Column | str) -> Column:
 
 
 def regression_metrics(df: DataFrame, label: Column | str, prediction: Column | str, by: list[str] = ()) -> DataFrame:
-    """A2 rmse, A3 mae, A4 r2 (1 - SSE/SST, SST from the same pass), plus row count."""
+    """A2 rmse, A3 mae, A4 r2 (1 - SSE/SST; null for constant labels), plus row count."""
     y, p = _c(label).cast("double"), _c(prediction).cast("double")
     err = p - y
     n = F.count(F.lit(1))
     sse = F.sum(err * err)
-    sy = F.sum(y)
-    syy = F.sum(y * y)
+    sst = F.var_pop(y) * n  # around the mean: sums of squares would cancel
     g = df.groupBy(*by) if by else df.groupBy()
     out = g.agg(
         n.alias("rows"),
         F.sqrt(F.try_divide(sse, n)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
-        (F.lit(1.0) - F.try_divide(sse, syy - F.try_divide(sy * sy, n))).alias("r2"),
+        F.when(F.max(y) > F.min(y), F.lit(1.0) - sse / sst).alias("r2"),
     )
     return out
 

@@ -116,8 +116,8 @@ FROM val v LEFT JOIN lk l USING (request_id)"""
 def _steps_sql(rule: CityRule) -> str:
     if rule.step is None:
         return "1"
-    ahead = "(CASE WHEN hour(requested_at) <= hour THEN hour - hour(requested_at) ELSE hour + 24 - hour(requested_at) END)"
-    n = f"(CAST({ahead} AS BIGINT) // {rule.step} + 1)"
+    # whole steps in the hours from the request to the target, around the clock
+    n = f"CAST(1 + ((24 + hour - hour(requested_at)) % 24) // {rule.step} AS BIGINT)"
     return f"(CASE WHEN {n} > {rule.max_steps} OR {n} <= 1 THEN 1 ELSE {n} END)"
 
 

@@ -6,6 +6,7 @@ full; none caps, samples or subsets rows.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,15 +23,15 @@ from dockcast.config import (
     SANTANDER,
     RunParams,
 )
-from dockcast.functions import iso_utc
+from dockcast.functions import iso_utc, ntz_literal
 from dockcast.operators import features as feat
 from dockcast.operators.forecast import MeanOfLags, ModelPredictor, forecast
-from dockcast.operators.lookup import SLOT_COLS, broadcast_if_small, lag_lookup, station_names
+from dockcast.operators.lookup import SLOT_COLS, lag_lookup, station_names
 from dockcast.operators.metrics import accuracy, regression_metrics
 from dockcast.operators.requests import extract_requests, validate_requests
 from dockcast.operators.responses import latest_per_key, shape_responses
 from dockcast.plans import oracle
-from dockcast.plans.predict import predict, retain
+from dockcast.plans.predict import RESPONSE_INPUTS, predict, retain
 from dockcast.plans.training import train_city
 from dockcast.sources.history import docs_from_history, normalise_history
 from dockcast.sources.notifications import entities_to_notifications, flatten_entities
@@ -205,9 +206,8 @@ def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     mt = training_table_malaga(spark, sf_dir)
     keys = ["name", "weekday", "hour"]
     slot_mean = mt.groupBy(*keys).agg(F.round(F.avg("occupation")).alias("prediction"))
-    # at most 10 x 7 x 24 slot means: broadcast after the size check (the
-    # training rows have only ten names, a sort-merge join would be skewed)
-    acc = accuracy(mt.join(broadcast_if_small(slot_mean), keys), "occupation", "prediction")
+    # at most 10 x 7 x 24 slot means: AQE broadcasts them once measured
+    acc = accuracy(mt.join(slot_mean, keys), "occupation", "prediction")
     parts.append(acc.select(F.lit(MALAGA.city).alias("city"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"), "rows"))
     out = parts[0]
     for p in parts[1:]:
@@ -310,9 +310,8 @@ def _metrics_sql() -> str:
         return f"""SELECT '{rule.city}' AS city, count(*) AS rows,
               sqrt(sum(({pred} - available_bikes) * ({pred} - available_bikes)) / count(*)) AS rmse,
               avg(abs({pred} - available_bikes)) AS mae,
-              1.0 - sum(({pred} - available_bikes) * ({pred} - available_bikes))
-                    / (sum(CAST(available_bikes AS DOUBLE) * available_bikes)
-                       - sum(CAST(available_bikes AS DOUBLE)) * sum(CAST(available_bikes AS DOUBLE)) / count(*)) AS r2
+              CASE WHEN min(available_bikes) < max(available_bikes) THEN
+                1.0 - avg(({pred} - available_bikes) * ({pred} - available_bikes)) / var_pop(available_bikes) END AS r2
             FROM ({table_sql}) x WHERE {cond}"""
 
     bcn = f"WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Barcelona', 'day')}) {_lag_table_sql(BARCELONA)}"
@@ -395,16 +394,15 @@ def station_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def response_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The response entity of each station as last written (latest request wins)."""
-    v = validate_requests(events_requests(spark, sf_dir))
-    scored = forecast(lag_lookup(v, events_history(spark, sf_dir), FLAGSHIP_PARAMS), MeanOfLags())
+    """The response entity of each station as last written (latest request
+    wins).  The winner depends on the request alone, so it is picked first and
+    only the winners are looked up and scored."""
+    v = validate_requests(events_requests(spark, sf_dir)).select(*RESPONSE_INPUTS)
+    key = F.coalesce(F.col("station_id").cast("string"), F.col("id_station"))
+    last = latest_per_key(v.withColumn("answer_key", key), ["city", "answer_key"], ["requested_at", "request_id"]).drop("answer_key")
+    scored = forecast(lag_lookup(last, events_history(spark, sf_dir, LOOKUP_CITIES), FLAGSHIP_PARAMS), MeanOfLags())
     shaped = shape_responses(scored, extra=("requested_at",))
-    snap = latest_per_key(
-        shaped.select("city", "idStation", "predictionValue", "predictionId", "status", "requested_at", "request_id"),
-        ["city", "idStation"],
-        ["requested_at", "request_id"],
-    )
-    return snap.select(
+    return shaped.select(
         "city", "idStation", "predictionValue", "predictionId", "status",
         iso_utc("requested_at").alias("produced_at"), "request_id",
     )
@@ -578,31 +576,40 @@ SELECT city, station_id, name || ', ' || city AS name FROM ({_stations_sql()}) s
 
 
 def history_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per station, over the retained 24 h, readings, filled 30-minute
-    slots and missing slots (48 expected).  Slots are counted with a grouped
-    aggregate on (city, station, slot) - partial aggregation keeps a hot
-    station cheap - then summed per station."""
+    """Per known station, over the 48 half-hour slots up to the latest
+    reading's slot, readings, filled slots and missing slots (0 to 48; a silent
+    station misses all).  One pass over the history: slots are counted per
+    (city, station, slot) - partially aggregated, so a hot station is cheap -
+    with all older readings of a station as one further group."""
     hist = events_history(spark, sf_dir)
     as_of = read_table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
     slots = RETENTION_HOURS * 60 // CADENCE_MINUTES
-    per_slot = retain(hist, as_of).groupBy(
-        "city", "station_id", F.window("ts", f"{CADENCE_MINUTES} minutes").start.alias("slot")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    if as_of is None:
+        return hist.groupBy("city", "station_id").agg(*[F.count("ts").alias(c) for c in ("readings", "filled_slots", "missing_slots")])
+    # the grid counts from midnight; the last slot is the one that holds as_of
+    day = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
+    end = day + ((as_of - day) // dt.timedelta(minutes=CADENCE_MINUTES) + 1) * dt.timedelta(minutes=CADENCE_MINUTES)
+    start = ntz_literal(end - dt.timedelta(hours=RETENTION_HOURS))
+    slot = F.when((F.col("ts") >= start) & (F.col("ts") < ntz_literal(end)), F.window("ts", f"{CADENCE_MINUTES} minutes").start)
+    per_slot = hist.groupBy("city", "station_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     return per_slot.groupBy("city", "station_id").agg(
-        F.sum("n").alias("readings"),
-        F.count(F.lit(1)).alias("filled_slots"),
-        (F.lit(slots) - F.count(F.lit(1))).alias("missing_slots"),
+        F.sum(F.when(F.col("slot").isNotNull(), F.col("n")).otherwise(0)).alias("readings"),
+        F.count("slot").alias("filled_slots"),
+        (F.lit(slots) - F.count("slot")).alias("missing_slots"),
     )
 
 
 QUERIES["history_cadence"] = history_cadence
 ORACLE_SQL["history_cadence"] = f"""WITH hist AS ({oracle.history_sql()}),
-kept AS (SELECT * FROM hist WHERE ts > (SELECT max(ts) FROM events) - INTERVAL {RETENTION_HOURS} HOUR AND ts <= (SELECT max(ts) FROM events)),
-per_slot AS (SELECT city, station_id, time_bucket(INTERVAL {CADENCE_MINUTES} MINUTE, ts) AS slot, count(*) AS n
-             FROM kept GROUP BY city, station_id, time_bucket(INTERVAL {CADENCE_MINUTES} MINUTE, ts))
-SELECT city, station_id, CAST(sum(n) AS BIGINT) AS readings, count(*) AS filled_slots,
-       {RETENTION_HOURS * 60 // CADENCE_MINUTES} - count(*) AS missing_slots
-FROM per_slot GROUP BY city, station_id"""
+grid AS (SELECT unnest(generate_series(last_slot - INTERVAL {RETENTION_HOURS * 60 - CADENCE_MINUTES} MINUTE, last_slot, INTERVAL {CADENCE_MINUTES} MINUTE)) AS slot
+         FROM (SELECT time_bucket(INTERVAL {CADENCE_MINUTES} MINUTE, max(ts)) AS last_slot FROM events)),
+stations AS (SELECT DISTINCT city, station_id FROM hist),
+counted AS (SELECT city, station_id, slot, count(ts) AS n
+            FROM stations CROSS JOIN grid LEFT JOIN hist USING (city, station_id)
+            WHERE ts >= slot AND ts < slot + INTERVAL {CADENCE_MINUTES} MINUTE GROUP BY city, station_id, slot)
+SELECT city, station_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS readings, count(slot) AS filled_slots,
+       (SELECT count(*) FROM grid) - count(slot) AS missing_slots
+FROM stations LEFT JOIN counted USING (city, station_id) GROUP BY city, station_id"""
 
 
 # --- A2-A4 per station ------------------------------------------------------
@@ -632,8 +639,8 @@ def _station_metrics_sql() -> str:
         return f"""SELECT '{rule.city}' AS city, id_station, count(*) AS rows,
               ROUND(sqrt(sum(({pred} - {y}) * ({pred} - {y})) / count(*)), 6) AS rmse,
               ROUND(avg(abs({pred} - {y})), 6) AS mae,
-              ROUND(1.0 - sum(({pred} - {y}) * ({pred} - {y}))
-                    / NULLIF(sum({y} * {y}) - sum({y}) * sum({y}) / count(*), 0.0), 6) AS r2
+              CASE WHEN min({y}) < max({y}) THEN
+                ROUND(1.0 - avg(({pred} - {y}) * ({pred} - {y})) / var_pop({y}), 6) END AS r2
             FROM ({table_sql}) x WHERE {cond} GROUP BY id_station"""
 
     bcn = f"WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Barcelona', 'day')}) {_lag_table_sql(BARCELONA)}"

@@ -35,3 +35,16 @@ def test_latest_per_key(spark):
     df = spark.createDataFrame(rows, "city string, idStation string, v int, produced_at timestamp_ntz, request_id long")
     got = {(r.city, r.idStation): r.v for r in latest_per_key(df, ["city", "idStation"], ["produced_at", "request_id"]).collect()}
     assert got == {("Barcelona", "1"): 7, ("Santander", "1"): 1}
+
+
+def test_r2_is_stable_and_null_for_constant_labels(spark):
+    from dockcast.operators.metrics import regression_metrics
+
+    rows = [(1e9 + i % 7, 1e9 + i % 7 + (0.5 if i % 2 else -0.5)) for i in range(70)]
+    y = [r[0] - 1e9 for r in rows]
+    mean = sum(y) / len(y)
+    want = 1 - 0.25 * len(y) / sum((v - mean) ** 2 for v in y)
+    got = regression_metrics(spark.createDataFrame(rows, "y double, p double"), "y", "p").first()
+    assert abs(got.r2 - want) < 1e-6
+    flat = spark.createDataFrame([(0.1, 0.2)] * 9, "y double, p double")
+    assert regression_metrics(flat, "y", "p").first().r2 is None
