@@ -85,16 +85,13 @@ def lag_training_table(history: DataFrame, rule: CityRule, unit: int = HOUR) ->
 def with_trend(table: DataFrame, profile: DataFrame) -> DataFrame:
     """Fill the Barcelona ``comp`` column with the D4 trend of (station, hour).
 
-    The profile has at most 24 rows per station; it is broadcast after a size
-    check, so a hot station in the training rows never meets a skewed
-    sort-merge join.
+    The profile has at most 24 rows per station: AQE broadcasts it where it
+    measures small, and splits a hot station's side of the join where not.
     """
-    from dockcast.operators.lookup import broadcast_if_small
-
     p = profile.where(F.col("city") == "Barcelona").select(
         F.col("station_id").alias("id_station"), "hour", F.col("trend").alias("_trend")
     )
-    joined = table.join(broadcast_if_small(p), ["id_station", "hour"], "left")
+    joined = table.join(p, ["id_station", "hour"], "left")
     return joined.withColumn("comp", F.col("_trend")).drop("_trend")
 
 
@@ -140,18 +137,10 @@ def malaga_training_table(lineitem: DataFrame, capacity: int = 50) -> DataFrame:
     ).withColumn("occupation", occupancy_decile("available"))
 
 
-def training_table(spark_tables: dict[str, DataFrame], rule: CityRule, unit: int = HOUR) -> DataFrame:
-    """The training table of one city from the loaded driver tables."""
-    if rule.city == "Malaga":
-        return malaga_training_table(spark_tables["lineitem"])
-    return lag_training_table(spark_tables["history"], rule, unit)
-
-
 __all__ = [
     "lag_training_table",
     "malaga_training_table",
     "resample",
     "station_profile",
-    "training_table",
     "with_trend",
 ]

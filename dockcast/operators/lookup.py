@@ -28,8 +28,6 @@ exactly at ``now`` is in the window, and equal timestamps are broken by
 
 from __future__ import annotations
 
-import dataclasses
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +69,6 @@ def lag_lookup(
         # bounds over all requests (a superset of the probed ones): only
         # requested_at is read, so validation work is pruned from this pass
         history = bound_history(history, requests, max(r.lookback for r in lrules.values()) * unit)
-    if params.lookup_plan == "auto":
-        params = dataclasses.replace(params, lookup_plan=choose_plan(history, params, rules))
 
     # --- probe rows: one per (request, slot) --------------------------------
     def ts_minus(seconds: int) -> str:
@@ -90,7 +86,7 @@ def lag_lookup(
     probe_case = "CASE city " + " ".join(f"WHEN '{c}' THEN {probes_of(r)}" for c, r in lrules.items()) + " END"
     payload_cols = [c for c in requests.columns if c not in ("city", "station_id", "status")]
     payload = [f"`{c}`" for c in payload_cols]
-    if params.lookup_plan == "two_level":
+    if params.lookup_plan in ("auto", "two_level"):
         looked_up = _two_level(needs, history, params, rules, payload_cols, probe_case, requests.columns)
         return _with_rest(looked_up, rest, rules, requests.columns)
     if params.lookup_plan != "window":
@@ -260,16 +256,6 @@ def _two_level(
     )
 
 
-def choose_plan(history: DataFrame, params: RunParams, rules: dict[str, CityRule] = CITY_RULES) -> str:
-    """Pick the lookup plan from the data: the window plan unless its largest
-    task - readings of one (city, station, bucket), copies included - would
-    exceed ``params.auto_max_rows_per_task``.  One count aggregate, partially
-    aggregated before its shuffle, so a hot key costs one row per map task."""
-    keyed = reading_rows(history, params, rules)
-    biggest = keyed.groupBy("city", "station_id", "bucket").count().agg(F.max("count")).first()[0] or 0
-    return "two_level" if biggest > params.auto_max_rows_per_task else "window"
-
-
 def bound_history(history: DataFrame, requests: DataFrame, lookback_seconds: int) -> DataFrame:
     """Keep only readings some probe can reach: ``(min(now) - D, max(now)]``.
 
@@ -319,20 +305,10 @@ def reading_rows(history: DataFrame, params: RunParams = RunParams(), rules: dic
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
-
-    The check is a bounded count (``limit(max_rows + 1)``), so it never scans
-    more than needed; beyond the bound the plain (shuffle) join is used.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def station_names(requests: DataFrame, stations: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def station_names(requests: DataFrame, stations: DataFrame) -> DataFrame:
     """Attach the station name by ``(city, station_id)``; unknown ids keep a null name."""
     dim = stations.select(F.col("city"), F.col("station_id"), F.col("name").alias("station_name"))
-    return requests.join(broadcast_if_small(dim, max_rows), ["city", "station_id"], "left")
+    return requests.join(dim, ["city", "station_id"], "left")
 
 
 def unknown_stations(requests: DataFrame, stations: DataFrame) -> DataFrame:

@@ -75,37 +75,29 @@ def usable_rows(table: DataFrame, rule: CityRule) -> DataFrame:
     return table.where(cond)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give MLlib at least one partition per core.
-
-    Tree training iterates over its (cached) input many times; an input read
-    from a few large files would keep those passes on a few cores.  Tables
-    that already have enough partitions are left as they are (no shuffle).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` to the shared checkpoint folder as Parquet and read it back.
 
     Tree training passes over its input several times (metadata, split
-    candidates, binned points); a checkpoint of the training table cuts the
-    lineage (the shuffles that built it are not redone after an executor
-    loss) and is read from the folder the cluster names in
-    ``spark.checkpoint.dir`` - never from a machine-local folder there.
+    candidates, binned points): the shuffles that built the table run once,
+    also after an executor loss.  It is dealt to ``spark.sql.shuffle.partitions``
+    parts, so the passes use the cluster whatever the input files were.
     """
+    import uuid
+
     from dockcast.session import checkpoint_dir
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/training-{uuid.uuid4().hex}"
+    df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def train_city(
     table: DataFrame, rule: CityRule, seed: int = 42, with_indexers: bool = False, checkpoint: bool = True
 ) -> Trained:
     """M5-M8: fit on the 80 % side, score the 20 % side, report metrics."""
-    rows = spread(usable_rows(table, rule))
+    rows = usable_rows(table, rule)
     if checkpoint:
         rows = materialise(rows)
     train, test = hash_split(rows)

@@ -24,19 +24,23 @@ def read_training_csv(spark: SparkSession, path: str, city: str, quarantine: boo
     so they can be set aside instead of silently training on nulls.
     """
     schema = TRAIN_SCHEMAS[city]
-    if quarantine:
-        schema = StructType(schema.fields + [StructField(CORRUPT, StringType())])
-    reader = spark.read.schema(schema).option("header", "true").option("delimiter", ",").option("mode", "PERMISSIVE")
-    if quarantine:
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.csv(path)
+    if not quarantine:
+        reader = spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
+        return reader.csv(path)
+    # lines are parsed as a column, so the raw text is a column like any other
+    names = ",".join(f.name for f in schema.fields)
+    line = F.regexp_replace("value", "^\ufeff", "")
+    lines = spark.read.text(path).select(line.alias("line")).where((F.col("line") != names) & (F.trim("line") != ""))
+    full = StructType(schema.fields + [StructField(CORRUPT, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    row = F.from_csv("line", full.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+    return lines.select(row.alias("r")).select("r.*")
 
 
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clean rows and quarantined rows of a ``read_training_csv`` result."""
     if CORRUPT not in df.columns:
         return df, df.limit(0)
-    # the corrupt-record column must be referenced from a materialised scan
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull())
 
 

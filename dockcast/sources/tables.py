@@ -67,20 +67,9 @@ def requests_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-_EVENTS_CACHE: dict = {}
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` scan, resolved once per session and folder.
-
-    Only the (lazy) DataFrame is reused - no data is cached - so history and
-    requests of one query share one file listing and footer read.
-    """
-    key = sf_dir.rstrip("/")
-    hit = _EVENTS_CACHE.get(key)
-    if hit is None or hit.sparkSession is not spark:
-        hit = _EVENTS_CACHE[key] = read_table(spark, sf_dir, "events")
-    return hit
+    """The ``events`` scan, listed anew at each call, so new files are read."""
+    return read_table(spark, sf_dir, "events")
 
 
 def events_history(spark: SparkSession, sf_dir: str, cities: list[str] | None = None) -> DataFrame:

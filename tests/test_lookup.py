@@ -148,16 +148,6 @@ def test_two_level_plan_shuffles_twice_no_join(spark):
     assert "Join" not in plan and "Cartesian" not in plan
 
 
-def test_broadcast_only_below_the_checked_bound(spark):
-    from dockcast.operators.lookup import broadcast_if_small
-
-    big = spark.range(50).withColumnRenamed("id", "k")
-    small = spark.range(5).withColumnRenamed("id", "k")
-    plan = lambda df: big.join(broadcast_if_small(df, max_rows=10), "k")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(small).lower()
-    assert "broadcast" not in plan(big.select("k")).lower()
-
-
 def test_unknown_stations_anti_join(spark):
     from dockcast.operators.lookup import station_names, unknown_stations
 
@@ -184,14 +174,9 @@ def test_history_is_bounded_to_the_requests_time_range(spark):
     assert got[1] == ([7, 7, 7, 7], OK)  # the 30-day-old reading is outside every window
 
 
-def test_auto_plan_switches_on_dense_tasks(spark):
-    from dockcast.operators.lookup import choose_plan
-
+def test_auto_plan_bounds_dense_tasks(spark):
     rnd = random.Random(5)
     history = [("Barcelona", 1, T0 + dt.timedelta(minutes=rnd.randint(0, 600)), rnd.randint(0, 9), i) for i in range(400)]
     requests = [(i, "Barcelona", 1, T0 + dt.timedelta(hours=rnd.randint(1, 10)), OK) for i in range(50)]
-    h = spark.createDataFrame(history, HIST_SCHEMA)
-    assert choose_plan(h, RunParams(auto_max_rows_per_task=100)) == "two_level"
-    assert choose_plan(h, RunParams(auto_max_rows_per_task=10_000)) == "window"
-    got, _ = run(spark, requests, history, RunParams(lookup_plan="auto", auto_max_rows_per_task=100, slot_seconds=300))
+    got, _ = run(spark, requests, history, RunParams(lookup_plan="auto", slot_seconds=300))
     assert got == brute(requests, history, HOUR)

@@ -27,9 +27,10 @@ def test_training_csv_bad_cell_is_quarantined(spark):
     p = os.path.join(d, "bcn.csv")
     _write(p, b"available_bikes,id_station,hour,three_before,six_before,nine_before,day,blank,comp\n"
               b"5,1,10,4,3,2,1,0,1\n6,x,11,5,4,3,1,0,-1\n")
-    clean, bad = split_quarantine(read_training_csv(spark, p, "Barcelona").cache())
+    clean, bad = split_quarantine(read_training_csv(spark, p, "Barcelona"))
     assert [r.available_bikes for r in clean.collect()] == [5]
-    assert bad.count() == 1
+    assert clean.count() == 1 and bad.count() == 1
+    assert [r._corrupt_record for r in bad.collect()] == ["6,x,11,5,4,3,1,0,-1"]
 
 
 def test_history_layouts_normalise(spark):
