@@ -25,7 +25,9 @@ from dockcast.llm.text import binary, pieces
 
 BLOCK_IDS = 1 << 18  # a block is closed once it holds so many ids
 SHARD_BYTES = 16 << 20  # of text, at most about so many for each shard
-CACHE_WORDS = 400_000  # distinct words whose ids a worker remembers
+CACHE_WORDS = 600_000  # distinct words whose ids a worker remembers
+# what may follow a word: signs that are tokens of their own after a letter
+_TAILS = b".,;:!?|)"
 END_ID = 1
 
 _BLOCK = pa.schema(
@@ -90,29 +92,68 @@ class Encoder:
         a, b = (self.tok.encode(x, add_special_tokens=False).ids for x in ("ab cd", "\tAB \n cD "))
         c = [i for x in ("ab", "cd") for i in self.tok.encode(x, add_special_tokens=False).ids]
         self.wordwise = a == b == c
-        self.known: dict[bytes, np.ndarray] = {}
+        self.is_end = np.zeros(self.vocab, bool)
+        self.is_end[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}  # ids as little-endian 32-bit integers
 
     def encode_all(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         if not self.wordwise:
             for t in texts:
                 yield self._whole(t)
             return
-        lists = [t.lower().split() if t and b"<|" not in t else None for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for ws in lists if ws for w in ws if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            # one call for many words, parted by a special token
-            ids = np.array(self.tok.encode(self.mark.join(w.decode() for w in part), add_special_tokens=False).ids, np.uint32)
-            for w, x in zip(part, np.split(ids, np.flatnonzero(ids == self.mark_id))):
-                self.known[w] = x[1:] if len(x) and x[0] == self.mark_id else x
-        empty = np.empty(0, np.uint32)
+        lists = [self._parts(t) if t and b"<|" not in t else None for t in texts]
+        known = self.known
+        new = list(set().union(*(ws for ws in lists if ws)).difference(known))
+        fresh = self._encode_words(new)
+        # a full memory holds the words seen first, among them the frequent ones
+        if len(known) < CACHE_WORDS:
+            known.update(fresh)
+            fresh = {}
         for t, ws in zip(texts, lists):
             if ws is None:
                 yield self._whole(t)
+            elif fresh:
+                yield np.frombuffer(b"".join([known.get(w) or fresh[w] for w in ws]), "<u4")
             else:
-                yield np.concatenate([self.known[w] for w in ws]) if ws else empty
+                yield np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4")
+
+    @staticmethod
+    def _parts(text: bytes) -> list[bytes]:
+        """Words, with the signs after an ASCII letter as words of their own."""
+        out = []
+        for w in text.lower().split():
+            if w[-1] in _TAILS:
+                head = w.rstrip(_TAILS)
+                if head and 0x61 <= head[-1] <= 0x7A:
+                    out += (head, w[len(head) :])
+                    continue
+            out.append(w)
+        return out
+
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of many words from few calls.  A word of letters is one piece, whose
+        last token is a word end; other words are parted by a special token."""
+        plain, other = [], []
+        for w in words:
+            x = w.decode()
+            (plain if x.isalpha() and x == x.lower() else other).append((w, x))
+        out = {}
+        for part, join, ends in ((plain, " ", True), (other, self.mark, False)):
+            for i in range(0, len(part), 20_000):
+                got = part[i : i + 20_000]
+                ids = np.array(self.tok.encode(join.join(x for _, x in got), add_special_tokens=False).ids, "<u4")
+                if ends:
+                    stop = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
+                    start = np.concatenate(([0], stop[:-1]))
+                else:
+                    at = 4 * np.flatnonzero(ids == self.mark_id)
+                    start, stop = np.concatenate(([0], at + 4)), np.append(at, 4 * len(ids))
+                if len(stop) != len(got):  # not as foreseen: word by word
+                    out.update((w, self._whole(w).astype("<u4").tobytes()) for w, _ in got)
+                    continue
+                data = ids.tobytes()
+                out.update((w, data[s:e]) for (w, _), s, e in zip(got, start.tolist(), stop.tolist()))
+        return out
 
     def _whole(self, t: bytes | None) -> np.ndarray:
         return np.array(self.tok.encode(t.decode(), add_special_tokens=False).ids if t else [], np.uint32)
