@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dockcast.llm.text import SPACES, count_words, single_blanks, sized_broadcast
+from dockcast.llm.text import SPACES, checkpointed, count_words, single_blanks, sized_broadcast
 
 BLOCK_TOKENS = 1 << 16
 ARMS, ROUNDS = 32, 6  # the exponent is found to 32 ** -6
@@ -77,7 +77,7 @@ def plan_mix(
     token budget as a share of all tokens.  Sources without tokens get no weight.
     """
     totals = counted.groupBy("__source").agg(F.count("*").alias("n_docs"), F.sum("__tokens").alias("tokens"))
-    totals = totals.checkpoint()
+    totals = checkpointed(totals)
     live = totals.where("tokens > 0")
     whole = live.agg(F.sum("tokens")).first()[0] or 0
     live = live.withColumn("share", F.col("tokens") / F.lit(float(max(whole, 1))))
@@ -124,14 +124,14 @@ def mix_sources(
         count_words(single_blanks(text, SPACES)).alias("__tokens"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("__order"),
     ]
     # the texts are counted once; what follows works on a few numbers for each
-    counted = docs.select(*cols).checkpoint()
+    counted = checkpointed(docs.select(*cols))
     mixed = plan_mix(
         counted, budget_share=budget_share, repetition_limit=repetition_limit, target_entropy=target_entropy
     ).select(
         F.col("__source").alias("__s"), "weight", "epochs", "whole", "part",
         F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).cast("long").alias("__blocks"),
     )
-    mixed = sized_broadcast(mixed.checkpoint())
+    mixed = sized_broadcast(checkpointed(mixed))
 
     def dealt(rows: DataFrame) -> DataFrame:
         rows = rows.join(mixed, rows["__source"] == mixed["__s"], "left").drop("__s")

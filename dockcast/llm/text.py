@@ -166,6 +166,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A small table kept in the shared checkpoint folder until it is garbage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def shipped(spark: SparkSession, value):
     """Broadcast a Python value whose size the caller has bounded."""
     return spark.sparkContext.broadcast(value)

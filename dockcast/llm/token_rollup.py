@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockcast.llm.text import NOT_ALNUM, SPACES, count_words, single_blanks
+from dockcast.llm.text import NOT_ALNUM, SPACES, checkpointed, count_words, single_blanks
 from dockcast.session import path_exists
 
 KEYS = ("source", "lang", "tokenizer")
@@ -89,6 +89,8 @@ class Rollup:
         done = self.committed()
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} is older than the committed batch {done[-1]}")
+        if upserts is not None:  # counting the texts is the costly part: once
+            upserts = checkpointed(upserts.select("doc_id", *KEYS, "n_tokens"))
         touched = [x.select(F.col("doc_id").cast("long").alias("gone")) for x in (upserts, deletes) if x is not None]
         if not touched:
             raise ValueError("a batch needs upserts or deletes")
