@@ -54,8 +54,10 @@ def round_half_up_float(p: Column | str) -> Column:
 
 def steps_to_target(target_hour: Column | str, now_hour: Column | str, step: int) -> Column:
     """Model applications needed to reach ``target_hour`` from ``now_hour``:
-    one, and one more for each full ``step`` of the hours ahead (modulo a day)."""
-    hours_ahead = F.pmod(_c(target_hour) - _c(now_hour), F.lit(24))
+    one, and one more for each full ``step`` of the hours ahead.  An hour that has
+    passed today is tomorrow's; hour 24 asked at midnight is a whole day ahead."""
+    tomorrow = (_c(target_hour) < _c(now_hour)).cast("int")
+    hours_ahead = _c(target_hour) - _c(now_hour) + F.lit(24) * tomorrow
     return (F.lit(1) + F.floor(hours_ahead / F.lit(step))).cast("int")
 
 

@@ -116,8 +116,9 @@ FROM val v LEFT JOIN lk l USING (request_id)"""
 def _steps_sql(rule: CityRule) -> str:
     if rule.step is None:
         return "1"
-    # whole steps in the hours from the request to the target, around the clock
-    n = f"CAST(1 + ((24 + hour - hour(requested_at)) % 24) // {rule.step} AS BIGINT)"
+    # whole steps between the request and the next time the target hour comes
+    gap = "date_diff('hour', date_trunc('day', requested_at) + to_hours(hour(requested_at)), date_trunc('day', requested_at) + to_hours(hour) + CASE WHEN hour(requested_at) > hour THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)"
+    n = f"(1 + {gap} // {rule.step})"
     return f"(CASE WHEN {n} > {rule.max_steps} OR {n} <= 1 THEN 1 ELSE {n} END)"
 
 

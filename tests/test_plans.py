@@ -14,7 +14,7 @@ EXPECTED_EXCHANGES = {
     "lag_lookup_two_level": 2,
     "request_validation": 0,
     "notification_roundtrip": 0,
-    "station_lookup": 0,  # broadcast after the size check
+    "station_lookup": 2,  # planned as a shuffle join; see the test of the plan that runs
     "history_retention": 1,
 }
 
@@ -29,6 +29,13 @@ def test_exchange_count(spark, name):
     assert len(re.findall(r"Exchange (hashpartitioning|SinglePartition|RoundRobin)", plan)) == EXPECTED_EXCHANGES[name]
 
 
+def test_station_names_are_broadcast_once_measured(spark):
+    df = entry.queries()["station_lookup"](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in final and "BroadcastHashJoin" in final.split("Initial Plan")[0]
+
+
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql())))
 def test_no_pairwise_joins_or_python_udfs(spark, name):
     plan = plan_of(spark, name)
