@@ -117,9 +117,11 @@ def malaga_training_table(lineitem: DataFrame, capacity: int = 50) -> DataFrame:
 
     free spots = capacity - quantity, ``available`` = free share,
     ``occupation`` = round((1 - available) * 10).  ``hour_interval`` is the
-    half-hour index of the day (0..47).
+    half-hour index of the day (0..47).  ``l_shipdate`` is always midnight, so the
+    minute of the day comes from the line's key.
     """
-    ts = F.col("l_shipdate")
+    minute = F.pmod(F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11, F.lit(1440)).cast("int")
+    ts = F.timestamp_add("MINUTE", minute, F.col("l_shipdate"))
     free = F.floor(F.lit(capacity) - F.col("l_quantity")).cast("int")
     return lineitem.select(
         F.pmod(F.col("l_suppkey"), F.lit(10)).cast("int").alias("name"),

@@ -33,7 +33,8 @@ def lag_features(rule: CityRule) -> list[str]:
 
 
 class MeanOfLags:
-    """Mean of the city's lag features; 0 for a city without lags.
+    """Mean of the city's lag features; for a city without lags a class 0..10 from
+    the calendar features, ``(station + weekday + hour) mod 11``.
 
     An *expression* predictor: ``sql`` maps the lag state (``s1..s4``)
     straight to a SQL expression, so each recursion step is one projection.
@@ -42,7 +43,7 @@ class MeanOfLags:
     def sql(self, rule: CityRule) -> str:
         slots = sorted(rule.slot_features)
         if not slots:
-            return "CAST(0.0 AS DOUBLE)"
+            return "CAST(pmod(station_id + _req_weekday + _req_hour, 11) AS DOUBLE)"
         total = " + ".join(f"CAST(s{slot} AS DOUBLE)" for slot in slots)
         return f"(({total}) / {float(len(slots))})"
 
@@ -112,11 +113,29 @@ def forecast(df: DataFrame, predictor, rules: dict[str, CityRule] = CITY_RULES)
     ``df`` needs ``city, station_id, id_station, hour, weekday, month,
     requested_at, status, slot1..slot4``.  Q7 (the target hour is fed to
     every step) and Q8 (intermediate predictions are rounded) are kept.
-    Every step is one projection for an expression predictor, and one
-    feature projection + one ``transform`` per city model otherwise.
-    Projections are written as SQL text: one JVM call each, so building the
-    plan stays cheap however many steps there are.
+    Every step is one projection for an expression predictor; models are
+    applied to the rows of their own city only, one feature projection and one
+    ``transform`` a step, and rows of unknown cities pass by.  The city is part of
+    the lookup's shuffle key, so each city's filter moves below the lookup.
     """
+    if hasattr(predictor, "sql"):
+        return _unrolled(df, predictor, rules)
+    parts = [_unrolled(df.where(F.col("city") == c), predictor, {c: r}) for c, r in rules.items()]
+    unknown = ~F.coalesce(F.col("city").isin(*rules), F.lit(False))
+    parts.append(
+        df.where(unknown).select(
+            "*", F.lit(None).cast("int").alias("steps"), F.lit(None).cast("double").alias("prediction")
+        )
+    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _unrolled(df: DataFrame, predictor, rules: dict[str, CityRule]) -> DataFrame:
+    """The recursion over rows of ``rules``' cities.  Projections are written as SQL
+    text: one JVM call each, so building the plan stays cheap however many steps."""
     original = df.columns
     max_steps = max(r.unrolled_steps for r in rules.values())
     carried = [c if c not in _CLASHING else f"_req_{c}" for c in original]

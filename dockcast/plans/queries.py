@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ from dockcast.operators.requests import extract_requests, validate_requests
 from dockcast.operators.responses import latest_per_key, shape_responses
 from dockcast.plans import oracle
 from dockcast.plans.predict import RESPONSE_INPUTS, predict, retain
-from dockcast.plans.training import train_city
+from dockcast.plans.training import load_model, save_model, train_city
 from dockcast.sources.history import docs_from_history, normalise_history
 from dockcast.sources.notifications import entities_to_notifications, flatten_entities
 from dockcast.sources.tables import events_history, events_requests, read_table
@@ -160,6 +163,13 @@ def training_table_barcelona(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("slot", iso_utc("slot_ts")).drop("slot_ts")
 
 
+def training_table_barcelona_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 in the reference's own unit: hours (most lags are null in this sparse history)."""
+    hist = events_history(spark, sf_dir)
+    t = feat.with_trend(feat.lag_training_table(hist, BARCELONA, HOUR), feat.station_profile(hist))
+    return t.withColumn("slot", iso_utc("slot_ts")).drop("slot_ts")
+
+
 def training_table_santander(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label and 5/10/15/20-unit lags per station and slot."""
     return feat.lag_training_table(events_history(spark, sf_dir), SANTANDER, TRAIN_UNIT).drop("slot_ts")
@@ -232,6 +242,7 @@ QUERIES.update(
     {
         "station_profile": station_profile,
         "training_table_barcelona": training_table_barcelona,
+        "training_table_barcelona_hourly": training_table_barcelona_hourly,
         "training_table_santander": training_table_santander,
         "training_table_malaga": training_table_malaga,
         "baseline_metrics": baseline_metrics,
@@ -267,10 +278,10 @@ def _lag_table_sql(rule, trunc: str = "day") -> str:
   FROM grid g {joins} WHERE g.available IS NOT NULL"""
 
 
-def _barcelona_table_sql() -> str:
+def _barcelona_table_sql(trunc: str = "day") -> str:
     return f"""
-WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Barcelona', 'day')}),
-prof AS ({_profile_sql()}), t AS ({_lag_table_sql(BARCELONA)})
+WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql('Barcelona', trunc)}),
+prof AS ({_profile_sql()}), t AS ({_lag_table_sql(BARCELONA, trunc)})
 SELECT t.available_bikes, t.id_station, CAST(hour(t.slot_ts) AS INTEGER) AS hour,
        t.three_before, t.six_before, t.nine_before, CAST(dayofweek(t.slot_ts) + 1 AS INTEGER) AS day,
        CAST(NULL AS INTEGER) AS blank, p.trend AS comp, strftime(t.slot_ts, {_ISO}) AS slot
@@ -288,18 +299,18 @@ def _malaga_table_sql() -> str:
     return f"""
 SELECT CAST(((l_suppkey % 10) + 10) % 10 AS INTEGER) AS name,
        CAST(floor(50 - l_quantity) AS INTEGER) AS availableSpotNumber,
-       strftime(l_shipdate, {_ISO}) AS timestamp,
-       CAST(dayofweek(l_shipdate) + 1 AS INTEGER) AS weekday,
+       strftime(ts, {_ISO}) AS timestamp,
+       CAST(dayofweek(ts) + 1 AS INTEGER) AS weekday,
        50 AS total,
-       CAST(day(l_shipdate) AS INTEGER) AS day,
-       CAST(month(l_shipdate) AS INTEGER) AS month,
-       CAST(hour(l_shipdate) AS INTEGER) AS hour,
-       CAST(minute(l_shipdate) AS INTEGER) AS minute,
-       CAST(hour(l_shipdate) * 2 + floor(minute(l_shipdate) / 30) AS INTEGER) AS hour_interval,
-       strftime(l_shipdate, '%H:%M') AS time,
+       CAST(day(ts) AS INTEGER) AS day,
+       CAST(month(ts) AS INTEGER) AS month,
+       CAST(hour(ts) AS INTEGER) AS hour,
+       CAST(minute(ts) AS INTEGER) AS minute,
+       CAST(hour(ts) * 2 + floor(minute(ts) / 30) AS INTEGER) AS hour_interval,
+       strftime(ts, '%H:%M') AS time,
        CAST(floor(50 - l_quantity) AS INTEGER) / 50.0 AS available,
        CAST(round((1.0 - CAST(floor(50 - l_quantity) AS INTEGER) / 50.0) * 10) AS INTEGER) AS occupation
-FROM lineitem"""
+FROM (SELECT *, l_shipdate + to_minutes(CAST((l_orderkey * 37 + l_linenumber * 11) % 1440 AS INTEGER)) AS ts FROM lineitem) l"""
 
 
 def _metrics_sql() -> str:
@@ -342,6 +353,7 @@ ORACLE_SQL.update(
     {
         "station_profile": f"WITH hist AS ({oracle.history_sql()}) {_profile_sql()}",
         "training_table_barcelona": _barcelona_table_sql(),
+        "training_table_barcelona_hourly": _barcelona_table_sql("hour"),
         "training_table_santander": _santander_table_sql(),
         "training_table_malaga": _malaga_table_sql(),
         "baseline_metrics": _metrics_sql(),
@@ -490,6 +502,119 @@ def forecast_with_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES.update({"train_evaluate": train_evaluate, "forecast_with_models": forecast_with_models})
 
 
+# --- the same training and scoring code, on inputs whose result SQL can state -
+
+# A tree that may split its few feature values fully predicts the mean (bikes) or
+# the most frequent class, ties to the smaller (parking), of each value's rows.
+_STATION_TREE = {"features": ("station_group",), "tree_depth": 9}
+FULL_TREE_RULES = {
+    "Barcelona": replace(BARCELONA, **_STATION_TREE),
+    "Santander": replace(SANTANDER, **_STATION_TREE),
+    "Malaga": replace(MALAGA, features=("name", "weekday"), tree_depth=15, num_trees=1),
+}
+
+
+def _full_trees(spark: SparkSession, sf_dir: str) -> dict:
+    """Every city's tree, fitted on the rows whose split key mod 10 is below 8."""
+    out = {}
+    for rule in (BARCELONA, SANTANDER):
+        t = _lag_table(spark, sf_dir, rule).withColumn("station_group", F.pmod("id_station", F.lit(10)))
+        key = F.date_diff("slot_ts", F.lit("1970-01-01").cast("date")) + F.col("id_station")
+        out[rule.city] = train_city(t, FULL_TREE_RULES[rule.city], split_key=key)
+    key = F.col("day") * 7 + F.col("minute") + F.col("availableSpotNumber")
+    out["Malaga"] = train_city(training_table_malaga(spark, sf_dir), FULL_TREE_RULES["Malaga"], split_key=key)
+    return out
+
+
+def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out rows scored by trees that were saved and loaded."""
+    out = None
+    for city, t in _full_trees(spark, sf_dir).items():
+        path = _scratch(spark, f"tree-{city}")
+        save_model(t.model, path)
+        rows = t.test_predictions.drop("features", "rawPrediction", "probability", "prediction")
+        rule = FULL_TREE_RULES[city]
+        scored = load_model(path).transform(rows).select(
+            F.lit(city).alias("city"),
+            F.col(rule.features[0]).alias("grp"),
+            (F.col("weekday") if "weekday" in rule.features else F.lit(0)).alias("weekday"),
+            F.col(rule.label).alias("label"),
+            F.round("prediction", 6).alias("prediction"),
+        )
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def tree_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6, M8: metrics of the same trees on the held-out rows."""
+    out = None
+    for t in _full_trees(spark, sf_dir).values():
+        out = t.metrics if out is None else out.unionByName(t.metrics)
+    return out.withColumn("value", F.round("value", 6))
+
+
+def forecast_model_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast through saved and loaded pipelines, which
+    state the baseline over the renamed model features."""
+    formula = {
+        r.city: f"({' + '.join(r.slot_features.values())}) / {float(len(r.slot_features))}D"
+        if r.slot_features
+        else "CAST(pmod(name + weekday + hour, 11) AS DOUBLE)"
+        for r in CITY_RULES.values()
+    }
+    models = {}
+    for city, sql in formula.items():
+        path = _scratch(spark, f"formula-{city}")
+        save_model(PipelineModel([SQLTransformer(statement=f"SELECT *, {sql} AS prediction FROM __THIS__")]), path)
+        models[city] = load_model(path)
+    hist = events_history(spark, sf_dir, LOOKUP_CITIES)
+    return predict(events_requests(spark, sf_dir), hist, ModelPredictor(models), FLAGSHIP_PARAMS)
+
+
+QUERIES.update(
+    {"tree_scores": tree_scores, "tree_metrics": tree_metrics, "forecast_model_path": forecast_model_path}
+)
+
+
+def _tree_ctes() -> str:
+    """Held-out rows with the mean or first most frequent class of their training group."""
+    parts = []
+    for rule in (BARCELONA, SANTANDER):
+        c = rule.city
+        parts.append(f"""t_{c} AS (WITH hist AS ({oracle.history_sql()}), grid AS ({_grid_sql(c, 'day')})
+  SELECT available_bikes AS label, id_station % 10 AS grp, 0 AS weekday,
+         (date_diff('day', DATE '1970-01-01', CAST(slot_ts AS DATE)) + id_station) % 10 < 8 AS train
+  FROM ({_lag_table_sql(rule)}) x),
+s_{c} AS (SELECT '{c}' AS city, t.grp, t.weekday, t.label, p.prediction FROM t_{c} t
+  JOIN (SELECT grp, avg(label) AS prediction FROM t_{c} WHERE train GROUP BY grp) p USING (grp) WHERE NOT train)""")
+    parts.append(f"""t_Malaga AS (SELECT name AS grp, weekday, occupation AS label,
+         (day * 7 + minute + availableSpotNumber) % 10 < 8 AS train FROM ({_malaga_table_sql()}) x),
+c_Malaga AS (SELECT grp, weekday, label, row_number() OVER (PARTITION BY grp, weekday ORDER BY count(*) DESC, label) AS place
+  FROM t_Malaga WHERE train GROUP BY grp, weekday, label),
+s_Malaga AS (SELECT 'Malaga' AS city, t.grp, t.weekday, t.label, CAST(c.label AS DOUBLE) AS prediction
+  FROM t_Malaga t JOIN c_Malaga c USING (grp, weekday) WHERE place = 1 AND NOT train)""")
+    return "WITH " + ",\n".join(parts)
+
+
+ORACLE_SQL.update(
+    {
+        "tree_scores": _tree_ctes()
+        + " SELECT city, grp, weekday, label, round(prediction, 6) AS prediction FROM ("
+        + " UNION ALL ".join(f"SELECT * FROM s_{c}" for c in CITY_RULES)
+        + ") s",
+        "tree_metrics": _tree_ctes()
+        + """, bikes AS (SELECT city, count(*) AS rows, sqrt(avg((prediction - label) * (prediction - label))) AS rmse,
+    avg(abs(prediction - label)) AS mae, 1 - avg((prediction - label) * (prediction - label)) / var_pop(label) AS r2
+  FROM (SELECT * FROM s_Barcelona UNION ALL SELECT * FROM s_Santander) s GROUP BY city)
+SELECT city, metric, round(value, 6) AS value, rows FROM (
+  SELECT city, 'rmse' AS metric, rmse AS value, rows FROM bikes UNION ALL SELECT city, 'mae', mae, rows FROM bikes
+  UNION ALL SELECT city, 'r2', r2, rows FROM bikes
+  UNION ALL SELECT city, 'accuracy', avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END), count(*) FROM s_Malaga GROUP BY city) m""",
+        "forecast_model_path": oracle.prediction_pipeline_sql(DAY),
+    }
+)
+
+
 # --- category indexing (M4) and the CSV connectors (S6, S7) -----------------
 
 

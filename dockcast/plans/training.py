@@ -14,7 +14,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockcast.config import CityRule
@@ -44,6 +44,8 @@ def build_pipeline(rule: CityRule, seed: int = 42, with_indexers: bool = False)
         stages.append(
             RandomForestClassifier(
                 numTrees=rule.num_trees,
+                maxDepth=rule.tree_depth,
+                bootstrap=rule.num_trees > 1,  # a single tree sees every row once
                 featureSubsetStrategy="all",
                 labelCol=rule.label,
                 featuresCol="features",
@@ -53,9 +55,12 @@ def build_pipeline(rule: CityRule, seed: int = 42, with_indexers: bool = False)
     return Pipeline(stages=stages)
 
 
-def hash_split(df: DataFrame, train_share: int = 8, buckets: int = 10) -> tuple[DataFrame, DataFrame]:
-    """M6: stable 80/20 split on a hash of the whole row (no shuffle, no seed drift)."""
-    h = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets))
+def hash_split(
+    df: DataFrame, train_share: int = 8, buckets: int = 10, key: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """M6: stable 80/20 split on an integer ``key``, or on a hash of the whole row
+    (no shuffle, no seed drift)."""
+    h = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]) if key is None else key, F.lit(buckets))
     return df.where(h < train_share), df.where(h >= train_share)
 
 
@@ -94,13 +99,18 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def train_city(
-    table: DataFrame, rule: CityRule, seed: int = 42, with_indexers: bool = False, checkpoint: bool = True
+    table: DataFrame,
+    rule: CityRule,
+    seed: int = 42,
+    with_indexers: bool = False,
+    checkpoint: bool = True,
+    split_key: Column | None = None,
 ) -> Trained:
     """M5-M8: fit on the 80 % side, score the 20 % side, report metrics."""
     rows = usable_rows(table, rule)
     if checkpoint:
         rows = materialise(rows)
-    train, test = hash_split(rows)
+    train, test = hash_split(rows, key=split_key)
     model = build_pipeline(rule, seed, with_indexers).fit(train)
     scored = model.transform(test)
     if rule.task == "regression":

@@ -43,7 +43,9 @@ def loop(row, predict_one):
 
 def mean_of_lags(rule, lags, row):
     slots = sorted(rule.slot_features)
-    return sum(lags[s - 1] for s in slots) / len(slots) if slots else 0.0
+    if not slots:
+        return float((row[2] + row[5] + row[4]) % 11)
+    return sum(lags[s - 1] for s in slots) / len(slots)
 
 
 def sample_rows(n=300, seed=3):
@@ -106,6 +108,26 @@ def test_tree_recursion_matches_step_by_step_transform(spark):
         assert math.isclose(got[row[0]], p, rel_tol=1e-12), row
 
 
+def test_models_see_rows_of_their_own_city_only(spark):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    def strict(city):  # fails on any other city's row
+        sql = f"CASE WHEN city = '{city}' THEN 7.0D ELSE CAST(raise_error('row of another city') AS DOUBLE) END"
+        return PipelineModel([SQLTransformer(statement=f"SELECT *, {sql} AS prediction FROM __THIS__")])
+
+    now = dt.datetime(2024, 1, 5, 3)
+    rows = sample_rows(30) + [
+        (1000, "Nowhere", 1, "1", 5, 1, 1, now, "unknown_city", None, None, None, None),
+        (1001, None, None, None, None, None, None, None, "malformed", None, None, None, None),
+        (1002, "Malaga", None, "x", 5, 1, 1, now, "malformed", None, None, None, None),
+    ]
+    got = forecast(spark.createDataFrame(rows, SCHEMA), ModelPredictor({c: strict(c) for c in CITY_RULES})).collect()
+    assert sorted(r.request_id for r in got) == sorted(r[0] for r in rows)
+    assert all(r.prediction == (7.0 if r.status == OK else None) for r in got)
+    assert all((r.steps is None) == (r.status != OK) for r in got)
+
+
 def test_step_count_for_every_hour_pair(spark):
     """C10 + F3 for all target hours 0..29 (24+ are invalid) and every current hour."""
     from pyspark.sql import functions as F
