@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ COUNTERS = 1 << 18  # of the column count table, whatever the corpus
 BLOCK_ENTRIES = 1 << 19  # first columns of one block of rows
 BUCKET_ENTRIES = 1 << 20
 TILE = 512
+MASK_BITS = 1 << 26  # of the table of ids whose texts are asked for, whatever the corpus
 
-_INFO_DDL = "doc_id long, n_shingles long, node long, bins binary"
+_INFO_DDL = "doc_id long, n_shingles long, node long, bins binary, slot int, n long"
 _ASK_DDL = "kind int, bucket long, keys binary, row binary, nodes binary, other binary"
 _EDGE_DDL = "col long, a long, b long"
 
@@ -74,24 +76,25 @@ def may_link(n, bins, m, others) -> np.ndarray:
 
 
 def _info(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bins", pa.binary())])
-    for b in pieces(batches, "text"):
-        out = []
-        for i, t in zip(b.column("doc_id").to_pylist(), binary(b, "text")):
-            s = shingle_set(t, WIDTH)
-            out.append((i, len(s), node_of(s) if len(s) else None, bins_of(s) if len(s) else None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+    """A row for each document, then the task's column counts (rows with a slot)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bins", pa.binary()), ("slot", pa.int32()), ("n", pa.int64())])
+    total = np.zeros(COUNTERS, np.int64)
 
+    def made(cols, rows):
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
-def _count_columns(batches):
-    schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
-    total = np.zeros(COUNTERS, np.int64)
     for b in pieces(batches, "text"):
+        sizes, nodes, bins, slots = [], [], [], []
         for t in binary(b, "text"):
             s = shingle_set(t, WIDTH)
-            np.add.at(total, (s % np.uint64(COUNTERS)).astype(np.int64), 1)
+            sizes.append(len(s))
+            nodes.append(node_of(s) if len(s) else None)
+            bins.append(bins_of(s) if len(s) else None)
+            slots.append((s % np.uint64(COUNTERS)).astype(np.int64))
+        total += np.bincount(np.concatenate(slots), minlength=COUNTERS)
+        yield made({"doc_id": b.column("doc_id"), "n_shingles": sizes, "node": nodes, "bins": bins}, b.num_rows)
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema)
+    yield made({"slot": at.astype(np.int32), "n": total[at]}, len(at))
 
 
 def _first_columns(sent, buckets: int):
@@ -191,28 +194,63 @@ def _count_overlap(batches):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for b in pieces(batches, "tb"):
         out, last, s = [], None, None
-        for a, c, ta, tb in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), binary(b, "ta"), binary(b, "tb")):
-            if ta != last:
-                last, s = ta, shingle_set(ta, WIDTH)
-            r = shingle_set(tb, WIDTH)
-            # an id with several texts joins all of them: only the named sets count
-            if node_of(s) == a and node_of(r) == c and linked(len(np.intersect1d(s, r, assume_unique=True)), len(s), len(r)):
+        for a, c, ta, tb in zip(*(b.column(x).to_pylist() for x in ("a", "b", "ta", "tb"))):
+            if a != last:
+                last, s = a, _unpacked_set(ta)
+            r = _unpacked_set(tb)
+            if linked(len(np.intersect1d(s, r, assume_unique=True)), len(s), len(r)):
                 out.append((a, c))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
 
 
-def _texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the named sets.  An id with several texts has a row for each
-    and the readers drop those whose set has another name."""
-    ids = nodes.join(reps.select("node", "rep"), "node")
-    return _saved(docs.join(ids, docs["doc_id"] == ids["rep"]).select("node", "text"), "join-texts")
+def _unpacked_set(packed: bytes) -> np.ndarray:
+    return shingle_set(zstandard.decompress(packed), WIDTH)
+
 
+def _packed_texts(sent):
+    """Documents whose id the mask names -> (node, compressed text)."""
+    schema = pa.schema([("node", pa.int64()), ("text", pa.binary())])
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    def run(batches):
+        mask, pack = sent.value, zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            slot = b.column("slot").to_numpy()
+            b = b.filter(pa.array((mask[slot >> 6] >> (slot & 63)) & 1 == 1))
+            for part in pieces([b], "text"):
+                nodes, texts = [], []
+                for t in binary(part, "text"):
+                    s = shingle_set(t, WIDTH)
+                    if len(s):
+                        nodes.append(node_of(s))
+                        texts.append(pack.compress(t))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], schema=schema)
+
+    return run
+
+
+def _texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """(node, text) of the named sets, texts compressed.  A bit mask of fixed size
+    over hashed ids picks the documents, so the others are never shuffled.  Rows
+    beyond the named sets (ids that share a bit, ids with several texts) match no
+    node that the readers join."""
+    ids = nodes.join(reps.select("node", "rep"), "node")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MASK_BITS).cast("long"))
+    bits = ids.select(slot("rep").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    bits = bits.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toPandas()
+    mask = np.zeros(MASK_BITS // 64, np.int64)
+    mask[bits["word"].to_numpy(dtype=np.int64)] = bits["bits"].to_numpy(dtype=np.int64)
+    picked = docs.select("text", slot("doc_id").alias("slot"))
+    if not mask.any():
+        picked = picked.limit(0)
+    return _saved(picked.mapInArrow(_packed_texts(shipped(docs.sparkSession, mask)), "node long, text binary"), name, "node long, text binary")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of nodes that link."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"x{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
     left = _saved(both.mapInArrow(_bounded, "a long, b long"), f"{name}-bounded")
+    texts = _texts_of(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, docs, f"{name}-texts")
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
     with_texts = left.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb")
     return _saved(with_texts.mapInArrow(_count_overlap, "a long, b long"), f"{name}-links")
@@ -274,14 +312,9 @@ def _multiply(batches):
     for b, offsets in sorted_groups(batches, "tile"):
         node, comp = b.column("node").to_numpy(), b.column("comp").to_numpy()
         for s, e in zip(offsets, offsets[1:]):
-            sets, at = [], []
-            for i, t in zip(range(s, e), b.column("text").slice(s, e - s).cast(pa.binary()).to_pylist()):
-                x = shingle_set(t, WIDTH)
-                if len(x) and node_of(x) == node[i]:
-                    sets.append(x)
-                    at.append(i)
-            got = tile_links(sets, [comp[i] for i in at]) if sets else []
-            yield pa.RecordBatch.from_arrays([pa.array([node[at[i]] for i, _ in got], pa.int64()), pa.array([node[at[j]] for _, j in got], pa.int64())], schema=schema)
+            sets = [_unpacked_set(t) for t in b.column("text").slice(s, e - s).to_pylist()]
+            got = tile_links(sets, list(comp[s:e]))
+            yield pa.RecordBatch.from_arrays([pa.array([node[s + i] for i, _ in got], pa.int64()), pa.array([node[s + j] for _, j in got], pa.int64())], schema=schema)
 
 
 def _labelled(nodes: DataFrame, col: str, comp: DataFrame, out: str) -> DataFrame:
@@ -326,9 +359,9 @@ def _merged_tiles(tiles: DataFrame) -> DataFrame:
     return _in_tiles(member.join(sizes, "group"), "group").select("tile", "node", "comp")
 
 
-def _column_ranks(spark: SparkSession, texts: DataFrame):
+def _column_ranks(spark: SparkSession, counts: DataFrame):
     """The table of column counts: its size is fixed, so it is broadcast."""
-    counts = texts.mapInArrow(_count_columns, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = counts.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     rank = np.zeros(COUNTERS, np.int64)
     rank[counts["slot"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
     return shipped(spark, rank)
@@ -345,20 +378,19 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    info = _saved(texts.mapInArrow(_info, _INFO_DDL), "join-rows", _INFO_DDL)
+    rows = _saved(texts.mapInArrow(_info, _INFO_DDL), "join-rows", _INFO_DDL)
+    info = rows.where("slot is null").drop("slot", "n")
     named = info.where("doc_id is not null and node is not null")
     reps = named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bins").alias("bins"))
     reps = _saved(reps, "join-reps")
     texts = texts.where("doc_id is not null and text is not null")
 
-    ranks = _column_ranks(spark, texts)
+    ranks = _column_ranks(spark, rows.where("slot is not null").select("slot", "n"))
     entries = info.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-entries // 4 // BUCKET_ENTRIES))
     asked = texts.mapInArrow(_first_columns(ranks, buckets), _ASK_DDL)
     edges = _saved(asked.groupBy("kind", "bucket").applyInPandas(_column_links, _EDGE_DDL), "join-columns", _EDGE_DDL)
 
-    linked_nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = _texts_of(linked_nodes, reps, texts)
     links = _verified(edges.select("a", "b").distinct(), reps, texts, "join")
     comp = components(links)
     tiles = _saved(_open_tiles(edges, comp, reps), "join-tiles")
@@ -367,7 +399,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     more = _verified(bounded.where("a is not null").select("a", "b").distinct(), reps, texts, "join-more")
     full = tiles.join(bounded.where("a is null").select("tile"), "tile", "left_semi").select("tile", "node", "comp")
     full = _saved(full, "join-full-tiles")
-    full = _merged_tiles(full).join(texts, "node").select("tile", "node", "comp", "text")
+    merged = _saved(_merged_tiles(full), "join-merged-tiles")
+    full = merged.join(_texts_of(merged.select("node").distinct(), reps, texts, "join-full-texts"), "node").select("tile", "node", "comp", "text")
     multiplied = full.repartition("tile").sortWithinPartitions("tile").mapInArrow(_multiply, "a long, b long")
     multiplied = _saved(multiplied, "join-products")
 
