@@ -8,8 +8,9 @@ hashed column counts over all documents gives the order, and any order is right.
 
 1. Blocks of rows send their first columns to column blocks; inside each block a
    column links its rows to the smallest one, never all rows with each other.
-2. Linked rows are compared: sizes and counts in 128 hash bins bound the overlap
-   from above and discard most pairs; the rest is counted on the texts.
+2. Linked rows are compared: sizes and counts in 128 hash bins, then in bins as
+   many as the set asks for, bound the overlap from above and discard most pairs;
+   the rest is counted on the texts.
 3. Columns whose rows are not yet one component are gone through in tiles: only
    rows of different components are compared, by the same bounds.  Few pairs left
    are counted as in 2; columns with many are joined to groups, and a group's
@@ -75,6 +76,22 @@ def may_link(n, bins, m, others) -> np.ndarray:
     return size & (full | linked(most, n, m))
 
 
+def fine_bins(s: np.ndarray) -> np.ndarray:
+    """As ``bins_of``, with one or two elements a bin on average: the bins of a
+    smaller set are sums of whole runs of a larger set's bins."""
+    k = max(7, (len(s) // 2).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8)
+
+
+def may_link_finely(x: np.ndarray, y: np.ndarray) -> bool:
+    """False where ``fine_bins`` of two sets rule a link out."""
+    if (x == 255).any() or (y == 255).any():
+        return True
+    k = min(len(x), len(y))
+    x, y = (v.reshape(k, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
+    return bool(linked(np.minimum(x, y).sum(), x.sum(), y.sum()))
+
+
 def _info(batches):
     """A row for each document, then the task's column counts (rows with a slot)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bins", pa.binary()), ("slot", pa.int32()), ("n", pa.int64())])
@@ -189,6 +206,17 @@ def _bounded(batches):
         yield b.filter(pa.array(ok)).select(["a", "b"])
 
 
+def _bounded_finely(batches):
+    """Pairs whose fine bins allow a link; long sets fill all the coarse bins."""
+    for b in pieces(batches, "xb"):
+        ok, last, x = [], None, None
+        for a, xa, xb in zip(*(b.column(c).to_pylist() for c in ("a", "xa", "xb"))):
+            if a != last:
+                last, x = a, _unpacked_bins(xa)
+            ok.append(may_link_finely(x, _unpacked_bins(xb)))
+        yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+
 def _count_overlap(batches):
     """Pairs that link, counted on their texts."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -207,9 +235,13 @@ def _unpacked_set(packed: bytes) -> np.ndarray:
     return shingle_set(zstandard.decompress(packed), WIDTH)
 
 
-def _packed_texts(sent):
-    """Documents whose id the mask names -> (node, compressed text)."""
-    schema = pa.schema([("node", pa.int64()), ("text", pa.binary())])
+def _unpacked_bins(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.uint8)
+
+
+def _packed(sent, what: str):
+    """Documents whose id the mask names -> (node, compressed text or fine bins)."""
+    schema = pa.schema([("node", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
         mask, pack = sent.value, zstandard.ZstdCompressor(level=3)
@@ -217,22 +249,22 @@ def _packed_texts(sent):
             slot = b.column("slot").to_numpy()
             b = b.filter(pa.array((mask[slot >> 6] >> (slot & 63)) & 1 == 1))
             for part in pieces([b], "text"):
-                nodes, texts = [], []
+                nodes, data = [], []
                 for t in binary(part, "text"):
                     s = shingle_set(t, WIDTH)
                     if len(s):
                         nodes.append(node_of(s))
-                        texts.append(pack.compress(t))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], schema=schema)
+                        data.append(pack.compress(t if what == "text" else fine_bins(s).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], schema=schema)
 
     return run
 
 
-def _texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """(node, text) of the named sets, texts compressed.  A bit mask of fixed size
-    over hashed ids picks the documents, so the others are never shuffled.  Rows
-    beyond the named sets (ids that share a bit, ids with several texts) match no
-    node that the readers join."""
+def _fetched(what: str, nodes: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """(node, data) of the named sets: their texts or fine bins, compressed.  A bit
+    mask of fixed size over hashed ids picks the documents, so the others are never
+    shuffled.  Rows beyond the named sets (ids that share a bit, ids with several
+    texts) match no node that the readers join, or repeat one."""
     ids = nodes.join(reps.select("node", "rep"), "node")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MASK_BITS).cast("long"))
     bits = ids.select(slot("rep").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
@@ -242,7 +274,18 @@ def _texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, name: str) ->
     picked = docs.select("text", slot("doc_id").alias("slot"))
     if not mask.any():
         picked = picked.limit(0)
-    return _saved(picked.mapInArrow(_packed_texts(shipped(docs.sparkSession, mask)), "node long, text binary"), name, "node long, text binary")
+    ddl = "node long, data binary"
+    return _saved(picked.mapInArrow(_packed(shipped(docs.sparkSession, mask), what), ddl), name, ddl)
+
+
+def _paired(pairs: DataFrame, data: DataFrame, col: str) -> DataFrame:
+    """The pairs (a, b) with the data of both ends."""
+    side = lambda x: data.select(F.col("node").alias(x), F.col("data").alias(f"{col}{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", f"{col}a", f"{col}b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
@@ -250,10 +293,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) ->
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"x{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
     left = _saved(both.mapInArrow(_bounded, "a long, b long"), f"{name}-bounded")
-    texts = _texts_of(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, docs, f"{name}-texts")
-    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    with_texts = left.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb")
-    return _saved(with_texts.mapInArrow(_count_overlap, "a long, b long"), f"{name}-links")
+    bins = _fetched("bins", _ends(left), reps, docs, f"{name}-bins")
+    left = _paired(left, bins, "x").mapInArrow(_bounded_finely, "a long, b long").distinct()
+    left = _saved(left, f"{name}-close")
+    texts = _fetched("text", _ends(left), reps, docs, f"{name}-texts")
+    return _saved(_paired(left, texts, "t").mapInArrow(_count_overlap, "a long, b long"), f"{name}-links")
 
 
 def _tile_pairs(batches):
@@ -312,7 +356,7 @@ def _multiply(batches):
     for b, offsets in sorted_groups(batches, "tile"):
         node, comp = b.column("node").to_numpy(), b.column("comp").to_numpy()
         for s, e in zip(offsets, offsets[1:]):
-            sets = [_unpacked_set(t) for t in b.column("text").slice(s, e - s).to_pylist()]
+            sets = [_unpacked_set(t) for t in b.column("data").slice(s, e - s).to_pylist()]
             got = tile_links(sets, list(comp[s:e]))
             yield pa.RecordBatch.from_arrays([pa.array([node[s + i] for i, _ in got], pa.int64()), pa.array([node[s + j] for _, j in got], pa.int64())], schema=schema)
 
@@ -400,7 +444,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     full = tiles.join(bounded.where("a is null").select("tile"), "tile", "left_semi").select("tile", "node", "comp")
     full = _saved(full, "join-full-tiles")
     merged = _saved(_merged_tiles(full), "join-merged-tiles")
-    full = merged.join(_texts_of(merged.select("node").distinct(), reps, texts, "join-full-texts"), "node").select("tile", "node", "comp", "text")
+    full = merged.join(_fetched("text", merged.select("node").distinct(), reps, texts, "join-full-texts"), "node")
+    full = full.select("tile", "node", "comp", "data")
     multiplied = full.repartition("tile").sortWithinPartitions("tile").mapInArrow(_multiply, "a long, b long")
     multiplied = _saved(multiplied, "join-products")
 

@@ -572,3 +572,22 @@ def test_licenses_against_brute_force(spark, odd, none):
 def test_licenses_plan_has_no_python(spark):
     plan = licenses.scan_licenses(table(spark, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_fine_bins_never_rule_out_a_link():
+    """Pairs at and above the threshold pass at every size, also across bin counts
+    and with full bins; unrelated long sets, which fill the coarse bins, don't."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 7, 200, 255, 256, 511, 512, 1023, 1024, 20_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        least = a[: -(-3 * len(a) // 4)]
+        more = np.unique(np.concatenate([a, rng.integers(0, 1 << 64, n // 3, dtype=np.uint64)]))
+        for b in (a, least, more):
+            assert ngram_join.linked(len(np.intersect1d(a, b)), len(a), len(b))
+            assert ngram_join.may_link_finely(ngram_join.fine_bins(a), ngram_join.fine_bins(b))
+            assert ngram_join.may_link_finely(ngram_join.fine_bins(b), ngram_join.fine_bins(a))
+    crowded = np.arange(300, dtype=np.uint64)  # all in one bin
+    assert ngram_join.may_link_finely(ngram_join.fine_bins(crowded), ngram_join.fine_bins(crowded[:230]))
+    x, y = (np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)) for _ in range(2))
+    assert ngram_join.may_link(len(x), np.frombuffer(ngram_join.bins_of(x), np.uint8), len(y), np.frombuffer(ngram_join.bins_of(y), np.uint8)[None])[0]
+    assert not ngram_join.may_link_finely(ngram_join.fine_bins(x), ngram_join.fine_bins(y))
