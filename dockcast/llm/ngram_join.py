@@ -20,8 +20,6 @@ hashed column counts over all documents gives the order, and any order is right.
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -139,8 +137,9 @@ def _first_columns(sent, buckets: int):
                 low = row[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]  # smallest row of the column
                 out = []
                 if not new.all():
-                    # links inside the block need no column block of their own
-                    bucket = int.from_bytes(os.urandom(4), "little") % buckets
+                    # links inside the block need no column block of their own; the bucket
+                    # follows from the rows, so that a task run again sends the same rows there
+                    bucket = int(names[0]) % buckets
                     out.append((1, bucket, to_planes(keys[~new]), to_planes(row[~new].astype(np.uint32)), to_planes(names), to_planes(low[~new].astype(np.uint32))))
                 keys, row = keys[new], row[new]
                 for b, i, j in slices(keys, buckets):
