@@ -113,7 +113,7 @@ class Encoder:
             if ws is None:
                 yield self._whole(t)
             elif fresh:
-                yield np.frombuffer(b"".join([known.get(w) or fresh[w] for w in ws]), "<u4")
+                yield np.frombuffer(b"".join([known[w] if w in known else fresh[w] for w in ws]), "<u4")
             else:
                 yield np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4")
 

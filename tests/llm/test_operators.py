@@ -270,6 +270,13 @@ def test_token_files_round_trip(spark, odd, none, monkeypatch):
     check_files(spark, none, [])
 
 
+def test_a_full_memory_knows_words_without_ids(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 1)
+    enc = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for t in ("one \u00a0 two", "new \u00a0 one", "\u00a0 \u3000 other"):  # the second finds the memory full
+        assert [x.tolist() for x in enc.encode_all([t.encode()])] == [ids[:-1] for _, ids in expected_tokens([(1, t)])]
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 20, 32])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001).astype(np.uint32)
