@@ -1,24 +1,29 @@
-"""Katz backoff language model of two words, scored over whole texts.
+"""Katz backoff language model of any order, scored over whole texts.
 
-Tokens are white-space words with A-Z lower-cased, then one end for each text.
-Counts come from the training rows.  Counts up to K get the Good-Turing discount of
-Katz; larger ones keep the absolute discount of count K, so that every context
-leaves some mass.  A pair that was not seen gets the context's backoff weight times
-the word's own probability; a word that was not seen shares what the discounts
-leave over.  The weights are computed from the very sums they must complete, so the
-probabilities after each context add up to one.
+Tokens are white-space words with A-Z lower-cased, then one end for each text; the
+first word stands after a start.  Counts come from the training rows.  Counts up to
+K get the Good-Turing discount of Katz; larger ones keep the absolute discount of
+count K, so that every context leaves some mass.  An n-gram that was not seen gets
+its context's backoff weight times the probability after a context shorter by one
+word, and so on down to the word alone; a word that was not seen shares what the
+discounts leave over.  The weights are computed from the very sums they must
+complete, so the probabilities after each context add up to one.
 
 Texts are first written as blocks of token streams (about a million tokens with
-their own vocabulary).  Words, pairs and contexts of all blocks are then summed by
-key in buckets and each block gets back the totals of its own keys (``blocks``):
-what is shuffled is one entry for each distinct pair and block, however hot a word,
-a pair or a text is.  The totals of the three exchanges are tables in the shared
-folder, partitioned by block.
+their own vocabulary).  N-grams and contexts of all blocks are then summed by key in
+buckets and each block gets back the totals of its own keys (``blocks``): what is
+shuffled is one entry for each distinct n-gram and block, however hot a word, an
+n-gram or a text is.
+
+The model is stored in two tables, counts and backoff weights, each with a folder
+for each order; a row is a bucket's sorted keys and their values.  Texts that had no
+part in the training are scored from these tables alone.
 """
 
 from __future__ import annotations
 
 import os
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,18 +39,22 @@ BLOCK_TOKENS = 1 << 20
 BUCKET_TOKENS = 1 << 21
 # keys of the end token and of the context that stands before the first word
 END, START = np.uint64(1), np.uint64(2)
-WORD, PAIR = 0, 1
+WORD = 0  # kind of a single word; that of an n-gram is n - 1
+MODEL = -1  # block number of the model's own rows
 
 _BLOCK_DDL = "block long, ids array<long>, held array<boolean>, lengths array<long>, vocab binary, tokens binary, n long"
 _ASK_DDL = "kind int, bucket long, block long, keys binary, counts binary"
 _SUMS = [*(f"n{r}" for r in range(1, K + 2)), "types", "tokens", "tail_types", "tail_tokens"]
-_TOLD_DDL = "kind int, bucket long, block long, counts binary, own binary, " + ", ".join(f"{c} long" for c in _SUMS)
+_ANSWER_DDL = "kind int, bucket long, block long, counts binary, own binary"
+_MODEL_DDL = "kind int, bucket long, block long, keys binary, value binary"
+_SUMS_DDL = ", ".join(f"{c} long" for c in _SUMS)
+_TOLD_DDL = f"{_ANSWER_DDL}, keys binary, value binary, {_SUMS_DDL}"
 _PART_DDL = (
-    "bucket long, block long, keys binary, seen binary, lower binary, total binary, need binary, ids array<long>, "
+    "kind int, bucket long, block long, keys binary, seen binary, lower binary, total binary, need binary, ids array<long>, "
     "held array<boolean>, lengths array<long>, known array<long>, base array<double>, part array<double>, "
     "gap_doc binary, gap_context binary, gap_count binary"
 )
-_WEIGHT_DDL = "bucket long, block long, weights binary"
+_WEIGHT_DDL = "kind int, bucket long, block long, weights binary, keys binary, value binary"
 _OUT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -77,27 +86,48 @@ class Order:
         return np.where(counts > K, counts - self.off, self.discount[low] * counts)
 
 
-def _stream(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """vocabulary keys, tokens, contexts (both as vocabulary positions), document of each token."""
+def _stream(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """vocabulary keys, tokens, contexts (both as vocabulary positions), document of
+    each token and its place in there."""
     vocab = keys_from_bytes(row["vocab"])
     tokens = from_planes(row["tokens"], np.uint32).astype(np.int64)
     lengths = np.asarray(row["lengths"], np.int64)
     doc = np.repeat(np.arange(len(lengths)), lengths)
+    starts = np.cumsum(lengths) - lengths
     context = np.empty_like(tokens)
     context[1:] = tokens[:-1]
-    context[np.cumsum(lengths) - lengths] = np.searchsorted(vocab, START)
-    return vocab, tokens, context, doc
-
-
-def _pairs(vocab, tokens, context) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs sorted by key: keys, context, word; and the pair of each token."""
-    both, where = np.unique(context * len(vocab) + tokens, return_inverse=True)
-    c, w = both // len(vocab), both % len(vocab)
-    keys = mix(vocab[c] * np.uint64(_BASE) + vocab[w])
-    order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return keys[order], c[order], w[order], rank[where]
+    context[starts] = np.searchsorted(vocab, START)
+    return vocab, tokens, context, doc, np.arange(len(tokens)) - starts[doc]
+
+
+class Level(NamedTuple):
+    """Distinct n-grams of a block, sorted by key."""
+
+    keys: np.ndarray
+    context: np.ndarray  # all but the last word, as a position in the level below
+    lower: np.ndarray  # all but the first word, likewise
+    where: np.ndarray  # the n-gram that ends at each token; -1 where the text has none
+
+
+def _levels(vocab, tokens, context, place, order: int) -> list[Level]:
+    """The n-grams of 1 .. ``order`` words; the start counts as a word."""
+    out = [Level(vocab, np.empty(0, np.int64), np.empty(0, np.int64), tokens)]
+    for k in range(2, order + 1):
+        below = out[-1]
+        here = np.flatnonzero(place >= k - 2)
+        before = context if k == 2 else below.where[here - 1]
+        both, found = np.unique(before * len(vocab) + tokens[here], return_inverse=True)
+        c, w = both // len(vocab), both % len(vocab)
+        keys = mix(below.keys[c] * np.uint64(_BASE) + vocab[w])
+        by_key = np.argsort(keys, kind="stable")
+        rank = np.empty(len(by_key), np.int64)
+        rank[by_key] = np.arange(len(by_key))
+        where = np.full(len(tokens), -1, np.int64)
+        where[here] = rank[found]
+        lower = np.empty(len(keys), np.int64)
+        lower[where[here]] = below.where[here]
+        out.append(Level(keys[by_key], c[by_key], lower, where))
+    return out
 
 
 def _make_blocks(batches):
@@ -135,46 +165,51 @@ def _rows(batches):
             yield {c: b.column(c)[i].as_py() for c in b.schema.names}
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, order: int):
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         for row in _rows(batches):
-            vocab, tokens, context, doc = _stream(row)
+            vocab, tokens, context, doc, place = _stream(row)
             learn = (~np.asarray(row["held"], bool))[doc].astype(np.float64)
-            words = np.bincount(tokens, learn, minlength=len(vocab))
-            # the start is counted as often as a learned text begins
-            words[np.searchsorted(vocab, START)] = len(row["held"]) - sum(row["held"])
-            pairs, _, _, where = _pairs(vocab, tokens, context)
-            for kind, keys, counts in ((WORD, vocab, words), (PAIR, pairs, np.bincount(where, learn, minlength=len(pairs)))):
-                counts = counts.astype(np.uint32)
-                out = [(kind, b, row["block"], keys_to_bytes(keys[i:j]), to_planes(counts[i:j])) for b, i, j in slices(keys, buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            for kind, level in enumerate(_levels(vocab, tokens, context, place, order)):
+                here = level.where >= 0
+                counts = np.bincount(level.where[here], learn[here], minlength=len(level.keys)).astype(np.uint32)
+                if kind == WORD:
+                    # the start is counted as often as a learned text begins
+                    counts[np.searchsorted(vocab, START)] = len(row["held"]) - sum(row["held"])
+                out = [(kind, b, row["block"], keys_to_bytes(level.keys[i:j]), to_planes(counts[i:j])) for b, i, j in slices(level.keys, buckets)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
 def _tell(group: pd.DataFrame) -> pd.DataFrame:
-    """Totals of a bucket's keys, for each block that asked, and counts of counts."""
+    """Totals of a bucket's keys, for each block that asked; then the model's row
+    with all seen keys and the counts of counts."""
     group = group.sort_values("block")
+    kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
     all_keys = Merged([keys_from_bytes(k) for k in group["keys"]])
     total = all_keys.sums([from_planes(c, np.uint32).astype(np.float64) for c in group["counts"]])
     per_entry = total[all_keys.group]
-    answer = {
-        "kind": group["kind"].to_numpy(),
-        "bucket": group["bucket"].to_numpy(),
-        "block": group["block"].to_numpy(),
-        "counts": [to_planes(x.astype(np.uint64)) for x in all_keys.split(per_entry)],
-        "own": [np.packbits(x).tobytes() for x in all_keys.split(all_keys.first & (per_entry > 0))],
-    }
-    out = pd.DataFrame(answer)
-    real = total[(all_keys.keys != START) & (total > 0)] if group["kind"].iloc[0] == WORD else total[total > 0]
+    own = all_keys.split(all_keys.first & (per_entry > 0))
+    told = [
+        {"kind": kind, "bucket": bucket, "block": b, "counts": to_planes(x.astype(np.uint64)), "own": np.packbits(o).tobytes()}
+        for b, x, o in zip(group["block"], all_keys.split(per_entry), own)
+    ]
+    seen = total > 0
+    real = total[(all_keys.keys != START) & seen] if kind == WORD else total[seen]
     tail = real[real > K]
     sums = [*((real == r).sum() for r in range(1, K + 2)), len(real), real.sum(), len(tail), tail.sum()]
-    for c, v in zip(_SUMS, sums):
-        out[c] = 0
-        out.loc[out.index[0], c] = int(v)  # once for each bucket
-    return out
+    model = {"kind": kind, "bucket": bucket, "block": MODEL, "keys": keys_to_bytes(all_keys.keys[seen]), "value": to_planes(total[seen].astype(np.uint64))}
+    return _frame([*told, model | {c: int(v) for c, v in zip(_SUMS, sums)}], _TOLD_DDL)
+
+
+def _frame(rows: list[dict], ddl: str) -> pd.DataFrame:
+    """Rows as the columns of ``ddl``; what is missing is null."""
+    cols = [c.split()[0] for c in ddl.split(", ")]
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in cols})
 
 
 def _gather(told: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,85 +217,120 @@ def _gather(told: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
     mine = told[told["kind"] == kind].sort_values("bucket")
     counts = [from_planes(c, np.uint64) for c in mine["counts"]]
     own = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)).astype(bool) for o, c in zip(mine["own"], counts)]
-    return np.concatenate(counts).astype(np.float64), np.concatenate(own)
+    return np.concatenate([np.empty(0), *counts]).astype(np.float64), np.concatenate([np.empty(0, bool), *own])
 
 
-def _score_seen(words: Order, pairs: Order, buckets: int):
+def _score_seen(orders: list[Order], buckets: int):
     """Scores all but the backoff weights, and asks for those."""
 
     def run(key, blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         row = blocks.iloc[0].to_dict()
-        vocab, tokens, context, doc = _stream(row)
+        vocab, tokens, context, doc, place = _stream(row)
         n_docs = len(row["lengths"])
-        start = np.searchsorted(vocab, START)
+        words = orders[WORD]
         count, _ = _gather(told, WORD)
-        pair_count, own = _gather(told, PAIR)
-        _, pair_context, pair_word, where = _pairs(vocab, tokens, context)
-
-        n = max(words.tokens, 1)
-        prob = np.where(count > 0, words.reduced(count) / n, words.left)  # of a word alone
+        prob = np.where(count > 0, words.reduced(count) / max(words.tokens, 1), words.left)  # of a word alone
         base = np.log10((count + 0.5) / (words.tokens + 0.5 * (words.types + 1)))
-        # a start is no token
         known = count > 0
         with np.errstate(divide="ignore"):
-            log_prob = np.log10(prob)
-        seen = pair_count > 0
-        ctx = count[pair_context]
-        value = log_prob[pair_word].copy()
-        value[seen] = np.log10(pairs.reduced(pair_count[seen]) / ctx[seen])
-        gap = ~seen & (ctx > 0)  # the context was seen: its backoff weight is due
-
-        # what each context has given away, from the pairs that this block owns
-        given = np.bincount(pair_context[own], pairs.reduced(pair_count[own]), minlength=len(vocab))
-        lower = np.bincount(pair_context[own], prob[pair_word[own]], minlength=len(vocab))
-        has = np.bincount(pair_context[own], minlength=len(vocab)) > 0
-        need = np.zeros(len(vocab), bool)
-        need[pair_context[gap]] = True
-        send = np.flatnonzero(has | need)
-        keys = vocab[send]
-        out = [
-            {
-                "bucket": b, "block": row["block"], "keys": keys_to_bytes(keys[i:j]), "seen": to_planes(given[send][i:j]),
-                "lower": to_planes(lower[send][i:j]), "total": to_planes(count[send][i:j].astype(np.uint64)), "need": np.packbits(need[send][i:j]).tobytes(),
-            }
-            for b, i, j in slices(keys, buckets)
-        ]
-        # tokens that wait for a weight, by document and context
-        waiting = np.flatnonzero(gap[where])
-        pos = np.cumsum(need) - 1
-        cell, times = np.unique(doc[waiting] * len(vocab) + context[waiting], return_counts=True)
+            value = np.log10(prob)[tokens]
+
+        out, gaps, held = [], [], 0
+        levels = _levels(vocab, tokens, context, place, len(orders))
+        for kind, level in enumerate(levels[1:], 1):
+            below, above = len(levels[kind - 1].keys), count
+            count, own = _gather(told, kind)
+            seen = count > 0
+            ctx = above[level.context]
+            gap = ~seen & (ctx > 0)  # the context was seen: its backoff weight is due
+            # what each context has given away, from the n-grams that this block owns
+            cut = orders[kind].reduced(count)
+            given = np.bincount(level.context[own], cut[own], minlength=below)
+            lower = np.bincount(level.context[own], prob[level.lower[own]], minlength=below)
+            has = np.bincount(level.context[own], minlength=below) > 0
+            need = np.zeros(below, bool)
+            need[level.context[gap]] = True
+            prob = np.zeros(len(count))
+            prob[seen] = cut[seen] / ctx[seen]
+            hit = np.flatnonzero(level.where >= 0)
+            hit = hit[seen[level.where[hit]]]
+            value[hit] = np.log10(prob[level.where[hit]])
+            send = np.flatnonzero(has | need)
+            keys = levels[kind - 1].keys[send]
+            out += [
+                {
+                    "kind": kind, "bucket": b, "block": row["block"], "keys": keys_to_bytes(keys[i:j]), "seen": to_planes(given[send][i:j]),
+                    "lower": to_planes(lower[send][i:j]), "total": to_planes(above[send][i:j].astype(np.uint64)), "need": np.packbits(need[send][i:j]).tobytes(),
+                }
+                for b, i, j in slices(keys, buckets)
+            ]
+            # tokens that wait for a weight, and its place among those that come back
+            waits = np.flatnonzero(level.where >= 0)
+            waits = waits[gap[level.where[waits]]]
+            gaps.append((doc[waits], held + (np.cumsum(need) - 1)[level.context[level.where[waits]]]))
+            held += int(need.sum())
+        # a token waits once for each order that was not seen: what is seen in one is seen in all lower ones
+        cell = np.concatenate([np.empty(0, np.int64), *(d * held + at for d, at in gaps)])
+        cell, times = np.unique(cell, return_counts=True)
         out.append(
             {
                 "bucket": -1, "block": row["block"], "ids": row["ids"], "held": row["held"], "lengths": row["lengths"],
                 "known": np.bincount(doc, known[tokens], minlength=n_docs).astype(np.int64),
-                "base": np.bincount(doc, base[tokens], minlength=n_docs), "part": np.bincount(doc, value[where], minlength=n_docs),
-                "gap_doc": to_planes((cell // len(vocab)).astype(np.uint32)), "gap_context": to_planes(pos[cell % len(vocab)].astype(np.uint32)),
+                "base": np.bincount(doc, base[tokens], minlength=n_docs), "part": np.bincount(doc, value, minlength=n_docs),
+                "gap_doc": to_planes((cell // max(held, 1)).astype(np.uint32)), "gap_context": to_planes((cell % max(held, 1)).astype(np.uint32)),
                 "gap_count": to_planes(times.astype(np.uint32)),
             }
         )
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _PART_DDL.split(", ")]).astype(object).where(lambda d: d.notna(), None)
+        return _frame(out, _PART_DDL)
 
     return run
 
 
 def _weigh(group: pd.DataFrame) -> pd.DataFrame:
-    """log10 backoff weights of a bucket's contexts, for each block that needs some."""
+    """log10 backoff weights of a bucket's contexts, for each block that needs some;
+    then the model's row with all of them."""
     group = group.sort_values("block")
+    kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
     merged = Merged([keys_from_bytes(k) for k in group["keys"]])
-    given = merged.sums([from_planes(x, np.float64) for x in group["seen"]])[merged.group]
-    lower = merged.sums([from_planes(x, np.float64) for x in group["lower"]])[merged.group]
-    total = np.concatenate([from_planes(x, np.uint64) for x in group["total"]]).astype(np.float64)
+    given = merged.sums([from_planes(x, np.float64) for x in group["seen"]])
+    lower = merged.sums([from_planes(x, np.float64) for x in group["lower"]])
+    total = np.empty(len(merged.keys))
+    total[merged.group] = np.concatenate([from_planes(x, np.uint64) for x in group["total"]])
     with np.errstate(divide="ignore", invalid="ignore"):
         weight = np.log10((1 - given / total) / (1 - lower))
     out = []
-    for x, need in zip(merged.split(weight), group["need"]):
-        out.append(to_planes(x[np.unpackbits(np.frombuffer(need, np.uint8), count=len(x)).astype(bool)]))
-    return pd.DataFrame({"bucket": group["bucket"].to_numpy(), "block": group["block"].to_numpy(), "weights": out})
+    for b, x, need in zip(group["block"], merged.split(weight[merged.group]), group["need"]):
+        x = x[np.unpackbits(np.frombuffer(need, np.uint8), count=len(x)).astype(bool)]
+        out.append({"kind": kind, "bucket": bucket, "block": b, "weights": to_planes(x)})
+    out.append({"kind": kind, "bucket": bucket, "block": MODEL, "keys": keys_to_bytes(merged.keys), "value": to_planes(weight)})
+    return _frame(out, _WEIGHT_DDL)
+
+
+def _look_up(dtype, name: str, ddl: str):
+    """Values that the model's row of a bucket has for the keys of the blocks; 0 for others."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        mine = group["block"] == MODEL
+        keys, values = np.empty(0, np.uint64), np.empty(0, dtype)
+        for k, v in zip(group["keys"][mine], group["value"][mine]):
+            keys, values = keys_from_bytes(k), from_planes(v, dtype)
+        out = []
+        for kind, bucket, block, k in group.loc[~mine, ["kind", "bucket", "block", "keys"]].itertuples(index=False):
+            k = keys_from_bytes(k)
+            got = np.zeros(len(k), dtype)
+            at = np.searchsorted(keys, k)
+            hit = np.flatnonzero(at < len(keys))
+            hit = hit[keys[at[hit]] == k[hit]]
+            got[hit] = values[at[hit]]
+            out.append({"kind": kind, "bucket": bucket, "block": block, name: to_planes(got), "own": np.packbits(np.zeros(len(k), bool)).tobytes()})
+        return _frame(out, ddl)
+
+    return run
 
 
 def _finish(key, parts: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
     row = parts.iloc[0]
-    weight = [from_planes(w, np.float64) for w in weights.sort_values("bucket")["weights"]]
+    weight = [from_planes(w, np.float64) for w in weights.sort_values(["kind", "bucket"])["weights"]]
     weight = np.concatenate([np.empty(0), *weight])
     doc, context, count = (from_planes(row[c], np.uint32) for c in ("gap_doc", "gap_context", "gap_count"))
     due = np.bincount(doc, weight[context] * count, minlength=len(row["ids"])) if len(doc) else np.zeros(len(row["ids"]))
@@ -278,32 +348,93 @@ def _saved(df: DataFrame, name: str, ddl: str) -> DataFrame:
     return df.sparkSession.read.schema(ddl).parquet(path)
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text")
+    )
+    return _saved(rows.mapInArrow(_make_blocks, _BLOCK_DDL), "katz-blocks", _BLOCK_DDL)
+
+
+def _orders(sums: DataFrame, order: int) -> list[Order]:
+    got = {r["kind"]: r.asDict() for r in sums.groupBy("kind").agg(*[F.sum(c).alias(c) for c in _SUMS]).collect()}
+    return [Order(got.get(kind, {})) for kind in range(order)]
+
+
+def _scored(blocks: DataFrame, counts: DataFrame, orders: list[Order], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The texts with what waits for backoff weights, and the contexts asked for."""
+    counts = counts.select("kind", "bucket", "block", "counts", "own")
+    scored = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_score_seen(orders, buckets), _PART_DDL)
+    parts = _saved(scored, "katz-parts", _PART_DDL)
+    texts = parts.where("bucket < 0").select("block", "ids", "held", "lengths", "known", "base", "part", "gap_doc", "gap_context", "gap_count")
+    return texts, parts.where("bucket >= 0").select("kind", "bucket", "block", "keys", "seen", "lower", "total", "need")
+
+
+def _finished(texts: DataFrame, weights: DataFrame, orders: list[Order]) -> DataFrame:
+    weights = weights.select("kind", "bucket", "block", "weights")
+    done = texts.groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(_finish, _OUT_DDL)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(orders[WORD].tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _store(rows: DataFrame, path: str, orders: range, *more: str) -> None:
+    """The model's rows, in a folder for each order."""
+    for n in orders:
+        mine = rows.where((F.col("block") == MODEL) & (F.col("kind") == n - 1))
+        mine.select("bucket", "keys", "value", *more).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/order={n}")
+
+
+def score_texts(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column, order: int = 2, model_path: str | None = None
+) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probability of the whole text).
 
     ``held_out`` marks the rows that teach nothing (null counts as false).  Null
     and empty texts have the end token only.  Without training rows every token is
     unknown and has probability 1 under the model.  Repeated rows are texts of
-    their own.  Only the named columns are read.  Empty table: no rows.
+    their own.  Only the named columns are read.  Empty table: no rows.  ``order``
+    is the number of words of the longest n-gram.  The model is stored in
+    ``model_path``, if given, for ``score_stored``.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text")
-    )
-    blocks = _saved(rows.mapInArrow(_make_blocks, _BLOCK_DDL), "katz-blocks", _BLOCK_DDL)
+    if order < 1:
+        raise ValueError("order is 1 at least")
+    spark = docs.sparkSession
+    blocks = _blocks(docs, id_col, text_col, held_out)
     tokens = blocks.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-tokens // BUCKET_TOKENS))
 
-    asked = blocks.mapInArrow(_ask(buckets), _ASK_DDL)
+    asked = blocks.mapInArrow(_ask(buckets, order), _ASK_DDL)
     told = _saved(asked.groupBy("kind", "bucket").applyInPandas(_tell, _TOLD_DDL), "katz-counts", _TOLD_DDL)
-    sums = {r["kind"]: r.asDict() for r in told.groupBy("kind").agg(*[F.sum(c).alias(c) for c in _SUMS]).collect()}
-    words, pairs = Order(sums.get(WORD, {})), Order(sums.get(PAIR, {}))
-
-    counts = told.select("kind", "bucket", "block", "counts", "own")
-    scored = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_score_seen(words, pairs, buckets), _PART_DDL)
-    parts = _saved(scored, "katz-parts", _PART_DDL)
-    asks = parts.where("bucket >= 0").select("bucket", "block", "keys", "seen", "lower", "total", "need")
-    weights = asks.groupBy("bucket").applyInPandas(_weigh, _WEIGHT_DDL)
-    texts = parts.where("bucket < 0").select("block", "ids", "held", "lengths", "known", "base", "part", "gap_doc", "gap_context", "gap_count")
-    done = texts.groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(_finish, _OUT_DDL)
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    orders = _orders(told.where(F.col("block") == MODEL), order)
+    texts, asks = _scored(blocks, told.where(F.col("block") != MODEL), orders, buckets)
+    weights = _saved(asks.groupBy("kind", "bucket").applyInPandas(_weigh, _WEIGHT_DDL), "katz-weights", _WEIGHT_DDL)
+    if model_path:
+        _store(told, f"{model_path}/counts", range(1, order + 1), *_SUMS)
+        _store(weights, f"{model_path}/weights", range(2, order + 1))
+        # last, so that a model with this table is whole
+        spark.createDataFrame([(order, buckets)], "order int, buckets long").write.mode("overwrite").parquet(f"{model_path}/about")
+    return _finished(texts, weights.where(F.col("block") != MODEL), orders)
+
+
+def score_stored(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``score_texts`` for texts that teach nothing, from a stored model alone."""
+    spark = docs.sparkSession
+    about = spark.read.schema("order int, buckets long").parquet(f"{model_path}/about").first()
+
+    def stored(table: str, orders: range, more: str = "") -> DataFrame:
+        # each order's folder by its name: a model of one word has no weights
+        out = spark.createDataFrame([], _MODEL_DDL + more)
+        for n in orders:
+            rows = spark.read.schema("bucket long, keys binary, value binary" + more).parquet(f"{model_path}/{table}/order={n}")
+            out = out.unionByName(rows.withColumns({"kind": F.lit(n - 1), "block": F.lit(MODEL).cast("long")}))
+        return out
+
+    counts = stored("counts", range(1, about.order + 1), f", {_SUMS_DDL}")
+    orders = _orders(counts, about.order)
+    blocks = _blocks(docs, id_col, text_col, F.lit(True))
+    asked = blocks.mapInArrow(_ask(about.buckets, about.order), _ASK_DDL).select("kind", "bucket", "block", "keys", F.lit(None).cast("binary").alias("value"))
+    found = asked.unionByName(counts.select(*asked.columns)).groupBy("kind", "bucket").applyInPandas(_look_up(np.uint64, "counts", _ANSWER_DDL), _ANSWER_DDL)
+    texts, asks = _scored(blocks, found, orders, about.buckets)
+    asks = asks.select("kind", "bucket", "block", "keys", F.lit(None).cast("binary").alias("value"))
+    ddl = "kind int, bucket long, block long, weights binary"
+    weights = asks.unionByName(stored("weights", range(2, about.order + 1))).groupBy("kind", "bucket").applyInPandas(_look_up(np.float64, "weights", ddl), ddl)
+    return _finished(texts, weights, orders)

@@ -130,9 +130,10 @@ FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every document; learns from rows outside the held-out fold."""
+    """Log probability of every document under n-grams of three words, whose model is
+    stored too; learns from rows outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents")
-    return katz.score_texts(docs, held_out=id_hash_mod(F.col("doc_id"), 5) == 1)
+    return katz.score_texts(docs, held_out=id_hash_mod(F.col("doc_id"), 5) == 1, order=3, model_path=scratch(spark, "katz-model"))
 
 
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

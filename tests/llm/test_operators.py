@@ -440,6 +440,79 @@ def test_katz_against_brute_force(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def katz_order(rows, order):
+    """Scores (id, score) by recursion over plain dictionaries."""
+    from collections import Counter, defaultdict
+
+    toks = [([*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), "</s>"], h) for _, t, h in rows]
+    counts = [Counter() for _ in range(order + 1)]
+    for ws, held in toks:
+        for j, w in enumerate(ws if not held else []):
+            counts[1][(w,)] += 1
+            for k in range(2, min(order, j + 2) + 1):
+                counts[k][(*["<s>", *ws][j + 2 - k : j + 1], w)] += 1
+
+    def discounts(c):
+        n = Counter(c.values())
+        d, a = {}, 2
+        if all(n[r] for r in range(1, 7)):
+            a = 6 * n[6] / n[1]
+            d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, 6)} if a < 1 else {}
+        if not d or not all(0 < x < 1 for x in d.values()):
+            d = {r: 1 - 0.5 / r for r in range(1, 6)}
+        return lambda r: d[r] * r if r <= 5 else r - 5 * (1 - d[5])
+
+    cut = [None, *(discounts(c) for c in counts[1:])]
+    total = sum(counts[1].values())
+    left = 1 - sum(cut[1](c) for c in counts[1].values()) / total
+    after, times = defaultdict(list), Counter()
+    for c in counts[2:]:
+        for g, r in c.items():
+            after[g[:-1]].append(g)
+            times[g[:-1]] += r
+    known = {}
+
+    def weight(h):
+        if h not in known:
+            seen = sum(cut[len(g)](counts[len(g)][g]) / times[h] for g in after[h])
+            known[h] = (1 - seen) / (1 - sum(p(g[1:]) for g in after[h]))
+        return known[h]
+
+    def p(g):
+        if r := counts[len(g)][g]:
+            return cut[len(g)](r) / (times[g[:-1]] if len(g) > 1 else total)
+        return left if len(g) == 1 else (weight(g[:-1]) if times[g[:-1]] else 1) * p(g[1:])
+
+    grams = lambda ws: [(*["<s>", *ws][max(0, j + 2 - order) : j + 1], w) if order > 1 else (w,) for j, w in enumerate(ws)]
+    return [(i, sum(np.log10(p(g)) for g in grams(ws))) for (i, *_), (ws, _) in zip(rows, toks)], p, [*(w for w, in counts[1]), None], list(after)
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_katz_of_higher_orders_and_its_stored_model(spark, monkeypatch, order):
+    import os
+
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 3_000)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 20_000)
+    docs = table(spark, "documents").where("length(text) < 1500").limit(60).localCheckpoint()
+    rows = [(r.doc_id, r.text, r.doc_id % 3 == 1) for r in docs.collect()]
+    want, p, vocab, contexts = katz_order(rows, order)
+    path = scratch(spark, "katz-test")
+    got = katz.score_texts(docs, held_out=F.col("doc_id") % 3 == 1, order=order, model_path=path).collect()
+    close = lambda a, b: np.allclose([x for _, x in sorted(a)], [x for _, x in sorted(b)], rtol=1e-9, atol=1e-9)
+    assert close([(r.doc_id, r.score) for r in got], want)
+    for h in contexts[:: max(1, len(contexts) // 30)]:
+        assert abs(sum(p((*h, w)) for w in vocab) - 1) < 1e-9
+    folder = path.removeprefix("file:")
+    for name, first in (("counts", 1), ("weights", 2)):
+        assert {f"order={n}" for n in range(first, order + 1)} <= set(os.listdir(f"{folder}/{name}"))
+    # texts that the training call never saw, by the tables alone
+    fresh = [(10_000 + i, t[: len(t) // 2] + " anew", True) for i, t, _ in rows]
+    want, *_ = katz_order([*rows, *fresh], order)
+    stored = katz.score_stored(spark.createDataFrame([(i, t) for i, t, _ in [*rows, *fresh]], "doc_id long, text string"), path).collect()
+    assert close([(r.doc_id, r.score) for r in stored], want)
+    assert {r.train_tokens for r in stored} == {r.train_tokens for r in got}
+
+
 def test_katz_odd_rows(spark, odd, none):
     rows = [(r[0], r[1], r[0] in (2, 7)) for r in ODD]
     check_katz(odd, rows, F.col("doc_id").isin(2, 7))
