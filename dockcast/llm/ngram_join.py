@@ -16,10 +16,15 @@ hashed column counts over all documents gives the order, and any order is right.
    are counted as in 2; columns with many are joined to groups, and a group's
    incidence matrix is multiplied out tile by tile.
 4. Components of all links found give the result.
+
+``jaccard_links`` finds every link instead: step 3 goes through all columns of three
+or more rows, and rows of one component are compared as well.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -43,6 +48,10 @@ MASK_BITS = 1 << 26  # of the table of ids whose texts are asked for, whatever t
 _INFO_DDL = "doc_id long, n_shingles long, node long, bins binary, slot int, n long"
 _ASK_DDL = "kind int, bucket long, keys binary, row binary, nodes binary, other binary"
 _EDGE_DDL = "col long, a long, b long"
+_LINK_DDL = "a long, b long, overlap long"
+# in place of a component where all links count: a tile of two parts compares rows of
+# one part with those of the other, a tile of one part all its rows
+_PART_SQL = "if(mine = other, node, cast(mine as bigint))"
 
 
 def node_of(s: np.ndarray) -> int:
@@ -218,16 +227,17 @@ def _bounded_finely(batches):
 
 def _count_overlap(batches):
     """Pairs that link, counted on their texts."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64())])
     for b in pieces(batches, "tb"):
         out, last, s = [], None, None
         for a, c, ta, tb in zip(*(b.column(x).to_pylist() for x in ("a", "b", "ta", "tb"))):
             if a != last:
                 last, s = a, _unpacked_set(ta)
             r = _unpacked_set(tb)
-            if linked(len(np.intersect1d(s, r, assume_unique=True)), len(s), len(r)):
-                out.append((a, c))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+            inter = len(np.intersect1d(s, r, assume_unique=True))
+            if linked(inter, len(s), len(r)):
+                out.append((a, c, inter))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], schema=schema)
 
 
 def _unpacked_set(packed: bytes) -> np.ndarray:
@@ -288,7 +298,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
+    """The pairs (a, b) of nodes that link, with their overlap."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"x{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
     left = _saved(both.mapInArrow(_bounded, "a long, b long"), f"{name}-bounded")
@@ -296,7 +306,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) ->
     left = _paired(left, bins, "x").mapInArrow(_bounded_finely, "a long, b long").distinct()
     left = _saved(left, f"{name}-close")
     texts = _fetched("text", _ends(left), reps, docs, f"{name}-texts")
-    return _saved(_paired(left, texts, "t").mapInArrow(_count_overlap, "a long, b long"), f"{name}-links")
+    return _saved(_paired(left, texts, "t").mapInArrow(_count_overlap, _LINK_DDL), f"{name}-links")
 
 
 def _tile_pairs(batches):
@@ -324,24 +334,33 @@ def _tile_pairs(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tile[s])), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
 
 
-def tile_links(sets: list[np.ndarray], comp: list[int]) -> list[tuple[int, int]]:
-    """Links between rows of a tile that join different components: the product
-    of each row with the tile's columns, accumulated column by column."""
+def _tile_product(sets: list[np.ndarray]):
+    """Sizes, and a function that gives the overlaps of a row with all others: its
+    product with the tile's columns, accumulated column by column."""
     sizes = np.array([len(s) for s in sets])
     cols, where = np.unique(np.concatenate(sets), return_inverse=True)
     row_of = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(where, kind="stable")
     starts = np.searchsorted(where[order], np.arange(len(cols) + 1))
     by_col = row_of[order]
-    _, part = np.unique(np.asarray(comp), return_inverse=True)
     ends = np.cumsum(sizes)
+
+    def overlaps(i: int) -> np.ndarray:
+        mine = where[ends[i] - sizes[i] : ends[i]]
+        return np.bincount(np.concatenate([by_col[starts[c] : starts[c + 1]] for c in mine]), minlength=len(sets))
+
+    return sizes, overlaps
+
+
+def tile_links(sets: list[np.ndarray], comp: list[int]) -> list[tuple[int, int]]:
+    """Links between rows of a tile that join different components."""
+    sizes, overlaps = _tile_product(sets)
+    _, part = np.unique(np.asarray(comp), return_inverse=True)
     out = []
     for i in range(len(sets)):
         if (part == part[i]).all():
             break
-        mine = where[ends[i] - sizes[i] : ends[i]]
-        rows = np.concatenate([by_col[starts[c] : starts[c + 1]] for c in mine])
-        inter = np.bincount(rows, minlength=len(sets))
+        inter = overlaps(i)
         hit = np.flatnonzero(linked(inter, sizes[i], sizes) & (part != part[i]))
         for j in hit:
             if part[j] != part[i]:
@@ -360,18 +379,38 @@ def _multiply(batches):
             yield pa.RecordBatch.from_arrays([pa.array([node[s + i] for i, _ in got], pa.int64()), pa.array([node[s + j] for _, j in got], pa.int64())], schema=schema)
 
 
+def _multiply_all(batches):
+    """As ``_multiply``, with all links between rows of different ``comp`` and
+    their overlaps."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64())])
+    for b, offsets in sorted_groups(batches, "tile"):
+        node, comp = b.column("node").to_numpy(), b.column("comp").to_numpy()
+        for s, e in zip(offsets, offsets[1:]):
+            sizes, overlaps = _tile_product([_unpacked_set(t) for t in b.column("data").slice(s, e - s).to_pylist()])
+            for i in range(e - s - 1):
+                inter = overlaps(i)
+                hit = np.flatnonzero(linked(inter, sizes[i], sizes) & (comp[s:e] != comp[s + i]) & (node[s:e] != node[s + i]))
+                hit = hit[hit > i]  # a set may come twice (texts of one id)
+                other = node[s + hit]
+                cols = [np.minimum(other, node[s + i]), np.maximum(other, node[s + i]), inter[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+
+
 def _labelled(nodes: DataFrame, col: str, comp: DataFrame, out: str) -> DataFrame:
     c = comp.select(F.col("id").alias("__id"), F.col("component").alias("__c"))
     return nodes.join(c, nodes[col] == c["__id"], "left").withColumn(out, F.coalesce("__c", col)).drop("__id", "__c")
 
 
-def _open_tiles(edges: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
+def _open_tiles(edges: DataFrame, comp: DataFrame | None, reps: DataFrame) -> DataFrame:
     """Rows (tile, node, n, bins, comp) of columns that hold three or more
-    rows of more than one component."""
-    pairs = edges.select("a", "b").distinct()
-    apart = _labelled(_labelled(pairs, "a", comp, "ca"), "b", comp, "cb").where("ca <> cb").select("a", "b")
-    some = edges.join(apart, ["a", "b"], "left_semi").select("col").distinct()
-    rows = edges.join(some, "col", "left_semi")
+    rows of more than one component; of all with three or more rows, if no
+    components are given."""
+    rows = edges
+    if comp is not None:
+        pairs = edges.select("a", "b").distinct()
+        apart = _labelled(_labelled(pairs, "a", comp, "ca"), "b", comp, "cb").where("ca <> cb").select("a", "b")
+        some = edges.join(apart, ["a", "b"], "left_semi").select("col").distinct()
+        rows = edges.join(some, "col", "left_semi")
     member = rows.select("col", F.explode(F.array("a", "b")).alias("node")).distinct()
     cols = member.groupBy("col").agg(
         F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("node").alias("low"), F.max("node").alias("high")
@@ -380,8 +419,8 @@ def _open_tiles(edges: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame
     cols = cols.where("m > 2").groupBy("m", "sum", "low", "high").agg(F.min("col").alias("col"))
     cols = cols.select("col", F.ceil(F.col("m") / TILE).cast("int").alias("chunks"))
     member = member.join(cols, "col").join(reps, "node")
-    member = _labelled(member, "node", comp, "comp")
-    return _in_tiles(member, "col").select("tile", "node", "n", "bins", "comp")
+    member = _in_tiles(member, "col").withColumn("comp", F.expr(_PART_SQL)) if comp is None else _in_tiles(_labelled(member, "node", comp, "comp"), "col")
+    return member.select("tile", "node", "n", "bins", "comp")
 
 
 def _in_tiles(member: DataFrame, group: str) -> DataFrame:
@@ -392,13 +431,16 @@ def _in_tiles(member: DataFrame, group: str) -> DataFrame:
     return member.withColumn("tile", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other")))
 
 
-def _merged_tiles(tiles: DataFrame) -> DataFrame:
+def _merged_tiles(tiles: DataFrame, all_links: bool = False) -> DataFrame:
     """Columns that share rows as one group, so that its rows meet once instead of
     once for each column: rows (tile, node, comp)."""
     low = tiles.groupBy("tile").agg(F.min("node").alias("low"))
     star = tiles.join(low, "tile").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    member = _labelled(tiles.select("node", "comp").distinct(), "node", components(star), "group")
+    rows = tiles.select("node").distinct() if all_links else tiles.select("node", "comp").distinct()
+    member = _labelled(rows, "node", components(star), "group")
     sizes = member.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    if all_links:
+        return _in_tiles(member.join(sizes, "group"), "group").selectExpr("tile", "node", f"{_PART_SQL} AS comp")
     return _in_tiles(member.join(sizes, "group"), "group").select("tile", "node", "comp")
 
 
@@ -410,15 +452,15 @@ def _column_ranks(spark: SparkSession, counts: DataFrame):
     return shipped(spark, rank)
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+class _Prepared(NamedTuple):
+    info: DataFrame  # a row for each document
+    named: DataFrame  # those that may link
+    reps: DataFrame  # the distinct sets
+    texts: DataFrame
+    edges: DataFrame  # each column's rows, linked to the smallest one
 
-    Null texts and texts without words have an empty set and link with nothing.
-    Rows with a null id have no component and link with nothing.  Rows that share
-    an id are one document in several pieces: each keeps its own n_shingles, and
-    all have one component.  Only the id and text columns are read.  Empty table:
-    no rows.
-    """
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> _Prepared:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = _saved(texts.mapInArrow(_info, _INFO_DDL), "join-rows", _INFO_DDL)
@@ -433,31 +475,81 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     buckets = max(1, -(-entries // 4 // BUCKET_ENTRIES))
     asked = texts.mapInArrow(_first_columns(ranks, buckets), _ASK_DDL)
     edges = _saved(asked.groupBy("kind", "bucket").applyInPandas(_column_links, _EDGE_DDL), "join-columns", _EDGE_DDL)
+    return _Prepared(info, named, reps, texts, edges)
+
 
-    links = _verified(edges.select("a", "b").distinct(), reps, texts, "join")
-    comp = components(links)
-    tiles = _saved(_open_tiles(edges, comp, reps), "join-tiles")
+def _links(p: _Prepared, all_links: bool) -> DataFrame:
+    """Links (a, b) of sets: all of them with their overlaps, or as many as give
+    the components."""
+    links = _verified(p.edges.select("a", "b").distinct(), p.reps, p.texts, "join")
+    tiles = _saved(_open_tiles(p.edges, None if all_links else components(links), p.reps), "join-tiles")
     bounded = tiles.repartition("tile").sortWithinPartitions("tile")
     bounded = _saved(bounded.mapInArrow(_tile_pairs, "tile long, a long, b long"), "join-tile-pairs")
-    more = _verified(bounded.where("a is not null").select("a", "b").distinct(), reps, texts, "join-more")
+    more = bounded.where("a is not null").select("a", "b").distinct()
+    if all_links:  # without those that were compared above
+        more = more.join(p.edges.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), ["a", "b"], "left_anti")
+    more = _verified(more, p.reps, p.texts, "join-more")
     full = tiles.join(bounded.where("a is null").select("tile"), "tile", "left_semi").select("tile", "node", "comp")
     full = _saved(full, "join-full-tiles")
-    merged = _saved(_merged_tiles(full), "join-merged-tiles")
-    full = merged.join(_fetched("text", merged.select("node").distinct(), reps, texts, "join-full-texts"), "node")
+    merged = _saved(_merged_tiles(full, all_links), "join-merged-tiles")
+    full = merged.join(_fetched("text", merged.select("node").distinct(), p.reps, p.texts, "join-full-texts"), "node")
     full = full.select("tile", "node", "comp", "data")
-    multiplied = full.repartition("tile").sortWithinPartitions("tile").mapInArrow(_multiply, "a long, b long")
-    multiplied = _saved(multiplied, "join-products")
-
-    # from sets to documents: smallest ids stand for sets, copies hang on them
-    name = lambda c: reps.select(F.col("node").alias(c), F.col("rep").alias(f"r{c}"))
-    found = links.unionByName(more).unionByName(multiplied)
+    full = full.repartition("tile").sortWithinPartitions("tile")
+    if all_links:
+        multiplied = _saved(full.mapInArrow(_multiply_all, _LINK_DDL), "join-products")
+        ends = ["least(a, b) AS a", "greatest(a, b) AS b", "overlap"]
+        return _saved(links.selectExpr(*ends).unionByName(more.selectExpr(*ends)).unionByName(multiplied).distinct(), "join-all-links")
+    multiplied = _saved(full.mapInArrow(_multiply, "a long, b long"), "join-products")
+    return links.select("a", "b").unionByName(more.select("a", "b")).unionByName(multiplied)
+
+
+def _document_components(p: _Prepared, found: DataFrame) -> DataFrame:
+    """From sets to documents: smallest ids stand for sets, copies hang on them."""
+    name = lambda c: p.reps.select(F.col("node").alias(c), F.col("rep").alias(f"r{c}"))
     found = found.join(name("a"), "a").join(name("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    copies = named.join(reps.select("node", "rep"), "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = components(found.unionByName(copies)).select(F.col("id").alias("doc_id"), "component")
-    out = info.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
+    copies = p.named.join(p.reps.select("node", "rep"), "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return components(found.unionByName(copies)).select(F.col("id").alias("doc_id"), "component")
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    Null texts and texts without words have an empty set and link with nothing.
+    Rows with a null id have no component and link with nothing.  Rows that share
+    an id are one document in several pieces: each keeps its own n_shingles, and
+    all have one component.  Only the id and text columns are read.  Empty table:
+    no rows.
+    """
+    p = _prepared(docs, id_col, text_col)
+    comp = _document_components(p, _links(p, all_links=False))
+    out = p.info.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: pairs of different sets (a, b, overlap), each once with a < b, and
+    the members of the sets, one row per input row: doc_id, n_shingles, set_id,
+    n_links, component_id.
+
+    ``n_links`` counts the other rows that link with the row, copies included.  Rows
+    with a null id or an empty set are in no set (``set_id`` is null) and have no
+    links.  For the rest see ``jaccard_components``.
+    """
+    p = _prepared(docs, id_col, text_col)
+    found = _links(p, all_links=True)
+    sizes = p.named.groupBy("node").agg(F.count("*").alias("size"))
+    arcs = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = arcs.join(sizes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
+    number = sizes.join(others, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    rows = p.info.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    rows = rows.join(number, "node", "left").join(_document_components(p, found), "doc_id", "left")
+    members = rows.select(
+        "doc_id", "n_shingles", F.col("node").alias("set_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component", "doc_id").alias("component_id"),
+    )
+    return found, members
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is their component's smallest; columns unchanged.
     Rows with a null id stay."""

@@ -29,6 +29,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of links of every document, from all links."""
+    _, members = ngram_join.jaccard_links(_table(spark, sf_dir, "documents"))
+    return members.select("doc_id", "n_shingles", "n_links", "component_id")
+
+
 OP2_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -156,6 +162,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_ngram_join": op2_ngram_join,
+    "op2_ngram_links": op2_ngram_links,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,

@@ -193,6 +193,28 @@ def test_ngram_join_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_all_links_inside_a_component(spark, small_blocks):
+    # a null id, an empty text and a repeated id too
+    rows = [*made_groups(), (None, made_groups()[0][1]), (1_000, ""), (0, made_groups()[50][1])]
+    shingles = []
+    for _, t in rows:
+        w = t.translate(LOWER).split()
+        shingles.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    mate = lambda s, r: s and r and 100 * len(s & r) >= 75 * len(s | r)
+    valid = [k for k, (i, _) in enumerate(rows) if i is not None and shingles[k]]
+    number = [sum(j != k and bool(mate(shingles[k], shingles[j])) for j in valid) if k in valid else 0 for k in range(len(rows))]
+    comp = [c for *_, c in jaccard_brute(rows)]
+    found, members = ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = members.collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, r.n_links) for r in got) == sorted((repr(i), len(s), n) for (i, _), s, n in zip(rows, shingles, number))
+    assert sorted(repr(r.component_id) for r in got) == sorted(map(repr, comp))
+    sets = list({shingles[k] for k in valid})
+    overlaps = [len(sets[i] & sets[j]) for i in range(len(sets)) for j in range(i) if mate(sets[i], sets[j])]
+    pairs = found.collect()
+    assert sorted(r.overlap for r in pairs) == sorted(overlaps) and all(r.a < r.b for r in pairs)
+    assert {r.a for r in pairs} | {r.b for r in pairs} <= {r.set_id for r in got}
+
+
 def test_first_columns_are_the_same_when_a_task_runs_again(monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_ENTRIES", 60)
     batch = pa.RecordBatch.from_pylist([{"text": t} for _, t in made_groups()])
