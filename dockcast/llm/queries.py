@@ -57,13 +57,14 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollup totals after three batches: all documents as first seen (every fifth
-    id under another source), their revisions, and the deletion of every seventh
+    id under another source and with half of its text), their revisions, and the deletion of every seventh
     id; the second batch is committed twice, which must not matter."""
     docs = _table(spark, sf_dir, "documents")
     counts = token_rollup.token_counts(docs)
     store = token_rollup.Rollup(spark, scratch(spark, "rollup"))
     early = F.when(F.col("doc_id") % 5 == 0, F.lit("staging")).otherwise(F.col("source"))
-    store.commit(1, counts.withColumn("source", early))
+    half = F.when(F.col("doc_id") % 5 == 0, F.expr("left(text, cast(length(text) / 2 as int))")).otherwise(F.col("text"))
+    store.commit(1, token_rollup.token_counts(docs.withColumns({"source": early, "text": half})))
     for _ in range(2):
         store.commit(2, counts.where("doc_id % 5 = 0"))
     store.commit(3, deletes=docs.where("doc_id % 7 = 0").select("doc_id"))

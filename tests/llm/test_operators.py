@@ -252,6 +252,20 @@ def test_rollup_is_additive_and_idempotent(spark):
     assert store.totals().count() == 0 and store.committed() == [1, 2, 3]
 
 
+def test_token_counts_query_revises_counts(spark, monkeypatch):
+    commit, seen = token_rollup.Rollup.commit, {}
+
+    def watched(self, batch, upserts=None, deletes=None):
+        if upserts is not None:
+            seen[batch] = upserts
+        commit(self, batch, upserts, deletes)
+
+    monkeypatch.setattr(token_rollup.Rollup, "commit", watched)
+    Q.op3_token_counts(spark, SF)
+    first, second = ({(r.doc_id, r.tokenizer): r.n_tokens for r in seen[b].where("doc_id % 5 = 0").collect()} for b in (1, 2))
+    assert first.keys() == second.keys() and sum(first[k] < second[k] for k in first) > len(first) / 2
+
+
 def test_token_counts_odd_rows(odd, none):
     got = {(r.doc_id, r.tokenizer): r.n_tokens for r in token_rollup.token_counts(odd).collect()}
     assert got[1, "space_words_v1"] == got[2, "alnum_words_v1"] == got[3, "space_words_v1"] == 0
