@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.llm import decontam, katz, langid, licenses, mixing, ngram_join, quality, token_files, token_rollup, vector_dedup
+from dockcast.llm import conversations, decontam, katz, langid, licenses, mixing, ngram_join, quality, token_files, token_rollup, vector_dedup
 from dockcast.llm.text import id_hash_mod, scratch
 
 
@@ -160,6 +160,72 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation after the damage."""
+    convs = _table(spark, sf_dir, "conversations")
+    return conversations.audit(conversations.damaged(convs), names=convs)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+         CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), numbered AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, *,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), drawn AS (
+  SELECT g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295] || list_transform(range(1, len(k) + 1), lambda i: CAST(ord(k[i]) AS BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d
+  FROM numbered, crc_table
+), damaged AS (
+  SELECT g, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM drawn)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS kept FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN kept = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                 WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) || left(role, 1) AS two
+  FROM (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) AS nth FROM placed)
+), counted AS (
+  SELECT g, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY g
+), inserts (q, q2, c, a, r) AS (
+  VALUES (0, 0, 0, '', CAST([] AS VARCHAR[])), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']),
+         (1, 1, 0, '', []), (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']),
+         (2, 2, 0, '', []), (2, 3, 2, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 2, 'I', ['user:'])
+), edits AS (
+  SELECT g, i, q, 'D' AS a, 3 AS c, q AS q2, CAST([] AS VARCHAR[]) AS r FROM faulty, range(4) AS s(q)
+  UNION ALL
+  SELECT g, i, q, 'K', (fault = 'truncated')::INT, CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, [role || ':' || text]
+  FROM faulty, range(4) AS s(q) WHERE fault IN ('', 'truncated')
+  AND ((left(role, 1) = 's' AND q = 0) OR (left(role, 1) = 'u' AND q <> 2) OR (left(role, 1) = 'a' AND q = 2))
+  UNION ALL
+  SELECT g, i, q, 'R', 2 + (fault = 'truncated')::INT, CASE q WHEN 2 THEN 3 ELSE 2 END,
+         [CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] FROM faulty, range(4) AS s(q) WHERE fault IN ('', 'truncated')
+), ways AS (
+  SELECT g, e.i, x.q, e.q2, x.c + e.c AS c, x.a || e.a AS a, x.r || e.r AS r FROM edits e JOIN inserts x ON x.q2 = e.q
+), best AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS q, CAST(0 AS BIGINT) AS c, '' AS a, CAST([] AS VARCHAR[]) AS r FROM numbered
+  UNION ALL
+  SELECT w.g, w.i, w.q2, min(b.c + w.c), arg_min(b.a || w.a, {'c': b.c + w.c, 'a': b.a || w.a}), arg_min(b.r || w.r, {'c': b.c + w.c, 'a': b.a || w.a})
+  FROM best b JOIN ways w ON w.g = b.g AND w.i = b.i + 1 AND w.q = b.q GROUP BY w.g, w.i, w.q2
+), done AS (
+  SELECT b.g, min(b.c + x.c) AS cost, arg_min(b.a || x.a, {'c': b.c + x.c, 'a': b.a || x.a}) AS audit, arg_min(b.r || x.r, {'c': b.c + x.c, 'a': b.a || x.a}) AS lines
+  FROM best b LEFT JOIN counted USING (g) JOIN inserts x ON x.q = b.q WHERE b.i = coalesce(n, 0) AND x.q2 IN (0, 3) GROUP BY b.g
+)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+       sha256(array_to_string(lines, chr(10))) AS repaired_sha256, coalesce(n, 0) AS n_rows, len(lines) AS n_repaired
+FROM (SELECT DISTINCT g, conv_id FROM numbered) JOIN done USING (g) LEFT JOIN counted USING (g)
+"""
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_ngram_join": op2_ngram_join,
@@ -172,5 +238,6 @@ QUERIES = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op3_token_counts": OP3_SQL, "op6_decontamination": OP6_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op3_token_counts": OP3_SQL, "op6_decontamination": OP6_SQL, "op12_conversation_repair": OP12_SQL}
