@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.llm import conversations, decontam, katz, langid, licenses, mixing, ngram_join, quality, token_files, token_rollup, vector_dedup
+from dockcast.llm import conversations, decontam, katz, langid, licenses, mixing, ngram_join, quality, token_files, token_rollup, vector_dedup, whitening
 from dockcast.llm.text import id_hash_mod, scratch
 
 
@@ -226,6 +226,11 @@ FROM (SELECT DISTINCT g, conv_id FROM numbered) JOIN done USING (g) LEFT JOIN co
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every finite embedding."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_ngram_join": op2_ngram_join,
@@ -239,5 +244,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op3_token_counts": OP3_SQL, "op6_decontamination": OP6_SQL, "op12_conversation_repair": OP12_SQL}
