@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.llm import conversations, decontam, katz, langid, licenses, mixing, ngram_join, quality, token_files, token_rollup, vector_dedup, whitening
+from dockcast.llm import conversations, decontam, katz, langid, licenses, mixing, ngram_join, quality, token_files, token_rollup, toxicity, vector_dedup, whitening
 from dockcast.llm.text import id_hash_mod, scratch
 
 
@@ -160,6 +160,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; learns from labels outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), train=id_hash_mod(F.col("doc_id"), 5) != 0)
+    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted", "n_clauses", "kinds")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and digest of every conversation after the damage."""
     convs = _table(spark, sf_dir, "conversations")
@@ -243,6 +250,7 @@ QUERIES = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_toxicity": op11_toxicity,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_whitening": op13_whitening,
 }
