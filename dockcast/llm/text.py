@@ -117,6 +117,11 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) ->
             yield b.slice(i, step)
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches to Python are cut by bytes as well as rows, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Whole groups of a partition sorted by the integer column ``key``: batches
     cut at group ends, each with the offsets of its groups."""

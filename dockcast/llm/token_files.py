@@ -4,14 +4,15 @@ Ids are stored in the minimum number of bits for the vocabulary, little-endian,
 in blocks of whole documents.  A block is one row of a Parquet table: its shard,
 its number, the documents with their first id and the packed payload, so every
 block can be unpacked on its own with numpy.  Spark's committer makes the write
-atomic on any file system.  Documents are dealt to shards by ranges of the id, so
-blocks in (shard, block) order hold ascending ids; offsets in the file count from
-the shard's start and become global with one sum per shard.
+atomic on any file system.  Documents are dealt to shards by ranges of the id (and of
+the text's beginning, for rows that share an id), so blocks in (shard, block) order
+hold ascending ids; offsets in the file count from the shard's start and become global
+with one sum per shard.  There are at most MAX_SHARDS of them, which bounds that table;
+readers get it by broadcast and no payload is ever shuffled.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -19,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from dockcast.llm.text import binary, pieces
+from dockcast.llm.text import binary, pieces, small_batches
 
 BLOCK_IDS = 1 << 18  # a block is closed once it holds so many ids
-SHARD_BYTES = 16 << 20  # of text, at most about so many for each shard
-CACHE_WORDS = 600_000  # distinct words whose ids a worker remembers
+SHARD_BYTES = 16 << 20  # of text for each shard; more where MAX_SHARDS would not do
+MAX_SHARDS = 1 << 16
+CACHE_WORDS = 200_000  # distinct words whose ids a worker remembers
 # what may follow a word: signs that are tokens of their own after a letter
 _TAILS = b".,;:!?|)"
 END_ID = 1
@@ -169,17 +170,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _shards(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
-    """Upper id bounds of the shards, from approximate quantiles of the ids."""
-    size = docs.agg(F.sum(F.octet_length(text_col)), F.count(id_col)).first()
-    n = max(1, round((size[0] or 0) / SHARD_BYTES))
-    if not size[1] or n == 1:
-        return []
-    at = [i / n for i in range(1, n)]
-    got = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), at, max(1000, 20 * n))).first()[0]
-    return sorted(set(got or []))
-
-
 def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID
 ) -> None:
@@ -190,16 +180,12 @@ def write_tokens(
     empty table writes no block.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    bounds = _shards(rows, "id", "text")
-    if bounds:
-        # the shard is the number of bounds below the id
-        shard = F.udf(lambda i: -1 if i is None else bisect.bisect_left(bounds, i), "long") if len(bounds) > 4000 else None
-        col = shard("id") if shard else F.coalesce(F.aggregate(
-            F.lit(bounds), F.lit(0), lambda a, b: a + F.when(F.col("id") > b, 1).otherwise(0)), F.lit(0))
-        rows = rows.select(col.cast("long").alias("shard"), "id", "text").repartition(len(bounds) + 1, "shard")
-    else:
-        rows = rows.select(F.lit(0).cast("long").alias("shard"), "id", "text").repartition(1)
-    rows = rows.sortWithinPartitions("shard", "id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = min(MAX_SHARDS, max(1, round(size / SHARD_BYTES)))
+    # null ids come first; the beginning of a text orders as the text does
+    dealt = rows.repartitionByRange(shards, "id", F.left("text", F.lit(32))).sortWithinPartitions("id", "text")
+    rows = dealt.select(F.spark_partition_id().cast("long").alias("shard"), "id", "text")
+    small_batches(docs.sparkSession)
 
     def run(batches):
         enc = encoder(tokenizer_path)
@@ -233,13 +219,15 @@ def write_tokens(
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks with ``start``: the number of ids before each in the whole file."""
     blocks = spark.read.schema(BLOCK_DDL).parquet(path)
-    sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return blocks.join(sums.select("shard", before.alias("base")), "shard").withColumn("start", F.col("base") + F.col("first"))
+    sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # MAX_SHARDS rows at most
+    ends = np.cumsum([r.n for r in sums], dtype=np.int64).tolist()
+    index = spark.createDataFrame([(r.shard, e - r.n) for r, e in zip(sums, ends)], "at long, base long")
+    return blocks.join(F.broadcast(index), F.col("shard") == F.col("at")).withColumn("start", F.col("base") + F.col("first")).drop("at")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the payloads."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the payloads;
+    no rows where no block was written."""
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
@@ -257,7 +245,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_range(spark: SparkSession, path: str, start: int, n: int) -> np.ndarray:
-    """Ids [start, start + n) of the whole file; reads only the blocks that hold them."""
+    """Ids [start, start + n) of the whole file; reads only the blocks that hold them.
+    What lies beyond the last id is left out."""
     hit = read_blocks(spark, path).where((F.col("start") < start + n) & (F.col("start") + F.col("n_ids") > start))
     parts = []
     for r in hit.orderBy("start").select("start", "n_ids", "bits", "payload").collect():
