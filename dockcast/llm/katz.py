@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockcast.llm.blocks import Merged, from_planes, keys_from_bytes, keys_to_bytes, slices, to_planes
-from dockcast.llm.text import _BASE, binary, mix, pieces, scratch, word_hashes
+from dockcast.llm.text import _BASE, binary, mix, pieces, scratch, small_batches, word_hashes
 
 K = 5
-BLOCK_TOKENS = 1 << 20
-BUCKET_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 18
+BUCKET_TOKENS = 1 << 19
 # keys of the end token and of the context that stands before the first word
 END, START = np.uint64(1), np.uint64(2)
 WORD = 0  # kind of a single word; that of an n-gram is n - 1
@@ -349,6 +349,7 @@ def _saved(df: DataFrame, name: str, ddl: str) -> DataFrame:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text")
     )
