@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from dockcast.llm.blocks import from_planes, keys_from_bytes, keys_to_bytes, slices, to_planes
 from dockcast.llm.graph import components
-from dockcast.llm.text import binary, pieces, scratch, shingle_set, shipped, sorted_groups
+from dockcast.llm.text import binary, pieces, scratch, shingle_set, shipped, small_batches, sorted_groups
 
 WIDTH = 5
 BINS = 128
@@ -43,6 +43,7 @@ COUNTERS = 1 << 18  # of the column count table, whatever the corpus
 BLOCK_ENTRIES = 1 << 19  # first columns of one block of rows
 BUCKET_ENTRIES = 1 << 20
 TILE = 512
+TILE_ENTRIES = 1 << 20  # shingles of the rows of a part, where texts are multiplied out
 MASK_BITS = 1 << 26  # of the table of ids whose texts are asked for, whatever the corpus
 
 _INFO_DDL = "doc_id long, n_shingles long, node long, bins binary, slot int, n long"
@@ -431,14 +432,15 @@ def _in_tiles(member: DataFrame, group: str) -> DataFrame:
     return member.withColumn("tile", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other")))
 
 
-def _merged_tiles(tiles: DataFrame, all_links: bool = False) -> DataFrame:
+def _merged_tiles(tiles: DataFrame, reps: DataFrame, all_links: bool = False) -> DataFrame:
     """Columns that share rows as one group, so that its rows meet once instead of
     once for each column: rows (tile, node, comp)."""
     low = tiles.groupBy("tile").agg(F.min("node").alias("low"))
     star = tiles.join(low, "tile").select(F.col("low").alias("a"), F.col("node").alias("b"))
     rows = tiles.select("node").distinct() if all_links else tiles.select("node", "comp").distinct()
-    member = _labelled(rows, "node", components(star), "group")
-    sizes = member.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    member = _labelled(rows, "node", components(star), "group").join(reps.select("node", "n"), "node")
+    parts = F.greatest(F.count("*") / TILE, F.sum("n") / TILE_ENTRIES)
+    sizes = member.groupBy("group").agg(F.ceil(parts).cast("int").alias("chunks"))
     if all_links:
         return _in_tiles(member.join(sizes, "group"), "group").selectExpr("tile", "node", f"{_PART_SQL} AS comp")
     return _in_tiles(member.join(sizes, "group"), "group").select("tile", "node", "comp")
@@ -462,6 +464,7 @@ class _Prepared(NamedTuple):
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> _Prepared:
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = _saved(texts.mapInArrow(_info, _INFO_DDL), "join-rows", _INFO_DDL)
     info = rows.where("slot is null").drop("slot", "n")
@@ -491,7 +494,7 @@ def _links(p: _Prepared, all_links: bool) -> DataFrame:
     more = _verified(more, p.reps, p.texts, "join-more")
     full = tiles.join(bounded.where("a is null").select("tile"), "tile", "left_semi").select("tile", "node", "comp")
     full = _saved(full, "join-full-tiles")
-    merged = _saved(_merged_tiles(full, all_links), "join-merged-tiles")
+    merged = _saved(_merged_tiles(full, p.reps, all_links), "join-merged-tiles")
     full = merged.join(_fetched("text", merged.select("node").distinct(), p.reps, p.texts, "join-full-texts"), "node")
     full = full.select("tile", "node", "comp", "data")
     full = full.repartition("tile").sortWithinPartitions("tile")
