@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockcast.llm.text import ALNUM_TABLE, ALNUM_WORD, binary, pieces, shipped, spans
+from dockcast.llm.text import ALNUM_TABLE, ALNUM_WORD, binary, pieces, shipped, small_batches, spans
 
 WINDOW = 13
 MAX_BENCHMARK_BYTES = 64 << 20  # checked before the items are broadcast
@@ -153,6 +153,7 @@ def find_contamination(
                 )
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _HITS)], schema=_HITS)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, HIT_DDL)
 

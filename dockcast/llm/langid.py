@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockcast.llm.text import binary, hash_share, pieces, shipped
+from dockcast.llm.text import binary, hash_share, pieces, shipped, small_batches
 
 DIMS = 1 << 12
 CENTROIDS = 3  # for each language
@@ -151,5 +151,6 @@ def identify(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col:
                 rows.append((i, m["langs"][j], float(min(max(cos[j], 0.0), 1.0)), bool(cos[j] < m["radius"][j])))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
+    small_batches(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockcast.llm.text import SPACE_WORD, binary, hash_share, mix, pieces, shipped, span_hashes, spans
+from dockcast.llm.text import SPACE_WORD, binary, hash_share, mix, pieces, shipped, small_batches, span_hashes, spans
 
 BITS = 18
 SAMPLE_ROWS = 8000  # the training sample's bound
@@ -148,6 +148,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_
                 [b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], schema=out
             )
 
+    small_batches(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -160,6 +161,7 @@ def score_text(text: bytes | None, w: np.ndarray) -> float:
 def keep_good(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text is predicted 0; columns unchanged."""
     sent = shipped(docs.sparkSession, weights.astype(np.float64))
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockcast.llm.text import ALNUM_WORD, NOT_ALNUM, binary, hash_share, pieces, shipped, span_hashes, spans, written
+from dockcast.llm.text import ALNUM_WORD, NOT_ALNUM, binary, hash_share, pieces, shipped, small_batches, span_hashes, spans, written
 
 SAMPLE_ROWS = 8000  # the training sample's bound
 LEARNED_WORDS = 2000  # at most, the most frequent ones
@@ -406,6 +406,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 rows.append((i, s, int(s >= THRESHOLD), int(n.sum()), ",".join(sorted(k for k, c in zip(KINDS, n) if c))))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    small_batches(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, score double, predicted int, n_clauses long, kinds string")
 
@@ -427,5 +428,6 @@ def matched_clauses(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    small_batches(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, kind string, weight double, start long, end long")
