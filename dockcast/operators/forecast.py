@@ -14,7 +14,9 @@ Predictors plug in through ``score(df, rule, out_col)``:
 
 * :class:`MeanOfLags` - a SQL-expressible baseline (mean of the city's lag
   features), used to check the recursion against DuckDB;
-* :class:`ModelPredictor` - the trained MLlib ``PipelineModel`` per city.
+* :class:`~dockcast.operators.trees.TreePredictor` - the saved trees and forests as
+  expressions;
+* :class:`ModelPredictor` - any fitted MLlib ``PipelineModel`` per city.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from dockcast.config import CITY_RULES, OK, CityRule
 from dockcast.functions import horizon_guard, steps_to_target
+from dockcast.operators.lookup import settled
 
 STATE = ("s1", "s2", "s3", "s4")
 
@@ -115,11 +118,13 @@ def forecast(df: DataFrame, predictor, rules: dict[str, CityRule] = CITY_RULES)
     every step) and Q8 (intermediate predictions are rounded) are kept.
     Every step is one projection for an expression predictor; models are
     applied to the rows of their own city only, one feature projection and one
-    ``transform`` a step, and rows of unknown cities pass by.  The city is part of
-    the lookup's shuffle key, so each city's filter moves below the lookup.
+    ``transform`` a step, and rows of unknown cities pass by.  ``df`` is written first
+    then, so that what made it runs once for all cities.  A row that is ok but whose
+    city has no model has no prediction.
     """
     if hasattr(predictor, "sql"):
         return _unrolled(df, predictor, rules)
+    df = settled(df)
     parts = [_unrolled(df.where(F.col("city") == c), predictor, {c: r}) for c, r in rules.items()]
     unknown = ~F.coalesce(F.col("city").isin(*rules), F.lit(False))
     parts.append(
@@ -156,7 +161,9 @@ def _unrolled(df: DataFrame, predictor, rules: dict[str, CityRule]) -> DataFrame
             for city, rule in live.items():
                 cur = predictor.score(cur, rule, f"pred_{city}")
             p_step = _case_city_sql(live, lambda r: f"pred_{r.city}")
-        cur = cur.selectExpr(*map(_q, carried), "steps", *_step_update(p_step, i, max_steps))
+        # the prediction is a column of its own, as the update reads it twice
+        cur = cur.selectExpr(*map(_q, carried), "steps", "fc_prediction", *STATE, f"{p_step} AS p_step")
+        cur = cur.selectExpr(*map(_q, carried), "steps", *_step_update("p_step", i, max_steps))
     return cur.selectExpr(
         *[f"{_q(n)} AS {_q(c)}" for c, n in zip(original, carried)],
         "steps",

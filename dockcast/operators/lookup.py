@@ -28,7 +28,7 @@ exactly at ``now`` is in the window, and equal timestamps are broken by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockcast.config import CITY_RULES, NO_HISTORY, OK, CityRule, RunParams
@@ -58,13 +58,65 @@ def lag_lookup(
     ``params.bound_history`` first restricts the history to the requests'
     time range.
     """
+    probed = _probed(rules)
+    answers = _answers(requests.where(probed), requests, history, params, rules)
+    rest = requests.where(~probed | F.col("status").isNull() | F.col("city").isNull())
+    return _with_rest(answers, rest, rules, requests.columns)
+
+
+def _probed(rules: dict[str, CityRule]) -> Column:
+    return F.col("city").isin(list(_lookup_rules(rules))) & (F.col("status") == OK)
+
+
+def shared_lag_lookup(
+    requests: DataFrame,
+    history: DataFrame,
+    params: RunParams = RunParams(),
+    rules: dict[str, CityRule] = CITY_RULES,
+) -> DataFrame:
+    """As ``lag_lookup``, with each distinct (city, station, now) looked up once.
+
+    The requests are written first (``settled``), so their validation runs once and
+    only typed columns are read again.  The distinct keys are pre-aggregated before
+    their shuffle, so a station asked for by half of a batch is one key there; the
+    answers are joined back by a plain join, which AQE broadcasts once measured
+    small or splits where a key is hot.
+    """
+    requests = settled(requests)
+    keys = ["city", "station_id", "requested_at"]
+    probed = _probed(rules)
+    asked = requests.where(probed).select(*keys).distinct().withColumn("status", F.lit(OK))
+    answers = _answers(asked, requests, history, params, rules)
+    answers = answers.select(*keys, *[F.col(c).alias(f"_{c}") for c in SLOT_COLS], F.col("status").alias("_status"))
+    no_lookup = F.col("city").isin([c for c, r in rules.items() if not r.lookups]) & (F.col("status") == OK)
+    slots = [F.when(probed, F.col(f"_{c}")).when(no_lookup, 0).cast("int").alias(c) for c in SLOT_COLS]
+    status = F.when(probed, F.col("_status")).otherwise(F.col("status")).alias("status")
+    others = [F.col(c) for c in requests.columns if c != "status"]
+    return requests.join(answers, keys, "left").select(*others, *slots, status)
+
+
+def settled(requests: DataFrame) -> DataFrame:
+    """``requests`` written to the shared folder and read back: what made them runs
+    once, however many branches of a plan read them, and filters on their columns
+    are filters of a Parquet scan."""
+    import uuid
+
+    from dockcast.session import checkpoint_dir
+
+    spark = requests.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/requests-{uuid.uuid4().hex}"
+    requests.write.parquet(path)
+    return spark.read.schema(requests.schema).parquet(path)
+
+
+def _answers(
+    needs: DataFrame, requests: DataFrame, history: DataFrame, params: RunParams, rules: dict[str, CityRule]
+) -> DataFrame:
+    """The probed rows ``needs`` with their slots and status; ``requests`` (a superset
+    of them) bounds the history."""
     lrules = _lookup_rules(rules)
     unit = params.lag_unit
     bucket_us = bucket_micros(params, rules)
-
-    probed = F.col("city").isin(list(lrules)) & (F.col("status") == OK)
-    needs = requests.where(probed)
-    rest = requests.where(~probed | F.col("status").isNull() | F.col("city").isNull())
     if params.bound_history:
         # bounds over all requests (a superset of the probed ones): only
         # requested_at is read, so validation work is pruned from this pass
@@ -84,11 +136,10 @@ def lag_lookup(
         ) + ")"
 
     probe_case = "CASE city " + " ".join(f"WHEN '{c}' THEN {probes_of(r)}" for c, r in lrules.items()) + " END"
-    payload_cols = [c for c in requests.columns if c not in ("city", "station_id", "status")]
+    payload_cols = [c for c in needs.columns if c not in ("city", "station_id", "status")]
     payload = [f"`{c}`" for c in payload_cols]
     if params.lookup_plan in ("auto", "two_level"):
-        looked_up = _two_level(needs, history, params, rules, payload_cols, probe_case, requests.columns)
-        return _with_rest(looked_up, rest, rules, requests.columns)
+        return _two_level(needs, history, params, rules, payload_cols, probe_case, needs.columns)
     if params.lookup_plan != "window":
         raise ValueError(f"unknown lookup plan {params.lookup_plan!r}")
 
@@ -128,14 +179,12 @@ def lag_lookup(
         *[F.expr(f"max(CASE WHEN slot = {i} THEN {value} END)").alias(f"slot{i}") for i in SLOTS],
         F.expr(f"count({value}) = count(1)").alias("complete"),
     )
-    looked_up = per_request.selectExpr(
-        *[f"`{c}`" for c in requests.columns if c != "status"],
+    return per_request.selectExpr(
+        *[f"`{c}`" for c in needs.columns if c != "status"],
         *SLOT_COLS,
         f"CASE WHEN complete THEN '{OK}' ELSE '{NO_HISTORY}' END AS status",
     )
 
-    return _with_rest(looked_up, rest, rules, requests.columns)
-
 
 def _with_rest(looked_up: DataFrame, rest: DataFrame, rules: dict[str, CityRule], columns: list[str]) -> DataFrame:
     """Union back the rows that were not probed: zero lags for cities without

@@ -134,8 +134,10 @@ def round_half_up_float_sql(x: str) -> str:
     return f"CAST(floor(CAST(CAST({x} AS FLOAT) AS DOUBLE) + 0.5) AS INTEGER)"
 
 
-def forecast_sql(source: str = "lu") -> tuple[str, str]:
-    """F1 unrolled: CTE text and the name of the last step's relation."""
+def forecast_sql(source: str = "lu", step=None) -> tuple[str, str]:
+    """F1 unrolled: CTE text and the name of the last step's relation; ``step`` gives
+    a city's prediction over the row (``z``) and its lag state, else the mean of lags."""
+    step = step or mean_of_lags_sql
     max_steps = max(r.unrolled_steps for r in CITY_RULES.values())
     ctes = [
         f"""f0 AS (SELECT *, CASE WHEN status = 'ok' THEN {_case_city(_steps_sql)} END AS steps,
@@ -144,7 +146,7 @@ def forecast_sql(source: str = "lu") -> tuple[str, str]:
     ]
     for i in range(1, max_steps + 1):
         live = {c: r for c, r in CITY_RULES.items() if r.unrolled_steps >= i}
-        p = _case_city(mean_of_lags_sql, live)
+        p = _case_city(step, live)
         r = round_half_up_float_sql(p)
         ctes.append(
             f"""f{i} AS (SELECT * REPLACE (
@@ -152,7 +154,7 @@ def forecast_sql(source: str = "lu") -> tuple[str, str]:
               CASE WHEN steps > {i} THEN {r} ELSE s1 END AS s1,
               CASE WHEN steps > {i} THEN s1 ELSE s2 END AS s2,
               CASE WHEN steps > {i} THEN s2 ELSE s3 END AS s3,
-              CASE WHEN steps > {i} THEN s3 ELSE s4 END AS s4) FROM f{i - 1})"""
+              CASE WHEN steps > {i} THEN s3 ELSE s4 END AS s4) FROM f{i - 1} z)"""
         )
     return ",\n".join(ctes), f"f{max_steps}"
 
@@ -168,12 +170,13 @@ def payload_sql() -> str:
     return "CAST(json_object(" + ", ".join(f"'{f}', {prop(f)}" for f in fields) + ") AS VARCHAR)"
 
 
-def prediction_pipeline_sql(unit: int, with_lags: bool = True) -> str:
-    fc_ctes, last = forecast_sql()
+def prediction_pipeline_sql(unit: int, with_lags: bool = True, history: str | None = None, more: list[str] = (), step=None) -> str:
+    fc_ctes, last = forecast_sql(step=step)
+    fc_ctes = ",\n".join([*more, fc_ctes])
     lags = ", slot1, slot2, slot3, slot4" if with_lags else ""
     return f"""
 WITH req AS ({requests_sql()}),
-hist AS ({history_sql()}),
+hist AS ({history or history_sql()}),
 val AS ({validated_sql()}),
 lk AS ({lookups_sql(unit)}),
 lu AS ({looked_up_sql()}),

@@ -1,8 +1,8 @@
 """Online prediction, batch form: requests + history -> shaped responses.
 
-One lazy plan per batch: validate -> as-of lag lookup (one shuffle) ->
-unrolled recursive forecast (narrow) -> response shaping (narrow).  The same
-function serves the stream through ``foreachBatch``.
+Per batch: validate (written once) -> as-of lag lookup of the distinct keys, joined
+back -> unrolled recursive forecast (narrow) -> response shaping (narrow).  The
+same function serves the stream through ``foreachBatch``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dockcast.config import CITY_RULES, RETENTION_HOURS, CityRule, RunParams
 from dockcast.functions import minus_seconds, ntz_literal
 from dockcast.operators.forecast import MeanOfLags, forecast
-from dockcast.operators.lookup import SLOT_COLS, lag_lookup
+from dockcast.operators.lookup import SLOT_COLS, shared_lag_lookup
 from dockcast.operators.requests import validate_requests
 from dockcast.operators.responses import shape_responses
 
@@ -43,8 +43,8 @@ def predict(
     with_lags: bool = True,
 ) -> DataFrame:
     """One response row per request; ``slot1..slot4`` kept when ``with_lags``."""
-    # only what the response needs rides through the lookup shuffle
+    # only what the response needs is kept
     validated = validate_requests(requests).select(*RESPONSE_INPUTS)
-    looked_up = lag_lookup(validated, history, params, rules)
+    looked_up = shared_lag_lookup(validated, history, params, rules)
     scored = forecast(looked_up, predictor or MeanOfLags(), rules)
     return shape_responses(scored, rules, extra=SLOT_COLS if with_lags else ())

@@ -29,10 +29,11 @@ from dockcast.config import (
 from dockcast.functions import iso_utc, ntz_literal
 from dockcast.operators import features as feat
 from dockcast.operators.forecast import MeanOfLags, ModelPredictor, forecast
-from dockcast.operators.lookup import SLOT_COLS, lag_lookup, station_names
+from dockcast.operators.lookup import SLOT_COLS, lag_lookup, shared_lag_lookup, station_names
 from dockcast.operators.metrics import accuracy, regression_metrics
 from dockcast.operators.requests import extract_requests, validate_requests
 from dockcast.operators.responses import latest_per_key, shape_responses
+from dockcast.operators.trees import TreePredictor, node_table, with_prediction
 from dockcast.plans import oracle
 from dockcast.plans.predict import RESPONSE_INPUTS, predict, retain
 from dockcast.plans.training import load_model, save_model, train_city
@@ -412,7 +413,7 @@ def response_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = validate_requests(events_requests(spark, sf_dir)).select(*RESPONSE_INPUTS)
     key = F.coalesce(F.col("station_id").cast("string"), F.col("id_station"))
     last = latest_per_key(v.withColumn("answer_key", key), ["city", "answer_key"], ["requested_at", "request_id"]).drop("answer_key")
-    scored = forecast(lag_lookup(last, events_history(spark, sf_dir, LOOKUP_CITIES), FLAGSHIP_PARAMS), MeanOfLags())
+    scored = forecast(shared_lag_lookup(last, events_history(spark, sf_dir, LOOKUP_CITIES), FLAGSHIP_PARAMS), MeanOfLags())
     shaped = shape_responses(scored, extra=("requested_at",))
     return shaped.select(
         "city", "idStation", "predictionValue", "predictionId", "status",
@@ -492,11 +493,17 @@ def train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecast_with_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 + M7 with the fitted trees: every request scored in one plan."""
-    models = {c: train_city(t, CITY_RULES[c]).model for c, t in _tables_for_training(spark, sf_dir).items()}
-    return predict(
-        events_requests(spark, sf_dir), events_history(spark, sf_dir), ModelPredictor(models), FLAGSHIP_PARAMS
-    )
+    """F1 + M7 + S8 + S9 with the fitted trees, saved and read back as expressions:
+    every request scored in one plan, cities and steps in one chain of projections."""
+    paths = {c: _saved(spark, train_city(t, CITY_RULES[c]).model, c) for c, t in _tables_for_training(spark, sf_dir).items()}
+    hist = events_history(spark, sf_dir, LOOKUP_CITIES)
+    return predict(events_requests(spark, sf_dir), hist, TreePredictor.load(spark, paths), FLAGSHIP_PARAMS)
+
+
+def _saved(spark: SparkSession, model: PipelineModel, name: str) -> str:
+    path = _scratch(spark, f"model-{name}")
+    save_model(model, path)
+    return path
 
 
 QUERIES.update({"train_evaluate": train_evaluate, "forecast_with_models": forecast_with_models})
@@ -571,8 +578,68 @@ def forecast_model_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(events_requests(spark, sf_dir), hist, ModelPredictor(models), FLAGSHIP_PARAMS)
 
 
+# Availability in levels of this many bikes: few enough values for a tree to part all.
+LEVEL = 25
+LAG_TREE_RULES = {
+    "Barcelona": replace(BARCELONA, features=("three_before",), tree_depth=25),
+    "Santander": replace(SANTANDER, features=("five_before",), tree_depth=25),
+    "Malaga": FULL_TREE_RULES["Malaga"],
+}
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = events_history(spark, sf_dir, LOOKUP_CITIES)
+    return hist.withColumn("available", F.floor(F.col("available") / LEVEL).cast("int"))
+
+
+def _malaga_key() -> Column:
+    return F.col("day") * 7 + F.col("minute") + F.col("availableSpotNumber")
+
+
+def forecast_with_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recursive forecast by trees that were trained,
+    saved and read back as expressions.  Each bike tree knows the first lag alone, so
+    that every step follows from the rounded answer of the step before."""
+    hist = _levels(spark, sf_dir)
+    paths = {}
+    for city in LOOKUP_CITIES:
+        t = feat.lag_training_table(hist, LAG_TREE_RULES[city], TRAIN_UNIT)
+        key = F.date_diff("slot_ts", F.lit("1970-01-01").cast("date")) + F.col("id_station")
+        paths[city] = _saved(spark, train_city(t, LAG_TREE_RULES[city], split_key=key).model, city)
+    parking = train_city(training_table_malaga(spark, sf_dir), LAG_TREE_RULES["Malaga"], split_key=_malaga_key())
+    paths["Malaga"] = _saved(spark, parking.model, "Malaga")
+    trees = TreePredictor.load(spark, paths)
+    return predict(events_requests(spark, sf_dir), hist, trees, FLAGSHIP_PARAMS, LAG_TREE_RULES)
+
+
+FOREST_RULE = replace(MALAGA, features=("name", "weekday"), tree_depth=15)
+
+
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of 100 bootstrapped trees, saved and scored as an
+    expression on the held-out rows.  Every training row has its group's most frequent
+    class as label, which all trees must find, whatever rows their bootstraps hold."""
+    rows = training_table_malaga(spark, sf_dir).withColumn("train", F.pmod(_malaga_key(), F.lit(10)) < 8)
+    counts = rows.where("train").groupBy("name", "weekday", "occupation").count()
+    common = counts.groupBy("name", "weekday").agg(
+        F.max_by("occupation", F.struct("count", -F.col("occupation"))).alias("common")  # ties: the smaller class
+    )
+    t = rows.join(common, ["name", "weekday"])
+    taught = t.withColumn("occupation", F.when(F.col("train"), F.col("common")).otherwise(F.col("occupation"))).drop("common")
+    trained = train_city(taught, FOREST_RULE, split_key=_malaga_key())
+    held = trained.test_predictions.select("name", "weekday", "occupation")
+    scored = with_prediction(held, node_table(spark, _saved(spark, trained.model, "forest")))
+    return scored.select("name", "weekday", F.col("occupation").alias("label"), "prediction")
+
+
 QUERIES.update(
-    {"tree_scores": tree_scores, "tree_metrics": tree_metrics, "forecast_model_path": forecast_model_path}
+    {
+        "tree_scores": tree_scores,
+        "tree_metrics": tree_metrics,
+        "forecast_model_path": forecast_model_path,
+        "forecast_with_trees": forecast_with_trees,
+        "forest_scores": forest_scores,
+    }
 )
 
 
@@ -596,6 +663,26 @@ s_Malaga AS (SELECT 'Malaga' AS city, t.grp, t.weekday, t.label, CAST(c.label AS
     return "WITH " + ",\n".join(parts)
 
 
+def _lag_trees_sql() -> str:
+    """The forecast whose step is the mean label of the lag's group: a tree parts two
+    neighbouring values in their middle, so other lags go to the nearer one."""
+    hist = f"SELECT * REPLACE (CAST(available // {LEVEL} AS INTEGER) AS available) FROM ({oracle.history_sql()}) h"
+    ctes, steps = [], {}
+    for city in LOOKUP_CITIES:
+        rule = LAG_TREE_RULES[city]
+        lag = rule.features[0]
+        ctes.append(f"""g_{city} AS (WITH grid AS ({_grid_sql(city, 'day')}), t AS ({_lag_table_sql(rule)})
+  SELECT {lag} AS x, avg(available_bikes) AS p FROM t WHERE {lag} IS NOT NULL
+  AND (date_diff('day', DATE '1970-01-01', CAST(slot_ts AS DATE)) + id_station) % 10 < 8 GROUP BY {lag}),
+l_{city} AS (SELECT list({{'upto': coalesce(upto, 1e9), 'p': p}} ORDER BY x) AS groups
+  FROM (SELECT *, (x + lead(x) OVER (ORDER BY x)) / 2.0 AS upto FROM g_{city}) z)""")
+        steps[city] = f"list_filter((SELECT groups FROM l_{city}), lambda g: s1 <= g.upto)[1].p"
+    ctes.append(f"""c_Malaga AS (SELECT name, weekday, occupation, row_number() OVER (PARTITION BY name, weekday ORDER BY count(*) DESC, occupation) AS place
+  FROM ({_malaga_table_sql()}) x WHERE (day * 7 + minute + availableSpotNumber) % 10 < 8 GROUP BY name, weekday, occupation)""")
+    steps["Malaga"] = "(SELECT CAST(occupation AS DOUBLE) FROM c_Malaga m WHERE place = 1 AND m.name = station_id AND m.weekday = z.weekday)"
+    return oracle.prediction_pipeline_sql(DAY, history=hist, more=ctes, step=lambda rule: steps[rule.city])
+
+
 ORACLE_SQL.update(
     {
         "tree_scores": _tree_ctes()
@@ -611,6 +698,8 @@ SELECT city, metric, round(value, 6) AS value, rows FROM (
   UNION ALL SELECT city, 'r2', r2, rows FROM bikes
   UNION ALL SELECT city, 'accuracy', avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END), count(*) FROM s_Malaga GROUP BY city) m""",
         "forecast_model_path": oracle.prediction_pipeline_sql(DAY),
+        "forest_scores": _tree_ctes() + " SELECT grp AS name, weekday, label, prediction FROM s_Malaga",
+        "forecast_with_trees": _lag_trees_sql(),
     }
 )
 

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from dockcast.config import CITY_RULES, HOUR, NO_HISTORY, OK, RunParams
 from dockcast.operators.lookup import lag_lookup
 
@@ -180,3 +182,27 @@ def test_auto_plan_bounds_dense_tasks(spark):
     requests = [(i, "Barcelona", 1, T0 + dt.timedelta(hours=rnd.randint(1, 10)), OK) for i in range(50)]
     got, _ = run(spark, requests, history, RunParams(lookup_plan="auto", slot_seconds=300))
     assert got == brute(requests, history, HOUR)
+
+
+def test_shared_lookup_equals_the_plain_one(spark):
+    """Half of the requests ask for one station at one time; others share keys with
+    requests that aren't ok, or have null keys."""
+    from dockcast.operators.lookup import shared_lag_lookup
+
+    rnd = random.Random(3)
+    history = [(rnd.choice(["Barcelona", "Santander"]), rnd.randint(1, 4), T0 - dt.timedelta(minutes=rnd.randint(0, 2000)), rnd.randint(0, 30), i) for i in range(500)]
+    requests = [(i, "Barcelona", 1, T0, OK) for i in range(300)]
+    for i in range(300, 600):
+        city = rnd.choice(["Barcelona", "Santander", "Malaga", "Other", None])
+        status = rnd.choice([OK, OK, "invalid_request", None])
+        now = rnd.choice([T0, T0 - dt.timedelta(hours=3)])
+        requests.append((i, city, rnd.choice([1, 2, 3, 9]) if status == OK else None, now, status))
+    r = spark.createDataFrame(requests, REQ_SCHEMA).withColumn("extra", F.col("request_id") * 2)
+    h = spark.createDataFrame(history, HIST_SCHEMA)
+    for plan in ("window", "two_level"):
+        params = RunParams(lookup_plan=plan)
+        cols = ["request_id", "city", "station_id", "extra", "status", "slot1", "slot2", "slot3", "slot4"]
+        a, b = (sorted(map(tuple, f(r, h, params).select(*cols).collect())) for f in (lag_lookup, shared_lag_lookup))
+        assert a == b and len(a) == 600
+    none = shared_lag_lookup(r.where("false"), h, RunParams())
+    assert none.count() == 0

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 
 EXPECTED_EXCHANGES = {
-    "forecast_responses": 1,
+    "forecast_responses": 2,  # distinct keys, then history and probes; the answers' join is by broadcast
     "lag_lookup_days": 1,
     "lag_lookup_two_level": 2,
     "request_validation": 0,
@@ -50,3 +50,11 @@ def test_flagship_scans_are_pruned_and_filtered(spark):
     assert history_scan and "props" not in history_scan[0].split("ReadSchema")[1]
     assert "In(event_type, [click,view])" in history_scan[0]
     assert "GreaterThan(ts," in history_scan[0]  # bounded to the requests' time range
+
+
+@pytest.mark.parametrize("name", ["forecast_responses", "forecast_responses_hourly", "forecast_model_path", "response_snapshot"])
+def test_requests_are_parsed_before_the_plan(spark, name):
+    """Filters see typed columns; the history is the one scan of events that is left."""
+    lines = plan_of(spark, name).split("\n")
+    assert not [x for x in lines if "Filter" in x and ("RLIKE" in x or "get_json_object" in x)]
+    assert sum("FileScan parquet" in x and "events.parquet" in x for x in lines) <= 1
