@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dockcast.config import CITY_RULES, HOUR, RunParams
 from dockcast.operators import features as feat
-from dockcast.operators.forecast import ModelPredictor
-from dockcast.plans.training import load_model, save_model, train_city
-from dockcast.session import apply_plan_conf, path_exists
+from dockcast.plans.models import CurrentModels, ModelStore
+from dockcast.plans.training import train_city
+from dockcast.session import apply_plan_conf
 from dockcast.sources.history import read_history
 from dockcast.sources.tables import history_from_events, read_table
 from dockcast.streaming.stream import start_prediction_stream
@@ -42,21 +42,18 @@ def training_tables(spark: SparkSession, tables_dir: str, unit: int = HOUR) -> d
 
 def train_all(spark: SparkSession, tables_dir: str, model_dir: str, unit: int = HOUR) -> DataFrame:
     """M5-M8 + S8 for every city; returns the hold-out metrics of all cities."""
-    metrics = None
+    metrics, store = None, ModelStore(spark, model_dir)
     for city, table in training_tables(spark, tables_dir, unit).items():
         trained = train_city(table, CITY_RULES[city])
-        save_model(trained.model, f"{model_dir.rstrip('/')}/{city.lower()}")
+        store.publish(city, trained.model)
         metrics = trained.metrics if metrics is None else metrics.unionByName(trained.metrics)
     return metrics
 
 
 def load_all(spark: SparkSession, model_dir: str) -> dict:
-    """The saved model of every city; a missing one stops the service here."""
-    paths = {city: f"{model_dir.rstrip('/')}/{city.lower()}" for city in CITY_RULES}
-    missing = [p for p in paths.values() if not path_exists(spark, p)]
-    if missing:
-        raise FileNotFoundError(f"no model in {', '.join(missing)}")
-    return {city: load_model(p) for city, p in paths.items()}
+    """The current model of every city; a missing one is an error here."""
+    store = ModelStore(spark, model_dir)
+    return {city: store.load(city) for city in CITY_RULES}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -74,6 +71,8 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--interval", default="1 second")
     s.add_argument("--outbox-format", choices=("parquet", "text"), default="parquet")
     s.add_argument("--max-files-per-trigger", type=int)
+    s.add_argument("--max-bytes-per-trigger")
+    s.add_argument("--archive")
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName(f"dockcast-{args.cmd}").getOrCreate()
@@ -88,11 +87,13 @@ def main(argv: list[str] | None = None) -> int:
         args.outbox,
         args.checkpoint,
         snapshot_dir=args.snapshot,
-        predictor=ModelPredictor(load_all(spark, args.models)),
+        models=CurrentModels(ModelStore(spark, args.models), list(CITY_RULES)),
         params=RunParams(lag_unit=args.unit),
         interval=args.interval,
         outbox_format=args.outbox_format,
         max_files_per_trigger=args.max_files_per_trigger,
+        max_bytes_per_trigger=args.max_bytes_per_trigger,
+        archive_dir=args.archive,
     )
     query.awaitTermination()
     return 0

@@ -19,19 +19,49 @@ def read_notifications(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_notification_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming read of the same landing folder."""
+def read_notification_stream(
+    spark: SparkSession,
+    path: str,
+    max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: int | str | None = None,
+    archive_dir: str | None = None,
+) -> DataFrame:
+    """Streaming read of the same landing folder.
+
+    A batch admits files up to a number or a size.  With ``archive_dir`` files that a
+    committed batch has read are moved there, so the landing folder's listing stays
+    short; the folder must lie outside the landing folder.  (Spark's file source takes
+    no file that is a week older than the newest one it has seen.)
+    """
+    options = {"maxFilesPerTrigger": max_files_per_trigger, "maxBytesPerTrigger": max_bytes_per_trigger}
+    if archive_dir:
+        options |= {"cleanSource": "archive", "sourceArchiveDir": archive_dir}
     reader = spark.readStream.format("text")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    for name, value in options.items():
+        if value is not None:
+            reader = reader.option(name, str(value))
     return reader.load(path)
 
 
+def once_each(raw: DataFrame, window: str = "10 minutes", text_col: str = "value") -> DataFrame:
+    """A notification that the broker delivers again within ``window`` of its first
+    arrival is dropped, in the same batch, a later one or after a restart.
+
+    Notifications are told apart by their id; those without one (or broken ones) are
+    never taken for each other.  The state holds the ids of the window alone.  Arrival
+    counts, not a time in the text, so no notification is too late to be answered.
+    """
+    own = F.concat(F.lit("none:"), F.expr("uuid()"))
+    key = F.coalesce(F.concat(F.lit("id:"), F.try_variant_get(F.try_parse_json(F.col(text_col)), "$.id", "string")), own)
+    keyed = raw.withColumns({"__key": key, "__arrived": F.current_timestamp()}).withWatermark("__arrived", window)
+    return keyed.dropDuplicatesWithinWatermark(["__key"]).drop("__key", "__arrived")
+
+
 def flatten_entities(raw: DataFrame, text_col: str = "value") -> DataFrame:
     """Parse each notification and emit one row per entity.
 
-    Broken JSON or a notification without entities yields no entity row but a
-    ``broken`` flag row so nothing vanishes silently.
+    Broken JSON or a notification without entities yields one row with a null entity,
+    so nothing vanishes silently.
     """
     parsed = raw.select(
         F.col(text_col).alias("raw"),

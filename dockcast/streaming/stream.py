@@ -7,12 +7,14 @@ batch answers are the same by construction:
 * "now" of a batch is one literal (``as_of``), kept for replays, so history
   retention (S5) bounds are constants that prune day folders and are pushed
   into the Parquet scan; the retention covers the largest lookback;
-* responses go to an outbox folder per batch id, written with overwrite, so
-  a batch replayed after a failure replaces its own output (W4: idempotent,
-  no duplicates across restarts; progress lives in the checkpoint);
-* the last-write-wins snapshot (S11) is folded forward from the previous
-  snapshot and the new batch - its size is bounded by the number of
-  entities, never by the length of the stream;
+* responses are staged and committed once per batch id (S10): readers see whole
+  batches, and a replay of a committed batch writes nothing (W4; progress lives
+  in the checkpoint);
+* a notification that the broker delivers again is dropped by its id (W4);
+* the last-write-wins snapshot (S11) is a log: a batch adds its last answer of each
+  station, and now and then the log is compacted;
+* a retrained model is taken up between two batches (S9), and every answer names the
+  version that made it;
 * an empty batch writes nothing (W3).
 """
 
@@ -29,39 +31,23 @@ from pyspark.sql.streaming import StreamingQuery
 from dockcast.config import CITY_RULES, NO_HISTORY, OK, RETENTION_HOURS, RunParams
 from dockcast.functions import ntz_literal
 from dockcast.operators.requests import extract_requests
-from dockcast.operators.responses import latest_per_key
+from dockcast.plans.models import CurrentModels
 from dockcast.plans.predict import predict, retain
 from dockcast.session import path_exists
-from dockcast.sources.notifications import flatten_entities, read_notification_stream
+from dockcast.sources.notifications import flatten_entities, once_each, read_notification_stream
+from dockcast.streaming.commits import Outbox, SnapshotLog
 
 
 def utc_now(_batch_id: int) -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
-def _snapshots(spark: SparkSession, snapshot_dir: str) -> list[int]:
-    """Committed snapshot versions (folders ``v=<batch_id>``), ascending."""
-    if not path_exists(spark, snapshot_dir):
-        return []
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(snapshot_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            versions.append(int(name[2:]))
-    return sorted(versions)
+SNAPSHOT_KEY = ["city", "idStation"]
+SNAPSHOT_ORDER = ["produced_at", "request_id"]
 
 
-def _prune_snapshots(spark: SparkSession, snapshot_dir: str, keep: int) -> None:
-    """Drop committed snapshot versions older than the newest ``keep`` (at least
-    two: a replay of the newest batch reads the one before it)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(snapshot_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for old in _snapshots(spark, snapshot_dir)[: -max(keep, 2)]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{snapshot_dir}/v={old}"), True)
+def snapshot_log(spark: SparkSession, snapshot_dir: str, compact_every: int = 8) -> SnapshotLog:
+    return SnapshotLog(spark, snapshot_dir, SNAPSHOT_KEY, SNAPSHOT_ORDER, compact_every=compact_every)
 
 
 def batch_time(spark: SparkSession, outbox_dir: str, batch_id: int, as_of: Callable[[int], dt.datetime]) -> dt.datetime:
@@ -95,8 +81,9 @@ def make_batch_scorer(
     as_of: Callable[[int], dt.datetime] = utc_now,
     retention_hours: int | None = None,
     rules=CITY_RULES,
-    keep_snapshots: int = 3,
     outbox_format: str = "parquet",
+    compact_every: int = 8,
+    models: CurrentModels | None = None,
 ):
     """The ``foreachBatch`` function (also callable on a static DataFrame).
 
@@ -110,46 +97,43 @@ def make_batch_scorer(
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        requests = extract_requests(flatten_entities(batch)).persist()
-        cached = [requests]
-        try:
-            if requests.isEmpty():  # W3
-                return
-            now = batch_time(spark, outbox_dir, batch_id, as_of)
-            requests = requests.withColumn("requested_at", ntz_literal(now))
-            since = now - dt.timedelta(seconds=span)
-            hist = retain(history(since, now), now, span / 3600)
-            responses = predict(requests, hist, predictor, params, rules, with_lags=False).select(
-                "*", ntz_literal(now).alias("produced_at"), F.lit(batch_id).cast("long").alias("batch_id")
-            )
-            out = f"{outbox_dir}/batch_id={batch_id}"
-            if outbox_format == "text":
-                # the broker-facing form: one NGSI-LD payload per line; the
-                # snapshot reuses the batch's responses instead of rescoring
-                if snapshot_dir:
-                    responses = responses.persist()
-                    cached.append(responses)
-                responses.select("payload").write.mode("overwrite").text(out)
-                fresh = responses
-            else:
-                responses.write.mode("overwrite").parquet(out)
-                fresh = spark.read.parquet(out)
-            if snapshot_dir:
-                # a replay must not read the version that it writes
-                before = [v for v in _snapshots(spark, snapshot_dir) if v < batch_id]
-                # keys are known stations only, so clients can't grow it
-                entity = fresh.where(F.col("status").isin(OK, NO_HISTORY)).select("city", "idStation", "predictionValue", "predictionId", "status", "payload", "produced_at", "request_id")
-                both = entity.unionByName(spark.read.parquet(f"{snapshot_dir}/v={before[-1]}")) if before else entity
-                snap = latest_per_key(both, ["city", "idStation"], ["produced_at", "request_id"])
-                snap.write.mode("overwrite").parquet(f"{snapshot_dir}/v={batch_id}")
-                _prune_snapshots(spark, snapshot_dir, keep=keep_snapshots)
-        finally:
-            for df in cached:
-                df.unpersist()
+        outbox = Outbox(spark, outbox_dir, outbox_format)
+        # the broker's form has the payload alone; the answers are kept beside it
+        answers = Outbox(spark, f"{outbox_dir}/_answers") if outbox_format == "text" else outbox
+        if not answers.committed(batch_id):
+            requests = extract_requests(flatten_entities(batch)).persist()
+            try:
+                if requests.isEmpty():  # W3
+                    return
+                now = batch_time(spark, outbox_dir, batch_id, as_of)
+                versions = models.refresh() if models else {}
+                since = now - dt.timedelta(seconds=span)
+                hist = retain(history(since, now), now, span / 3600)
+                scorer = models.predictor if models else predictor
+                responses = predict(requests.withColumn("requested_at", ntz_literal(now)), hist, scorer, params, rules, with_lags=False)
+                responses = responses.select("*", _version(versions), ntz_literal(now).alias("produced_at"), F.lit(batch_id).cast("long").alias("batch_id"))
+                answers.write(responses, batch_id, {"as_of": now.isoformat(), "models": versions})
+            finally:
+                requests.unpersist()
+        made = spark.read.parquet(answers.folder(batch_id))
+        if answers is not outbox:
+            outbox.write(made.select("payload"), batch_id)
+        if snapshot_dir:
+            # keys are known stations only, so clients can't grow it
+            entity = made.where(F.col("status").isin(OK, NO_HISTORY)).select("city", "idStation", "predictionValue", "predictionId", "status", "payload", "produced_at", "request_id")
+            snapshot_log(spark, snapshot_dir, compact_every).add(entity, batch_id)
 
     return score_batch
 
 
+def _version(versions: dict[str, int]):
+    """Number of the model that scores the row's city; null without a store."""
+    number = F.lit(None).cast("int")
+    for city, v in versions.items():
+        number = F.when(F.col("city") == city, v).otherwise(number)
+    return number.alias("model_version")
+
+
 def start_prediction_stream(
     spark: SparkSession,
     landing_dir: str,
@@ -165,13 +149,19 @@ def start_prediction_stream(
     max_files_per_trigger: int | None = None,
     retention_hours: int | None = None,
     outbox_format: str = "parquet",
-    keep_snapshots: int = 3,
+    compact_every: int = 8,
+    models: CurrentModels | None = None,
+    redelivery_window: str | None = "10 minutes",
+    max_bytes_per_trigger: int | str | None = None,
+    archive_dir: str | None = None,
 ) -> StreamingQuery:
     """Start the service; ``available_now`` drains the landing folder and stops."""
-    raw = read_notification_stream(spark, landing_dir, max_files_per_trigger)
+    raw = read_notification_stream(spark, landing_dir, max_files_per_trigger, max_bytes_per_trigger, archive_dir)
+    if redelivery_window:
+        raw = once_each(raw, redelivery_window)
     scorer = make_batch_scorer(
         history, outbox_dir, snapshot_dir, predictor, params, as_of, retention_hours,
-        keep_snapshots=keep_snapshots, outbox_format=outbox_format,
+        outbox_format=outbox_format, compact_every=compact_every, models=models,
     )
     writer = raw.writeStream.foreachBatch(scorer).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

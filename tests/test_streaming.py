@@ -13,7 +13,7 @@ from dockcast.plans.predict import predict, retain
 from dockcast.sources.notifications import entities_to_notifications, flatten_entities
 from dockcast.sources.tables import events_history, events_requests
 from dockcast.sources.history import read_history, write_history
-from dockcast.streaming.stream import history_seconds, make_batch_scorer, start_prediction_stream
+from dockcast.streaming.stream import history_seconds, make_batch_scorer, snapshot_log, start_prediction_stream
 
 from conftest import SF_SMALL
 
@@ -48,8 +48,7 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark):
     assert spark.read.parquet(outbox).count() == len(a)
 
     # snapshot: one row per (city, station), the newest answer
-    latest = sorted(glob.glob(f"{snap}/v=*"), key=lambda p: int(p.rsplit("=", 1)[1]))[-1]
-    s = spark.read.parquet(latest)
+    s = snapshot_log(spark, snap).read()
     assert s.count() == s.select("city", "idStation").distinct().count()
     known = streamed.where("status in ('ok', 'no_history')")
     assert s.count() == known.select("city", "idStation").distinct().count() > 0
@@ -107,9 +106,10 @@ def test_replay_keeps_its_time_and_reads_the_snapshot_before_it(spark):
     read = lambda p: sorted(map(tuple, spark.read.parquet(p).collect()), key=repr)
     score(notes.limit(400), 0)
     score(notes, 1)
-    first = read(f"{root}/outbox/batch_id=1"), read(f"{root}/snap/v=1")
+    snap = lambda: sorted(map(tuple, snapshot_log(spark, f"{root}/snap").read().collect()), key=repr)
+    first = read(f"{root}/outbox/batch_id=1"), snap()
     score(notes, 1)  # replay: the clock has moved on, the answers have not
-    assert (read(f"{root}/outbox/batch_id=1"), read(f"{root}/snap/v=1")) == first
+    assert (read(f"{root}/outbox/batch_id=1"), snap()) == first
 
 
 def test_empty_batch_writes_nothing(spark):
