@@ -46,6 +46,7 @@ def extract_requests(entities: DataFrame, requested_at: Column | None = None) ->
         e["month"]["value"].alias("month_raw"),
         now.cast("timestamp_ntz").alias("requested_at"),
         F.col("raw"),
+        e.isNull().alias("no_entity"),
     )
 
 
@@ -98,3 +99,40 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 def route(requests: DataFrame, city: str) -> DataFrame:
     """The rows one city's model will score (its own, still ok)."""
     return requests.where((F.col("city") == city) & (F.col("status") == OK))
+
+
+# why a notification's text can't be answered, besides the statuses
+BROKEN = "broken_json"
+NO_ENTITIES = "no_entities"
+REJECT_REASONS = (BROKEN, NO_ENTITIES, UNKNOWN_CITY, MALFORMED, INVALID)
+
+
+def with_reason(validated: DataFrame) -> DataFrame:
+    """``reason`` (null for a request that can be answered) and ``detail``, the
+    attributes at fault, of extracted and validated requests."""
+    typed = {"station_id": "idStation", "hour": "hour", "weekday": "weekday", "month": "month"}
+    missing = [F.when(F.col(c).isNull(), F.lit(a)) for c, a in {**typed, "socket_id": "socketId", "prediction_id": "predictionId"}.items()]
+    ranges = {
+        "station_id": (_city_case(lambda r: F.lit(r.station_min)), _city_case(lambda r: F.lit(r.station_max))),
+        "hour": HOUR_RANGE, "weekday": WEEKDAY_RANGE, "month": MONTH_RANGE,
+    }
+    outside = [F.when(~F.col(c).between(*ranges[c]), F.lit(a)) for c, a in typed.items()]
+    reason = (
+        F.when(F.col("no_entity") & F.try_parse_json("raw").isNull(), F.lit(BROKEN))
+        .when(F.col("no_entity"), F.lit(NO_ENTITIES))
+        .when(F.col("status") != OK, F.col("status"))
+    )
+    detail = F.when(F.col("reason") == MALFORMED, F.concat_ws(",", *missing)).when(F.col("reason") == INVALID, F.concat_ws(",", *outside))
+    return validated.withColumn("reason", reason).withColumn("detail", detail)
+
+
+def write_letters(judged: DataFrame, path: str, reason: str = "reason", reasons: tuple[str, ...] = REJECT_REASONS) -> dict[str, int]:
+    """Good and bad rows to ``path``/letter=good and ``path``/letter=bad in one pass; how
+    many rows were good, and how many bad ones had each reason, counted on the way."""
+    from pyspark.sql import Observation
+
+    counted = Observation()
+    counts = [F.count_if(F.col(reason).isNull()).alias("good"), *[F.count_if(F.col(reason) == r).alias(r) for r in reasons]]
+    letter = F.when(F.col(reason).isNull(), "good").otherwise("bad")
+    judged.observe(counted, *counts).withColumn("letter", letter).write.partitionBy("letter").parquet(path)
+    return counted.get

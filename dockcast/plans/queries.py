@@ -667,15 +667,8 @@ def _lag_trees_sql() -> str:
     """The forecast whose step is the mean label of the lag's group: a tree parts two
     neighbouring values in their middle, so other lags go to the nearer one."""
     hist = f"SELECT * REPLACE (CAST(available // {LEVEL} AS INTEGER) AS available) FROM ({oracle.history_sql()}) h"
-    ctes, steps = [], {}
+    ctes, steps = [_lag_groups_sql(city) for city in LOOKUP_CITIES], {}
     for city in LOOKUP_CITIES:
-        rule = LAG_TREE_RULES[city]
-        lag = rule.features[0]
-        ctes.append(f"""g_{city} AS (WITH grid AS ({_grid_sql(city, 'day')}), t AS ({_lag_table_sql(rule)})
-  SELECT {lag} AS x, avg(available_bikes) AS p FROM t WHERE {lag} IS NOT NULL
-  AND (date_diff('day', DATE '1970-01-01', CAST(slot_ts AS DATE)) + id_station) % 10 < 8 GROUP BY {lag}),
-l_{city} AS (SELECT list({{'upto': coalesce(upto, 1e9), 'p': p}} ORDER BY x) AS groups
-  FROM (SELECT *, (x + lead(x) OVER (ORDER BY x)) / 2.0 AS upto FROM g_{city}) z)""")
         steps[city] = f"list_filter((SELECT groups FROM l_{city}), lambda g: s1 <= g.upto)[1].p"
     ctes.append(f"""c_Malaga AS (SELECT name, weekday, occupation, row_number() OVER (PARTITION BY name, weekday ORDER BY count(*) DESC, occupation) AS place
   FROM ({_malaga_table_sql()}) x WHERE (day * 7 + minute + availableSpotNumber) % 10 < 8 GROUP BY name, weekday, occupation)""")
@@ -683,6 +676,17 @@ l_{city} AS (SELECT list({{'upto': coalesce(upto, 1e9), 'p': p}} ORDER BY x) AS
     return oracle.prediction_pipeline_sql(DAY, history=hist, more=ctes, step=lambda rule: steps[rule.city])
 
 
+def _lag_groups_sql(city: str) -> str:
+    """CTEs of a city's lag groups with their mean labels, and of one list of them."""
+    rule = LAG_TREE_RULES[city]
+    lag = rule.features[0]
+    return f"""g_{city} AS (WITH grid AS ({_grid_sql(city, 'day')}), t AS ({_lag_table_sql(rule)})
+  SELECT {lag} AS x, avg(available_bikes) AS p FROM t WHERE {lag} IS NOT NULL
+  AND (date_diff('day', DATE '1970-01-01', CAST(slot_ts AS DATE)) + id_station) % 10 < 8 GROUP BY {lag}),
+l_{city} AS (SELECT list({{'upto': coalesce(upto, 1e9), 'p': p}} ORDER BY x) AS groups
+  FROM (SELECT *, (x + lead(x) OVER (ORDER BY x)) / 2.0 AS upto FROM g_{city}) z)"""
+
+
 ORACLE_SQL.update(
     {
         "tree_scores": _tree_ctes()

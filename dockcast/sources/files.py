@@ -14,6 +14,9 @@ from dockcast.config import MALAGA_STATION_NAMES
 from dockcast.schemas import STATIONS, STATIONS_PER_CITY, TRAIN_SCHEMAS
 
 CORRUPT = "_corrupt_record"
+BAD_ROW = "bad_row"
+# The training files' names.
+TRAINING_FILES = {"Barcelona": "barcelona_bike.csv", "Santander": "santander_bike.csv", "Malaga": "malaga_parking.csv"}
 
 
 def read_training_csv(spark: SparkSession, path: str, city: str, quarantine: bool = True) -> DataFrame:
@@ -44,6 +47,15 @@ def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull())
 
 
+def judged_training_csv(spark: SparkSession, path: str, city: str) -> DataFrame:
+    """Rows of a training file with ``reason``: null where the row is sound, else
+    ``bad_row``; a bad row's columns are null and its text is in ``raw``."""
+    rows = read_training_csv(spark, path, city)
+    bad = F.col(CORRUPT).isNotNull()
+    columns = [F.when(~bad, F.col(c)).alias(c) for c in rows.columns if c != CORRUPT]
+    return rows.select(*columns, F.col(CORRUPT).alias("raw"), F.when(bad, F.lit(BAD_ROW)).alias("reason"))
+
+
 def read_stations(spark: SparkSession, path: str, per_city: bool = False) -> DataFrame:
     """Station dimension -> ``(city, station_id, name)``.
 

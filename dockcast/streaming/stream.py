@@ -30,7 +30,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dockcast.config import CITY_RULES, NO_HISTORY, OK, RETENTION_HOURS, RunParams
 from dockcast.functions import ntz_literal
-from dockcast.operators.requests import extract_requests
+from dockcast.operators.requests import extract_requests, validate_requests, with_reason
 from dockcast.plans.models import CurrentModels
 from dockcast.plans.predict import predict, retain
 from dockcast.session import path_exists
@@ -84,6 +84,7 @@ def make_batch_scorer(
     outbox_format: str = "parquet",
     compact_every: int = 8,
     models: CurrentModels | None = None,
+    rejected_dir: str | None = None,
 ):
     """The ``foreachBatch`` function (also callable on a static DataFrame).
 
@@ -106,6 +107,10 @@ def make_batch_scorer(
                 if requests.isEmpty():  # W3
                     return
                 now = batch_time(spark, outbox_dir, batch_id, as_of)
+                if rejected_dir:
+                    judged = with_reason(validate_requests(requests.withColumn("requested_at", ntz_literal(now))))
+                    letters = judged.where("reason is not null").select("raw", "reason", "detail", "city", "entity_id")
+                    Outbox(spark, rejected_dir).write(letters, batch_id, {"as_of": now.isoformat()})
                 versions = models.refresh() if models else {}
                 since = now - dt.timedelta(seconds=span)
                 hist = retain(history(since, now), now, span / 3600)
@@ -154,6 +159,7 @@ def start_prediction_stream(
     redelivery_window: str | None = "10 minutes",
     max_bytes_per_trigger: int | str | None = None,
     archive_dir: str | None = None,
+    rejected_dir: str | None = None,
 ) -> StreamingQuery:
     """Start the service; ``available_now`` drains the landing folder and stops."""
     raw = read_notification_stream(spark, landing_dir, max_files_per_trigger, max_bytes_per_trigger, archive_dir)
@@ -161,7 +167,7 @@ def start_prediction_stream(
         raw = once_each(raw, redelivery_window)
     scorer = make_batch_scorer(
         history, outbox_dir, snapshot_dir, predictor, params, as_of, retention_hours,
-        outbox_format=outbox_format, compact_every=compact_every, models=models,
+        outbox_format=outbox_format, compact_every=compact_every, models=models, rejected_dir=rejected_dir,
     )
     writer = raw.writeStream.foreachBatch(scorer).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

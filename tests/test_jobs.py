@@ -3,7 +3,7 @@
 import tempfile
 
 from dockcast.config import DAY, RunParams
-from dockcast.jobs import load_all, train_all
+from dockcast.jobs import load_all, train_all, training_tables
 from dockcast.operators.forecast import ModelPredictor
 from dockcast.plans.predict import predict
 from dockcast.sources.tables import events_history, events_requests
@@ -13,7 +13,7 @@ from conftest import SF_SMALL
 
 def test_train_save_load_and_serve(spark):
     models = tempfile.mkdtemp(prefix="models-")
-    metrics = train_all(spark, "/root/testdata/sf0.01", models, unit=DAY).collect()
+    metrics = train_all(spark, training_tables(spark, "/root/testdata/sf0.01", unit=DAY), models).collect()
     assert {r.city for r in metrics} == {"Barcelona", "Santander", "Malaga"}
     loaded = load_all(spark, models)
     assert set(loaded) == {"Barcelona", "Santander", "Malaga"}
