@@ -105,6 +105,32 @@ def station_profile(history: DataFrame) -> DataFrame:
     prof = history.groupBy("city", "station_id", F.hour("ts").alias("hour")).agg(
         F.avg("available").alias("avg_available"), F.count(F.lit(1)).alias("readings")
     )
+    return _with_change(prof)
+
+
+PROFILE_KEY = ["city", "station_id", "hour"]
+PROFILE_SUMS = ["total", "known", "readings"]
+
+
+def profile_partials(readings: DataFrame, sign: int = 1) -> DataFrame:
+    """Sums that profiles are made of, to be added up by ``PROFILE_KEY``; those of
+    readings that are taken out have the sign -1."""
+    one, known = F.lit(sign).cast("long"), F.col("available").isNotNull()
+    return readings.select(
+        "city", "station_id", F.hour("ts").alias("hour"),
+        (F.coalesce(F.col("available"), F.lit(0)).cast("long") * one).alias("total"),
+        F.when(known, one).otherwise(F.lit(0).cast("long")).alias("known"),
+        one.alias("readings"),
+    )
+
+
+def profile_of_sums(sums: DataFrame) -> DataFrame:
+    """``station_profile`` from added-up partials; groups without readings have no row."""
+    mean = F.when(F.col("known") > 0, F.col("total") / F.col("known"))
+    return _with_change(sums.where("readings > 0").select(*PROFILE_KEY, mean.alias("avg_available"), "readings"))
+
+
+def _with_change(prof: DataFrame) -> DataFrame:
     w = Window.partitionBy("city", "station_id").orderBy("hour")
     nxt_hour = F.lead("hour").over(w)
     nxt_avg = F.lead("avg_available").over(w)

@@ -171,6 +171,33 @@ def _unrolled(df: DataFrame, predictor, rules: dict[str, CityRule]) -> DataFrame
     )
 
 
+def forecast_steps(df: DataFrame, predictor, rules: dict[str, CityRule]) -> DataFrame:
+    """F1 with every step's prediction: one row for each row of ``df`` and step (from 1
+    to the most that a valid request of its city can need).  ``predictor`` is an
+    expression predictor; ``df`` is as for ``forecast``, with status ok."""
+    carried = [c if c not in _CLASHING else f"_req_{c}" for c in df.columns]
+    cur = df.select(
+        *[F.col(c).alias(n) for c, n in zip(df.columns, carried)], *[F.col(f"slot{i + 1}").alias(s) for i, s in enumerate(STATE)]
+    )
+    most = max(r.unrolled_steps for r in rules.values())
+    made: list[str] = []
+    for i in range(1, most + 1):
+        live = {c: r for c, r in rules.items() if r.unrolled_steps >= i}
+        p_step = _case_city_sql(live, predictor.sql)
+        cur = cur.selectExpr(*map(_q, carried), *STATE, *made, f"{p_step} AS p{i}")
+        made.append(f"p{i}")
+        rounded = _rounded_sql(f"p{i}")
+        cur = cur.selectExpr(*map(_q, carried), f"{rounded} AS s1", "s1 AS s2", "s2 AS s3", "s3 AS s4", *made)
+    steps = ", ".join(f"named_struct('step', {i + 1}, 'prediction', {p})" for i, p in enumerate(made))
+    out = cur.selectExpr(*[f"{_q(n)} AS {_q(c)}" for c, n in zip(df.columns, carried)], f"explode(array({steps})) AS p")
+    return out.select(*df.columns, "p.step", "p.prediction").where("prediction IS NOT NULL")
+
+
+def _rounded_sql(p: str) -> str:
+    """C3."""
+    return f"CAST(floor(CAST(CAST({p} AS FLOAT) AS DOUBLE) + 0.5) AS INT)"
+
+
 def _case_city_sql(rules: dict[str, CityRule], sql_of) -> str:
     arms = " ".join(f"WHEN '{city}' THEN {sql_of(rule)}" for city, rule in rules.items())
     return f"(CASE city {arms} END)"
@@ -181,6 +208,5 @@ def _step_update(p_step: str, i: int, max_steps: int) -> list[str]:
     out = [f"CASE WHEN steps >= {i} THEN {p_step} ELSE fc_prediction END AS fc_prediction"]
     if i == max_steps:
         return out + list(STATE)
-    rounded = f"CAST(floor(CAST(CAST({p_step} AS FLOAT) AS DOUBLE) + 0.5) AS INT)"  # C3
-    prev = {"s1": rounded, "s2": "s1", "s3": "s2", "s4": "s3"}
+    prev = {"s1": _rounded_sql(p_step), "s2": "s1", "s3": "s2", "s4": "s3"}
     return out + [f"CASE WHEN steps > {i} THEN {prev[s]} ELSE {s} END AS {s}" for s in STATE]

@@ -3,14 +3,16 @@ training files, previews, maintained profiles and backtests, with DuckDB twins."
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.config import CITY_RULES, DAY, OK
+from dockcast.config import CADENCE_MINUTES, CITY_RULES, DAY, OK, RETENTION_HOURS
 from dockcast.functions import iso_utc
 from dockcast.operators import features as feat
+from dockcast.operators.backtest import backtest, horizon_metrics
 from dockcast.operators.lookup import settled, unknown_stations
 from dockcast.operators.requests import extract_requests, validate_requests, with_reason, write_letters
 from dockcast.plans import oracle
@@ -20,9 +22,10 @@ from dockcast.plans.queries import ORACLE_SQL as OTHER_SQL
 from dockcast.plans.queries import _grid_sql, _lag_groups_sql, _lag_table_sql, _levels, _scratch, _stations_sql
 from dockcast.plans.training import preview, train_city
 from dockcast.sources.files import BAD_ROW, judged_training_csv
+from dockcast.sources.history_store import HistoryStore
 from dockcast.sources.notifications import entities_to_notifications, flatten_entities, once_each, read_notification_stream, read_notifications
 from dockcast.sources.tables import events_history, events_requests
-from dockcast.streaming.commits import Outbox, SnapshotLog
+from dockcast.streaming.commits import Outbox, SnapshotLog, SumLog
 
 BATCHES = 5  # the rows of a query are dealt to so many batches
 
@@ -152,6 +155,72 @@ def unknown_station_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unknown_stations(valid, stations_from_supplier(spark, sf_dir)).select("request_id", "city", "station_id")
 
 
+# --- maintained profiles and backtests ---------------------------------------
+
+
+def station_profile_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile from sums that batches maintain.  Readings come in five
+    batches, of which the first holds wrong values that a later one corrects, and
+    readings from before the history that expire."""
+    hist = settled(events_history(spark, sf_dir))
+    wrong = F.pmod("reading_id", F.lit(7)) == 0
+    early = hist.withColumn("available", F.when(wrong, F.col("available") + 3).otherwise(F.col("available")))
+    expired = hist.where(F.col("station_id") > 40).withColumn("ts", F.timestamp_add("HOUR", F.lit(-700), "ts"))
+    log = SumLog(spark, _scratch(spark, "profile"), feat.PROFILE_KEY, feat.PROFILE_SUMS, compact_every=3)
+    for batch in range(BATCHES):
+        mine = F.pmod("reading_id", F.lit(BATCHES)) == batch
+        log.add(feat.profile_partials(early.where(mine).unionByName(expired.where(mine))), batch)
+    right = feat.profile_partials(early.where(wrong), -1).unionByName(feat.profile_partials(hist.where(wrong)))
+    for _ in range(2):  # the second changes nothing
+        log.add(right, BATCHES)
+    log.add(feat.profile_partials(expired, -1), BATCHES + 1)
+    return feat.profile_of_sums(log.read())
+
+
+def backtest_by_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8, F1, A2, A3: the forecast from every past slot, by city and step."""
+    hist = events_history(spark, sf_dir, LOOKUP_CITIES)
+    m = horizon_metrics(backtest(hist, FLAGSHIP_PARAMS))
+    return m.select("city", "step", "rows", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "bias")])
+
+
+# --- the history store -------------------------------------------------------
+
+KEPT_DAYS = 10
+
+
+def _stored_history(spark: SparkSession, sf_dir: str) -> tuple[HistoryStore, dt.datetime]:
+    """The whole history appended in batches, with merges, of which the days that lie
+    KEPT_DAYS and more before the newest reading have expired."""
+    hist = settled(events_history(spark, sf_dir))
+    store = HistoryStore(spark, _scratch(spark, "history"), fan=2, fanout=1)
+    for batch in range(BATCHES):
+        store.append(hist.where(F.pmod("reading_id", F.lit(BATCHES)) == batch), batch)
+    newest = hist.agg(F.max("ts")).first()[0]
+    store.expire((newest - dt.timedelta(days=KEPT_DAYS - 1)).date())
+    return store, newest
+
+
+def history_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store keeps."""
+    store, _ = _stored_history(spark, sf_dir)
+    store.sweep()
+    return store.read().select("city", "station_id", iso_utc("ts").alias("ts"), "available", "reading_id")
+
+
+def station_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings and half-hour slots of the last 24 hours for every station of the
+    dimension; only the day folders of that span are opened."""
+    store, newest = _stored_history(spark, sf_dir)
+    recent = store.read(since=newest - dt.timedelta(hours=RETENTION_HOURS), until=newest)
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (CADENCE_MINUTES * 60_000_000))
+    filled = recent.groupBy("city", "station_id", slot.alias("slot")).count()
+    filled = filled.groupBy("city", "station_id").agg(F.sum("count").alias("n"), F.count("*").alias("slots"))
+    zero = F.lit(0).cast("long")
+    known = stations_from_supplier(spark, sf_dir).join(filled, ["city", "station_id"], "left")
+    return known.select("city", "station_id", "name", F.coalesce("n", zero).alias("readings"), F.coalesce("slots", zero).alias("filled_slots"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outbox_responses": outbox_responses,
     "response_snapshot_log": response_snapshot_log,
@@ -160,6 +229,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "training_csv_letters": training_csv_letters,
     "holdout_preview": holdout_preview,
     "unknown_station_requests": unknown_station_requests,
+    "station_profile_maintained": station_profile_maintained,
+    "backtest_by_horizon": backtest_by_horizon,
+    "history_store": history_store,
+    "station_cadence": station_cadence,
 }
 
 
@@ -218,6 +291,33 @@ FROM t WHERE three_before IS NOT NULL AND (date_diff('day', DATE '1970-01-01', C
 ORDER BY available_bikes, three_before, prediction LIMIT 10"""
 
 
+def _backtest_sql() -> str:
+    rules = {c: CITY_RULES[c] for c in LOOKUP_CITIES}
+    most = max(r.unrolled_steps for r in rules.values())
+    cities = ", ".join(f"'{c}'" for c in rules)
+    chain = []
+    for i in range(1, most + 1):
+        arms = " ".join(f"WHEN '{c}' THEN {oracle.mean_of_lags_sql(r)}" for c, r in rules.items() if r.unrolled_steps >= i)
+        chain.append(f"""z{i} AS (SELECT * REPLACE ({oracle.round_half_up_float_sql(f"p{i}")} AS s1, s1 AS s2, s2 AS s3, s3 AS s4)
+  FROM (SELECT *, CASE city {arms} END AS p{i} FROM z{i - 1}))""")
+    seconds = "CASE city " + " ".join(f"WHEN '{c}' THEN {r.step * DAY}" for c, r in rules.items()) + " END"
+    made = " UNION ALL ".join(f"SELECT city, station_id, slot_ts, {i} AS step, p{i} AS p FROM z{most} WHERE p{i} IS NOT NULL" for i in range(1, most + 1))
+    return f"""
+WITH hist AS ({oracle.history_sql()}), grid AS (
+  SELECT * FROM (SELECT city, station_id, date_trunc('day', ts) AS slot_ts, arg_max({{'a': available}}, (ts, reading_id)).a AS available
+  FROM hist WHERE city IN ({cities}) GROUP BY city, station_id, date_trunc('day', ts)) g WHERE available IS NOT NULL
+), val AS (
+  SELECT row_number() OVER (ORDER BY city, station_id, slot_ts) AS request_id, city, station_id, slot_ts,
+         slot_ts + INTERVAL {DAY} SECOND AS requested_at, 'ok' AS status0 FROM grid
+), lk AS ({oracle.lookups_sql(DAY)}), lu AS ({oracle.looked_up_sql()}),
+z0 AS (SELECT *, slot1 AS s1, slot2 AS s2, slot3 AS s3, slot4 AS s4 FROM lu WHERE status = 'ok'),
+{", ".join(chain)}, made AS ({made})
+SELECT m.city, step, count(*) AS rows, round(sqrt(avg((p - available) * (p - available))), 6) AS rmse,
+       round(avg(abs(p - available)), 6) AS mae, round(avg(p - available), 6) AS bias
+FROM made m JOIN grid g ON g.city = m.city AND g.station_id = m.station_id AND g.slot_ts = m.slot_ts + to_seconds(step * ({seconds.replace("city", "m.city")}))
+GROUP BY m.city, step"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "outbox_responses": oracle.prediction_pipeline_sql(DAY),
     "response_snapshot_log": OTHER_SQL["response_snapshot"],
@@ -228,4 +328,14 @@ ORACLE_SQL: dict[str, str] = {
     "unknown_station_requests": f"""WITH req AS ({oracle.requests_sql()}), val AS ({oracle.validated_sql()}), st AS ({_stations_sql()})
 SELECT request_id, city, station_id FROM val WHERE status0 = 'ok' AND NOT EXISTS (
   SELECT 1 FROM st WHERE st.city = val.city AND st.station_id = val.station_id)""",
+    "station_profile_maintained": OTHER_SQL["station_profile"],
+    "backtest_by_horizon": _backtest_sql(),
+    "history_store": f"""WITH hist AS ({oracle.history_sql()})
+SELECT city, station_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, available, reading_id FROM hist
+WHERE CAST(ts AS DATE) > (SELECT CAST(max(ts) AS DATE) FROM hist) - {KEPT_DAYS}""",
+    "station_cadence": f"""WITH hist AS ({oracle.history_sql()}), st AS ({_stations_sql()}), recent AS (
+  SELECT city, station_id, count(*) AS n, count(DISTINCT time_bucket(INTERVAL {CADENCE_MINUTES} MINUTE, ts)) AS slots FROM hist
+  WHERE ts > (SELECT max(ts) FROM hist) - INTERVAL {RETENTION_HOURS} HOUR GROUP BY city, station_id)
+SELECT st.city, st.station_id, st.name, coalesce(n, 0) AS readings, coalesce(slots, 0) AS filled_slots
+FROM st LEFT JOIN recent r ON r.city = st.city AND r.station_id = st.station_id""",
 }

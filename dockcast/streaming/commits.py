@@ -140,38 +140,42 @@ class Outbox:
         self.files.delete("_staged")
 
 
-class SnapshotLog:
-    """The last answer of each key, as a base in buckets and a delta a batch.
-
-    A batch writes the last answer of each key that it holds, nothing else.  After
-    ``compact_every`` deltas, the buckets that they touch are merged with them and
-    written anew; the commit of the new base names the folder of each bucket, so
-    untouched buckets stay where they are.  What the base before the newest one
-    needs is kept, so a reader that began before a compaction ends well.
+class DeltaLog:
+    """Rows by key, as a base in buckets and a delta a batch, both merged by ``merged``.
+
+    A batch writes its own merged rows, nothing else.  After ``compact_every`` deltas,
+    the buckets that they touch are merged with them and written anew; the commit of
+    the new base names the folder of each bucket, so untouched buckets stay where they
+    are.  What the base before the newest one needs is kept, so a reader that began
+    before a compaction ends well.
     """
 
-    def __init__(
-        self, spark: SparkSession, path: str, key: list[str], order: list[str], buckets: int = 16, compact_every: int = 8
-    ):
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 16, compact_every: int = 8):
         self.spark, self.path = spark, path.rstrip("/")
-        self.key, self.order, self.buckets, self.compact_every = key, order, buckets, compact_every
+        self.key, self.buckets, self.compact_every = key, buckets, compact_every
         self.files = Files(spark, path)
         self.deltas, self.bases = Commits(self.files, "_deltas"), Commits(self.files, "_bases")
 
+    def merged(self, rows: DataFrame) -> DataFrame:
+        """One row per key; must give the same however rows were merged before."""
+        raise NotImplementedError
+
     def add(self, rows: DataFrame, batch: int) -> bool:
         """Fold a batch in; False if it was before.  Batches may come in any order,
         but none at or below the newest base."""
         base = self.bases.numbers()
         if batch in self.deltas.numbers() or (base and batch <= base[-1]):
             return False
-        bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.key]), F.lit(self.buckets)).cast("int")
         name = f"delta/v={batch}-{uuid.uuid4().hex}"
-        latest_per_key(rows, self.key, self.order).withColumn("_bucket", bucket).write.parquet(f"{self.path}/{name}")
+        self.merged(rows).withColumn("_bucket", self._bucket()).write.parquet(f"{self.path}/{name}")
         done = self.deltas.put(batch, {"folder": name})
         if done and len(self._fresh()) >= self.compact_every:
             self.compact()
         return done
 
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.key]), F.lit(self.buckets)).cast("int")
+
     def _fresh(self) -> list[int]:
         """Deltas that the newest base doesn't hold."""
         base = self.bases.numbers()
@@ -190,9 +194,9 @@ class SnapshotLog:
         return out
 
     def read(self) -> DataFrame | None:
-        """One row per key, the newest; None before the first batch."""
+        """One row per key; None before the first batch."""
         rows = self._load([*self._base().values(), *(self.deltas.get(n)["folder"] for n in self._fresh())])
-        return None if rows is None else latest_per_key(rows.drop("_bucket"), self.key, self.order)
+        return None if rows is None else self.merged(rows.drop("_bucket"))
 
     def compact(self) -> None:
         """Merge the fresh deltas into a new base."""
@@ -204,7 +208,7 @@ class SnapshotLog:
         touched = [str(r[0]) for r in deltas.select("_bucket").distinct().collect()]  # of a fixed number
         rows = self._load([old[b] for b in touched if b in old])
         rows = deltas if rows is None else deltas.unionByName(rows, allowMissingColumns=True)
-        merged = latest_per_key(rows, self.key, self.order)
+        merged = self.merged(rows.drop("_bucket")).withColumn("_bucket", self._bucket())
         name = f"base/v={fresh[-1]}-{uuid.uuid4().hex}"
         # the bucket stays a column too, so that every folder reads alike
         merged.withColumn("b", F.col("_bucket")).repartition("b").write.partitionBy("b").parquet(f"{self.path}/{name}")
@@ -228,3 +232,26 @@ class SnapshotLog:
         for name in self.files.names("base"):
             if name not in used:
                 self.files.delete(f"base/{name}")
+
+
+class SnapshotLog(DeltaLog):
+    """The last row of each key by ``order``."""
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str], **kw):
+        super().__init__(spark, path, key, **kw)
+        self.order = order
+
+    def merged(self, rows: DataFrame) -> DataFrame:
+        return latest_per_key(rows, self.key, self.order)
+
+
+class SumLog(DeltaLog):
+    """Sums by key; keys whose sums are all zero are none."""
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], sums: list[str], **kw):
+        super().__init__(spark, path, key, **kw)
+        self.sums = sums
+
+    def merged(self, rows: DataFrame) -> DataFrame:
+        out = rows.groupBy(*self.key).agg(*[F.sum(c).alias(c) for c in self.sums])
+        return out.where(" OR ".join(f"`{c}` <> 0" for c in self.sums))
