@@ -3,8 +3,9 @@
 The store has two append-only tables, one folder per batch: ``ledger`` holds
 signed rows per document (a revision is the old row with sign -1 and the new one
 with +1), ``rollup`` their sums per group.  A batch is committed when the
-``_SUCCESS`` file of its rollup folder exists; committing the same batch id again
-overwrites both folders from the batches below it, so retries change nothing.
+``_SUCCESS`` file of its rollup folder exists, which is written last; only then its
+ledger counts.  What a failed attempt has left is overwritten by the next one; a
+committed batch is never touched again, so repeating it changes nothing.
 Totals are sums of the committed rollups, never a rescan of documents.
 """
 
@@ -28,7 +29,8 @@ ROLLUP = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 
 
 def token_counts(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", lang_col="lang") -> DataFrame:
-    """One row per document and tokenizer version; null texts have 0 tokens."""
+    """One row per document and tokenizer version; null texts have 0 tokens.  Repeated
+    rows each get their rows.  An empty table gives none; other columns are ignored."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     counts = [
         F.struct(F.lit(name).alias("tokenizer"), count_words(single_blanks(F.col("text"), parting)).alias("n_tokens"))
@@ -84,11 +86,13 @@ class Rollup:
         ids that the store doesn't hold change nothing, repeated ids count once,
         and an id in both is replaced.  Null doc_ids are an id of their own.
         Batches must come in ascending order; a batch below the newest committed
-        one is refused, the newest itself may be repeated.
+        one is refused, the newest itself may be repeated, which does nothing.
         """
         done = self.committed()
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} is older than the committed batch {done[-1]}")
+        if batch in done:
+            return
         if upserts is not None:  # counting the texts is the costly part: once
             upserts = checkpointed(upserts.select("doc_id", *KEYS, "n_tokens"))
         touched = [x.select(F.col("doc_id").cast("long").alias("gone")) for x in (upserts, deletes) if x is not None]
