@@ -29,6 +29,13 @@ def planes(dims: int, bits: int = BITS, tables: int = TABLES) -> np.ndarray:
     return np.random.default_rng([SEED, dims]).standard_normal((dims, bits * tables))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest entry below one: exact, and
+    no square of a very large or small entry overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -exponent[:, None])
+
+
 def codes(x: np.ndarray, bits: int = BITS, tables: int = TABLES) -> np.ndarray:
     """One code for each row and table."""
     signs = (x @ planes(x.shape[1], bits, tables) > 0).reshape(len(x), tables, bits)
@@ -57,6 +64,7 @@ def _vectors(col: pa.Array) -> np.ndarray:
 
 def _links(x: np.ndarray, code: np.ndarray, t: int, threshold: float) -> np.ndarray:
     """Pairs at the threshold that meet in table ``t`` and in none before it."""
+    x = scaled(x)
     norm = np.sqrt((x * x).sum(axis=1))
     link = (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
     np.fill_diagonal(link, False)
@@ -97,44 +105,31 @@ def near_duplicates(
     """
     rows = classes(vectors, id_col, vec_col, label_col)
     # the smallest id of a class stands for it; a class has one label and vector
-    rows = written(rows.withColumn("key", F.when(F.col("vec").isNotNull(), F.sha2(F.to_binary(F.concat_ws(",", "label", F.transform("vec", lambda x: x.cast("string"))), F.lit("utf-8")), 256))), "vectors")
+    # as JSON, in which no label can be taken for a part of a vector
+    name = F.sha2(F.to_json(F.struct(F.col("label").cast("string").alias("label"), "vec")), 256)
+    rows = written(rows.withColumn("key", F.when(F.col("vec").isNotNull(), name)), "vectors")
     cls = rows.where("key is not null").groupBy("key").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("vec").alias("vec")
     )
     # classes of null ids only still count links; their own number stands for them
-    cls = written(cls.withColumn("node", F.xxhash64("key")), "classes")
-
-    hashed = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("label", pa.string()), ("t", pa.int32()), ("codes", pa.list_(pa.int32())), ("vec", pa.list_(pa.float64()))])
-
-    def sign(batches):
-        for b in batches:
-            part = b.to_pandas()
-            part["dims"] = part["vec"].map(len)
-            for dims, g in part.groupby("dims"):
-                x = np.stack(g["vec"].to_numpy()).astype(np.float64)
-                code = codes(x / np.linalg.norm(x, axis=1, keepdims=True))
-                for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array((np.int64(dims) << 40) + (np.int64(t) << 32) + code[:, t].astype(np.int64)),
-                            pa.array(g["node"], pa.int64()), pa.array(g["rep"], pa.int64()), pa.array(g["size"], pa.int64()),
-                            pa.array(g["label"], pa.string()), pa.array(np.full(len(g), t, np.int32)),
-                            pa.array(list(code), pa.list_(pa.int32())), pa.array(g["vec"].tolist(), pa.list_(pa.float64())),
-                        ],
-                        schema=hashed,
-                    )
-
-    ddl = "bucket long, node long, rep long, size long, label string, t int, codes array<int>, vec array<double>"
-    cand = cls.select("node", "rep", "size", F.col("label").cast("string").alias("label"), "vec").mapInArrow(sign, ddl)
-    # buckets with one member have nothing to compare; large ones are cut
-    many = cls.select("node", F.col("label").cast("string").alias("label"), "vec").mapInArrow(_bucket_keys, "bucket long, label string")
-    sizes = many.groupBy("bucket", "label").count().where("count > 1").select(
+    cls = cls.select("key", "rep", "size", F.col("label").cast("string").alias("label"), "vec", F.xxhash64("key").alias("node"))
+    fields = ["key", "rep", "size", "label", "vec", "node"]
+    cls = written(cls.mapInArrow(_with_codes(fields), f"{cls.schema.simpleString()[7:-1]}, codes array<int>"), "classes")
+
+    # buckets by their keys alone: those with one member have nothing to compare, large ones are cut
+    slot = F.posexplode("codes").alias("t", "code")
+    keys = cls.select("node", "label", F.size("vec").cast("long").alias("dims"), slot)
+    keys = keys.select("node", "label", "t", F.expr("shiftleft(dims, 40) + shiftleft(cast(t as long), 32) + code").alias("bucket"))
+    sizes = keys.groupBy("bucket", "label").count().where("count > 1").select(
         F.col("bucket").alias("b"), F.col("label").alias("l"), F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")
     )
-    cand = cand.join(sizes, (cand["bucket"] == sizes["b"]) & (cand["label"] == sizes["l"])).drop("b", "l")
+    cand = keys.join(sizes, (keys["bucket"] == sizes["b"]) & (keys["label"] == sizes["l"])).drop("b", "l")
     mine = F.pmod(F.xxhash64(F.lit(5), "node"), "chunks").cast("int")
     cand = cand.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cand = cand.withColumn("c1", F.least("mine", "other")).withColumn("c2", F.greatest("mine", "other"))
+    cand = cand.withColumn("tile", F.xxhash64("bucket", "label", "c1", "c2")).select("tile", "node", "mine", "c1", "c2", "t")
+    # vectors go to the tiles that are left
+    cand = cand.join(cls.select("node", "size", "codes", "vec"), "node")
 
     found_schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
@@ -156,7 +151,6 @@ def near_duplicates(
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, links, roots)], schema=found_schema)
 
-    cand = cand.withColumn("tile", F.xxhash64("bucket", "label", "c1", "c2"))
     cand = cand.select("tile", "node", "size", "mine", "c1", "c2", "t", "codes", "vec")
     found = cand.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "node long, links long, root long")
     found = written(found, "links")
@@ -179,16 +173,17 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _bucket_keys(batches):
-    """(bucket, label) of each class in each table, without its vector."""
-    out = pa.schema([("bucket", pa.int64()), ("label", pa.string())])
-    for b in batches:
-        part = b.to_pandas()
-        part["dims"] = part["vec"].map(len)
-        for dims, g in part.groupby("dims"):
-            x = np.stack(g["vec"].to_numpy()).astype(np.float64)
-            code = codes(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
-            keys = (np.int64(dims) << 40) + (np.arange(TABLES, dtype=np.int64) << 32)[None, :] + code
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(np.repeat(g["label"].to_numpy(), TABLES), pa.string())], schema=out
-            )
+def _with_codes(fields: list[str]):
+    """Classes with the codes of their vectors."""
+
+    def run(batches):
+        for b in batches:
+            lengths = np.array([len(v) for v in b.column("vec")])
+            for dims in np.unique(lengths):
+                part = b.filter(pa.array(lengths == dims))
+                x = scaled(_matrix(part.column("vec"), int(dims)))
+                found = codes(x / np.linalg.norm(x, axis=1, keepdims=True))
+                columns = [part.column(f) for f in fields] + [pa.array(list(found), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*fields, "codes"])
+
+    return run
