@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockcast.llm.text import ALNUM_TABLE, ALNUM_WORD, binary, pieces, shipped, small_batches, spans
+from dockcast.llm.text import ALNUM_TABLE, ALNUM_WORD, binary, pieces, shipped, small_batches, spans, written
 
 WINDOW = 13
-MAX_BENCHMARK_BYTES = 64 << 20  # checked before the items are broadcast
+PART_BYTES = 512 << 10  # of item texts in one automaton, which takes some 200 times as much
 
 _HITS = pa.schema(
     [
@@ -104,14 +106,99 @@ class _Sent:
         return {"handle": self.handle, "id": self.id}
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[int, bytes]]:
-    """The items as (id, UTF-8 text), after a check of their total size."""
+def benchmark_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Callable[[], list[tuple[int, bytes]]]]:
+    """Functions that fetch the distinct items as (id, UTF-8 text), in parts of about
+    PART_BYTES each, an item never cut.  One part at a time is on the driver and in the
+    workers."""
     b = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"))
-    b = b.where("i is not null and t is not null")
+    b = b.where("i is not null and t is not null").distinct()
     size = b.agg(F.sum(F.length("t"))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"benchmark texts hold {size} bytes; at most {MAX_BENCHMARK_BYTES} are broadcast")
-    return [(r.i, bytes(r.t)) for r in b.distinct().collect()]
+    parts = max(1, -(-size // PART_BYTES))
+    at = F.pmod(F.xxhash64(F.lit(23), "i", "t"), F.lit(parts))
+    return [lambda n=n: [(r.i, bytes(r.t)) for r in b.where(at == n).collect()] for n in range(parts)]
+
+
+def _scanned(texts: DataFrame, items: list[tuple[int, bytes]], window: int) -> DataFrame:
+    """The rows of ``texts`` (text and other columns) with n_words, and the merged word
+    intervals (first, last) and items of these windows."""
+    sent = _Sent(texts.sparkSession, (items, window))
+    small_batches(texts.sparkSession)
+    others = [c for c in texts.columns if c != "text"]
+    interval = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+    def run(batches):
+        find = _built(sent)
+        for b in pieces(batches, "text"):
+            n, intervals, who = [], [], []
+            for t in binary(b, "text"):
+                words = words_of(t)
+                found, items = find.scan(words)
+                n.append(len(words))
+                intervals.append([{"first": s, "last": e} for s, e in found])
+                who.append(sorted(items))
+            columns = [b.column(c) for c in b.schema.names] + [pa.array(n, pa.int64()), pa.array(intervals, interval), pa.array(who, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "n_words", "intervals", "items"])
+
+    ddl = texts.select(*others, "text").schema.simpleString()[7:-1]
+    added = "n_words long, intervals array<struct<first:long,last:long>>, items array<long>"
+    return texts.select(*others, "text").mapInArrow(run, f"{ddl}, {added}")
+
+
+def _row(i, t: bytes | None, n: int, found: list[tuple[int, int]], items) -> tuple:
+    """A result row from a text's merged hit intervals and items."""
+    n_hit = sum(e - s + 1 for s, e in found)
+    where = []
+    if found:
+        at, end = spans(np.frombuffer(t.lower(), np.uint8), ALNUM_WORD)
+        where = [{"start": int(at[s]), "stop": int(end[e])} for s, e in found]
+    names = ",".join(sorted(map(str, items)))
+    return i, n, n_hit, len(items), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n, sorted(items), where
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _HITS)], schema=_HITS)
+
+
+def _found(rows: DataFrame, items: list[tuple[int, bytes]], window: int) -> DataFrame:
+    """The result for a benchmark of one part, in one pass."""
+    sent = _Sent(rows.sparkSession, (items, window))
+    small_batches(rows.sparkSession)
+
+    def run(batches):
+        find = _built(sent)
+        for b in pieces(batches, "text"):
+            out = []
+            for i, t in zip(b.column("id").to_pylist(), binary(b, "text")):
+                words = words_of(t)
+                out.append(_row(i, t, len(words), *find.scan(words)))
+            yield _batch(out)
+
+    return rows.mapInArrow(run, HIT_DDL)
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """The result from id, text, n_words, intervals, items."""
+
+    def run(batches):
+        for b in pieces(batches, "text"):
+            cols = (b.column(c).to_pylist() for c in ("id", "n_words", "intervals", "items"))
+            out = []
+            for i, n, intervals, items, t in zip(*cols, binary(b, "text")):
+                out.append(_row(i, t, n, union_of([(x["first"], x["last"]) for x in intervals]), set(items)))
+            yield _batch(out)
+
+    return rows.mapInArrow(run, HIT_DDL)
+
+
+def union_of(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals merged where they overlap or touch, ascending."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(intervals):
+        if out and s <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def find_contamination(
@@ -129,42 +216,69 @@ def find_contamination(
     text, or without words, have no window.  Repeated rows each get a row;
     repeated items count once.  Other columns of either side are ignored.
     ``contaminated``: n_hit > 0 and 20 * n_hit >= n_words.
-    """
-    sent = _Sent(docs.sparkSession, (benchmark_items(benchmark), window))
-
-    def run(batches):
-        find = _built(sent)
-        for b in pieces(batches, "text"):
-            out = []
-            for i, t in zip(b.column("id").to_pylist(), binary(b, "text")):
-                words = words_of(t)
-                found, items = find.scan(words)
-                n_hit = sum(e - s + 1 for s, e in found)
-                where = []
-                if found:
-                    at, end = spans(np.frombuffer(t.lower(), np.uint8), ALNUM_WORD)
-                    where = [{"start": int(at[s]), "stop": int(end[e])} for s, e in found]
-                names = ",".join(sorted(map(str, items)))
-                out.append(
-                    (
-                        i, len(words), n_hit, len(items), hashlib.sha256(names.encode()).hexdigest(),
-                        n_hit > 0 and 20 * n_hit >= len(words), sorted(items), where,
-                    )
-                )
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _HITS)], schema=_HITS)
-
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, HIT_DDL)
 
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **cols) -> DataFrame:
-    """``docs`` without contaminated rows, its columns unchanged.
-
-    Documents that share an id are judged together: one contaminated text drops
-    all of them.  Rows with a null id are judged too: they go if any of them is
-    contaminated.
+    A benchmark beyond PART_BYTES is gone through in parts, one scan of the texts for
+    each; the hits of a text, which are named by a hash of it, are then brought together.
     """
-    id_col = cols.get("id_col", "doc_id")
-    bad = find_contamination(docs, benchmark, **cols).where("contaminated").select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    parts = benchmark_parts(benchmark)
+    if len(parts) == 1:
+        return _found(rows, parts[0](), window)
+    named = rows.withColumn("name", _name(F.col("text")))
+    hits = _hits(named.drop("id"), parts, window).drop("n_words")
+    whole = _scanned(named, [], window).drop("intervals", "items").join(hits, "name", "left")
+    none = {c: F.coalesce(c, F.array().cast(t)) for c, t in (("intervals", "array<struct<first:long,last:long>>"), ("items", "array<long>"))}
+    return _judged(whole.withColumns(none).drop("name"))
+
+
+def _name(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _hits(named: DataFrame, parts: list, window: int) -> DataFrame:
+    """(name, n_words, intervals, items) of the texts (name, text) that any part hits;
+    of one text there are no more intervals than its words for each part."""
+    hits = None
+    for part in parts:
+        found = _scanned(named, part(), window).where("size(items) > 0")
+        # equal texts have equal hits
+        found = written(found.drop("text").dropDuplicates(["name"]), "contamination")
+        hits = found if hits is None else hits.unionByName(found)
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("intervals", "items")]
+    return hits.groupBy("name").agg(F.first("n_words").alias("n_words"), *lists)
+
+
+def _bad_names(batches):
+    for b in batches:
+        bad = []
+        for name, n, intervals in zip(*(b.column(c).to_pylist() for c in ("name", "n_words", "intervals"))):
+            n_hit = sum(e - s + 1 for s, e in union_of([(x["first"], x["last"]) for x in intervals]))
+            if 20 * n_hit >= n:
+                bad.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["bad"])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` without contaminated rows, its columns unchanged.  Each row is judged by
+    its own text, whatever its id and other rows with the same one."""
+    parts = benchmark_parts(benchmark)
+    text = F.col(text_col).cast("string")
+    if len(parts) == 1:
+        sent = _Sent(docs.sparkSession, (parts[0](), window))
+        small_batches(docs.sparkSession)
+
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series) -> pd.Series:
+            find = _built(sent)
+
+            def judge(t) -> bool:
+                words = words_of(None if t is None else t.encode())
+                n_hit = sum(e - s + 1 for s, e in find.scan(words)[0])
+                return not (n_hit > 0 and 20 * n_hit >= len(words))
+
+            return texts.map(judge)
+
+        return docs.where(clean(text))
+    named = docs.select(_name(text).alias("name"), text.alias("text"))
+    bad = _hits(named, parts, window).select("name", "n_words", "intervals").mapInArrow(_bad_names, "bad string")
+    return docs.join(bad, _name(text) == bad["bad"], "left_anti")
