@@ -554,8 +554,24 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is their component's smallest; columns unchanged.
-    Rows with a null id stay."""
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col)
+    """One row of each group of near-duplicates, that with the smallest id; columns
+    unchanged.  Rows without an id are rows like others, named by a hash of their
+    text, and give way to rows with one.  Different texts of one id are pieces of one
+    document and stay or go together; of repeated rows one stays.  Texts without words
+    are like nothing, not even each other, and stay."""
+    text = F.col(text_col).cast("string")
+    own = F.lit(1 << 62) + F.xxhash64(F.lit(11), text).bitwiseAND((1 << 62) - 1)
+    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), own))
+    found = _saved(jaccard_components(keyed, id_col="__key", text_col=text_col), "join-groups")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    kept = keyed.join(gone, keyed["__key"] == gone["__gone"], "left_anti")
+    # ids with several rows are rare: their rows only are compared as a whole
+    several = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    several = _saved(several.select(F.col("doc_id").alias("__several")), "join-several")
+    if not several.isEmpty():
+        at = kept["__key"] == several["__several"]
+        again = kept.join(several, at, "left_semi").withColumn("__text", F.sha2(F.coalesce(text, F.lit("")), 256))
+        words = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        once = again.where(words).dropDuplicates(["__key", "__text"]).unionByName(again.where(~words))
+        kept = kept.join(several, at, "left_anti").unionByName(once.drop("__text"))
+    return kept.drop("__key")
