@@ -14,13 +14,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from dockcast.llm.text import binary, hash_share, pieces, shipped, small_batches
+from dockcast.llm.text import binary, hash_share, pieces, shipped, small_batches, written
 
 DIMS = 1 << 12
 CENTROIDS = 3  # for each language
 SAMPLE_PER_LANG = 400  # rows; the training sample's bound is this times the languages
-MAX_LANGS = 200  # the most frequent ones are learned
 UNKNOWN = "und"
 
 # a-z and non-ASCII bytes stay, A-Z become a-z, the rest is a blank
@@ -80,54 +80,75 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
 
     ``train`` selects the rows to learn from; rows with a null language, or no
     letter, teach nothing.  The sample is taken by a hash of the id, at a rate
-    for each language, and is at most SAMPLE_PER_LANG rows for each of at most
-    MAX_LANGS languages; one task fits it.  No such rows: an empty model.
+    for each language, and is at most SAMPLE_PER_LANG rows of each; a language's
+    centroids are fitted by a task of its own.  The model holds some 100 kB for
+    each language, which is what reaches the driver.  No such rows: an empty model.
     """
     rows = docs.where(train) if train is not None else docs
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not top:
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
         return {"langs": []}
-    # 0.8: a hash sample may exceed its expectation; the limit is the hard bound
-    rate = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], min(1.0, 0.8 * SAMPLE_PER_LANG / r["count"]))])
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 0.8 * SAMPLE_PER_LANG / r["count"])])
+    # 0.8: a hash sample may exceed its expectation; the limit for each language is the hard bound
     share = hash_share(F.lit(11), F.coalesce(F.col("id").cast("string"), F.lit("")))
-    sample = rows.where(F.col("text").isNotNull() & (share < rate[F.col("lang")]))
-    sample = sample.orderBy(share, "lang").limit(SAMPLE_PER_LANG * len(top)).select("lang", "text").coalesce(1)
-
-    def learn(parts):
-        counts, langs = [], []
-        for part in parts:
-            for lang, text in zip(part["lang"], part["text"]):
-                t = text.encode()
-                if has_letter(t):
-                    counts.append(ngram_counts(t))
-                    langs.append(lang)
-        if not counts:
-            return
-        n, langs = np.array(counts), np.array(langs, object)
-        idf = np.log((1 + len(n)) / (1 + (n > 0).sum(axis=0))) + 1
-        yield pd.DataFrame({"lang": [None], "vec": [idf.tolist()], "radius": [0.0]})
-        x = vectors(n, idf)
-        for lang in sorted(set(langs)):
-            mine = x[langs == lang]
-            c = cluster(mine, CENTROIDS)
-            near = mine @ c.T
-            own = near.argmax(axis=1)
-            # half of the least usual cosine of the centroid's own texts
-            radius = [0.5 * float(np.quantile(near[own == j, j], 0.01)) if (own == j).any() else 1.0 for j in range(len(c))]
-            yield pd.DataFrame({"lang": [lang] * len(c), "vec": c.tolist(), "radius": radius})
-
-    model = sample.mapInPandas(learn, "lang string, vec array<double>, radius double").collect()
-    named = sorted((r for r in model if r.lang is not None), key=lambda r: r.lang)
+    sample = rows.where("text is not null").withColumn("share", share).where(F.col("share") < rate[F.col("lang")])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("share", "text"))
+    sample = sample.withColumn("place", place).where(F.col("place") <= SAMPLE_PER_LANG).select("lang", "place", "text")
+    grams = written(sample.mapInArrow(_counted, "lang string, place int, slots binary"), "langid-sample")
+
+    seen = grams.mapInArrow(_seen, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    found = {r.slot: r.n for r in seen}
+    texts = found.pop(-1, 0)
+    if not texts:
+        return {"langs": []}
+    df = np.array([found.get(i, 0) for i in range(DIMS)])
+    idf = np.log((1 + texts) / (1 + df)) + 1
+
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place")
+        mine = vectors(np.array([_slots(x) for x in part["slots"]]), idf)
+        c = cluster(mine, CENTROIDS)
+        near = mine @ c.T
+        own = near.argmax(axis=1)
+        # half of the least usual cosine of the centroid's own texts
+        radius = [0.5 * float(np.quantile(near[own == j, j], 0.01)) if (own == j).any() else 1.0 for j in range(len(c))]
+        return pd.DataFrame({"lang": part["lang"].iloc[0], "number": range(len(c)), "vec": [x.astype("<f8").tobytes() for x in c], "radius": radius})
+
+    model = grams.groupBy("lang").applyInPandas(learn, "lang string, number int, vec binary, radius double").collect()
+    named = sorted(model, key=lambda r: (r.lang, r.number))
     return {
         "langs": [r.lang for r in named],
-        "centroids": np.array([r.vec for r in named]),
+        "centroids": np.array([np.frombuffer(r.vec, "<f8") for r in named]),
         "radius": np.array([r.radius for r in named]),
-        "idf": next((np.array(r.vec) for r in model if r.lang is None), None),
+        "idf": idf,
     }
 
 
+def _slots(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4").astype(np.int64)
+
+
+def _counted(batches):
+    """The gram counts of the sampled texts that hold a letter."""
+    schema = pa.schema([("lang", pa.string()), ("place", pa.int32()), ("slots", pa.binary())])
+    for b in batches:
+        out = [(lang, place, ngram_counts(t).astype("<u4").tobytes()) for lang, place, t in zip(*(b.column(c).to_pylist() for c in ("lang", "place")), binary(b, "text")) if has_letter(t)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+
+def _seen(batches):
+    """How many texts hold each slot; slot -1: how many there are."""
+    n, texts = np.zeros(DIMS, np.int64), 0
+    for b in batches:
+        for x in b.column("slots").to_pylist():
+            n += _slots(x) > 0
+            texts += 1
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *range(DIMS)], pa.int32()), pa.array([texts, *n.tolist()], pa.int64())], names=["slot", "n"])
+
+
 def identify(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score, rejected.
 
