@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from dockcast.llm.text import SPACES, checkpointed, count_words, single_blanks, sized_broadcast
 
 BLOCK_TOKENS = 1 << 16
+SPAN_BLOCKS = 4096  # blocks of a source that one task sums up
 ARMS, ROUNDS = 32, 6  # the exponent is found to 32 ** -6
 
 
@@ -139,11 +140,26 @@ def mix_sources(
 
     # a carried row is one struct, so its column names clash with nothing
     rows = dealt(docs.select(F.struct(*docs.columns).alias("__row"), *cols) if carry else counted)
-    # blocks in permuted order: their numbers are hashed anew
+    # blocks in permuted order: their numbers are hashed anew.  What lies before a block
+    # is summed in two levels, so that no task holds all blocks of a source
     per_block = dealt(counted).groupBy("__source", "__block").agg(F.sum("__tokens").alias("t"))
-    turn = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 2), "__block"), "__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_block.select(
-        F.col("__source").alias("__s"), F.col("__block").alias("__b"), F.coalesce(F.sum("t").over(turn), F.lit(0)).alias("__start")
+    per_block = per_block.withColumn("__turn", F.xxhash64(F.lit(seed + 2), "__block"))
+    spans = F.greatest(F.lit(1), F.ceil(F.count("*") / SPAN_BLOCKS)).cast("double")
+    spans = checkpointed(per_block.groupBy(F.col("__source").alias("__s")).agg(spans.alias("__spans")))
+    blocks = per_block.join(sized_broadcast(spans), F.col("__source") == F.col("__s")).drop("__s")
+    # ranges of the turn, as many as the source needs
+    blocks = checkpointed(blocks.withColumn("__span", F.floor((F.col("__turn") / 2.0**64 + 0.5) * F.col("__spans"))))
+    whole = blocks.groupBy("__source", "__span").agg(F.sum("t").alias("t"))
+    before = lambda *keys: Window.partitionBy(*keys)
+    past = Window.unboundedPreceding
+    whole = whole.select(
+        F.col("__source").alias("__s"), F.col("__span").alias("__p"),
+        F.coalesce(F.sum("t").over(before("__source").orderBy("__span").rowsBetween(past, -1)), F.lit(0)).alias("__base"),
+    )
+    inner = before("__source", "__span").orderBy("__turn", "__block").rowsBetween(past, -1)
+    starts = blocks.withColumn("__inner", F.coalesce(F.sum("t").over(inner), F.lit(0)))
+    starts = starts.join(whole, (F.col("__source") == F.col("__s")) & (F.col("__span") == F.col("__p"))).select(
+        "__s", F.col("__block").alias("__b"), (F.col("__base") + F.col("__inner")).alias("__start")
     )
     rows = rows.join(starts, (rows["__source"] == starts["__s"]) & (rows["__block"] == starts["__b"]))
     inside = Window.partitionBy("__source", "__block").orderBy("__order", "doc_id", "__tokens").rowsBetween(Window.unboundedPreceding, -1)
