@@ -164,17 +164,16 @@ class RunParams:
     ``bucket_units`` is the time-bucket width of the as-of lookup shuffle, in
     lag units; it bounds how much of one station's history a single task
     sees, so a hot station is spread over many tasks.
-    ``lookup_plan``: "auto" (the one that bounds the work of a task whatever
-    the data, two_level), "window" (one shuffle of raw readings; per-task work is
-    the readings of one station within ``bucket + lookback``) or "two_level"
-    (readings are first reduced to the first/last reading per ``slot_seconds``
-    slot, so per-task work is bounded by the slot count however dense a
-    station's readings are; one more shuffle, of slot summaries).
+    ``lookup_plan``: "two_level" (readings are first reduced to the first/last
+    reading per ``slot_seconds`` slot, so per-task work is bounded by the slot
+    count however dense a station's readings are; one more shuffle, of slot
+    summaries), "auto" (the same) or "window" (one shuffle of raw readings;
+    per-task work is the readings of one station within ``bucket + lookback``).
     """
 
     lag_unit: int = HOUR
     bucket_units: int = 60
-    lookup_plan: str = "window"
+    lookup_plan: str = "two_level"
     slot_seconds: int = 60
     # restrict the history to [min(now) - lookback, max(now)] of the probed
     # requests (one small aggregate), as literal bounds the scan can use

@@ -63,7 +63,7 @@ def test_edge_rows(spark):
         (5, "Malaga", 4, T0, OK),  # no lookups: zero lags
         (6, "Barcelona", 1, T0, "invalid_request"),  # not probed
     ]
-    got, _ = run(spark, requests, history, RunParams(lag_unit=HOUR, bucket_units=60))
+    got, _ = run(spark, requests, history, RunParams(lag_unit=HOUR, bucket_units=60, lookup_plan="window"))
     assert got[1] == ([10, 20, 50, 80], OK)
     assert got[2][1] == NO_HISTORY and got[3][1] == NO_HISTORY
     assert got[4] == ([None, 7, 8, 9], NO_HISTORY)
@@ -87,14 +87,14 @@ def test_random_against_brute_force_small_buckets(spark):
         now = T0 + dt.timedelta(hours=rnd.randint(0, 24 * 6), minutes=rnd.choice([0, 0, 17]))
         requests.append((i, city, st, now, OK))
     for b in (1, 2, 60):  # bucket width (clamped to the largest lookback)
-        got, _ = run(spark, requests, history, RunParams(lag_unit=HOUR, bucket_units=b))
+        got, _ = run(spark, requests, history, RunParams(lag_unit=HOUR, bucket_units=b, lookup_plan="window"))
         assert got == brute(requests, history, HOUR), f"bucket_units={b}"
 
 
 def test_one_shuffle_and_no_pair_join(spark):
     r = spark.createDataFrame([(1, "Barcelona", 1, T0, OK)], REQ_SCHEMA)
     h = spark.createDataFrame([("Barcelona", 1, T0, 1, 1)], HIST_SCHEMA)
-    plan = lag_lookup(r, h)._jdf.queryExecution().executedPlan().toString()
+    plan = lag_lookup(r, h, RunParams(lookup_plan="window"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan and "Cartesian" not in plan
 

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 
 EXPECTED_EXCHANGES = {
-    "forecast_responses": 2,  # distinct keys, then history and probes; the answers' join is by broadcast
+    "forecast_responses": 3,  # distinct keys, slots, buckets; the answers' join is by broadcast
     "lag_lookup_days": 1,
     "lag_lookup_two_level": 2,
     "request_validation": 0,

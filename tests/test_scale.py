@@ -21,7 +21,7 @@ def test_replicated_history_both_plans_agree(spark):
     )
     req = validate_requests(events_requests(spark, SF))
     cols = ["request_id", "status", "slot1", "slot2", "slot3", "slot4"]
-    a = lag_lookup(req, big, RunParams(lag_unit=DAY)).select(*cols)
+    a = lag_lookup(req, big, RunParams(lag_unit=DAY, lookup_plan="window")).select(*cols)
     b = lag_lookup(req, big, RunParams(lag_unit=DAY, lookup_plan="two_level", slot_seconds=3600)).select(*cols)
     assert a.count() == req.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
