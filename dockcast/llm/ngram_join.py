@@ -17,8 +17,10 @@ hashed column counts over all documents gives the order, and any order is right.
    incidence matrix is multiplied out tile by tile.
 4. Components of all links found give the result.
 
-``jaccard_links`` finds every link instead: step 3 goes through all columns of three
-or more rows, and rows of one component are compared as well.
+``jaccard_degrees`` counts every link of every document: step 3 goes through all
+columns of three or more rows, and rows of one component are compared as well.  A group
+of many near copies is never listed by pairs: its tiles give each row's number of links
+and a forest.  ``jaccard_links`` lists the links themselves.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from dockcast.llm.blocks import from_planes, keys_from_bytes, keys_to_bytes, slices, to_planes
 from dockcast.llm.graph import components
 from dockcast.llm.text import binary, pieces, scratch, shingle_set, shipped, small_batches, sorted_groups
+from dockcast.llm.vector_dedup import forest
 
 WIDTH = 5
 BINS = 128
@@ -397,6 +400,24 @@ def _multiply_all(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
 
+def _tile_degrees(batches):
+    """Tiles -> each row's links inside of the tile, as numbers of documents (``size`` of
+    a set), and the smallest row that links reach."""
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    for b, offsets in sorted_groups(batches, "tile"):
+        for s, e in zip(offsets, offsets[1:]):
+            # a set may come twice (texts of one id)
+            node, first = np.unique(b.column("node").to_numpy()[s:e], return_index=True)
+            part = b.slice(s, e - s).take(pa.array(first))
+            comp, size = part.column("comp").to_numpy(), part.column("size").to_numpy()
+            sizes, overlaps = _tile_product([_unpacked_set(t) for t in part.column("data").to_pylist()])
+            link = np.array([linked(overlaps(i), sizes[i], sizes) & (comp != comp[i]) for i in range(len(node))])
+            links = link @ size
+            hit = links > 0
+            columns = (node[hit], links[hit], node[forest(link)][hit])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+
 def _labelled(nodes: DataFrame, col: str, comp: DataFrame, out: str) -> DataFrame:
     c = comp.select(F.col("id").alias("__id"), F.col("component").alias("__c"))
     return nodes.join(c, nodes[col] == c["__id"], "left").withColumn(out, F.coalesce("__c", col)).drop("__id", "__c")
@@ -442,7 +463,7 @@ def _merged_tiles(tiles: DataFrame, reps: DataFrame, all_links: bool = False) ->
     parts = F.greatest(F.count("*") / TILE, F.sum("n") / TILE_ENTRIES)
     sizes = member.groupBy("group").agg(F.ceil(parts).cast("int").alias("chunks"))
     if all_links:
-        return _in_tiles(member.join(sizes, "group"), "group").selectExpr("tile", "node", f"{_PART_SQL} AS comp")
+        return _in_tiles(member.join(sizes, "group"), "group").selectExpr("tile", "node", f"{_PART_SQL} AS comp", "group")
     return _in_tiles(member.join(sizes, "group"), "group").select("tile", "node", "comp")
 
 
@@ -481,9 +502,9 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> _Prepared:
     return _Prepared(info, named, reps, texts, edges)
 
 
-def _links(p: _Prepared, all_links: bool) -> DataFrame:
-    """Links (a, b) of sets: all of them with their overlaps, or as many as give
-    the components."""
+def _listed(p: _Prepared, all_links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b, overlap) of the pairs that could be listed, from the columns and from
+    their tiles, and the merged tiles of the rows with more pairs than that."""
     links = _verified(p.edges.select("a", "b").distinct(), p.reps, p.texts, "join")
     tiles = _saved(_open_tiles(p.edges, None if all_links else components(links), p.reps), "join-tiles")
     bounded = tiles.repartition("tile").sortWithinPartitions("tile")
@@ -494,10 +515,20 @@ def _links(p: _Prepared, all_links: bool) -> DataFrame:
     more = _verified(more, p.reps, p.texts, "join-more")
     full = tiles.join(bounded.where("a is null").select("tile"), "tile", "left_semi").select("tile", "node", "comp")
     full = _saved(full, "join-full-tiles")
-    merged = _saved(_merged_tiles(full, p.reps, all_links), "join-merged-tiles")
+    return links, more, _saved(_merged_tiles(full, p.reps, all_links), "join-merged-tiles")
+
+
+def _with_texts(p: _Prepared, merged: DataFrame) -> DataFrame:
+    """Merged tiles with their texts, each tile in one partition."""
     full = merged.join(_fetched("text", merged.select("node").distinct(), p.reps, p.texts, "join-full-texts"), "node")
-    full = full.select("tile", "node", "comp", "data")
-    full = full.repartition("tile").sortWithinPartitions("tile")
+    return full.repartition("tile").sortWithinPartitions("tile")
+
+
+def _links(p: _Prepared, all_links: bool) -> DataFrame:
+    """Links (a, b) of sets: all of them with their overlaps, or as many as give
+    the components."""
+    links, more, merged = _listed(p, all_links)
+    full = _with_texts(p, merged.select("tile", "node", "comp"))
     if all_links:
         multiplied = _saved(full.mapInArrow(_multiply_all, _LINK_DDL), "join-products")
         ends = ["least(a, b) AS a", "greatest(a, b) AS b", "overlap"]
@@ -529,6 +560,41 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def jaccard_degrees(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, set_id, n_links, component_id.
+
+    As the members of ``jaccard_links``, without a row for each link: ``n_links`` are
+    summed in the tiles of large groups, and over listed pairs elsewhere.
+    """
+    p = _prepared(docs, id_col, text_col)
+    links, more, merged = _listed(p, all_links=True)
+    sizes = _saved(p.named.groupBy("node").agg(F.count("*").alias("size")), "join-sizes")
+    tiles = merged.select("tile", "node", "comp").join(sizes, "node")
+    inside = _saved(_with_texts(p, tiles).mapInArrow(_tile_degrees, "node long, links long, root long"), "join-degrees")
+    # pairs inside of a merged group were met in its tiles
+    group = merged.select("node", "group").distinct()
+    end = lambda x: group.select(F.col("node").alias(x), F.col("group").alias(f"g{x}"))
+    pairs = links.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").unionByName(more.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")).distinct()
+    pairs = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where("ga IS NULL OR gb IS NULL OR ga <> gb")
+    pairs = _saved(pairs.select("a", "b"), "join-outer-pairs")
+    arcs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    outside = arcs.join(sizes.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("size").alias("links"))
+    others = outside.unionByName(inside.select("node", "links")).groupBy("node").agg(F.sum("links").alias("others"))
+    found = pairs.unionByName(inside.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return _members(p, sizes, others, found)
+
+
+def _members(p: _Prepared, sizes: DataFrame, others: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each document, from the links of its set with other sets."""
+    number = sizes.join(others, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    rows = p.info.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    rows = rows.join(number, "node", "left").join(_document_components(p, found), "doc_id", "left")
+    return rows.select(
+        "doc_id", "n_shingles", F.col("node").alias("set_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component", "doc_id").alias("component_id"),
+    )
+
+
 def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All links: pairs of different sets (a, b, overlap), each once with a < b, and
     the members of the sets, one row per input row: doc_id, n_shingles, set_id,
@@ -543,14 +609,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sizes = p.named.groupBy("node").agg(F.count("*").alias("size"))
     arcs = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = arcs.join(sizes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
-    number = sizes.join(others, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    rows = p.info.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    rows = rows.join(number, "node", "left").join(_document_components(p, found), "doc_id", "left")
-    members = rows.select(
-        "doc_id", "n_shingles", F.col("node").alias("set_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-    )
-    return found, members
+    return found, _members(p, sizes, others, found)
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

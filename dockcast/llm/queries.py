@@ -30,9 +30,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the number of links of every document, from all links."""
-    _, members = ngram_join.jaccard_links(_table(spark, sf_dir, "documents"))
-    return members.select("doc_id", "n_shingles", "n_links", "component_id")
+    """The same with the number of links of every document."""
+    return ngram_join.jaccard_degrees(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 OP2_SQL = r"""
@@ -53,6 +52,11 @@ pairs AS (
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+OP2_LINKS_SQL = OP2_SQL.replace(
+    "min(r) AS component_id\nFROM reach LEFT JOIN n USING (doc_id)",
+    "min(r) AS component_id, coalesce(any_value(n_links), 0) AS n_links\nFROM reach LEFT JOIN n USING (doc_id)"
+    " LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a) d USING (doc_id)",
+)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,4 +258,4 @@ QUERIES = {
     "op12_conversation_repair": op12_conversation_repair,
     "op13_whitening": op13_whitening,
 }
-ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op3_token_counts": OP3_SQL, "op6_decontamination": OP6_SQL, "op12_conversation_repair": OP12_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op2_ngram_links": OP2_LINKS_SQL, "op3_token_counts": OP3_SQL, "op6_decontamination": OP6_SQL, "op12_conversation_repair": OP12_SQL}

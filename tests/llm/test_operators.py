@@ -194,6 +194,13 @@ def test_ngram_join_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 1  # one of the two equal rows of id 5
 
 
+def test_link_counts_of_odd_rows(spark, odd, none):
+    got = {(r.doc_id, r.n_links) for r in ngram_join.jaccard_degrees(odd).collect()}
+    assert got == {(i, int(i == 5)) for i, *_ in ODD}
+    assert ngram_join.jaccard_degrees(none).count() == 0 and ngram_join.jaccard_links(none)[1].count() == 0
+    assert ngram_join.jaccard_links(odd)[1].count() == len(ODD)
+
+
 def test_drop_near_duplicates_looks_at_rows_not_ids(spark):
     long = " ".join(f"w{i}" for i in range(40))
     near = long + " more"
@@ -220,6 +227,8 @@ def test_all_links_inside_a_component(spark, small_blocks):
     comp = [c for *_, c in jaccard_brute(rows)]
     found, members = ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     got = members.collect()
+    counted = ngram_join.jaccard_degrees(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert counted.columns == members.columns and sorted(map(repr, counted.collect())) == sorted(map(repr, got))
     assert sorted((repr(r.doc_id), r.n_shingles, r.n_links) for r in got) == sorted((repr(i), len(s), n) for (i, _), s, n in zip(rows, shingles, number))
     assert sorted(repr(r.component_id) for r in got) == sorted(map(repr, comp))
     sets = list({shingles[k] for k in valid})
