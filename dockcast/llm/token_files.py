@@ -26,7 +26,7 @@ from dockcast.llm.text import binary, pieces, small_batches
 BLOCK_IDS = 1 << 18  # a block is closed once it holds so many ids
 SHARD_BYTES = 16 << 20  # of text for each shard; more where MAX_SHARDS would not do
 MAX_SHARDS = 1 << 16
-CACHE_WORDS = 600_000  # distinct words whose ids a worker remembers
+CACHE_WORDS = 350_000  # distinct words whose ids a worker remembers
 # what may follow a word: signs that are tokens of their own after a letter
 _TAILS = b".,;:!?|)"
 END_ID = 1
