@@ -15,12 +15,11 @@ from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockcast.llm.text import ALNUM_TABLE, ALNUM_WORD, binary, pieces, shipped, small_batches, spans, written
+from dockcast.llm.text import ALNUM_TABLE, ALNUM_WORD, binary, kept_rows, pieces, shipped, small_batches, spans, written
 
 WINDOW = 13
 PART_BYTES = 512 << 10  # of item texts in one automaton, which takes some 200 times as much
@@ -265,20 +264,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     text = F.col(text_col).cast("string")
     if len(parts) == 1:
         sent = _Sent(docs.sparkSession, (parts[0](), window))
-        small_batches(docs.sparkSession)
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series) -> pd.Series:
+        def judge():
             find = _built(sent)
 
-            def judge(t) -> bool:
-                words = words_of(None if t is None else t.encode())
+            def clean(t: bytes | None) -> bool:
+                words = words_of(t)
                 n_hit = sum(e - s + 1 for s, e in find.scan(words)[0])
                 return not (n_hit > 0 and 20 * n_hit >= len(words))
 
-            return texts.map(judge)
+            return clean
 
-        return docs.where(clean(text))
+        return kept_rows(docs, text_col, judge)
     named = docs.select(_name(text).alias("name"), text.alias("text"))
     bad = _hits(named, parts, window).select("name", "n_words", "intervals").mapInArrow(_bad_names, "bad string")
     return docs.join(bad, _name(text) == bad["bad"], "left_anti")

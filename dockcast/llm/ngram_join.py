@@ -123,6 +123,7 @@ def _info(batches):
         yield made({"doc_id": b.column("doc_id"), "n_shingles": sizes, "node": nodes, "bins": bins}, b.num_rows)
     at = np.flatnonzero(total)
     yield made({"slot": at.astype(np.int32), "n": total[at]}, len(at))
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def _first_columns(sent, buckets: int):

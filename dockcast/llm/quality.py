@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockcast.llm.text import SPACE_WORD, binary, hash_share, mix, pieces, shipped, small_batches, span_hashes, spans
+from dockcast.llm.text import SPACE_WORD, binary, hash_share, kept_rows, mix, pieces, shipped, small_batches, span_hashes, spans
 
 BITS = 18
 SAMPLE_ROWS = 8000  # the training sample's bound
@@ -159,12 +159,7 @@ def score_text(text: bytes | None, w: np.ndarray) -> float:
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text is predicted 0; columns unchanged."""
+    """``docs`` without the rows whose text is predicted 0; columns unchanged.  Null and
+    empty texts are judged by the bias; an empty table stays empty."""
     sent = shipped(docs.sparkSession, weights.astype(np.float64))
-    small_batches(docs.sparkSession)
-
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: score_text(t.encode() if t is not None else None, sent.value) >= THRESHOLD)
-
-    return docs.where(good(F.col(text_col).cast("string")))
+    return kept_rows(docs, text_col, lambda: lambda t: score_text(t, sent.value) >= THRESHOLD)

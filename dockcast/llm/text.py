@@ -9,7 +9,7 @@ and a finaliser mixes the bits.  Texts are UTF-8 bytes throughout, so
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +122,23 @@ def small_batches(spark: SparkSession, most: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+def kept_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[bytes | None], bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text is kept, columns unchanged.  ``judge`` makes, in
+    the worker, the function that says so."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        keep = judge()
+        for b in pieces(batches, text_col):
+            texts = b.column(text_col).cast(pa.string()).cast(pa.binary()).to_pylist()
+            rows = b.filter(pa.array([keep(t) for t in texts], pa.bool_()))
+            if rows.num_rows:
+                yield rows
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Whole groups of a partition sorted by the integer column ``key``: batches
     cut at group ends, each with the offsets of its groups."""

@@ -212,6 +212,7 @@ def write_tokens(
                 if held >= BLOCK_IDS:
                     yield from close()
         yield from close()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     rows.mapInArrow(run, BLOCK_DDL).write.mode("overwrite").parquet(path)
 
