@@ -96,6 +96,7 @@ class Encoder:
         self.is_end = np.zeros(self.vocab, bool)
         self.is_end[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}  # ids as little-endian 32-bit integers
+        self.most: int | None = None  # words to remember; CACHE_WORDS by default
 
     def encode_all(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         if not self.wordwise:
@@ -107,7 +108,7 @@ class Encoder:
         new = list(set().union(*(ws for ws in lists if ws)).difference(known))
         fresh = self._encode_words(new)
         # a full memory holds the words seen first, among them the frequent ones
-        if len(known) < CACHE_WORDS:
+        if len(known) < (CACHE_WORDS if self.most is None else self.most):
             known.update(fresh)
             fresh = {}
         for t, ws in zip(texts, lists):
@@ -171,13 +172,15 @@ def encoder(path: str) -> Encoder:
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID
+    docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID,
+    cache_words: int | None = None,
 ) -> None:
     """Write the token ids of all documents, each followed by ``end_id``.
 
     Documents come in ascending id; null ids come first, rows that share an id in
     the order of their texts.  Null texts count as empty: the end id alone.  An
-    empty table writes no block.  Other columns are ignored.
+    empty table writes no block.  Other columns are ignored.  ``cache_words`` bounds the
+    words whose ids a worker remembers, which changes memory and time alone.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -189,6 +192,7 @@ def write_tokens(
 
     def run(batches):
         enc = encoder(tokenizer_path)
+        enc.most = cache_words
         bits = bits_for(max(enc.vocab, end_id + 1))
         end = np.array([end_id], np.uint32)
         shard, block, first, ids, doc_ids, lengths, held = None, 0, 0, [], [], [], 0
