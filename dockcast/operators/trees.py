@@ -138,3 +138,13 @@ def state_inputs(rule: CityRule) -> dict[str, str]:
 def with_prediction(df: DataFrame, table: NodeTable, out_col: str = "prediction") -> DataFrame:
     """M7: ``df`` with the model's prediction from its feature columns."""
     return df.withColumn(out_col, F.expr(table.sql({f: f"`{f}`" for f in table.inputs})))
+
+
+def with_shared_prediction(df: DataFrame, table: NodeTable, out_col: str = "prediction") -> DataFrame:
+    """M7: as ``with_prediction``; rows with equal features share one walk, which pays
+    for a forest, whose walk takes as many steps as its trees are deep in all.  A null
+    feature meets itself."""
+    walked = with_prediction(df.select(*table.inputs).distinct(), table, "__shared")
+    walked = walked.select(*[F.col(f).alias(f"__{i}") for i, f in enumerate(table.inputs)], F.col("__shared").alias(out_col))
+    same = [F.col(f).eqNullSafe(F.col(f"__{i}")) for i, f in enumerate(table.inputs)]
+    return df.join(walked, same).drop(*[f"__{i}" for i in range(len(table.inputs))])

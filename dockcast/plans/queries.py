@@ -33,7 +33,7 @@ from dockcast.operators.lookup import SLOT_COLS, lag_lookup, shared_lag_lookup,
 from dockcast.operators.metrics import accuracy, regression_metrics
 from dockcast.operators.requests import extract_requests, validate_requests
 from dockcast.operators.responses import latest_per_key, shape_responses
-from dockcast.operators.trees import TreePredictor, node_table, with_prediction
+from dockcast.operators.trees import TreePredictor, node_table, with_shared_prediction
 from dockcast.plans import oracle
 from dockcast.plans.predict import RESPONSE_INPUTS, predict, retain
 from dockcast.plans.training import load_model, save_model, train_city
@@ -629,7 +629,7 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     taught = t.withColumn("occupation", F.when(F.col("train"), F.col("common")).otherwise(F.col("occupation"))).drop("common")
     trained = train_city(taught, FOREST_RULE, split_key=_malaga_key())
     held = trained.test_predictions.select("name", "weekday", "occupation")
-    scored = with_prediction(held, node_table(spark, _saved(spark, trained.model, "forest")))
+    scored = with_shared_prediction(held, node_table(spark, _saved(spark, trained.model, "forest")))
     return scored.select("name", "weekday", F.col("occupation").alias("label"), "prediction")
 
 

@@ -8,19 +8,29 @@ and layouts and needs no shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dockcast.config import CityRule
 from dockcast.operators.metrics import accuracy, regression_metrics
 
 
+# equal training rows are taken together where that leaves a row in so many, and the
+# trees of a forest that are then fitted at once
+GROUPING_PAYS, TREES_AT_ONCE = 8, 8
+
+
 def build_pipeline(rule: CityRule, seed: int = 42, with_indexers: bool = False) -> Pipeline:
     """M1 + M2/M3 (+ M4): assembler and tree for one city.
 
@@ -64,6 +74,73 @@ def hash_split(
     return df.where(h < train_share), df.where(h >= train_share)
 
 
+def fit_pipeline(train: DataFrame, rule: CityRule, seed: int = 42, with_indexers: bool = False) -> PipelineModel:
+    """M5: the fitted pipeline of one city.
+
+    MLlib's forest takes every row for every tree at every level.  Where many rows are
+    equal in features and label, the forest is fitted on one row for each such group
+    (``fit_grouped_forest``); a table whose rows differ, and a single tree, go to MLlib
+    as they are.
+    """
+    pipeline = build_pipeline(rule, seed, with_indexers)
+    *first, forest = pipeline.getStages()
+    if not (isinstance(forest, RandomForestClassifier) and forest.getBootstrap()):
+        return pipeline.fit(train)
+    keys = [*dict.fromkeys([*rule.features, rule.label])]
+    groups = _written(train.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "groups")
+    size = groups.agg(F.count("__n").alias("groups"), F.sum("__n").alias("rows"), F.max(rule.label).alias("label")).first()
+    if (size.rows or 0) < GROUPING_PAYS * max(1, size.groups):
+        return pipeline.fit(train)
+    before = Pipeline(stages=first).fit(train)
+    return PipelineModel([*before.stages, fit_grouped_forest(groups, before.stages[-1], forest, int(size.label) + 1)])
+
+
+def fit_grouped_forest(groups: DataFrame, assembler: VectorAssembler, forest: RandomForestClassifier, classes: int) -> RandomForestClassificationModel:
+    """M3: ``forest`` on rows that each stand for ``__n`` equal ones.
+
+    A bootstrap takes each row as often as a Poisson number of mean 1 says.  Over n equal
+    rows these numbers add up to a Poisson number of mean n: it is drawn for each group
+    and tree and is the group's weight when MLlib fits that tree.  The draws follow from
+    the seed and the group, whatever the layout.
+    """
+    trees, label, features = forest.getNumTrees(), forest.getLabelCol(), forest.getFeaturesCol()
+    keys = [c for c in groups.columns if c != "__n"]
+    keyed = groups.select(F.xxhash64(F.lit(forest.getSeed()), *keys).alias("__key"), "*")
+    weights = T.StructType([T.StructField(f"__w{t}", T.DoubleType()) for t in range(trees)])
+    drawn = _written(keyed.mapInArrow(_bootstraps(trees), T.StructType([*groups.schema.fields, *weights.fields])), "bootstraps")
+    known = {"ml_attr": {"type": "nominal", "num_vals": classes}}  # a tree may miss the last class
+    rows = assembler.transform(drawn).withColumn(label, F.col(label).cast("double").alias(label, metadata=known))
+
+    def fit(t: int):
+        tree = DecisionTreeClassifier(
+            featuresCol=features, labelCol=label, weightCol=f"__w{t}", maxDepth=forest.getMaxDepth(), seed=forest.getSeed()
+        )
+        return tree.fit(rows.select(features, label, f"__w{t}"))
+
+    with ThreadPool(TREES_AT_ONCE) as pool:
+        fitted = pool.map(inheritable_thread_target(groups.sparkSession)(fit), range(trees), chunksize=1)
+    sc = groups.sparkSession.sparkContext
+    array = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel, trees)
+    for t, tree in enumerate(fitted):
+        array[t] = tree._java_obj
+    joined = sc._jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(forest.uid, array, len(assembler.getInputCols()), classes)
+    return forest._copyValues(RandomForestClassificationModel(joined))
+
+
+def _bootstraps(trees: int):
+    """Arrow batches without ``__key`` and with how often each tree takes a row's group."""
+
+    def run(batches):
+        for b in batches:
+            drawn = np.empty((trees, b.num_rows))
+            for i, (key, n) in enumerate(zip(b.column("__key").to_pylist(), b.column("__n").to_pylist())):
+                drawn[:, i] = np.random.Generator(np.random.Philox(key=key % (1 << 64))).poisson(n, trees)
+            kept = [c for c in b.schema.names if c != "__key"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *map(pa.array, drawn)], names=[*kept, *(f"__w{t}" for t in range(trees))])
+
+    return run
+
+
 @dataclass
 class Trained:
     city: str
@@ -88,13 +165,17 @@ def materialise(df: DataFrame) -> DataFrame:
     also after an executor loss.  It is dealt to ``spark.sql.shuffle.partitions``
     parts, so the passes use the cluster whatever the input files were.
     """
+    return _written(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "training")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
     import uuid
 
     from dockcast.session import checkpoint_dir
 
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/training-{uuid.uuid4().hex}"
-    df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -111,7 +192,7 @@ def train_city(
     if checkpoint:
         rows = materialise(rows)
     train, test = hash_split(rows, key=split_key)
-    model = build_pipeline(rule, seed, with_indexers).fit(train)
+    model = fit_pipeline(train, rule, seed, with_indexers)
     scored = model.transform(test)
     if rule.task == "regression":
         m = regression_metrics(scored, rule.label, "prediction")
