@@ -155,7 +155,8 @@ def _unrolled(df: DataFrame, predictor, rules: dict[str, CityRule]) -> DataFrame
     for i in range(1, max_steps + 1):
         live = {c: r for c, r in rules.items() if r.unrolled_steps >= i}
         if hasattr(predictor, "sql"):
-            p_step = _case_city_sql(live, predictor.sql)
+            # rows that are done, or never had a step, aren't scored again
+            p_step = f"(CASE WHEN steps >= {i} THEN {_case_city_sql(live, predictor.sql)} END)"
         else:
             cur = cur.select(*[F.expr(c) for c in base], *_feature_columns(rules))
             for city, rule in live.items():
