@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.llm.text import binary, pieces, small_batches
+from dockcast.llm.text import binary, pieces, short_lived_shuffles, small_batches
 
 BLOCK_IDS = 1 << 18  # a block is closed once it holds so many ids
 SHARD_BYTES = 16 << 20  # of text for each shard; more where MAX_SHARDS would not do
 MAX_SHARDS = 1 << 16
-CACHE_WORDS = 350_000  # distinct words whose ids a worker remembers
+CACHE_WORDS = 600_000  # distinct words whose ids a worker remembers
 # what may follow a word: signs that are tokens of their own after a letter
 _TAILS = b".,;:!?|)"
 END_ID = 1
@@ -106,18 +106,20 @@ class Encoder:
         lists = [self._parts(t) if t and b"<|" not in t else None for t in texts]
         known = self.known
         new = list(set().union(*(ws for ws in lists if ws)).difference(known))
-        fresh = self._encode_words(new)
-        # a full memory holds the words seen first, among them the frequent ones
-        if len(known) < (CACHE_WORDS if self.most is None else self.most):
-            known.update(fresh)
-            fresh = {}
-        for t, ws in zip(texts, lists):
-            if ws is None:
-                yield self._whole(t)
-            elif fresh:
-                yield np.frombuffer(b"".join([known[w] if w in known else fresh[w] for w in ws]), "<u4")
-            else:
-                yield np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4")
+        # a full memory holds the words seen first, among them the frequent ones; it
+        # knows the others for these texts alone
+        full = len(known) >= (CACHE_WORDS if self.most is None else self.most)
+        known.update(self._encode_words(new))
+        try:
+            for t, ws in zip(texts, lists):
+                if ws is None:
+                    yield self._whole(t)
+                else:
+                    yield np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4")
+        finally:
+            if full:
+                for w in new:
+                    del known[w]
 
     @staticmethod
     def _parts(text: bytes) -> list[bytes]:
@@ -143,7 +145,7 @@ class Encoder:
         for part, join, ends in ((plain, " ", True), (other, self.mark, False)):
             for i in range(0, len(part), 20_000):
                 got = part[i : i + 20_000]
-                ids = np.array(self.tok.encode(join.join(x for _, x in got), add_special_tokens=False).ids, "<u4")
+                ids = np.array(self._ids(join.join(x for _, x in got)), "<u4")
                 if ends:
                     stop = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
                     start = np.concatenate(([0], stop[:-1]))
@@ -158,7 +160,11 @@ class Encoder:
         return out
 
     def _whole(self, t: bytes | None) -> np.ndarray:
-        return np.array(self.tok.encode(t.decode(), add_special_tokens=False).ids if t else [], np.uint32)
+        return np.array(self._ids(t.decode()) if t else [], np.uint32)
+
+    def _ids(self, text: str) -> list[int]:
+        # without offsets, which nothing reads
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -189,6 +195,7 @@ def write_tokens(
     dealt = rows.repartitionByRange(shards, "id", F.left("text", F.lit(32))).sortWithinPartitions("id", "text")
     rows = dealt.select(F.spark_partition_id().cast("long").alias("shard"), "id", "text")
     small_batches(docs.sparkSession)
+    short_lived_shuffles(docs.sparkSession)
 
     def run(batches):
         enc = encoder(tokenizer_path)

@@ -802,3 +802,28 @@ def test_fine_bins_never_rule_out_a_link():
     x, y = (np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)) for _ in range(2))
     assert ngram_join.may_link(len(x), np.frombuffer(ngram_join.bins_of(x), np.uint8), len(y), np.frombuffer(ngram_join.bins_of(y), np.uint8)[None])[0]
     assert not ngram_join.may_link_finely(ngram_join.fine_bins(x), ngram_join.fine_bins(y))
+
+
+def test_a_full_memory_of_words_knows_the_others_for_their_texts_alone():
+    """op4: words are encoded without offsets, and once for the texts at hand."""
+    import public_tokenizers
+
+    from dockcast.llm.token_files import Encoder
+
+    enc = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"Wort{chr(97 + i % 26)} zwei, drei{chr(97 + i // 26)}! x{i}".encode() for i in range(300)]
+    whole = [enc.tok.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+
+    class Fast:
+        def __getattr__(self, name):
+            assert name != "encode", "offsets that nothing reads"
+            return getattr(tok, name)
+
+    tok, enc.tok = enc.tok, Fast()
+    enc.most = 5
+    assert [x.tolist() for x in enc.encode_all(texts[:9])] == whole[:9]
+    known = dict(enc.known)
+    assert len(known) >= 5
+    for some in (texts, texts[::-1]):
+        assert sorted(x.tolist() for x in enc.encode_all(some)) == sorted(whole)
+        assert enc.known == known
