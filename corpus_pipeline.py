@@ -43,8 +43,8 @@ def token_digest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = scratch(spark, "pipeline-tokens")
-    # workers have run four other stages: less memory for words than where they start afresh
-    token_files.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), cache_words=100_000)
+    # workers have run four other stages, and go on to others: less memory for words
+    token_files.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), cache_words=100_000, piece_bytes=1 << 20)
     return token_files.read_documents(spark, path)
 
 

@@ -122,13 +122,6 @@ def small_batches(spark: SparkSession, most: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
-def short_lived_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when the query that wrote them ends, not when the driver happens
-    to collect garbage: a chain of written stages holds those of one stage.  A plan that
-    is run again writes them again."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-
-
 def kept_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[bytes | None], bool]]) -> DataFrame:
     """The rows of ``docs`` whose text is kept, columns unchanged.  ``judge`` makes, in
     the worker, the function that says so."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.llm.text import binary, pieces, short_lived_shuffles, small_batches
+from dockcast.llm.text import binary, pieces, small_batches
 
 BLOCK_IDS = 1 << 18  # a block is closed once it holds so many ids
 SHARD_BYTES = 16 << 20  # of text for each shard; more where MAX_SHARDS would not do
@@ -108,7 +108,8 @@ class Encoder:
         new = list(set().union(*(ws for ws in lists if ws)).difference(known))
         # a full memory holds the words seen first, among them the frequent ones; it
         # knows the others for these texts alone
-        full = len(known) >= (CACHE_WORDS if self.most is None else self.most)
+        most = CACHE_WORDS if self.most is None else self.most
+        passing = new[max(0, most - len(known)) :]
         known.update(self._encode_words(new))
         try:
             for t, ws in zip(texts, lists):
@@ -117,9 +118,8 @@ class Encoder:
                 else:
                     yield np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4")
         finally:
-            if full:
-                for w in new:
-                    del known[w]
+            for w in passing:
+                del known[w]
 
     @staticmethod
     def _parts(text: bytes) -> list[bytes]:
@@ -179,14 +179,15 @@ def encoder(path: str) -> Encoder:
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID,
-    cache_words: int | None = None,
+    cache_words: int | None = None, piece_bytes: int = 8 << 20,
 ) -> None:
     """Write the token ids of all documents, each followed by ``end_id``.
 
     Documents come in ascending id; null ids come first, rows that share an id in
     the order of their texts.  Null texts count as empty: the end id alone.  An
     empty table writes no block.  Other columns are ignored.  ``cache_words`` bounds the
-    words whose ids a worker remembers, which changes memory and time alone.
+    words whose ids a worker remembers and ``piece_bytes`` the text whose words it holds
+    at once, which changes memory and time alone.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -195,7 +196,6 @@ def write_tokens(
     dealt = rows.repartitionByRange(shards, "id", F.left("text", F.lit(32))).sortWithinPartitions("id", "text")
     rows = dealt.select(F.spark_partition_id().cast("long").alias("shard"), "id", "text")
     small_batches(docs.sparkSession)
-    short_lived_shuffles(docs.sparkSession)
 
     def run(batches):
         enc = encoder(tokenizer_path)
@@ -211,7 +211,7 @@ def write_tokens(
                 yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, _BLOCK)], schema=_BLOCK)
             block, first, ids, doc_ids, lengths, held = block + 1, first + held, [], [], [], 0
 
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", piece_bytes):
             for s, i, x in zip(b.column("shard").to_pylist(), b.column("id").to_pylist(), enc.encode_all(binary(b, "text"))):
                 if s != shard:
                     yield from close()
@@ -225,7 +225,8 @@ def write_tokens(
         yield from close()
         pa.default_memory_pool().release_unused()  # the worker lives on
 
-    rows.mapInArrow(run, BLOCK_DDL).write.mode("overwrite").parquet(path)
+    # packed ids hold no repeats, but frequent ones: a codec that counts bytes makes them smaller
+    rows.mapInArrow(run, BLOCK_DDL).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

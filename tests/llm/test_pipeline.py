@@ -53,3 +53,15 @@ def test_stages_with_odd_and_no_rows(spark):
         out = stage(spark, df, SF)
         out.collect()
         assert name == "token_files" or out.columns == df.columns
+
+
+def test_token_files_are_stored_small(spark, tmp_path):
+    """Ids in 16 bits each are not what the disk must hold: frequent ones take less."""
+    import public_tokenizers
+
+    from dockcast.llm import token_files
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    token_files.write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"), piece_bytes=1 << 16)
+    packed = token_files.read_blocks(spark, str(tmp_path / "t")).selectExpr("sum(length(payload)) AS n").first().n
+    assert sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")) < 0.75 * packed
