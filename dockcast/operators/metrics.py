@@ -31,8 +31,14 @@ def regression_metrics(df: DataFrame, label: Column | str, prediction: Column |
     return out
 
 
-def accuracy(df: DataFrame, label: Column | str, prediction: Column | str, by: list[str] = ()) -> DataFrame:
-    """A5: share of rows whose predicted class equals the label."""
+def accuracy(
+    df: DataFrame, label: Column | str, prediction: Column | str, by: list[str] = (), weight: Column | str | None = None
+) -> DataFrame:
+    """A5: share of rows whose predicted class equals the label; a row stands for
+    ``weight`` equal ones."""
     hit = F.when(_c(prediction).cast("double") == _c(label).cast("double"), 1.0).otherwise(0.0)
     g = df.groupBy(*by) if by else df.groupBy()
-    return g.agg(F.count(F.lit(1)).alias("rows"), F.avg(hit).alias("accuracy"))
+    if weight is None:
+        return g.agg(F.count(F.lit(1)).alias("rows"), F.avg(hit).alias("accuracy"))
+    n = F.sum(_c(weight))
+    return g.agg(F.coalesce(n, F.lit(0)).cast("long").alias("rows"), F.try_divide(F.sum(hit * _c(weight)), n).alias("accuracy"))

@@ -70,8 +70,13 @@ def hash_split(
 ) -> tuple[DataFrame, DataFrame]:
     """M6: stable 80/20 split on an integer ``key``, or on a hash of the whole row
     (no shuffle, no seed drift)."""
+    side = _train_side(df, train_share, buckets, key)
+    return df.where(side), df.where(~side)
+
+
+def _train_side(df: DataFrame, train_share: int = 8, buckets: int = 10, key: Column | None = None) -> Column:
     h = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]) if key is None else key, F.lit(buckets))
-    return df.where(h < train_share), df.where(h >= train_share)
+    return h < train_share
 
 
 def fit_pipeline(train: DataFrame, rule: CityRule, seed: int = 42, with_indexers: bool = False) -> PipelineModel:
@@ -82,17 +87,35 @@ def fit_pipeline(train: DataFrame, rule: CityRule, seed: int = 42, with_indexers
     (``fit_grouped_forest``); a table whose rows differ, and a single tree, go to MLlib
     as they are.
     """
-    pipeline = build_pipeline(rule, seed, with_indexers)
-    *first, forest = pipeline.getStages()
-    if not (isinstance(forest, RandomForestClassifier) and forest.getBootstrap()):
-        return pipeline.fit(train)
+    return _fit(train, equal_rows(train, rule, F.lit(True)), rule, seed, with_indexers)
+
+
+def equal_rows(rows: DataFrame, rule: CityRule, train: Column) -> DataFrame | None:
+    """The groups of rows that are equal in features, label and side (``__train``, null:
+    neither), each with its number of rows ``__n``; written, so the rows are read once.
+    None where the city has no forest of bootstraps or most training rows differ."""
+    if not _bootstrapped(build_pipeline(rule).getStages()[-1]):
+        return None
     keys = [*dict.fromkeys([*rule.features, rule.label])]
-    groups = _written(train.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "groups")
-    size = groups.agg(F.count("__n").alias("groups"), F.sum("__n").alias("rows"), F.max(rule.label).alias("label")).first()
-    if (size.rows or 0) < GROUPING_PAYS * max(1, size.groups):
+    side = rows.select(*keys, train.alias("__train"))
+    groups = _written(side.groupBy(*keys, "__train").agg(F.count(F.lit(1)).alias("__n")), "groups")
+    size = groups.where("__train").agg(F.count("__n").alias("groups"), F.sum("__n").alias("rows")).first()
+    return groups if (size.rows or 0) >= GROUPING_PAYS * max(1, size.groups) else None
+
+
+def _bootstrapped(stage) -> bool:
+    return isinstance(stage, RandomForestClassifier) and stage.getBootstrap()
+
+
+def _fit(train: DataFrame, groups: DataFrame | None, rule: CityRule, seed: int, with_indexers: bool) -> PipelineModel:
+    pipeline = build_pipeline(rule, seed, with_indexers)
+    if groups is None:
         return pipeline.fit(train)
+    *first, forest = pipeline.getStages()
+    groups = groups.where("__train").drop("__train")
     before = Pipeline(stages=first).fit(train)
-    return PipelineModel([*before.stages, fit_grouped_forest(groups, before.stages[-1], forest, int(size.label) + 1)])
+    classes = int(groups.agg(F.max(rule.label)).first()[0]) + 1
+    return PipelineModel([*before.stages, fit_grouped_forest(groups, before.stages[-1], forest, classes)])
 
 
 def fit_grouped_forest(groups: DataFrame, assembler: VectorAssembler, forest: RandomForestClassifier, classes: int) -> RandomForestClassificationModel:
@@ -187,12 +210,18 @@ def train_city(
     checkpoint: bool = True,
     split_key: Column | None = None,
 ) -> Trained:
-    """M5-M8: fit on the 80 % side, score the 20 % side, report metrics."""
+    """M5-M8: fit on the 80 % side, score the 20 % side, report metrics.
+
+    Where equal rows are taken together, fit and metrics read their groups alone: the
+    rows are aggregated in one pass, and computed again by readers of
+    ``test_predictions`` only.
+    """
     rows = usable_rows(table, rule)
-    if checkpoint:
+    groups = equal_rows(rows, rule, _train_side(rows, key=split_key))
+    if checkpoint and groups is None:
         rows = materialise(rows)
     train, test = hash_split(rows, key=split_key)
-    model = fit_pipeline(train, rule, seed, with_indexers)
+    model = _fit(train, groups, rule, seed, with_indexers)
     scored = model.transform(test)
     if rule.task == "regression":
         m = regression_metrics(scored, rule.label, "prediction")
@@ -206,7 +235,10 @@ def train_city(
             "rows",
         ).select("city", "m.metric", "m.value", "rows")
     else:
-        m = accuracy(scored, rule.label, "prediction")
+        if groups is None:
+            m = accuracy(scored, rule.label, "prediction")
+        else:
+            m = accuracy(model.transform(groups.where("NOT __train")), rule.label, "prediction", weight="__n")
         metrics = m.select(
             F.lit(rule.city).alias("city"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"), "rows"
         )
