@@ -13,6 +13,7 @@ readers get it by broadcast and no payload is ever shuffled.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,10 @@ BLOCK_IDS = 1 << 18  # a block is closed once it holds so many ids
 SHARD_BYTES = 16 << 20  # of text for each shard; more where MAX_SHARDS would not do
 MAX_SHARDS = 1 << 16
 CACHE_WORDS = 600_000  # distinct words whose ids a worker remembers
-# what may follow a word: signs that are tokens of their own after a letter
-_TAILS = b".,;:!?|)"
+# signs that are tokens of their own after a letter, to the end of a word
+_SIGNS = rb'!"#$%&()*+,-./:;=>?@[\]^_`{|}~'
+# letters: a-z and, in two bytes, those of Latin-1; signs are looked for first, as few bytes are
+_TAIL = re.compile(rb"([%s](?:(?<=[a-z].)|(?<=\xC3[\x80-\x96\x98-\xB6\xB8-\xBF].))[%s]*)(?!\S)" % (re.escape(_SIGNS), re.escape(_SIGNS)))
 END_ID = 1
 
 _BLOCK = pa.schema(
@@ -93,6 +96,9 @@ class Encoder:
         a, b = (self.tok.encode(x, add_special_tokens=False).ids for x in ("ab cd", "\tAB \n cD "))
         c = [i for x in ("ab", "cd") for i in self.tok.encode(x, add_special_tokens=False).ids]
         self.wordwise = a == b == c
+        for sign in [*map(chr, _SIGNS), _SIGNS.decode()]:
+            for w in ("ab", "\xe9"):
+                self.wordwise &= self._ids(w + sign) == self._ids(w) + self._ids(sign)
         self.is_end = np.zeros(self.vocab, bool)
         self.is_end[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}  # ids as little-endian 32-bit integers
@@ -123,16 +129,9 @@ class Encoder:
 
     @staticmethod
     def _parts(text: bytes) -> list[bytes]:
-        """Words, with the signs after an ASCII letter as words of their own."""
-        out = []
-        for w in text.lower().split():
-            if w[-1] in _TAILS:
-                head = w.rstrip(_TAILS)
-                if head and 0x61 <= head[-1] <= 0x7A:
-                    out += (head, w[len(head) :])
-                    continue
-            out.append(w)
-        return out
+        """Words, with the signs after their last letter as words of their own: fewer
+        distinct ones to encode and to remember."""
+        return _TAIL.sub(rb" \1", text.lower()).split()
 
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of many words from few calls.  A word of letters is one piece, whose

@@ -827,3 +827,23 @@ def test_a_full_memory_of_words_knows_the_others_for_their_texts_alone():
     for some in (texts, texts[::-1]):
         assert sorted(x.tolist() for x in enc.encode_all(some)) == sorted(whole)
         assert enc.known == known
+
+
+def test_signs_after_a_letter_are_words_of_their_own():
+    """op4: a word is encoded and remembered once, whatever signs and Latin-1 letters it ends with."""
+    import random
+
+    import public_tokenizers
+    from dockcast.llm.token_files import Encoder
+
+    enc = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert enc.wordwise
+    texts = ["Word word### word, été été. été$$$ \"été\" (word)", "a.b. 1. d'. ×. ÷, ª. É% ÿ; e\u0301. =\u0338 x=\u0338 it's. 'll, \u0130. 日。 日."]
+    rng = random.Random(4)
+    signs = [*"aZéÉß×'\u0301\u0338 \n\t1日", *map(chr, range(33, 48)), *":;<=>?@[\\]^_`{|}~", "'s", "'ll"]
+    texts += ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(3000)]
+    got = [x.tolist() for x in enc.encode_all([t.encode() for t in texts])]
+    assert got == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    lone = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    list(lone.encode_all([texts[0].encode()]))
+    assert set(lone.known) == {x.encode() for x in ("word", "###", ",", "été", ".", "$$$", '"été', '"', "(word", ")")}
