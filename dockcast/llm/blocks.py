@@ -23,6 +23,22 @@ def from_planes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
+def to_coded(values: np.ndarray) -> bytes:
+    """Doubles of which many are equal: the distinct ones and the place of each among
+    them, or as they are if that is no gain."""
+    distinct, place = np.unique(values, return_inverse=True)
+    if 2 * len(distinct) > len(values) or len(distinct) > 1 << 16:
+        return np.uint32(0).tobytes() + to_planes(values.astype(np.float64))
+    return np.uint32(len(distinct)).tobytes() + to_planes(distinct.astype(np.float64)) + to_planes(place.astype(np.uint16))
+
+
+def from_coded(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    if not n:
+        return from_planes(data[4:], np.float64)
+    return from_planes(data[4 : 4 + 8 * n], np.float64)[from_planes(data[4 + 8 * n :], np.uint16)]
+
+
 def keys_to_bytes(keys: np.ndarray) -> bytes:
     """Sorted unsigned keys."""
     return to_planes(np.diff(keys, prepend=np.uint64(0)))

@@ -13,29 +13,39 @@ Texts are first written as blocks of token streams (about a million tokens with
 their own vocabulary).  N-grams and contexts of all blocks are then summed by key in
 buckets and each block gets back the totals of its own keys (``blocks``): what is
 shuffled is one entry for each distinct n-gram and block, however hot a word, an
-n-gram or a text is.
+n-gram or a text is.  A context that no other block has (a lone one) has all its
+n-grams in there, so the block itself computes its weight.
 
 The model is stored in two tables, counts and backoff weights, each with a folder
-for each order; a row is a bucket's sorted keys and their values.  Texts that had no
-part in the training are scored from these tables alone.
+for each order; a row is a bucket's or, of lone contexts, a block's sorted keys and
+their values.  Texts that had no part in the training are scored from these tables
+alone.
+
+Disk is what limits the size of the input: orders are counted one after the other,
+blocks are scored and contexts weighed in ``PARTS`` turns, and what no later turn
+reads is removed, shuffles included.  The model's rows are written once, in place.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.llm.blocks import Merged, from_planes, keys_from_bytes, keys_to_bytes, slices, to_planes
+from dockcast.llm.blocks import Merged, from_coded, from_planes, keys_from_bytes, keys_to_bytes, slices, to_coded, to_planes
 from dockcast.llm.text import _BASE, binary, mix, pieces, scratch, small_batches, word_hashes
+from dockcast.session import remove
 
 K = 5
-BLOCK_TOKENS = 1 << 18
+PARTS = 8
+BLOCK_TOKENS = 1 << 19
 BUCKET_TOKENS = 1 << 19
 # keys of the end token and of the context that stands before the first word
 END, START = np.uint64(1), np.uint64(2)
@@ -45,16 +55,20 @@ MODEL = -1  # block number of the model's own rows
 _BLOCK_DDL = "block long, ids array<long>, held array<boolean>, lengths array<long>, vocab binary, tokens binary, n long"
 _ASK_DDL = "kind int, bucket long, block long, keys binary, counts binary"
 _SUMS = [*(f"n{r}" for r in range(1, K + 2)), "types", "tokens", "tail_types", "tail_tokens"]
-_ANSWER_DDL = "kind int, bucket long, block long, counts binary, own binary"
+_ANSWER_DDL = "kind int, bucket long, block long, counts binary, own binary, lone binary"
 _MODEL_DDL = "kind int, bucket long, block long, keys binary, value binary"
 _SUMS_DDL = ", ".join(f"{c} long" for c in _SUMS)
 _TOLD_DDL = f"{_ANSWER_DDL}, keys binary, value binary, {_SUMS_DDL}"
-_PART_DDL = (
-    "kind int, bucket long, block long, keys binary, seen binary, lower binary, total binary, need binary, ids array<long>, "
-    "held array<boolean>, lengths array<long>, known array<long>, base array<double>, part array<double>, "
+# a block's texts, and one row for each order of what it says of its contexts:
+# weights of lone ones (own), sums towards those of others (sums), weights it needs (asks)
+_TEXT_DDL = (
+    "ids array<long>, held array<boolean>, lengths array<long>, known array<long>, base array<double>, part array<double>, "
     "gap_doc binary, gap_context binary, gap_count binary"
 )
-_WEIGHT_DDL = "kind int, bucket long, block long, weights binary, keys binary, value binary"
+_SCORED_DDL = f"what string, kind int, block long, keys binary, value binary, seen binary, lower binary, total binary, {_TEXT_DDL}"
+_CUT = ["keys", "value", "seen", "lower", "total"]
+_CUT_DDL = "kind int, bucket long, block long, " + ", ".join(f"{c} binary" for c in _CUT)
+_WEIGHT_DDL = "kind int, bucket long, block long, weights binary"
 _OUT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -165,20 +179,24 @@ def _rows(batches):
             yield {c: b.column(c)[i].as_py() for c in b.schema.names}
 
 
-def _ask(buckets: int, order: int):
+def _ask(buckets: int, kinds: range, turn: int = 0, turns: int = 1):
+    """A block's counts of the n-grams of some orders, for the buckets whose turn it is."""
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         for row in _rows(batches):
             vocab, tokens, context, doc, place = _stream(row)
             learn = (~np.asarray(row["held"], bool))[doc].astype(np.float64)
-            for kind, level in enumerate(_levels(vocab, tokens, context, place, order)):
+            levels = _levels(vocab, tokens, context, place, kinds[-1] + 1)
+            for kind in kinds:
+                level = levels[kind]
                 here = level.where >= 0
                 counts = np.bincount(level.where[here], learn[here], minlength=len(level.keys)).astype(np.uint32)
                 if kind == WORD:
                     # the start is counted as often as a learned text begins
                     counts[np.searchsorted(vocab, START)] = len(row["held"]) - sum(row["held"])
-                out = [(kind, b, row["block"], keys_to_bytes(level.keys[i:j]), to_planes(counts[i:j])) for b, i, j in slices(level.keys, buckets)]
+                cuts = [x for x in slices(level.keys, buckets) if x[0] % turns == turn]
+                out = [(kind, b, row["block"], keys_to_bytes(level.keys[i:j]), to_planes(counts[i:j])) for b, i, j in cuts]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -194,9 +212,10 @@ def _tell(group: pd.DataFrame) -> pd.DataFrame:
     total = all_keys.sums([from_planes(c, np.uint32).astype(np.float64) for c in group["counts"]])
     per_entry = total[all_keys.group]
     own = all_keys.split(all_keys.first & (per_entry > 0))
+    lone = all_keys.split((np.bincount(all_keys.group) == 1)[all_keys.group])
     told = [
-        {"kind": kind, "bucket": bucket, "block": b, "counts": to_planes(x.astype(np.uint64)), "own": np.packbits(o).tobytes()}
-        for b, x, o in zip(group["block"], all_keys.split(per_entry), own)
+        {"kind": kind, "bucket": bucket, "block": b, "counts": to_planes(x.astype(np.uint64)), "own": np.packbits(o).tobytes(), "lone": np.packbits(a).tobytes()}
+        for b, x, o, a in zip(group["block"], all_keys.split(per_entry), own, lone)
     ]
     seen = total > 0
     real = total[(all_keys.keys != START) & seen] if kind == WORD else total[seen]
@@ -212,23 +231,33 @@ def _frame(rows: list[dict], ddl: str) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in cols})
 
 
-def _gather(told: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and owner marks of one block, in the order of its keys."""
+def _gather(told: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, owner and lone marks of one block, in the order of its keys."""
     mine = told[told["kind"] == kind].sort_values("bucket")
     counts = [from_planes(c, np.uint64) for c in mine["counts"]]
-    own = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)).astype(bool) for o, c in zip(mine["own"], counts)]
-    return np.concatenate([np.empty(0), *counts]).astype(np.float64), np.concatenate([np.empty(0, bool), *own])
+    marks = ([np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)).astype(bool) for o, c in zip(mine[name], counts)] for name in ("own", "lone"))
+    own, lone = (np.concatenate([np.empty(0, bool), *m]) for m in marks)
+    return np.concatenate([np.empty(0), *counts]).astype(np.float64), own, lone
+
+
+def _weights(given: np.ndarray, total: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 backoff weights of contexts that have given away ``given`` of their counts
+    to n-grams whose last words have probability ``lower`` after the shorter context."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.log10((1 - given / total) / (1 - lower))
 
 
-def _score_seen(orders: list[Order], buckets: int):
-    """Scores all but the backoff weights, and asks for those."""
+def _score_seen(orders: list[Order], texts: bool):
+    """What a block's contexts of the last order have given away; with ``texts`` also
+    the scores of its texts, all but the backoff weights that other blocks know, and
+    the contexts that wait for those."""
 
     def run(key, blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         row = blocks.iloc[0].to_dict()
         vocab, tokens, context, doc, place = _stream(row)
         n_docs = len(row["lengths"])
         words = orders[WORD]
-        count, _ = _gather(told, WORD)
+        count, _, alone = _gather(told, WORD)
         prob = np.where(count > 0, words.reduced(count) / max(words.tokens, 1), words.left)  # of a word alone
         base = np.log10((count + 0.5) / (words.tokens + 0.5 * (words.types + 1)))
         known = count > 0
@@ -238,91 +267,114 @@ def _score_seen(orders: list[Order], buckets: int):
         out, gaps, held = [], [], 0
         levels = _levels(vocab, tokens, context, place, len(orders))
         for kind, level in enumerate(levels[1:], 1):
-            below, above = len(levels[kind - 1].keys), count
-            count, own = _gather(told, kind)
+            below, above, lone = levels[kind - 1].keys, count, alone
+            count, own, alone = _gather(told, kind)
             seen = count > 0
             ctx = above[level.context]
-            gap = ~seen & (ctx > 0)  # the context was seen: its backoff weight is due
-            # what each context has given away, from the n-grams that this block owns
             cut = orders[kind].reduced(count)
-            given = np.bincount(level.context[own], cut[own], minlength=below)
-            lower = np.bincount(level.context[own], prob[level.lower[own]], minlength=below)
-            has = np.bincount(level.context[own], minlength=below) > 0
-            need = np.zeros(below, bool)
-            need[level.context[gap]] = True
+            # what each context has given away, from the n-grams that this block owns
+            given = np.bincount(level.context[own], cut[own], minlength=len(below))
+            lower = np.bincount(level.context[own], prob[level.lower[own]], minlength=len(below))
+            has = np.bincount(level.context[own], minlength=len(below)) > 0
             prob = np.zeros(len(count))
             prob[seen] = cut[seen] / ctx[seen]
+            weight = np.zeros(len(below))
+            mine = has & lone
+            weight[mine] = _weights(given[mine], above[mine], lower[mine])
+            if kind == len(orders) - 1:
+                out.append({"what": "own", "kind": kind, "block": row["block"], "keys": keys_to_bytes(below[mine]), "value": to_coded(weight[mine])})
+                send = has & ~lone
+                out.append(
+                    {
+                        "what": "sums", "kind": kind, "block": row["block"], "keys": keys_to_bytes(below[send]),
+                        "seen": to_coded(given[send]), "lower": to_coded(lower[send]), "total": to_coded(above[send]),
+                    }
+                )
+            if not texts:
+                continue
             hit = np.flatnonzero(level.where >= 0)
             hit = hit[seen[level.where[hit]]]
             value[hit] = np.log10(prob[level.where[hit]])
-            send = np.flatnonzero(has | need)
-            keys = levels[kind - 1].keys[send]
-            out += [
-                {
-                    "kind": kind, "bucket": b, "block": row["block"], "keys": keys_to_bytes(keys[i:j]), "seen": to_planes(given[send][i:j]),
-                    "lower": to_planes(lower[send][i:j]), "total": to_planes(above[send][i:j].astype(np.uint64)), "need": np.packbits(need[send][i:j]).tobytes(),
-                }
-                for b, i, j in slices(keys, buckets)
-            ]
-            # tokens that wait for a weight, and its place among those that come back
+            # tokens that take a weight: the context was seen, the n-gram was not
+            gap = ~seen & (ctx > 0)
             waits = np.flatnonzero(level.where >= 0)
             waits = waits[gap[level.where[waits]]]
-            gaps.append((doc[waits], held + (np.cumsum(need) - 1)[level.context[level.where[waits]]]))
+            at = level.context[level.where[waits]]
+            value[waits] += weight[at]  # what other blocks know is added later
+            waits, at = waits[~mine[at]], at[~mine[at]]
+            need = np.zeros(len(below), bool)
+            need[at] = True
+            out.append({"what": "asks", "kind": kind, "block": row["block"], "keys": keys_to_bytes(below[need])})
+            # and its place among those that come back
+            gaps.append((doc[waits], held + (np.cumsum(need) - 1)[at]))
             held += int(need.sum())
-        # a token waits once for each order that was not seen: what is seen in one is seen in all lower ones
-        cell = np.concatenate([np.empty(0, np.int64), *(d * held + at for d, at in gaps)])
-        cell, times = np.unique(cell, return_counts=True)
-        out.append(
-            {
-                "bucket": -1, "block": row["block"], "ids": row["ids"], "held": row["held"], "lengths": row["lengths"],
-                "known": np.bincount(doc, known[tokens], minlength=n_docs).astype(np.int64),
-                "base": np.bincount(doc, base[tokens], minlength=n_docs), "part": np.bincount(doc, value, minlength=n_docs),
-                "gap_doc": to_planes((cell // max(held, 1)).astype(np.uint32)), "gap_context": to_planes((cell % max(held, 1)).astype(np.uint32)),
-                "gap_count": to_planes(times.astype(np.uint32)),
-            }
-        )
-        return _frame(out, _PART_DDL)
+        if texts:
+            # a token waits once for each order that was not seen: what is seen in one is seen in all lower ones
+            cell = np.concatenate([np.empty(0, np.int64), *(d * held + at for d, at in gaps)])
+            cell, times = np.unique(cell, return_counts=True)
+            out.append(
+                {
+                    "what": "texts", "block": row["block"], "ids": row["ids"], "held": row["held"], "lengths": row["lengths"],
+                    "known": np.bincount(doc, known[tokens], minlength=n_docs).astype(np.int64),
+                    "base": np.bincount(doc, base[tokens], minlength=n_docs), "part": np.bincount(doc, value, minlength=n_docs),
+                    "gap_doc": to_planes((cell // max(held, 1)).astype(np.uint32)), "gap_context": to_planes((cell % max(held, 1)).astype(np.uint32)),
+                    "gap_count": to_planes(times.astype(np.uint32)),
+                }
+            )
+        return _frame(out, _SCORED_DDL)
+
+    return run
+
+
+def _slices(buckets: int, turn: int = 0, turns: int = 1):
+    """Rows of blocks as slices for the buckets whose turn it is."""
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in _CUT)])
+
+    def run(batches):
+        for row in _rows(batches):
+            keys = keys_from_bytes(row["keys"])
+            more = [None if row[c] is None else from_coded(row[c]) for c in _CUT[1:]]
+            out = [
+                (row["kind"], b, row["block"], keys_to_bytes(keys[i:j]), *(None if x is None else to_coded(x[i:j]) for x in more))
+                for b, i, j in slices(keys, buckets)
+                if b % turns == turn
+            ]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
 def _weigh(group: pd.DataFrame) -> pd.DataFrame:
-    """log10 backoff weights of a bucket's contexts, for each block that needs some;
-    then the model's row with all of them."""
+    """log10 backoff weights of a bucket's contexts: a row of the model."""
     group = group.sort_values("block")
-    kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
     merged = Merged([keys_from_bytes(k) for k in group["keys"]])
-    given = merged.sums([from_planes(x, np.float64) for x in group["seen"]])
-    lower = merged.sums([from_planes(x, np.float64) for x in group["lower"]])
+    given, lower = (merged.sums([from_coded(x) for x in group[c]]) for c in ("seen", "lower"))
     total = np.empty(len(merged.keys))
-    total[merged.group] = np.concatenate([from_planes(x, np.uint64) for x in group["total"]])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        weight = np.log10((1 - given / total) / (1 - lower))
-    out = []
-    for b, x, need in zip(group["block"], merged.split(weight[merged.group]), group["need"]):
-        x = x[np.unpackbits(np.frombuffer(need, np.uint8), count=len(x)).astype(bool)]
-        out.append({"kind": kind, "bucket": bucket, "block": b, "weights": to_planes(x)})
-    out.append({"kind": kind, "bucket": bucket, "block": MODEL, "keys": keys_to_bytes(merged.keys), "value": to_planes(weight)})
-    return _frame(out, _WEIGHT_DDL)
+    total[merged.group] = np.concatenate([from_coded(x) for x in group["total"]])
+    row = {"kind": int(group["kind"].iloc[0]), "bucket": int(group["bucket"].iloc[0]), "block": MODEL, "keys": keys_to_bytes(merged.keys)}
+    return _frame([row | {"value": to_coded(_weights(given, total, lower))}], _MODEL_DDL)
 
 
-def _look_up(dtype, name: str, ddl: str):
-    """Values that the model's row of a bucket has for the keys of the blocks; 0 for others."""
+def _look_up(read, name: str, dtype, ddl: str):
+    """Values that the model's rows of a bucket have for the keys of the blocks; 0 for others."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        mine = group["block"] == MODEL
-        keys, values = np.empty(0, np.uint64), np.empty(0, dtype)
-        for k, v in zip(group["keys"][mine], group["value"][mine]):
-            keys, values = keys_from_bytes(k), from_planes(v, dtype)
+        asks = group["value"].isna()
+        keys = np.concatenate([np.empty(0, np.uint64), *(keys_from_bytes(k) for k in group["keys"][~asks])])
+        values = np.concatenate([np.empty(0, dtype), *(read(v) for v in group["value"][~asks])])
+        by_key = np.argsort(keys)
+        keys, values = keys[by_key], values[by_key]
         out = []
-        for kind, bucket, block, k in group.loc[~mine, ["kind", "bucket", "block", "keys"]].itertuples(index=False):
+        for kind, bucket, block, k in group.loc[asks, ["kind", "bucket", "block", "keys"]].itertuples(index=False):
             k = keys_from_bytes(k)
             got = np.zeros(len(k), dtype)
             at = np.searchsorted(keys, k)
             hit = np.flatnonzero(at < len(keys))
             hit = hit[keys[at[hit]] == k[hit]]
             got[hit] = values[at[hit]]
-            out.append({"kind": kind, "bucket": bucket, "block": block, name: to_planes(got), "own": np.packbits(np.zeros(len(k), bool)).tobytes()})
+            none = np.packbits(np.zeros(len(k), bool)).tobytes()
+            out.append({"kind": kind, "bucket": bucket, "block": block, name: to_planes(got), "own": none, "lone": none})
         return _frame(out, ddl)
 
     return run
@@ -342,18 +394,31 @@ def _finish(key, parts: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _saved(df: DataFrame, name: str, ddl: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(ddl).parquet(path)
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the job that made them ends, not with the driver's garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
+def _add(rows: DataFrame, path: str, by: str) -> None:
+    """Rows appended to a table with a folder for each value of a column."""
+    rows.write.mode("append").partitionBy(by).option("compression", "zstd").parquet(path)
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> str:
     small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text")
     )
-    return _saved(rows.mapInArrow(_make_blocks, _BLOCK_DDL), "katz-blocks", _BLOCK_DDL)
+    path = scratch(docs.sparkSession, "katz-blocks")
+    _add(rows.mapInArrow(_make_blocks, _BLOCK_DDL).withColumn("turn", F.col("block") % PARTS), path, "turn")
+    return path
 
 
 def _orders(sums: DataFrame, order: int) -> list[Order]:
@@ -361,26 +426,23 @@ def _orders(sums: DataFrame, order: int) -> list[Order]:
     return [Order(got.get(kind, {})) for kind in range(order)]
 
 
-def _scored(blocks: DataFrame, counts: DataFrame, orders: list[Order], buckets: int) -> tuple[DataFrame, DataFrame]:
-    """The texts with what waits for backoff weights, and the contexts asked for."""
-    counts = counts.select("kind", "bucket", "block", "counts", "own")
-    scored = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_score_seen(orders, buckets), _PART_DDL)
-    parts = _saved(scored, "katz-parts", _PART_DDL)
-    texts = parts.where("bucket < 0").select("block", "ids", "held", "lengths", "known", "base", "part", "gap_doc", "gap_context", "gap_count")
-    return texts, parts.where("bucket >= 0").select("kind", "bucket", "block", "keys", "seen", "lower", "total", "need")
+def _scored(blocks: DataFrame, counts: DataFrame, orders: list[Order], texts: bool, path: str) -> None:
+    counts = counts.select("kind", "bucket", "block", "counts", "own", "lone")
+    _add(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_score_seen(orders, texts), _SCORED_DDL), path, "what")
 
 
-def _finished(texts: DataFrame, weights: DataFrame, orders: list[Order]) -> DataFrame:
-    weights = weights.select("kind", "bucket", "block", "weights")
-    done = texts.groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(_finish, _OUT_DDL)
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(orders[WORD].tokens).cast("long").alias("train_tokens"), "base_score", "score")
+def _slots(rows: DataFrame, buckets: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    return rows.select("kind", "block", *_CUT).mapInArrow(_slices(buckets, turn, turns), _CUT_DDL)
 
 
-def _store(rows: DataFrame, path: str, orders: range, *more: str) -> None:
-    """The model's rows, in a folder for each order."""
-    for n in orders:
-        mine = rows.where((F.col("block") == MODEL) & (F.col("kind") == n - 1))
-        mine.select("bucket", "keys", "value", *more).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/order={n}")
+def _finished(scored: DataFrame, model: DataFrame, orders: list[Order], buckets: int) -> DataFrame:
+    """The scores, from the texts of blocks and the model's rows of backoff weights."""
+    asks = _slots(scored.where("what = 'asks'"), buckets).select("kind", "bucket", "block", "keys", "value")
+    look_up = _look_up(from_coded, "weights", np.float64, _WEIGHT_DDL)
+    weights = asks.unionByName(model.select(*asks.columns)).groupBy("kind", "bucket").applyInPandas(look_up, _WEIGHT_DDL)
+    texts = scored.where("what = 'texts'").select("block", *(c.split()[0] for c in _TEXT_DDL.split(", ")))
+    done = texts.groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(_finish, _OUT_DDL)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(orders[WORD].tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_texts(
@@ -394,26 +456,62 @@ def score_texts(
     unknown and has probability 1 under the model.  Repeated rows are texts of
     their own.  Only the named columns are read.  Empty table: no rows.  ``order``
     is the number of words of the longest n-gram.  The model is stored in
-    ``model_path``, if given, for ``score_stored``.
+    ``model_path``, if given, for ``score_stored``; an older one there is replaced.
     """
     if order < 1:
         raise ValueError("order is 1 at least")
     spark = docs.sparkSession
-    blocks = _blocks(docs, id_col, text_col, held_out)
-    tokens = blocks.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-tokens // BUCKET_TOKENS))
-
-    asked = blocks.mapInArrow(_ask(buckets, order), _ASK_DDL)
-    told = _saved(asked.groupBy("kind", "bucket").applyInPandas(_tell, _TOLD_DDL), "katz-counts", _TOLD_DDL)
-    orders = _orders(told.where(F.col("block") == MODEL), order)
-    texts, asks = _scored(blocks, told.where(F.col("block") != MODEL), orders, buckets)
-    weights = _saved(asks.groupBy("kind", "bucket").applyInPandas(_weigh, _WEIGHT_DDL), "katz-weights", _WEIGHT_DDL)
-    if model_path:
-        _store(told, f"{model_path}/counts", range(1, order + 1), *_SUMS)
-        _store(weights, f"{model_path}/weights", range(2, order + 1))
-        # last, so that a model with this table is whole
-        spark.createDataFrame([(order, buckets)], "order int, buckets long").write.mode("overwrite").parquet(f"{model_path}/about")
-    return _finished(texts, weights.where(F.col("block") != MODEL), orders)
+    path = model_path or scratch(spark, "katz-model")
+    for table in ("about", "counts", "weights"):
+        remove(spark, f"{path}/{table}")
+    with _shuffles_dropped(spark):
+        at = _blocks(docs, id_col, text_col, held_out)
+        counts, weights = ([f"{path}/{table}/order={n}" for n in range(1, order + 1)] for table in ("counts", "weights"))
+        blocks = lambda: spark.read.schema(f"{_BLOCK_DDL}, turn int").parquet(at)
+        told = lambda kind: spark.read.schema(f"{_TOLD_DDL}, turn int").parquet(counts[kind])
+        said = lambda kind: spark.read.schema(f"{_SCORED_DDL.removeprefix('what string, ')}, bucket long, what string").parquet(weights[kind])
+        tokens, n_blocks = blocks().agg(F.sum("n"), F.count("n")).first()
+        buckets = max(1, -(-(tokens or 0) // BUCKET_TOKENS))
+        turns = max(1, min(PARTS, n_blocks // 4))
+        orders = []
+        for kind in range(order):
+            last, passes = kind == order - 1, min(turns, 1 if kind < 2 else 2)
+            for i in range(passes):
+                asked = blocks().mapInArrow(_ask(buckets, range(kind, kind + 1), i, passes), _ASK_DDL)
+                answers = asked.groupBy("kind", "bucket").applyInPandas(_tell, _TOLD_DDL)
+                _add(answers.withColumn("turn", F.when(F.col("block") == MODEL, MODEL).otherwise(F.col("block") % PARTS)), counts[kind], "turn")
+            orders.append(_orders(told(kind).where(F.col("turn") == MODEL), kind + 1)[kind])
+            if kind == WORD and not last:
+                continue
+            for i in range(turns):
+                mine = [n for n in range(PARTS) if n % turns == i]
+                answers = [told(k).where(F.col("turn").isin(mine)) for k in range(kind + 1)]
+                for more in answers[1:]:
+                    answers[0] = answers[0].unionByName(more)
+                _scored(blocks().where(F.col("turn").isin(mine)), answers[0], orders, last, weights[kind])
+                for folder in [at, *counts] if last else []:
+                    for n in mine:
+                        remove(spark, f"{folder}/turn={n}")
+            for i in range(turns if kind else 0):
+                sums = _slots(said(kind).where("what = 'sums'"), buckets, i, turns)
+                _add(sums.groupBy("kind", "bucket").applyInPandas(_weigh, _MODEL_DDL).withColumn("what", F.lit("shared")), weights[kind], "what")
+            remove(spark, f"{weights[kind]}/what=sums")
+        # lone contexts are asked for by nobody else
+        model = spark.createDataFrame([], _MODEL_DDL)
+        for kind in range(1, order):
+            model = model.unionByName(said(kind).where("what = 'shared'").select(*model.columns))
+        scores = scratch(spark, "katz-scores")
+        done = _finished(said(order - 1), model, orders, buckets)
+        done.write.parquet(scores)
+        for what in ("texts", "asks"):
+            remove(spark, f"{weights[-1]}/what={what}")
+        remove(spark, at)
+        if model_path:
+            # last, so that a model with this table is whole
+            spark.createDataFrame([(order, buckets)], "order int, buckets long").write.parquet(f"{path}/about")
+        else:
+            remove(spark, path)
+    return spark.read.schema(done.schema).parquet(scores)
 
 
 def score_stored(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,21 +519,23 @@ def score_stored(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     spark = docs.sparkSession
     about = spark.read.schema("order int, buckets long").parquet(f"{model_path}/about").first()
 
-    def stored(table: str, orders: range, more: str = "") -> DataFrame:
+    def stored(table: str, orders: range, ddl: str) -> DataFrame:
         # each order's folder by its name: a model of one word has no weights
-        out = spark.createDataFrame([], _MODEL_DDL + more)
+        out = spark.createDataFrame([], ddl)
         for n in orders:
-            rows = spark.read.schema("bucket long, keys binary, value binary" + more).parquet(f"{model_path}/{table}/order={n}")
-            out = out.unionByName(rows.withColumns({"kind": F.lit(n - 1), "block": F.lit(MODEL).cast("long")}))
+            out = out.unionByName(spark.read.schema(ddl).parquet(f"{model_path}/{table}/order={n}").select(*out.columns))
         return out
 
-    counts = stored("counts", range(1, about.order + 1), f", {_SUMS_DDL}")
+    counts = stored("counts", range(1, about.order + 1), f"{_MODEL_DDL}, {_SUMS_DDL}")
     orders = _orders(counts, about.order)
-    blocks = _blocks(docs, id_col, text_col, F.lit(True))
-    asked = blocks.mapInArrow(_ask(about.buckets, about.order), _ASK_DDL).select("kind", "bucket", "block", "keys", F.lit(None).cast("binary").alias("value"))
-    found = asked.unionByName(counts.select(*asked.columns)).groupBy("kind", "bucket").applyInPandas(_look_up(np.uint64, "counts", _ANSWER_DDL), _ANSWER_DDL)
-    texts, asks = _scored(blocks, found, orders, about.buckets)
-    asks = asks.select("kind", "bucket", "block", "keys", F.lit(None).cast("binary").alias("value"))
-    ddl = "kind int, bucket long, block long, weights binary"
-    weights = asks.unionByName(stored("weights", range(2, about.order + 1))).groupBy("kind", "bucket").applyInPandas(_look_up(np.float64, "weights", ddl), ddl)
-    return _finished(texts, weights, orders)
+    at = _blocks(docs, id_col, text_col, F.lit(True))
+    blocks = spark.read.schema(_BLOCK_DDL).parquet(at)
+    asked = blocks.mapInArrow(_ask(about.buckets, range(about.order)), _ASK_DDL).select("kind", "bucket", "block", "keys", F.lit(None).cast("binary").alias("value"))
+    look_up = _look_up(lambda v: from_planes(v, np.uint64), "counts", np.uint64, _ANSWER_DDL)
+    found = asked.unionByName(counts.select(*asked.columns)).groupBy("kind", "bucket").applyInPandas(look_up, _ANSWER_DDL)
+    path = scratch(spark, "katz-scored")
+    _scored(blocks, found, orders, True, path)
+    weights = stored("weights", range(2, about.order + 1), f"{_CUT_DDL}, what string")
+    own = _slots(weights.where("what = 'own'"), about.buckets).select("kind", "bucket", "block", "keys", "value")
+    model = own.unionByName(weights.where("what = 'shared'").select(*own.columns))
+    return _finished(spark.read.schema(f"{_SCORED_DDL.removeprefix('what string, ')}, what string").parquet(path), model, orders, about.buckets)
