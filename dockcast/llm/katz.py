@@ -39,7 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockcast.llm.blocks import Merged, from_coded, from_planes, keys_from_bytes, keys_to_bytes, slices, to_coded, to_planes
+from dockcast.llm.blocks import (
+    Merged, from_coded, from_counts, from_planes, keys_from_bytes, keys_to_bytes, order_of, slices, to_coded, to_counts, to_plain, to_planes,
+)
 from dockcast.llm.text import _BASE, binary, mix, pieces, scratch, small_batches, word_hashes
 from dockcast.session import remove
 
@@ -57,7 +59,7 @@ _ASK_DDL = "kind int, bucket long, block long, keys binary, counts binary"
 _SUMS = [*(f"n{r}" for r in range(1, K + 2)), "types", "tokens", "tail_types", "tail_tokens"]
 _ANSWER_DDL = "kind int, bucket long, block long, counts binary, own binary, lone binary"
 _MODEL_DDL = "kind int, bucket long, block long, keys binary, value binary"
-_SUMS_DDL = ", ".join(f"{c} long" for c in _SUMS)
+_SUMS_DDL = "sums array<long>"
 _TOLD_DDL = f"{_ANSWER_DDL}, keys binary, value binary, {_SUMS_DDL}"
 # a block's texts, and one row for each order of what it says of its contexts:
 # weights of lone ones (own), sums towards those of others (sums), weights it needs (asks)
@@ -123,6 +125,17 @@ class Level(NamedTuple):
     where: np.ndarray  # the n-gram that ends at each token; -1 where the text has none
 
 
+def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each among them."""
+    order = order_of(a)
+    ranked = a[order]
+    new = np.ones(len(a), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    found = np.empty(len(a), np.int64)
+    found[order] = np.cumsum(new) - 1
+    return ranked[new], found
+
+
 def _levels(vocab, tokens, context, place, order: int) -> list[Level]:
     """The n-grams of 1 .. ``order`` words; the start counts as a word."""
     out = [Level(vocab, np.empty(0, np.int64), np.empty(0, np.int64), tokens)]
@@ -130,10 +143,10 @@ def _levels(vocab, tokens, context, place, order: int) -> list[Level]:
         below = out[-1]
         here = np.flatnonzero(place >= k - 2)
         before = context if k == 2 else below.where[here - 1]
-        both, found = np.unique(before * len(vocab) + tokens[here], return_inverse=True)
+        both, found = _distinct(before * len(vocab) + tokens[here])
         c, w = both // len(vocab), both % len(vocab)
         keys = mix(below.keys[c] * np.uint64(_BASE) + vocab[w])
-        by_key = np.argsort(keys, kind="stable")
+        by_key = order_of(keys)
         rank = np.empty(len(by_key), np.int64)
         rank[by_key] = np.arange(len(by_key))
         where = np.full(len(tokens), -1, np.int64)
@@ -152,7 +165,7 @@ def _make_blocks(batches):
     def close():
         nonlocal ids, held, words, n
         if ids:
-            vocab, tokens = np.unique(np.concatenate([np.array([END, START]), *words]), return_inverse=True)
+            vocab, tokens = _distinct(np.concatenate([np.array([END, START]), *words]))
             lengths = [len(words[i]) + 1 for i in range(0, len(words), 2)]
             number = int.from_bytes(os.urandom(7), "little")  # kept by the written table
             row = (number, ids, held, lengths, keys_to_bytes(vocab), to_planes(tokens[2:].astype(np.uint32)), n)
@@ -196,7 +209,7 @@ def _ask(buckets: int, kinds: range, turn: int = 0, turns: int = 1):
                     # the start is counted as often as a learned text begins
                     counts[np.searchsorted(vocab, START)] = len(row["held"]) - sum(row["held"])
                 cuts = [x for x in slices(level.keys, buckets) if x[0] % turns == turn]
-                out = [(kind, b, row["block"], keys_to_bytes(level.keys[i:j]), to_planes(counts[i:j])) for b, i, j in cuts]
+                out = [(kind, b, row["block"], keys_to_bytes(level.keys[i:j]), to_counts(counts[i:j])) for b, i, j in cuts]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -209,20 +222,20 @@ def _tell(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("block")
     kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
     all_keys = Merged([keys_from_bytes(k) for k in group["keys"]])
-    total = all_keys.sums([from_planes(c, np.uint32).astype(np.float64) for c in group["counts"]])
+    total = all_keys.sums([from_counts(c) for c in group["counts"]])
     per_entry = total[all_keys.group]
     own = all_keys.split(all_keys.first & (per_entry > 0))
     lone = all_keys.split((np.bincount(all_keys.group) == 1)[all_keys.group])
     told = [
-        {"kind": kind, "bucket": bucket, "block": b, "counts": to_planes(x.astype(np.uint64)), "own": np.packbits(o).tobytes(), "lone": np.packbits(a).tobytes()}
+        {"kind": kind, "bucket": bucket, "block": b, "counts": to_counts(x), "own": np.packbits(o).tobytes(), "lone": np.packbits(a).tobytes()}
         for b, x, o, a in zip(group["block"], all_keys.split(per_entry), own, lone)
     ]
     seen = total > 0
     real = total[(all_keys.keys != START) & seen] if kind == WORD else total[seen]
     tail = real[real > K]
     sums = [*((real == r).sum() for r in range(1, K + 2)), len(real), real.sum(), len(tail), tail.sum()]
-    model = {"kind": kind, "bucket": bucket, "block": MODEL, "keys": keys_to_bytes(all_keys.keys[seen]), "value": to_planes(total[seen].astype(np.uint64))}
-    return _frame([*told, model | {c: int(v) for c, v in zip(_SUMS, sums)}], _TOLD_DDL)
+    model = {"kind": kind, "bucket": bucket, "block": MODEL, "keys": keys_to_bytes(all_keys.keys[seen]), "value": to_counts(total[seen])}
+    return _frame([*told, model | {"sums": [int(v) for v in sums]}], _TOLD_DDL)
 
 
 def _frame(rows: list[dict], ddl: str) -> pd.DataFrame:
@@ -234,10 +247,10 @@ def _frame(rows: list[dict], ddl: str) -> pd.DataFrame:
 def _gather(told: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts, owner and lone marks of one block, in the order of its keys."""
     mine = told[told["kind"] == kind].sort_values("bucket")
-    counts = [from_planes(c, np.uint64) for c in mine["counts"]]
+    counts = [from_counts(c) for c in mine["counts"]]
     marks = ([np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)).astype(bool) for o, c in zip(mine[name], counts)] for name in ("own", "lone"))
     own, lone = (np.concatenate([np.empty(0, bool), *m]) for m in marks)
-    return np.concatenate([np.empty(0), *counts]).astype(np.float64), own, lone
+    return np.concatenate([np.empty(0), *counts]), own, lone
 
 
 def _weights(given: np.ndarray, total: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -287,7 +300,7 @@ def _score_seen(orders: list[Order], texts: bool):
                 out.append(
                     {
                         "what": "sums", "kind": kind, "block": row["block"], "keys": keys_to_bytes(below[send]),
-                        "seen": to_coded(given[send]), "lower": to_coded(lower[send]), "total": to_coded(above[send]),
+                        "seen": to_coded(given[send]), "lower": to_coded(lower[send]), "total": to_counts(above[send]),
                     }
                 )
             if not texts:
@@ -333,9 +346,9 @@ def _slices(buckets: int, turn: int = 0, turns: int = 1):
     def run(batches):
         for row in _rows(batches):
             keys = keys_from_bytes(row["keys"])
-            more = [None if row[c] is None else from_coded(row[c]) for c in _CUT[1:]]
+            more = [None if row[c] is None else (from_counts if c == "total" else from_coded)(row[c]) for c in _CUT[1:]]
             out = [
-                (row["kind"], b, row["block"], keys_to_bytes(keys[i:j]), *(None if x is None else to_coded(x[i:j]) for x in more))
+                (row["kind"], b, row["block"], keys_to_bytes(keys[i:j]), *(None if x is None else to_plain(x[i:j]) for x in more))
                 for b, i, j in slices(keys, buckets)
                 if b % turns == turn
             ]
@@ -356,25 +369,25 @@ def _weigh(group: pd.DataFrame) -> pd.DataFrame:
     return _frame([row | {"value": to_coded(_weights(given, total, lower))}], _MODEL_DDL)
 
 
-def _look_up(read, name: str, dtype, ddl: str):
+def _look_up(read, write, name: str, ddl: str):
     """Values that the model's rows of a bucket have for the keys of the blocks; 0 for others."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["value"].isna()
         keys = np.concatenate([np.empty(0, np.uint64), *(keys_from_bytes(k) for k in group["keys"][~asks])])
-        values = np.concatenate([np.empty(0, dtype), *(read(v) for v in group["value"][~asks])])
-        by_key = np.argsort(keys)
+        values = np.concatenate([np.empty(0), *(read(v) for v in group["value"][~asks])])
+        by_key = order_of(keys)
         keys, values = keys[by_key], values[by_key]
         out = []
         for kind, bucket, block, k in group.loc[asks, ["kind", "bucket", "block", "keys"]].itertuples(index=False):
             k = keys_from_bytes(k)
-            got = np.zeros(len(k), dtype)
+            got = np.zeros(len(k))
             at = np.searchsorted(keys, k)
             hit = np.flatnonzero(at < len(keys))
             hit = hit[keys[at[hit]] == k[hit]]
             got[hit] = values[at[hit]]
             none = np.packbits(np.zeros(len(k), bool)).tobytes()
-            out.append({"kind": kind, "bucket": bucket, "block": block, name: to_planes(got), "own": none, "lone": none})
+            out.append({"kind": kind, "bucket": bucket, "block": block, name: write(got), "own": none, "lone": none})
         return _frame(out, ddl)
 
     return run
@@ -422,7 +435,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> st
 
 
 def _orders(sums: DataFrame, order: int) -> list[Order]:
-    got = {r["kind"]: r.asDict() for r in sums.groupBy("kind").agg(*[F.sum(c).alias(c) for c in _SUMS]).collect()}
+    got = {r["kind"]: r.asDict() for r in sums.groupBy("kind").agg(*[F.sum(F.col("sums")[i]).alias(c) for i, c in enumerate(_SUMS)]).collect()}
     return [Order(got.get(kind, {})) for kind in range(order)]
 
 
@@ -438,7 +451,7 @@ def _slots(rows: DataFrame, buckets: int, turn: int = 0, turns: int = 1) -> Data
 def _finished(scored: DataFrame, model: DataFrame, orders: list[Order], buckets: int) -> DataFrame:
     """The scores, from the texts of blocks and the model's rows of backoff weights."""
     asks = _slots(scored.where("what = 'asks'"), buckets).select("kind", "bucket", "block", "keys", "value")
-    look_up = _look_up(from_coded, "weights", np.float64, _WEIGHT_DDL)
+    look_up = _look_up(from_coded, to_planes, "weights", _WEIGHT_DDL)
     weights = asks.unionByName(model.select(*asks.columns)).groupBy("kind", "bucket").applyInPandas(look_up, _WEIGHT_DDL)
     texts = scored.where("what = 'texts'").select("block", *(c.split()[0] for c in _TEXT_DDL.split(", ")))
     done = texts.groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(_finish, _OUT_DDL)
@@ -483,8 +496,9 @@ def score_texts(
             orders.append(_orders(told(kind).where(F.col("turn") == MODEL), kind + 1)[kind])
             if kind == WORD and not last:
                 continue
-            for i in range(turns):
-                mine = [n for n in range(PARTS) if n % turns == i]
+            passes = turns if last else min(turns, 2)
+            for i in range(passes):
+                mine = [n for n in range(PARTS) if n % passes == i]
                 answers = [told(k).where(F.col("turn").isin(mine)) for k in range(kind + 1)]
                 for more in answers[1:]:
                     answers[0] = answers[0].unionByName(more)
@@ -492,8 +506,9 @@ def score_texts(
                 for folder in [at, *counts] if last else []:
                     for n in mine:
                         remove(spark, f"{folder}/turn={n}")
-            for i in range(turns if kind else 0):
-                sums = _slots(said(kind).where("what = 'sums'"), buckets, i, turns)
+            passes = min(turns, 4) if kind else 0
+            for i in range(passes):
+                sums = _slots(said(kind).where("what = 'sums'"), buckets, i, passes)
                 _add(sums.groupBy("kind", "bucket").applyInPandas(_weigh, _MODEL_DDL).withColumn("what", F.lit("shared")), weights[kind], "what")
             remove(spark, f"{weights[kind]}/what=sums")
         # lone contexts are asked for by nobody else
@@ -531,7 +546,7 @@ def score_stored(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     at = _blocks(docs, id_col, text_col, F.lit(True))
     blocks = spark.read.schema(_BLOCK_DDL).parquet(at)
     asked = blocks.mapInArrow(_ask(about.buckets, range(about.order)), _ASK_DDL).select("kind", "bucket", "block", "keys", F.lit(None).cast("binary").alias("value"))
-    look_up = _look_up(lambda v: from_planes(v, np.uint64), "counts", np.uint64, _ANSWER_DDL)
+    look_up = _look_up(from_counts, to_counts, "counts", _ANSWER_DDL)
     found = asked.unionByName(counts.select(*asked.columns)).groupBy("kind", "bucket").applyInPandas(look_up, _ANSWER_DDL)
     path = scratch(spark, "katz-scored")
     _scored(blocks, found, orders, True, path)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dockcast.llm import decontam, graph, katz, langid, licenses, mixing, ngram_join, quality, token_files, token_rollup, vector_dedup
+from dockcast.llm import blocks, decontam, graph, katz, langid, licenses, mixing, ngram_join, quality, token_files, token_rollup, vector_dedup
 from dockcast.llm import queries as Q
 from dockcast.llm.text import scratch, shingle_set, word_hashes
 
@@ -631,6 +631,39 @@ def test_katz_odd_rows(spark, odd, none):
     assert len(lone) == len(ODD) and all(r.train_tokens == r.n_known == 0 and r.score == 0 for r in lone)
 
 
+def test_katz_leaves_its_model_and_scores_on_disk_only(spark, monkeypatch, tmp_path):
+    import os
+
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
+    made = []
+    monkeypatch.setattr(katz, "scratch", lambda spark, name: made.append(str(tmp_path / f"{name}-{len(made)}")) or made[-1])
+    rows = [(i, f"a b c{i % 7} a b d{i} e f g{i % 3}", None) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    got = katz.score_texts(docs, held_out=F.col("doc_id") % 3 == 1, order=3, model_path=str(tmp_path / "model"))
+    want, *_ = katz_order([(i, t, i % 3 == 1) for i, t, _ in rows], 3)
+    assert np.allclose([s for _, s in sorted((r.doc_id, r.score) for r in got.collect())], [s for _, s in sorted(want)], rtol=1e-9, atol=1e-9)
+    assert spark.conf.get(setting) == before
+    assert [os.path.basename(p).split("-")[1] for p in made if os.path.exists(p)] == ["scores"]
+    folders = lambda path: {x for x in os.listdir(tmp_path / "model" / path) if "=" in x}
+    assert all(folders(f"counts/order={n}") == {"turn=-1"} for n in (1, 2, 3))
+    assert all(folders(f"weights/order={n}") <= {"what=own", "what=shared"} for n in (2, 3))
+    again = katz.score_texts(docs, held_out=F.col("doc_id") % 3 == 1, order=3, model_path=str(tmp_path / "model"))  # replaces the model
+    assert sorted(again.select("doc_id", "n_known", "train_tokens").collect()) == sorted(got.select("doc_id", "n_known", "train_tokens").collect())
+
+
+def test_codes_of_numbers():
+    r = np.random.default_rng(3)
+    near = np.array([(1 << 63) + 3, 5, (1 << 63) + 1, (1 << 63) + 3, (1 << 63) + 2] * 20, np.uint64)
+    for a in (np.empty(0, np.uint64), near, *(r.integers(0, most, n).astype(np.uint64) for n in (1, 2, 1000) for most in (2, 300, 1 << 40, 1 << 63))):
+        assert (blocks.order_of(a) == np.argsort(a, kind="stable")).all()
+        assert (blocks.from_planes(blocks.to_planes(a), np.uint64) == a).all()
+        assert (blocks.from_counts(blocks.to_counts(a)) == a.astype(float)).all()
+        for code in (blocks.to_coded, blocks.to_plain):
+            assert (blocks.from_coded(code(a.astype(float))) == a.astype(float)).all()
+
+
 # --- op8 -------------------------------------------------------------------
 
 
