@@ -69,30 +69,49 @@ def keys_from_bytes(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
 
 
+def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, start, stop) of the non-empty slices of sorted keys."""
-    at = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    at = buckets_of(keys, buckets)
     cuts = np.flatnonzero(np.diff(at)) + 1
     starts = np.concatenate(([0], cuts)).astype(int) if len(keys) else np.empty(0, int)
     stops = np.append(starts[1:], len(keys)).astype(int)
     return [(int(at[s]), int(s), int(e)) for s, e in zip(starts, stops)]
 
 
-def order_of(keys: np.ndarray) -> np.ndarray:
-    """Stable order of whole numbers from 0.  A sort of values is several times as fast
-    as one of positions, so position and as much of the key as fits make one value."""
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of whole numbers from 0, and the numbers in that order.  A sort of
+    values is several times as fast as one of positions, so position and as much of
+    the key as fits make one value."""
     keys = keys.astype(np.uint64, copy=False)
-    at = np.arange(len(keys), dtype=np.uint64)
     if len(keys) < 2 or (spread := int(keys.max() - keys.min()).bit_length()) == 0:
-        return at.astype(np.int64)
+        return np.arange(len(keys)), keys
     bits = np.uint64((len(keys) - 1).bit_length())
-    both = ((keys - keys.min()) << np.uint64(64 - spread)) >> bits << bits | at
+    both = keys - keys.min()
+    both <<= np.uint64(64 - spread)
+    both >>= bits
+    both <<= bits
+    both |= np.arange(len(keys), dtype=np.uint64)
     both.sort()
-    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    ranked = keys[order]
-    if (ranked[1:] < ranked[:-1]).any():  # keys that differ only in what didn't fit
-        return np.argsort(keys, kind="stable")
-    return order
+    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+    out = keys[order]
+    wrong = out[1:] < out[:-1]
+    if wrong.any():  # keys that differ only in what didn't fit: the runs that hold some are sorted again
+        both >>= bits
+        run = np.append(0, np.cumsum(both[1:] != both[:-1]))
+        mixed = np.zeros(run[-1] + 1, bool)
+        mixed[run[1:][wrong]] = True
+        at = np.flatnonzero(mixed[run])
+        again = at[np.argsort(out[at], kind="stable")]
+        order[at], out[at] = order[again], out[again]
+    return order, out
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    return ranked(keys)[0]
 
 
 class Merged:
@@ -101,11 +120,10 @@ class Merged:
     def __init__(self, arrays: list[np.ndarray]):
         self.sizes = [len(a) for a in arrays]
         keys = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-        order = order_of(keys)
-        ranked = keys[order]
+        order, by_key = ranked(keys)
         new = np.ones(len(keys), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        self.keys = ranked[new]
+        np.not_equal(by_key[1:], by_key[:-1], out=new[1:])
+        self.keys = by_key[new]
         self.group = np.empty(len(keys), np.int64)  # of each entry, in input order
         self.group[order] = np.cumsum(new) - 1
         self.first = np.zeros(len(keys), bool)  # the entry of the first array that has the key

@@ -22,7 +22,7 @@ their values.  Texts that had no part in the training are scored from these tabl
 alone.
 
 Disk is what limits the size of the input: orders are counted one after the other,
-blocks are scored and contexts weighed in ``PARTS`` turns, and what no later turn
+blocks are scored once for all orders and contexts weighed in ``PARTS`` turns, and what no later turn
 reads is removed, shuffles included.  The model's rows are written once, in place.
 """
 
@@ -40,15 +40,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockcast.llm.blocks import (
-    Merged, from_coded, from_counts, from_planes, keys_from_bytes, keys_to_bytes, order_of, slices, to_coded, to_counts, to_plain, to_planes,
+    Merged, buckets_of, from_coded, from_counts, from_planes, keys_from_bytes, keys_to_bytes, ranked, slices, to_coded, to_counts, to_plain, to_planes,
 )
-from dockcast.llm.text import _BASE, binary, mix, pieces, scratch, small_batches, word_hashes
+from dockcast.llm.text import _BASE, SPACE_WORD, binary, mix, pieces, scratch, small_batches, span_hashes, spans
 from dockcast.session import remove
 
 K = 5
 PARTS = 8
 BLOCK_TOKENS = 1 << 19
 BUCKET_TOKENS = 1 << 19
+RUN_BYTES = 1 << 16  # of texts that are hashed as one
 # keys of the end token and of the context that stands before the first word
 END, START = np.uint64(1), np.uint64(2)
 WORD = 0  # kind of a single word; that of an n-gram is n - 1
@@ -98,8 +99,10 @@ class Order:
 
     def reduced(self, counts: np.ndarray) -> np.ndarray:
         """Discounted counts; 0 stays 0."""
-        low = np.minimum(counts, K).astype(np.int64)
-        return np.where(counts > K, counts - self.off, self.discount[low] * counts)
+        out = (self.discount * np.arange(K + 1))[np.minimum(counts, K).astype(np.int64)]
+        more = np.flatnonzero(counts > K)
+        out[more] = counts[more] - self.off
+        return out
 
 
 def _stream(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,59 +130,93 @@ class Level(NamedTuple):
 
 def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values, and the place of each among them."""
-    order = order_of(a)
-    ranked = a[order]
+    order, by_key = ranked(a)
     new = np.ones(len(a), bool)
-    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    np.not_equal(by_key[1:], by_key[:-1], out=new[1:])
     found = np.empty(len(a), np.int64)
     found[order] = np.cumsum(new) - 1
-    return ranked[new], found
+    return by_key[new], found
+
+
+def _grams(vocab, tokens, context, place, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 2 .. ``order`` words: the tokens that end an n-gram of their text, and the
+    key of each one's; the start counts as a word."""
+    words = vocab[tokens]
+    keys = np.empty_like(words)
+    for k in range(2, order + 1):
+        here = np.flatnonzero(place >= k - 2)
+        before = vocab[context] if k == 2 else keys[here - 1]
+        before *= np.uint64(_BASE)
+        before += words if k == 2 else words[here]
+        keys[here] = found = mix(before)
+        yield here, found
 
 
 def _levels(vocab, tokens, context, place, order: int) -> list[Level]:
-    """The n-grams of 1 .. ``order`` words; the start counts as a word."""
+    """The n-grams of 1 .. ``order`` words."""
     out = [Level(vocab, np.empty(0, np.int64), np.empty(0, np.int64), tokens)]
-    for k in range(2, order + 1):
+    for k, (here, grams) in enumerate(_grams(vocab, tokens, context, place, order), 2):
         below = out[-1]
-        here = np.flatnonzero(place >= k - 2)
-        before = context if k == 2 else below.where[here - 1]
-        both, found = _distinct(before * len(vocab) + tokens[here])
-        c, w = both // len(vocab), both % len(vocab)
-        keys = mix(below.keys[c] * np.uint64(_BASE) + vocab[w])
-        by_key = order_of(keys)
-        rank = np.empty(len(by_key), np.int64)
-        rank[by_key] = np.arange(len(by_key))
+        keys, found = _distinct(grams)
         where = np.full(len(tokens), -1, np.int64)
-        where[here] = rank[found]
-        lower = np.empty(len(keys), np.int64)
-        lower[where[here]] = below.where[here]
-        out.append(Level(keys[by_key], c[by_key], lower, where))
+        where[here] = found
+        before, lower = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        before[found] = context if k == 2 else below.where[here - 1]
+        lower[found] = below.where[here]
+        out.append(Level(keys, before, lower, where))
     return out
 
 
+def _runs(texts: list, most: int) -> Iterator[tuple[int, int]]:
+    """Start and end of runs of texts of about ``most`` bytes; a longer one is its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t or b"") > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t or b"") + 1
+    if texts:
+        yield start, len(texts)
+
+
+def _tokens(texts: list) -> tuple[np.ndarray, list[int]]:
+    """The words of some texts, an end after each, and the number of tokens of each.
+    Hashes don't depend on the place of a word, so the texts are hashed as one."""
+    buf = np.frombuffer(b" ".join([t or b"" for t in texts]).lower(), np.uint8)
+    starts, stops = spans(buf, SPACE_WORD)
+    words = span_hashes(buf, starts, stops)
+    words[words <= START] += np.uint64(16)  # keys of their own for end and start
+    begun = np.searchsorted(starts, np.cumsum([len(t or b"") + 1 for t in texts]))  # words before the end of each
+    ends = begun + np.arange(len(texts))
+    tokens = np.empty(len(words) + len(texts), np.uint64)
+    is_end = np.zeros(len(tokens), bool)
+    is_end[ends] = True
+    tokens[is_end], tokens[~is_end] = END, words
+    return tokens, np.diff(ends, prepend=-1).tolist()
+
+
 def _make_blocks(batches):
     schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("vocab", pa.binary()), ("tokens", pa.binary()), ("n", pa.int64())])
-    ids, held, words, n = [], [], [], 0
-    end = np.array([END])
+    ids, held, lengths, words, n = [], [], [], [], 0
 
     def close():
-        nonlocal ids, held, words, n
+        nonlocal ids, held, lengths, words, n
         if ids:
             vocab, tokens = _distinct(np.concatenate([np.array([END, START]), *words]))
-            lengths = [len(words[i]) + 1 for i in range(0, len(words), 2)]
             number = int.from_bytes(os.urandom(7), "little")  # kept by the written table
             row = (number, ids, held, lengths, keys_to_bytes(vocab), to_planes(tokens[2:].astype(np.uint32)), n)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
-        ids, held, words, n = [], [], [], 0
+        ids, held, lengths, words, n = [], [], [], [], 0
 
     for b in pieces(batches, "text"):
-        for i, h, t in zip(b.column("id").to_pylist(), b.column("held").to_pylist(), binary(b, "text")):
-            w = word_hashes(t)
-            w = np.where(w <= START, w + np.uint64(16), w)  # keys of their own for end and start
-            ids.append(i)
-            held.append(h)
-            words += [w, end]
-            n += len(w) + 1
+        i, h, texts = b.column("id").to_pylist(), b.column("held").to_pylist(), binary(b, "text")
+        for start, stop in _runs(texts, min(RUN_BYTES, BLOCK_TOKENS)):
+            tokens, ends = _tokens(texts[start:stop])
+            ids += i[start:stop]
+            held += h[start:stop]
+            words.append(tokens)
+            lengths += ends
+            n += len(tokens)
             if n >= BLOCK_TOKENS:
                 yield from close()
     yield from close()
@@ -199,17 +236,25 @@ def _ask(buckets: int, kinds: range, turn: int = 0, turns: int = 1):
     def run(batches):
         for row in _rows(batches):
             vocab, tokens, context, doc, place = _stream(row)
-            learn = (~np.asarray(row["held"], bool))[doc].astype(np.float64)
-            levels = _levels(vocab, tokens, context, place, kinds[-1] + 1)
-            for kind in kinds:
-                level = levels[kind]
-                here = level.where >= 0
-                counts = np.bincount(level.where[here], learn[here], minlength=len(level.keys)).astype(np.uint32)
+            learn = (~np.asarray(row["held"], bool))[doc]
+            grams = _grams(vocab, tokens, context, place, kinds[-1] + 1)
+            for kind in range(kinds[-1] + 1):
+                here, found = next(grams) if kind else (None, None)
+                if kind not in kinds:
+                    continue
                 if kind == WORD:
+                    keys, counts = vocab, np.bincount(tokens, learn, minlength=len(vocab)).astype(np.uint32)
                     # the start is counted as often as a learned text begins
                     counts[np.searchsorted(vocab, START)] = len(row["held"]) - sum(row["held"])
-                cuts = [x for x in slices(level.keys, buckets) if x[0] % turns == turn]
-                out = [(kind, b, row["block"], keys_to_bytes(level.keys[i:j]), to_counts(counts[i:j])) for b, i, j in cuts]
+                else:
+                    if turns > 1:
+                        due = buckets_of(found, buckets) % np.uint64(turns) == turn
+                        here, found = here[due], found[due]
+                    by_key, found = ranked(found)
+                    first = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else by_key
+                    keys, counts = found[first], np.add.reduceat(learn[here[by_key]], first, dtype=np.uint32)
+                cuts = [x for x in slices(keys, buckets) if x[0] % turns == turn]
+                out = [(kind, b, row["block"], keys_to_bytes(keys[i:j]), to_counts(counts[i:j])) for b, i, j in cuts]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -260,10 +305,9 @@ def _weights(given: np.ndarray, total: np.ndarray, lower: np.ndarray) -> np.ndar
         return np.log10((1 - given / total) / (1 - lower))
 
 
-def _score_seen(orders: list[Order], texts: bool):
-    """What a block's contexts of the last order have given away; with ``texts`` also
-    the scores of its texts, all but the backoff weights that other blocks know, and
-    the contexts that wait for those."""
+def _score_seen(orders: list[Order]):
+    """What a block's contexts have given away, and the scores of its texts, all but the
+    backoff weights that other blocks know, with the contexts that wait for those."""
 
     def run(key, blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         row = blocks.iloc[0].to_dict()
@@ -286,54 +330,55 @@ def _score_seen(orders: list[Order], texts: bool):
             ctx = above[level.context]
             cut = orders[kind].reduced(count)
             # what each context has given away, from the n-grams that this block owns
-            given = np.bincount(level.context[own], cut[own], minlength=len(below))
-            lower = np.bincount(level.context[own], prob[level.lower[own]], minlength=len(below))
-            has = np.bincount(level.context[own], minlength=len(below)) > 0
-            prob = np.zeros(len(count))
-            prob[seen] = cut[seen] / ctx[seen]
+            at = np.flatnonzero(own)
+            of = level.context[at]
+            given = np.bincount(of, cut[at], minlength=len(below))
+            lower = np.bincount(of, prob[level.lower[at]], minlength=len(below))
+            has = np.zeros(len(below), bool)
+            has[of] = True
+            prob = np.divide(cut, ctx, out=np.zeros(len(count)), where=seen)
             weight = np.zeros(len(below))
             mine = has & lone
             weight[mine] = _weights(given[mine], above[mine], lower[mine])
-            if kind == len(orders) - 1:
-                out.append({"what": "own", "kind": kind, "block": row["block"], "keys": keys_to_bytes(below[mine]), "value": to_coded(weight[mine])})
-                send = has & ~lone
-                out.append(
-                    {
-                        "what": "sums", "kind": kind, "block": row["block"], "keys": keys_to_bytes(below[send]),
-                        "seen": to_coded(given[send]), "lower": to_coded(lower[send]), "total": to_counts(above[send]),
-                    }
-                )
-            if not texts:
-                continue
-            hit = np.flatnonzero(level.where >= 0)
-            hit = hit[seen[level.where[hit]]]
-            value[hit] = np.log10(prob[level.where[hit]])
-            # tokens that take a weight: the context was seen, the n-gram was not
+            out.append({"what": "own", "kind": kind, "block": row["block"], "keys": keys_to_bytes(below[mine]), "value": to_coded(weight[mine])})
+            send = has & ~lone
+            out.append(
+                {
+                    "what": "sums", "kind": kind, "block": row["block"], "keys": keys_to_bytes(below[send]),
+                    "seen": to_coded(given[send]), "lower": to_coded(lower[send]), "total": to_counts(above[send]),
+                }
+            )
+            here = np.flatnonzero(place >= kind - 1)
+            gram = level.where[here]
+            # a token has its n-gram's probability; if that was not seen but its context
+            # was, it takes that one's weight: what other blocks know is added later
             gap = ~seen & (ctx > 0)
-            waits = np.flatnonzero(level.where >= 0)
-            waits = waits[gap[level.where[waits]]]
-            at = level.context[level.where[waits]]
-            value[waits] += weight[at]  # what other blocks know is added later
-            waits, at = waits[~mine[at]], at[~mine[at]]
+            gain = np.log10(prob, out=np.zeros(len(prob)), where=seen)
+            gain[gap] = weight[level.context[gap]]
+            so_far = value[here]
+            so_far[seen[gram]] = 0
+            value[here] = so_far + gain[gram]
+            gap[gap] = ~mine[level.context[gap]]
+            waits = np.flatnonzero(gap[gram])
+            waits, at = here[waits], level.context[gram[waits]]
             need = np.zeros(len(below), bool)
             need[at] = True
             out.append({"what": "asks", "kind": kind, "block": row["block"], "keys": keys_to_bytes(below[need])})
             # and its place among those that come back
             gaps.append((doc[waits], held + (np.cumsum(need) - 1)[at]))
             held += int(need.sum())
-        if texts:
-            # a token waits once for each order that was not seen: what is seen in one is seen in all lower ones
-            cell = np.concatenate([np.empty(0, np.int64), *(d * held + at for d, at in gaps)])
-            cell, times = np.unique(cell, return_counts=True)
-            out.append(
-                {
-                    "what": "texts", "block": row["block"], "ids": row["ids"], "held": row["held"], "lengths": row["lengths"],
-                    "known": np.bincount(doc, known[tokens], minlength=n_docs).astype(np.int64),
-                    "base": np.bincount(doc, base[tokens], minlength=n_docs), "part": np.bincount(doc, value, minlength=n_docs),
-                    "gap_doc": to_planes((cell // max(held, 1)).astype(np.uint32)), "gap_context": to_planes((cell % max(held, 1)).astype(np.uint32)),
-                    "gap_count": to_planes(times.astype(np.uint32)),
-                }
-            )
+        # a token waits once for each order that was not seen: what is seen in one is seen in all lower ones
+        cell = np.concatenate([np.empty(0, np.int64), *(d * held + at for d, at in gaps)])
+        cell, times = np.unique(cell, return_counts=True)
+        out.append(
+            {
+                "what": "texts", "block": row["block"], "ids": row["ids"], "held": row["held"], "lengths": row["lengths"],
+                "known": np.bincount(doc, known[tokens], minlength=n_docs).astype(np.int64),
+                "base": np.bincount(doc, base[tokens], minlength=n_docs), "part": np.bincount(doc, value, minlength=n_docs),
+                "gap_doc": to_planes((cell // max(held, 1)).astype(np.uint32)), "gap_context": to_planes((cell % max(held, 1)).astype(np.uint32)),
+                "gap_count": to_planes(times.astype(np.uint32)),
+            }
+        )
         return _frame(out, _SCORED_DDL)
 
     return run
@@ -376,8 +421,8 @@ def _look_up(read, write, name: str, ddl: str):
         asks = group["value"].isna()
         keys = np.concatenate([np.empty(0, np.uint64), *(keys_from_bytes(k) for k in group["keys"][~asks])])
         values = np.concatenate([np.empty(0), *(read(v) for v in group["value"][~asks])])
-        by_key = order_of(keys)
-        keys, values = keys[by_key], values[by_key]
+        by_key, keys = ranked(keys)
+        values = values[by_key]
         out = []
         for kind, bucket, block, k in group.loc[asks, ["kind", "bucket", "block", "keys"]].itertuples(index=False):
             k = keys_from_bytes(k)
@@ -419,9 +464,9 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _add(rows: DataFrame, path: str, by: str) -> None:
-    """Rows appended to a table with a folder for each value of a column."""
-    rows.write.mode("append").partitionBy(by).option("compression", "zstd").parquet(path)
+def _add(rows: DataFrame, path: str, *by: str) -> None:
+    """Rows appended to a table with a folder for each value of some columns."""
+    rows.write.mode("append").partitionBy(*by).option("compression", "zstd").parquet(path)
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> str:
@@ -439,9 +484,12 @@ def _orders(sums: DataFrame, order: int) -> list[Order]:
     return [Order(got.get(kind, {})) for kind in range(order)]
 
 
-def _scored(blocks: DataFrame, counts: DataFrame, orders: list[Order], texts: bool, path: str) -> None:
+def _scored(blocks: DataFrame, counts: DataFrame, orders: list[Order], path: str) -> None:
+    """What blocks say of an order's contexts goes to a folder of that order, the rest to
+    that of the last one."""
     counts = counts.select("kind", "bucket", "block", "counts", "own", "lone")
-    _add(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_score_seen(orders, texts), _SCORED_DDL), path, "what")
+    said = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_score_seen(orders), _SCORED_DDL)
+    _add(said.withColumn("order", F.when(F.col("what").isin("own", "sums"), F.col("kind") + 1).otherwise(len(orders))), path, "order", "what")
 
 
 def _slots(rows: DataFrame, buckets: int, turn: int = 0, turns: int = 1) -> DataFrame:
@@ -482,31 +530,31 @@ def score_texts(
         counts, weights = ([f"{path}/{table}/order={n}" for n in range(1, order + 1)] for table in ("counts", "weights"))
         blocks = lambda: spark.read.schema(f"{_BLOCK_DDL}, turn int").parquet(at)
         told = lambda kind: spark.read.schema(f"{_TOLD_DDL}, turn int").parquet(counts[kind])
-        said = lambda kind: spark.read.schema(f"{_SCORED_DDL.removeprefix('what string, ')}, bucket long, what string").parquet(weights[kind])
+        said_ddl = f"{_SCORED_DDL.removeprefix('what string, ')}, bucket long, order int, what string"
+        said = lambda kind: spark.read.schema(said_ddl).parquet(f"{path}/weights").where(F.col("order") == kind + 1)
         tokens, n_blocks = blocks().agg(F.sum("n"), F.count("n")).first()
         buckets = max(1, -(-(tokens or 0) // BUCKET_TOKENS))
         turns = max(1, min(PARTS, n_blocks // 4))
         orders = []
         for kind in range(order):
-            last, passes = kind == order - 1, min(turns, 1 if kind < 2 else 2)
+            passes = min(turns, 1 if kind < 2 else 2)
             for i in range(passes):
                 asked = blocks().mapInArrow(_ask(buckets, range(kind, kind + 1), i, passes), _ASK_DDL)
                 answers = asked.groupBy("kind", "bucket").applyInPandas(_tell, _TOLD_DDL)
                 _add(answers.withColumn("turn", F.when(F.col("block") == MODEL, MODEL).otherwise(F.col("block") % PARTS)), counts[kind], "turn")
             orders.append(_orders(told(kind).where(F.col("turn") == MODEL), kind + 1)[kind])
-            if kind == WORD and not last:
-                continue
-            passes = turns if last else min(turns, 2)
-            for i in range(passes):
-                mine = [n for n in range(PARTS) if n % passes == i]
-                answers = [told(k).where(F.col("turn").isin(mine)) for k in range(kind + 1)]
-                for more in answers[1:]:
-                    answers[0] = answers[0].unionByName(more)
-                _scored(blocks().where(F.col("turn").isin(mine)), answers[0], orders, last, weights[kind])
-                for folder in [at, *counts] if last else []:
-                    for n in mine:
-                        remove(spark, f"{folder}/turn={n}")
-            passes = min(turns, 4) if kind else 0
+        for i in range(turns):
+            mine = [n for n in range(PARTS) if n % turns == i]
+            answers = [told(kind).where(F.col("turn").isin(mine)) for kind in range(order)]
+            for more in answers[1:]:
+                answers[0] = answers[0].unionByName(more)
+            _scored(blocks().where(F.col("turn").isin(mine)), answers[0], orders, f"{path}/weights")
+            for folder in [at, *counts]:
+                for n in mine:
+                    remove(spark, f"{folder}/turn={n}")
+        for kind in range(1, order):
+            # the sums of all orders lie there until the first are weighed
+            passes = min(turns, 4 if kind == order - 1 else PARTS)
             for i in range(passes):
                 sums = _slots(said(kind).where("what = 'sums'"), buckets, i, passes)
                 _add(sums.groupBy("kind", "bucket").applyInPandas(_weigh, _MODEL_DDL).withColumn("what", F.lit("shared")), weights[kind], "what")
@@ -549,8 +597,8 @@ def score_stored(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     look_up = _look_up(from_counts, to_counts, "counts", _ANSWER_DDL)
     found = asked.unionByName(counts.select(*asked.columns)).groupBy("kind", "bucket").applyInPandas(look_up, _ANSWER_DDL)
     path = scratch(spark, "katz-scored")
-    _scored(blocks, found, orders, True, path)
+    _scored(blocks, found, orders, path)
     weights = stored("weights", range(2, about.order + 1), f"{_CUT_DDL}, what string")
     own = _slots(weights.where("what = 'own'"), about.buckets).select("kind", "bucket", "block", "keys", "value")
     model = own.unionByName(weights.where("what = 'shared'").select(*own.columns))
-    return _finished(spark.read.schema(f"{_SCORED_DDL.removeprefix('what string, ')}, what string").parquet(path), model, orders, about.buckets)
+    return _finished(spark.read.schema(f"{_SCORED_DDL.removeprefix('what string, ')}, order int, what string").parquet(path), model, orders, about.buckets)

@@ -653,6 +653,45 @@ def test_katz_leaves_its_model_and_scores_on_disk_only(spark, monkeypatch, tmp_p
     assert sorted(again.select("doc_id", "n_known", "train_tokens").collect()) == sorted(got.select("doc_id", "n_known", "train_tokens").collect())
 
 
+def test_katz_sorts_the_tokens_of_a_turn_once(monkeypatch):
+    from collections import Counter
+
+    from dockcast.llm import text
+
+    r = np.random.default_rng(7)
+    texts = [None, "", "  ", "One  two\tONE ", "caf\u00e9 x" * 40, *(" ".join(f"w{x}" for x in r.zipf(1.3, n)) for n in (1, 2, 300, 500))] * 3
+    held = [i % 4 == 1 for i in range(len(texts))]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(held), pa.array(texts, pa.string())], ["id", "held", "text"])
+    sizes, again = [], []
+    monkeypatch.setattr(katz, "ranked", lambda keys: sizes.append(len(keys)) or blocks.ranked(keys))
+    monkeypatch.setattr(np, "argsort", lambda a, *x, f=np.argsort, **y: again.append(len(a)) or f(a, *x, **y))
+    (made,) = katz._make_blocks([rows])
+    streams = [[*map(int, text.word_hashes(t and t.encode())), 1] for t in texts]
+    lengths, n = [len(x) for x in streams], made.column("n")[0].as_py()
+    assert made.column("lengths")[0].as_py() == lengths and sum(lengths) == n
+    vocab, tokens, *_ = katz._stream(next(katz._rows([made])))
+    assert vocab[tokens].tolist() == sum(streams, [])
+    # the keys of end and start are alike in all bits but the last: only those are sorted again
+    assert sizes == [n + 2] and sum(again) <= len(texts) + 2
+    sizes.clear()
+    turns = [list(katz._ask(8, range(2, 3), turn, 2)([made])) for turn in (0, 1)]
+    assert len(sizes) == 2 and sum(sizes) == n - len(texts)  # a text's first token ends no three words
+    want = Counter()
+    for x, h in zip(streams, held):
+        for a, b, c in zip([2, *x], x, x[1:]):
+            key = 0
+            for w in (a, b, c):
+                key = int(text.mix(np.array([(key * text._BASE + w) % 2**64], np.uint64))[0]) if key else w
+            want[key] += not h
+    got = {}
+    for turn, out in enumerate(turns):
+        for b in out:
+            for bucket, keys, counts in zip(b.column("bucket").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist()):
+                assert bucket % 2 == turn
+                got |= dict(zip(blocks.keys_from_bytes(keys).tolist(), blocks.from_counts(counts)))
+    assert got == want
+
+
 def test_codes_of_numbers():
     r = np.random.default_rng(3)
     near = np.array([(1 << 63) + 3, 5, (1 << 63) + 1, (1 << 63) + 3, (1 << 63) + 2] * 20, np.uint64)
